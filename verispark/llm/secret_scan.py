@@ -20,17 +20,18 @@ from pyspark.sql import functions as F
 
 from ._common import text_of
 
-#: The patterns, and the least length of a match (assign: of its second group).
+#: The patterns, and the least length of a match (assign: of its second group). A run that
+#: is long enough starts where it starts without the bound, so access and hex can carry it; assign can't.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+ACCESS = r"AKIA[A-Z0-9]{12,}"
+HEX = r"[0-9a-f]{32,}"
 KINDS = {"assign": (ASSIGN, 2, 8), "access": (ACCESS, 0, 16), "hex": (HEX, 0, 32)}
 #: Least length of a candidate of the method, and owners from which a string is a copied example.
 LONG = 20
 COPIED = 3
 GENERIC = rf"[A-Za-z0-9+/_=-]{{{LONG},}}"
 #: What must occur for a pattern to match; a cheap test that spares most texts the rest.
-_MAY = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}", "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}", "generic": GENERIC}
+_MAY = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}", "access": ACCESS, "hex": HEX, "generic": GENERIC}
 _SPAN = "array<struct<start: bigint, kind: int, end: bigint, secret: string>>"
 
 
@@ -111,3 +112,29 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         written(F.array_sort(F.concat("base", "added"))).alias("spans"), "n_copied", "n_live",
     )
+
+
+def _sql_kind(rank: int, pattern: str, group: int, least: int) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"SELECT doc_id, source, {rank} AS kind, {least} AS least, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, {group}) AS s, string_split_regex(t, {p}) AS g FROM d"
+
+
+_SQL_LEN = "coalesce(list_sum(list_transform({x}, lambda x: length(x))), 0)"
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+raw AS ({" UNION ALL ".join(_sql_kind(k, *v) for k, v in enumerate([*KINDS.values(), (GENERIC, 0, LONG)]))}),
+one AS (SELECT doc_id, source, kind, least, m, s, g, unnest(range(1, len(m) + 1)) AS i FROM raw),
+kept AS (SELECT * FROM one WHERE length(s[i]) >= least AND (kind < 3 OR (regexp_matches(s[i], '[A-Z]') AND regexp_matches(s[i], '[a-z]') AND regexp_matches(s[i], '[0-9]')))),
+sp AS (SELECT doc_id, source, kind, CAST({_SQL_LEN.format(x="g[1:i]")} + {_SQL_LEN.format(x="m[1:i-1]")} AS BIGINT) AS a, length(m[i]) AS n, s[i] AS secret FROM kept),
+base AS (SELECT * FROM sp WHERE kind < 3),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM sp c WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.a < c.a + c.n AND c.a < b.a + b.n)),
+own AS (SELECT secret, count(DISTINCT source) AS owners FROM every GROUP BY 1),
+w AS (SELECT doc_id, kind, a, e.n, owners, ['assign', 'access', 'hex', 'generic'][kind + 1] || ':' || a || ':' || (a + e.n) AS txt FROM every e JOIN own ON own.secret = e.secret),
+r AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    coalesce(string_agg(txt, ',' ORDER BY a, kind) FILTER (kind < 3), '') AS base, coalesce(string_agg(txt, ',' ORDER BY a, kind) FILTER (kind < 3 OR owners <= 1), '') AS spans,
+    count(*) FILTER (owners >= {COPIED}) AS n_copied, count(*) FILTER (owners <= 1) AS n_live FROM w GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
