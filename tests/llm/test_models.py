@@ -1,0 +1,157 @@
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from verispark.llm.kneser_ney import bigram_hash, discounts, op4_lm_scoring, pack, score, train, unpack
+from verispark.llm.language_id import identify, keep_identified, learn_profiles, op7_language_id, ranked
+from verispark.llm.quality_classifier import fit, indicators, op6_quality, quality
+from verispark.llm.quality_classifier import train as train_quality
+
+from .helpers import DOCS, awkward, empty, row, rows_of
+
+SF = "/root/testdata/sf0.01"
+
+
+# language model
+
+
+def tokens(text):
+    return [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w] + ["</s>"]
+
+
+class Plain:
+    """The same model by dictionaries."""
+
+    def __init__(self, texts):
+        self.c, self.big = Counter(), Counter()
+        for t in texts:
+            w = tokens(t)
+            self.c.update(w)
+            self.big.update(zip(["<s>", *w], w))
+        self.nc, self.cu, self.cont = Counter(w for _, w in self.big), Counter(), {}
+        for (u, _), n in self.big.items():
+            self.cu[u] += n
+            self.cont.setdefault(u, Counter())[min(n, 3)] += 1
+        of = lambda counts: discounts(*(sum(v == k for v in counts.values()) for k in range(1, 5)))
+        self.low, self.high = of(self.nc), of(self.big)
+        self.n, self.v = sum(self.c.values()), len(self.c)
+
+    def p(self, u, w):
+        d = lambda n, ds: 0 if n == 0 else ds[min(n, 3) - 1]
+        total = len(self.big)
+        mass = sum(d(n, self.low) for n in self.nc.values()) / total if total else 1.0
+        low = (max(self.nc[w] - d(self.nc[w], self.low), 0) / total if total else 0) + mass / (self.v + 1)
+        if not self.cu[u]:
+            return low
+        n = self.big[u, w]
+        return max(n - d(n, self.high), 0) / self.cu[u] + sum(self.high[k - 1] * m for k, m in self.cont[u].items()) / self.cu[u] * low
+
+    def row(self, text):
+        w = tokens(text)
+        return len(w), sum(self.c[x] > 0 for x in w), sum(math.log10((self.c[x] + 0.1) / (self.n + 0.1 * (self.v + 1))) for x in w), sum(math.log10(self.p(u, x)) for u, x in zip(["<s>", *w], w))
+
+
+@pytest.mark.parametrize("shard_bytes", [2000, 1 << 24])
+def test_lm_equals_dictionaries(spark, sf, shard_bytes):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(awkward(spark).select("doc_id", "text"))
+    rows = rows_of(docs)
+    plain = Plain([r["text"] for r in rows if r["doc_id"] is None or r["doc_id"] % 3])
+    model = train(docs.where("doc_id IS NULL OR doc_id % 3 <> 0"), shard_bytes=shard_bytes)
+    assert (model.tokens, model.types, model.continuations) == (plain.n, plain.v, len(plain.big))
+    got = sorted(((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in rows_of(score(docs, model))))
+    want = sorted((str(r["doc_id"]), *plain.row(r["text"])) for r in rows)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3:] for g in got], [w[3:] for w in want], rtol=1e-9)
+
+
+def test_lm_sums_to_one():
+    plain = Plain(["a b a b c", "a c b", "b b a"])
+    for u in ("a", "b", "<s>", "never"):
+        assert sum(plain.p(u, w) for w in [*plain.c, "unseen"]) == pytest.approx(1)
+
+
+def test_lm_columns_round_trip():
+    rng = np.random.default_rng(1)
+    columns = [np.sort(rng.integers(0, 2**48, 1000)), rng.integers(0, 2**48, 1000), rng.integers(0, 300, 1000), np.zeros(1000, np.int64)]
+    assert all((a == b).all() for a, b in zip(columns, unpack(pack(*columns))))
+    assert len(np.unique(bigram_hash(columns[0], columns[1]))) == 1000
+
+
+def test_lm_query_beats_base(spark):
+    rows = rows_of(op4_lm_scoring(spark, SF))
+    held = [r for r in rows if r["held_out"]]
+    assert {r["held_out"] for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0} == {True}
+    assert sum(r["score"] for r in held) > 0.8 * sum(r["base_score"] for r in held)
+    assert sum(r["n_tokens"] for r in rows if not r["held_out"]) == rows[0]["train_tokens"]
+
+
+def test_lm_without_training_rows(spark):
+    model = train(empty(spark))
+    assert {(r["n_known"], r["base_score"], r["score"]) for r in rows_of(score(awkward(spark), model))} == {(0, 0.0, 0.0)}
+    assert score(empty(spark), model).count() == 0
+
+
+# language ID
+
+
+def test_language_accuracy(spark):
+    lang = {r["doc_id"]: r["lang"] for r in rows_of(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"))}
+    held = [r for r in rows_of(op7_language_id(spark, SF)) if r["held_out"]]
+    assert {zlib.crc32(str(r["doc_id"]).encode()) % 4 for r in held} == {2}
+    assert all(0 <= r["score"] <= 1 for r in held)
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.97
+
+
+def test_profiles_by_brute_force(spark):
+    docs = spark.createDataFrame([row(1, "Ab ab", "x"), row(2, "b-a 1", "x"), row(3, "zz", "y"), row(4, None, "y"), row(5, "q", None)], DOCS)
+    got = learn_profiles(docs, top=6)
+    assert got["x"] == ranked(Counter({"a": 3, "b": 3, " a": 3, "b ": 3, "ab": 2, " ab": 2, "ab ": 2, " b": 1, "a ": 1, " b ": 1, " a ": 1}), 6) == [" a", "a", "b", "b ", " ab", "ab"]
+    assert set(got) == {"x", "y"}
+    pred = {r["doc_id"]: r["__lang"] for r in rows_of(identify(docs, got))}
+    assert pred[1]["lang"] == "x" and pred[3]["lang"] == "y" and pred[4]["lang"] == "und" and pred[4]["score"] == 0.0
+
+
+def test_language_edges(spark):
+    profiles = learn_profiles(awkward(spark))
+    assert learn_profiles(empty(spark)) == {}
+    assert {r["__lang"]["lang"] for r in rows_of(identify(awkward(spark), {}))} == {"und"}
+    kept = keep_identified(awkward(spark), profiles)
+    assert kept.columns == awkward(spark).columns
+    assert {8, 7, 9, 10}.isdisjoint({r["doc_id"] for r in rows_of(kept)}) and kept.where("doc_id = 1").count() == 1
+    assert identify(empty(spark), profiles).count() == 0
+
+
+# quality
+
+
+def test_quality_accuracy(spark):
+    labels = {r["doc_id"]: r["quality"] for r in rows_of(spark.read.parquet(f"{SF}/labels.parquet"))}
+    rows = rows_of(op6_quality(spark, SF))
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in labels]
+    assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) > 0.95
+
+
+def test_dual_descent_separates():
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(["ok", "fine", "nice", "plain"] if k % 2 else ["$$$", "bad###", "WORSE"], 6)) for k in range(60)]
+    model = fit([indicators(t) for t in texts], np.array([k % 2 for k in range(60)]))
+    p = model.probability(np.array([model.margin(t) for t in ["ok fine", "$$$ WORSE", ""]]))
+    assert p[0] > 0.8 and p[1] < 0.2 and 0 <= p[2] <= 1
+
+
+def test_quality_edges(spark):
+    docs = awkward(spark)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, None), (None, 1), (4, 1), (77, 0)], "doc_id long, quality int")
+    one = train_quality(docs, labels.where("quality = 1"))
+    assert one.probability(np.array([0.0]))[0] > 0.99
+    none = train_quality(docs, labels.where(F.lit(False)))
+    assert none.probability(np.array([0.0]))[0] == pytest.approx(0.5)
+    model = train_quality(docs, labels)
+    scores = [r[0] for r in docs.select(quality(spark, model, F.coalesce("text", F.lit("")))).collect()]
+    assert len(scores) == docs.count() and all(0 <= s <= 1 for s in scores)
+    assert empty(spark).select(quality(spark, model, F.col("text"))).count() == 0
