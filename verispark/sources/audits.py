@@ -9,9 +9,13 @@ from ..operators.validate import apply_defaults
 
 
 def append_audits(audits: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Append audits with defaults, partitioned by date; a repeated batch replaces its own rows."""
-    rows = apply_defaults(audits).withColumn("audit_day", F.to_date("audit_date"))
+    """Append audits with defaults.
+
+    A table of appends is partitioned by month. A micro-batch is one folder named by its id, so a
+    repeated batch replaces its own rows, and many small batches don't make a file for each date.
+    """
+    rows = apply_defaults(audits)
     if batch_id is None:
-        rows.write.mode("append").partitionBy("audit_day").parquet(path)
+        rows.withColumn("audit_month", F.date_format("audit_date", "yyyy-MM")).write.mode("append").partitionBy("audit_month").parquet(path)
     else:
-        rows.write.mode("overwrite").partitionBy("audit_day").parquet(f"{path}/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
