@@ -3,9 +3,12 @@ import sys
 import tempfile
 
 import pytest
+from hypothesis import settings
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+settings.register_profile("all", deadline=None)
+settings.load_profile("all")
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
