@@ -44,6 +44,11 @@ def test_marginal_band(spark):
     assert tuple(one(spark, "d double", (0.5,), similarity.match_band(F.col("d"), F.lit(0.4)))[0]) == ("marginal", 0.1, 0.51)
 
 
+def test_expected_size(spark):
+    rows = spark.createDataFrame([("ArcFace",), ("Dlib",), ("Unknown",)], "m string").select(similarity.expected_size(F.col("m"))).collect()
+    assert [r[0] for r in rows] == [512, 128, None]
+
+
 def test_first_face(spark):
     rows = spark.createDataFrame([(["a", "b"],), ([],), (None,)], "f array<string>").select(similarity.first_face(F.col("f")).alias("x")).collect()
     assert [(r["x"]["face"], r["x"]["error"] is None) for r in rows] == [("a", True), (None, False), (None, False)]

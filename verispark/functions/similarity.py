@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import FALLBACK_THRESHOLD, VerifyConfig
+from ..config import EMBEDDING_SIZES, FALLBACK_THRESHOLD, VerifyConfig
 
 
 def rounded(x: Column, digits: int) -> Column:
@@ -23,6 +23,11 @@ def length_error(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.concat(F.lit("embedding lengths differ: "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string")))
 
 
+def expected_size(model_name: Column) -> Column:
+    """Length of a model's embeddings; null for an unknown model."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in EMBEDDING_SIZES.items() for x in pair)), model_name)
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine: 0 same direction, 1 orthogonal or a zero vector, 2 opposite; null on unequal length."""
     norms = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))

@@ -42,9 +42,14 @@ def risk_level(risk: Column) -> Column:
     return F.when(risk >= 0.8, "CRITICAL").when(risk >= 0.5, "HIGH").when(risk >= 0.3, "MEDIUM").otherwise("LOW")
 
 
-def _assess(sums: DataFrame, keep: list[str], baseline: float) -> DataFrame:
-    df = sums.withColumn("variance", exact_variance() if "s1" in sums.columns else F.coalesce("variance", F.lit(0.0))).withColumn("mean", F.col("s1") / F.col("n") / 1e4 if "s1" in sums.columns else F.col("mean"))
-    df = df.withColumn("risk", risk_rules(F.col("n"), F.col("failed"), F.col("variance"), F.col("mean"), baseline))
+def _with_exact_moments(sums: DataFrame) -> DataFrame:
+    """sums (n, failed, s1, s2) with variance and mean."""
+    return sums.withColumns({"variance": exact_variance(), "mean": F.col("s1") / F.col("n") / 1e4})
+
+
+def _assess(moments: DataFrame, keep: list[str], baseline: float) -> DataFrame:
+    """Risk and its parts from n, failed, variance and mean."""
+    df = moments.withColumn("risk", risk_rules(F.col("n"), F.col("failed"), F.col("variance"), F.col("mean"), baseline))
     return df.select(
         *keep, rounded(F.col("risk"), 3).alias("risk_score"), risk_level(F.col("risk")).alias("risk_level"), F.col("n").alias("audit_count"), F.col("failed").alias("failed_audits"),
         rounded(F.col("variance"), 3).alias("score_variance"), rounded(F.col("mean"), 3).alias("avg_similarity"), F.lit(None).cast("string").alias("message"),
@@ -59,11 +64,12 @@ def claim_risk(audits: DataFrame, claims: DataFrame | None = None, include_delet
     """
     if not include_deleted:
         audits = audits.where(~F.col("is_deleted"))
-    m = _moments()
+    m, score = _moments(), F.col("similarity_score")
     if precision == "double":
-        score = F.col("similarity_score")
-        m = {"n": m["n"], "failed": m["failed"], "variance": F.var_samp(score), "mean": F.avg(score)}
-    risk = _assess(audits.groupBy("claim_id").agg(*(c.alias(k) for k, c in m.items())), ["claim_id"], baseline)
+        moments = audits.groupBy("claim_id").agg(m["n"].alias("n"), m["failed"].alias("failed"), F.coalesce(F.var_samp(score), F.lit(0.0)).alias("variance"), F.avg(score).alias("mean"))
+    else:
+        moments = _with_exact_moments(audits.groupBy("claim_id").agg(*(c.alias(k) for k, c in m.items())))
+    risk = _assess(moments, ["claim_id"], baseline)
     if claims is None:
         return risk
     rows = claims.where(F.col("validity_to").isNull()).select("claim_id").join(risk, "claim_id", "left")
@@ -79,7 +85,7 @@ def running_claim_risk(audits: DataFrame, baseline: float = 0.0) -> DataFrame:
     """The risk after each audit (claim_id, id, last_updated and the columns of claim_risk)."""
     w = Window.partitionBy("claim_id").orderBy("audit_date", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = audits.select("claim_id", "id", F.col("audit_date").alias("last_updated"), *(c.alias(k) for k, c in _moments(w).items()))
-    return _assess(sums, ["claim_id", "id", "last_updated"], baseline)
+    return _assess(_with_exact_moments(sums), ["claim_id", "id", "last_updated"], baseline)
 
 
 def failure_rates(audits: DataFrame, grain: str = "7 days") -> DataFrame:
