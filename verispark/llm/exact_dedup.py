@@ -140,10 +140,11 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows that repeat an owner's id and text are copies too: one of them stays.
     """
     key, sha = "__owner_id", "__owner_sha256"
-    groups = exact_groups(docs, id_col, text_col, trie_bytes).select(F.col("keep_id").alias(key), F.col("text_sha256").alias(sha))
-    mine = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(sha, F.sha2(normalised(text_of(text_col)).cast("binary"), 256))
-    owners = mine.join(groups.withColumnsRenamed({key: f"{key}2", sha: f"{sha}2"}), F.col(key).eqNullSafe(F.col(f"{key}2")) & (F.col(sha) == F.col(f"{sha}2")), "left_semi")
-    return owners.dropDuplicates([key, sha]).drop(key, sha)
+    owner = F.coalesce(F.col("keep_id"), F.lit(_MAX_ID))
+    owners = exact_groups(docs, id_col, text_col, trie_bytes).select(owner.alias(key), F.col("text_sha256").alias(sha))
+    mine = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(_MAX_ID))).withColumn(sha, F.sha2(normalised(text_of(text_col)).cast("binary"), 256))
+    # both steps need rows dealt by id and hash, so texts are shuffled once
+    return mine.join(owners, [key, sha], "left_semi").dropDuplicates([key, sha]).drop(key, sha)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,9 +231,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """docs with the smallest id of each component only, all columns as they were; of rows that repeat that id one stays."""
-    key = "__component_id"
-    kept = near_duplicates(docs, id_col, text_col, words, max_bits).select(F.col("component_id").alias(key)).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_semi").dropDuplicates([id_col])
+    key, none = "__component_id", F.lit((1 << 63) - 1)
+    kept = near_duplicates(docs, id_col, text_col, words, max_bits).select(F.coalesce("component_id", none).alias(key)).distinct()
+    # both steps need rows dealt by id, so texts are shuffled once
+    return docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), none)).join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
