@@ -47,13 +47,13 @@ def simhash(text: str, words: int = SHINGLE_WORDS) -> int:
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    spans = zip(starts.tolist(), ends[words - 1 :].tolist()) if len(parts) >= words else [(0, len(joined))]
-    h = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], "<u8")
+    n = max(1, len(parts) - words + 1)
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        bits = np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+    for at in range(0, n, 1 << 16):
+        first, last = starts[at : min(n, at + (1 << 16))], ends[min(len(parts), words) - 1 :][at : at + (1 << 16)]
+        h = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first.tolist(), last.tolist())], "<u8")
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
