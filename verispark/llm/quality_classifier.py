@@ -109,10 +109,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = COST, passes:
         ratio[0] = 1.0  # bias
         squares = ratio**2
         x = [ratio[rows[i]] / np.sqrt(squares[rows[i]].sum()) for i in train]
-        w, alpha, order = np.zeros(BUCKETS), np.zeros(len(train)), np.random.default_rng(seed)
-        upper = cost * len(train) / (2 * np.array([(y[train] == y[i]).sum() for i in train])) if len(train) < 4 else cost * len(train) / (2 * np.where(y[train] > 0, (y[train] > 0).sum(), (y[train] < 0).sum()))
+        w, alpha, rng = np.zeros(BUCKETS), np.zeros(len(train)), np.random.default_rng(seed)
+        # classes weigh the same, whatever their shares
+        upper = cost * len(train) / (2 * np.where(y[train] > 0, (y[train] > 0).sum(), (y[train] < 0).sum()))
         for _ in range(passes):
-            for k in order.permutation(len(train)):
+            for k in rng.permutation(len(train)):
                 i, xi = train[k], x[k]
                 g = y[i] * (w[rows[i]] @ xi) - 1  # rows have unit length
                 new = min(max(alpha[k] - g, 0.0), upper[k])
