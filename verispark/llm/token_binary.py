@@ -27,6 +27,8 @@ from .tokens import END, default_tokenizer, encoder
 BLOCK_IDS = 16_384
 CHUNK_IDS = 1 << 20
 LEVEL = 3
+#: Shards whose offsets are broadcast on reading: 16 bytes each.
+MAX_SHARDS = 1_000_000
 _CHUNK = "shard int, chunk int, first long, n_ids long, doc_ids array<long>, doc_lens array<long>, mode string, block_ids int, plane_sizes array<int>, planes binary"
 
 
@@ -107,6 +109,8 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     shards = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = shards.select("shard", before.alias("shard_start"))
+    if chunks.where("chunk = 0").count() <= MAX_SHARDS:  # else ids are shuffled to their shard's offset
+        shards = F.broadcast(shards)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
