@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python worker holds at once; long texts make the pieces smaller.
 PIECE_ROWS = 10_000
-PIECE_BYTES = 24 << 20
+PIECE_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of the table of encoded pieces in each Python worker.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 #: Pieces that are encoded as one text, and ids gathered at once.
 JOIN_PIECES = 2000
 GATHER_IDS = 1 << 20
@@ -111,17 +111,22 @@ class Encoder:
             ids[k] = v
             if often[k]:
                 self.memo[words[k]] = v
-        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lens) - lens
+        del words, coded
+        # a batch is some tens of MB, so its positions fit 32 bits
+        lens = np.fromiter(map(len, ids), np.int32, len(ids)) // np.int32(4)
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lens, dtype=np.int32) - lens
+        del ids
         bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        del cut
         n = lens[codes]
-        ends = np.concatenate([[0], np.cumsum(n)])
+        ends = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, out=ends[1:])
         docs = ends[bounds]
         at = 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(docs, docs[at] + GATHER_IDS, "right")) - 1)
             a, b = bounds[at], bounds[to]
-            where = np.repeat(starts[codes[a:b]] - ends[a:b], n[a:b]) + np.arange(docs[at], docs[to])
+            where = np.repeat(starts[codes[a:b]] - ends[a:b], n[a:b]) + np.arange(docs[at], docs[to], dtype=np.int32)
             raw = memoryview(flat[where].tobytes())
             for d in range(at, to):
                 yield raw[(docs[d] - docs[at]) * 4 : (docs[d + 1] - docs[at]) * 4].tobytes()
