@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import text_of
+from ._common import checkpointed, text_of
 
 #: The patterns, and the least length of a match (assign: of its second group). A run that
 #: is long enough starts where it starts without the bound, so access and hex can carry it; assign can't.
@@ -91,7 +91,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row_key = F.xxhash64(F.col(id_col), text)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(repository_col).alias("repository"), F.col(owner_col).alias("owner"), row_key.alias("row_key"), base_spans(text).alias("base"), candidate_spans(text).alias("more"))
     free = F.filter("more", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = rows.withColumn("more", free)
+    rows = checkpointed(rows.withColumn("more", free))  # spans without their texts: the patterns run once over the corpus
     each = rows.where((F.size("base") > 0) | (F.size("more") > 0)).select("row_key", "repository", "owner", F.explode(F.concat("base", "more")).alias("span")).withColumn("secret_hash", F.xxhash64("span.secret"))
     known = each.select("row_key", "span", "secret_hash").distinct().join(ownership(each.select("secret_hash", "repository", "owner")), "secret_hash")
     live, generic = F.col("n_owners") <= 1, F.col("span.kind") == len(KINDS)
