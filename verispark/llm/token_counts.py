@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import pieces, text_of
+from ._common import checkpointed, pieces, text_of
 from .tokens import default_tokenizer, encoder
 
 #: Lengths that one window task sums; their totals are summed in a second step.
-STEP = 1024
+STEP = 64
 
 
 def token_lengths(docs: DataFrame, tokenizer: str | None = None, text_col: str = "text", end_ids: int = 1) -> DataFrame:
@@ -44,9 +44,10 @@ def length_histogram(docs: DataFrame, tokenizer: str | None = None, text_col: st
 def suffix_sums(histogram: DataFrame) -> DataFrame:
     """For each length L of a histogram: documents and tokens of at least L, and the tokens left when every document is cut to L.
 
-    Sums run within steps of lengths and over the steps' totals, so no task reads all lengths.
+    Sums run within steps of lengths and over the steps' totals, so no task reads all lengths. The
+    histogram is read twice, so it is checkpointed and the texts are encoded once.
     """
-    h = histogram.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / STEP).alias("step"))
+    h = checkpointed(histogram).select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / STEP).alias("step"))
     steps = h.groupBy("step").agg(F.sum("n_docs").alias("step_docs"), F.sum("tokens").alias("step_tokens"))
     above = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
