@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._common import fold_of, new_path, pieces, posix_path, text_of
 
-#: Bytes of training text for which there is one shard of bigrams; words have one for eight of them.
+#: Bytes of training text for which there is one shard of bigrams; words have one for two of them.
 SHARD_BYTES = 24 << 20
 WORD_BITS, KEY_BITS = 48, 40
 #: Words whose hashes a worker keeps.
@@ -254,7 +254,7 @@ def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, sh
     texts = docs.select(text_of(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    word_shards = max(1, -(-shards // 8))
+    word_shards = max(1, -(-shards // 2))
     packed = pa.schema([("shard", pa.int64()), ("columns", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
