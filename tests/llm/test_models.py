@@ -59,7 +59,7 @@ class Plain:
         return len(w), sum(self.c[x] > 0 for x in w), sum(math.log10((self.c[x] + 0.1) / (self.n + 0.1 * (self.v + 1))) for x in w), sum(math.log10(self.p(u, x)) for u, x in zip(["<s>", *w], w))
 
 
-@pytest.mark.parametrize("shard_bytes", [2000, 1 << 24])
+@pytest.mark.parametrize("shard_bytes", [40_000, 1 << 24])
 def test_lm_equals_dictionaries(spark, sf, shard_bytes):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(awkward(spark).select("doc_id", "text"))
     rows = rows_of(docs)
