@@ -47,7 +47,9 @@ class Plain:
     def p(self, u, w):
         d = lambda n, ds: 0 if n == 0 else ds[min(n, 3) - 1]
         total = len(self.big)
-        mass = sum(d(n, self.low) for n in self.nc.values()) / total if total else 1.0
+        if not hasattr(self, "mass"):
+            self.mass = sum(d(n, self.low) for n in self.nc.values()) / total if total else 1.0
+        mass = self.mass
         low = (max(self.nc[w] - d(self.nc[w], self.low), 0) / total if total else 0) + mass / (self.v + 1)
         if not self.cu[u]:
             return low
