@@ -116,6 +116,23 @@ def test_drop(spark):
     assert got == sorted(want)
 
 
+def test_drop_keeps_one_row_of_each_component(spark):
+    """Unrelated texts without an id, and one id on several texts."""
+    base, other = " ".join(WORDS), [" ".join(f"{w}{k}" for w in WORDS) for k in range(8)]
+    rows = [row(None, t) for t in other[:5]] + [row(None, other[0]), row(None, other[0].upper()), row(None, base), row(1, base)]  # the last two are one component
+    rows += [row(1, other[5]), row(2, other[5] + " \n"), row(7, other[6]), row(7, other[7]), row(9, other[7])]
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    comp = roots([(k, plain(r[1])) for k, r in enumerate(rows)])
+    want = {}
+    for r, c in zip(rows, comp):
+        key = (r[0] is None, r[0] or 0)
+        want[c] = min(want.get(c, key), key)
+    kept = rows_of(drop_near_copies(docs))
+    of = {(r[0], r[1]): c for r, c in zip(rows, comp)}
+    assert len(want) == 9 and len(kept) == 9
+    assert {of[r["doc_id"], r["text"]]: (r["doc_id"] is None, r["doc_id"] or 0) for r in kept} == want
+
+
 def test_empty(spark):
     assert near_duplicates(empty(spark)).count() == 0
     assert drop_near_copies(empty(spark)).count() == 0

@@ -56,15 +56,18 @@ def simhash(text: str, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (64 bits in a signed long): one row per row of docs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, hashed: bool = False) -> DataFrame:
+    """doc_id, fp (64 bits in a signed long), text_hash if hashed: one row per row of docs."""
+    more = ["text_hash"] if hashed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             fp = np.array([simhash(x, words) for x in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp), *(batch.column(c) for c in more)], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *(F.md5(text).alias(c) for c in more))
+    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} string" for c in more))
 
 
 _SYNDROME = np.zeros((4, 256), np.uint32)  # of each byte of a 32-bit half; position p of the code is bit p
@@ -217,12 +220,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def rooted(nodes: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame:
+    """nodes, one row per fingerprint fp, with their component's root, its smallest fingerprint."""
+    comp = components(links(nodes.select("fp"), max_bits, dense))
+    return nodes.join(comp, nodes["fp"] == comp["node"], "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame:
     """doc_id, fp, component_id: one row per row of docs; component_id is the smallest doc_id reachable."""
     fps = checkpointed(fingerprints(docs, id_col, text_col, words))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    comp = components(links(nodes.select("fp"), max_bits, dense))
-    roots = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    roots = rooted(nodes, max_bits, dense)
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = roots.join(least, "root").select("fp", "component_id")
     # a fingerprint that a third of all rows share is on the rows' side only, where adaptive execution splits it
@@ -230,11 +238,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with the smallest id of each component only, all columns as they were; of rows that repeat that id one stays."""
-    key, none = "__component_id", F.lit((1 << 63) - 1)
-    kept = near_duplicates(docs, id_col, text_col, words, max_bits).select(F.coalesce("component_id", none).alias(key)).distinct()
-    # both steps need rows dealt by id, so texts are shuffled once
-    return docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), none)).join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
+    """docs with one row of each component, all columns as they were.
+
+    The one with the smallest id stays, a null id after all others; of one id the row with the
+    smallest fingerprint and text hash; rows that repeat id and text are one.
+    """
+    fps = checkpointed(fingerprints(docs, id_col, text_col, words, hashed=True))
+    no_id, some_id = (lambda c: F.col(c).isNull()), (lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")))
+    first = F.struct(no_id("doc_id").alias("__no_id"), some_id("doc_id").alias("__id"), "fp", F.col("text_hash").alias("__text_hash"))
+    nodes = fps.groupBy("fp").agg(F.min(first).alias("first"))
+    keys = ["__no_id", "__id", "__text_hash"]
+    kept = rooted(nodes, max_bits).groupBy("root").agg(F.min("first").alias("first")).select(*(F.col("first")[k].alias(k) for k in keys))
+    # both steps need rows dealt by the keys, so texts are shuffled once
+    keyed = docs.withColumns(dict(zip(keys, (no_id(id_col), some_id(id_col), F.md5(text_of(text_col))))))
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
