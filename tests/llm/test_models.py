@@ -164,6 +164,15 @@ def test_language_edges(spark):
     assert identify(empty(spark), profiles).count() == 0
 
 
+def test_only_und_is_rejected(spark):
+    """Letters without any n-gram of any profile have score 0 and a language: they stay."""
+    profiles = learn_profiles(spark.createDataFrame([row(1, "ab ab", "x"), row(2, "zz", "y")], DOCS))
+    docs = spark.createDataFrame([row(3, "龘"), row(4, "ქართული ენა"), row(5, "12 !"), row(6, "ab"), row(None, "龘 ა")], DOCS)
+    labels = {r["doc_id"]: (r["__lang"]["lang"], r["__lang"]["score"]) for r in rows_of(identify(docs, profiles))}
+    assert labels[3] == labels[4] == labels[None] == ("x", 0.0)
+    assert {r["doc_id"] for r in rows_of(keep_identified(docs, profiles))} == {d for d, (lang, _) in labels.items() if lang != "und"} == {3, 4, 6, None}
+
+
 # quality
 
 

@@ -221,8 +221,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "t
 
 
 def keep_identified(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "text") -> DataFrame:
-    """docs whose language is known: a text without letters, or without any n-gram of any profile, goes."""
-    return identify(docs, profiles, text_col).where((F.col("__lang.lang") != UNKNOWN) & (F.col("__lang.score") > 0)).drop("__lang")
+    """docs whose language isn't 'und': what has letters stays, whatever its score."""
+    return identify(docs, profiles, text_col).where(F.col("__lang.lang") != UNKNOWN).drop("__lang")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
