@@ -69,6 +69,17 @@ def test_query_on_whole_table(spark, sf):
     assert not rows
 
 
+def test_every_span_has_a_class(spark):
+    """A candidate that two sources hold is neither live nor widely copied, and isn't lost."""
+    two, three, one = "Ab1" * 7, "Cd2" * 7, "Ef3" * 7
+    rows = [row(1, f"{two} {three} {one}", source="s0"), row(2, f"x {two} {three}", source="s1"), row(3, f"{three} token={two}", source="s1"), row(4, three, source="s2"), row(5, "none")]
+    found = {r["doc_id"]: r for r in rows_of(scan_secrets(spark.createDataFrame(rows, DOCS)))}
+    secrets = lambda d, c: [s["secret"] for s in found[d][c]]
+    assert [secrets(d, "shared") for d in range(1, 6)] == [[two], [two], [], [], []]
+    assert [secrets(d, "added") for d in range(1, 6)] == [[one], [], [], [], []]
+    assert [(r["n_copied"], r["n_live"], r["n_shared"]) for r in (found[d] for d in range(1, 6))] == [(1, 1, 1), (1, 0, 1), (1, 0, 1), (1, 0, 0), (0, 0, 0)]
+
+
 def test_repeated_rows_and_empty(spark):
     docs = many(spark)
     twice = scan_secrets(docs.union(docs))

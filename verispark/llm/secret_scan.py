@@ -4,7 +4,8 @@ Base spans come from three patterns. Candidates beyond them are runs of at least
 characters with upper-case, lower-case letters and digits. Each secret's hash is counted over the
 corpus by distinct documents (repositories) and sources (owners). A string that COPIED or more
 owners hold is a widely copied example; one that a single owner holds is a live-looking
-credential. Candidates that look live are added to the spans; base spans always stay.
+credential; what fewer than COPIED owners share is a class of its own. Candidates that look live are
+added to the spans, shared ones are returned beside them; base spans always stay.
 
 Positions are in code points: between the matches of a pattern lie the pieces that split() gives,
 so starts are running sums of both lengths.
@@ -82,10 +83,11 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", copied: int = COPIED) -> DataFrame:
-    """doc_id, base, added, n_copied, n_live: one row per row of docs.
+    """doc_id, base, added, shared, n_copied, n_live, n_shared: one row per row of docs.
 
-    base and added are arrays of (start, kind, end, secret); n_copied and n_live count the spans
-    whose secret is a widely copied example, or held by a single owner.
+    base, added and shared are arrays of (start, kind, end, secret); n_copied, n_live and n_shared
+    count the spans whose secret is a widely copied example, held by a single owner, or by some
+    owners fewer than copied. Candidates of the last class are in shared.
     """
     text = text_of(text_col)
     row_key = F.xxhash64(F.col(id_col), text)
@@ -95,13 +97,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = rows.where((F.size("base") > 0) | (F.size("more") > 0)).select("row_key", "repository", "owner", F.explode(F.concat("base", "more")).alias("span")).withColumn("secret_hash", F.xxhash64("span.secret"))
     known = each.select("row_key", "span", "secret_hash").distinct().join(ownership(each.select("secret_hash", "repository", "owner")), "secret_hash")
     live, generic = F.col("n_owners") <= 1, F.col("span.kind") == len(KINDS)
+    shared = ~live & (F.col("n_owners") < copied)
     # a document's spans only: bounded by its own text
     per_row = known.groupBy("row_key").agg(
         F.array_sort(F.collect_list(F.when(generic & live, F.col("span")))).alias("added"),
-        F.count_if(F.col("n_owners") >= copied).alias("n_copied"), F.count_if(live).alias("n_live"),
+        F.array_sort(F.collect_list(F.when(generic & shared, F.col("span")))).alias("shared"),
+        F.count_if(F.col("n_owners") >= copied).alias("n_copied"), F.count_if(live).alias("n_live"), F.count_if(shared).alias("n_shared"),
     )
     out = rows.select("doc_id", "row_key", "base").join(per_row, "row_key", "left")
-    return out.select("doc_id", "base", F.coalesce("added", F.array().cast(_SPAN)).alias("added"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"), F.coalesce("n_live", F.lit(0)).alias("n_live"))
+    spans, counts = ("added", "shared"), ("n_copied", "n_live", "n_shared")
+    return out.select("doc_id", "base", *(F.coalesce(c, F.array().cast(_SPAN)).alias(c) for c in spans), *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
