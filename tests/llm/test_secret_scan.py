@@ -80,6 +80,16 @@ def test_every_span_has_a_class(spark):
     assert [(r["n_copied"], r["n_live"], r["n_shared"]) for r in (found[d] for d in range(1, 6))] == [(1, 1, 1), (1, 0, 1), (1, 0, 1), (1, 0, 0), (0, 0, 0)]
 
 
+def test_both_counts_of_every_span(spark):
+    """One source's example in many documents can be told from a credential of one document."""
+    often, once = "Ab1" * 7, "AKIA" + "C" * 16
+    rows = [row(k, f"é {often}", source="s0") for k in range(5)] + [row(9, f"{once} {often}", source=None), row(10, "none")]
+    found = {r["doc_id"]: r["held"] for r in rows_of(scan_secrets(spark.createDataFrame(rows, DOCS)))}
+    assert [tuple(h) for h in found[0]] == [(2, 3, 23, 6, 1)]
+    assert [tuple(h) for h in found[9]] == [(0, 1, 20, 1, 0), (21, 3, 42, 6, 1)]
+    assert found[10] == []
+
+
 def test_repeated_rows_and_empty(spark):
     docs = many(spark)
     twice = scan_secrets(docs.union(docs))

@@ -34,6 +34,7 @@ GENERIC = rf"[A-Za-z0-9+/_=-]{{{LONG},}}"
 #: What must occur for a pattern to match; a cheap test that spares most texts the rest.
 _MAY = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}", "access": ACCESS, "hex": HEX, "generic": GENERIC}
 _SPAN = "array<struct<start: bigint, kind: int, end: bigint, secret: string>>"
+_HELD = "array<struct<start: bigint, kind: int, end: bigint, n_repositories: bigint, n_owners: bigint>>"
 
 
 def _spans(text: Column, pattern: str, group: int, least: int, rank: int, may: str) -> Column:
@@ -83,11 +84,12 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", copied: int = COPIED) -> DataFrame:
-    """doc_id, base, added, shared, n_copied, n_live, n_shared: one row per row of docs.
+    """doc_id, base, added, shared, held, n_copied, n_live, n_shared: one row per row of docs.
 
     base, added and shared are arrays of (start, kind, end, secret); n_copied, n_live and n_shared
     count the spans whose secret is a widely copied example, held by a single owner, or by some
-    owners fewer than copied. Candidates of the last class are in shared.
+    owners fewer than copied. Candidates of the last class are in shared. held has (start, kind,
+    end, n_repositories, n_owners) of every base span and candidate; owners alone decide the class.
     """
     text = text_of(text_col)
     row_key = F.xxhash64(F.col(id_col), text)
@@ -102,11 +104,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     per_row = known.groupBy("row_key").agg(
         F.array_sort(F.collect_list(F.when(generic & live, F.col("span")))).alias("added"),
         F.array_sort(F.collect_list(F.when(generic & shared, F.col("span")))).alias("shared"),
+        F.array_sort(F.collect_list(F.struct("span.start", "span.kind", "span.end", "n_repositories", "n_owners"))).alias("held"),
         F.count_if(F.col("n_owners") >= copied).alias("n_copied"), F.count_if(live).alias("n_live"), F.count_if(shared).alias("n_shared"),
     )
     out = rows.select("doc_id", "row_key", "base").join(per_row, "row_key", "left")
-    spans, counts = ("added", "shared"), ("n_copied", "n_live", "n_shared")
-    return out.select("doc_id", "base", *(F.coalesce(c, F.array().cast(_SPAN)).alias(c) for c in spans), *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
+    spans, counts = {"added": _SPAN, "shared": _SPAN, "held": _HELD}, ("n_copied", "n_live", "n_shared")
+    return out.select("doc_id", "base", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in spans.items()), *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
