@@ -1,4 +1,4 @@
-"""Best-fit packing of documents into sequences, in bulk-synchronous rounds.
+"""Best-fit packing of documents into sequences: ranks and places on executors, the sweep on the driver.
 
 Only documents longer than a sequence are cut: their last pieces fill whole sequences and the
 first takes the rest. Pieces are range-sorted by length; pieces of one length are interchangeable,
