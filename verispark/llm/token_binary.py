@@ -7,7 +7,7 @@ holds the planes' sizes, the documents' ids and their numbers of tokens. Parquet
 so that Spark's commit protocol covers lost executors and any file system works.
 
 Defined results: null text is the empty text (it still gets the end id); a null id sorts first;
-rows that repeat an id stay, ordered by text; an empty table gives an empty dataset; columns other
+rows that repeat an id, or have none, stay, in order of their texts' XXH64; an empty table gives an empty dataset; columns other
 than the id and the text are ignored.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import new_path, pieces, text_of
-from .tokens import END, default_tokenizer, encoder
+from .tokens import default_tokenizer, encoder, id_arrays
 
 BLOCK_IDS = 16_384
 CHUNK_IDS = 1 << 20
@@ -80,26 +80,35 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard = encoder(file), TaskContext.get().partitionId()
         chunk = first = held = 0
-        keys, parts = [], []
+        keys, lens, parts = [], [], []
 
         def flush() -> pa.RecordBatch:
-            sizes, planes = pack(np.frombuffer(b"".join(parts), "<u4"), mode, block_ids, level)
-            row = [shard, chunk, first, held, list(keys), [len(p) // 4 for p in parts], mode, block_ids, sizes, planes]
+            sizes, planes = pack(np.concatenate(parts), mode, block_ids, level)
+            row = [shard, chunk, first, held, np.concatenate(keys), np.concatenate(lens), mode, block_ids, sizes, planes]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in pieces(batches):
-            for key, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text"))):
-                keys.append(key)
-                parts.append(ids + END)
-                held += len(parts[-1]) // 4
+            ids, ends = id_arrays(coder.encode(batch.column("text"), end=True))
+            key, at = np.array(batch.column("doc_id").to_pylist(), object), 0
+            while at < batch.num_rows:
+                # up to the document that fills the chunk
+                to = min(batch.num_rows, int(np.searchsorted(ends[1:], ends[at] + chunk_ids - held)) + 1)
+                keys.append(key[at:to])
+                lens.append(np.diff(ends[at : to + 1]))
+                parts.append(ids[ends[at] : ends[to]])
+                held += int(ends[to] - ends[at])
+                at = to
                 if held >= chunk_ids:
                     yield flush()
-                    chunk, first, held, keys, parts = chunk + 1, first + held, 0, [], []
-        if keys:
+                    chunk, first, held, keys, lens, parts = chunk + 1, first + held, 0, [], [], []
+        if held:
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, _CHUNK).write.mode("errorifexists").parquet(path)
+    # the hash spreads rows of one id, or of none, over partitions
+    order = ["doc_id", F.xxhash64("text")]
+    coded = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(write, _CHUNK)
+    coded.write.mode("errorifexists").option("compression", "none").parquet(path)  # planes are compressed
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -115,15 +124,16 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                c = {k: batch.column(k)[row].as_py() for k in batch.schema.names}
-                raw = memoryview(unpack(c["plane_sizes"], c["planes"], c["n_ids"], c["mode"], c["block_ids"]).tobytes())
-                ends = np.cumsum(np.asarray(c["doc_lens"], np.int64))
-                starts = ends - c["doc_lens"]
-                for at in range(0, len(ends), 1000):
+                c = {k: batch.column(k)[row] for k in batch.schema.names}
+                raw = unpack(c["plane_sizes"].as_py(), c["planes"].as_buffer(), c["n_ids"].as_py(), c["mode"].as_py(), c["block_ids"].as_py())
+                keys, lens = c["doc_ids"].values, c["doc_lens"].values.to_numpy()
+                ends = np.append(0, np.cumsum(lens))
+                for at in range(0, len(lens), 1000):
                     part = slice(at, at + 1000)
+                    n, own = len(lens[part]), raw[ends[at] : ends[at : at + 1001][-1]]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([c["shard"]] * len(ends[part]), pa.int32()), pa.array(c["doc_ids"][part], pa.int64()), pa.array(starts[part] + c["first"]), pa.array(ends[part] - starts[part]),
-                        pa.array([raw[a * 4 : b * 4].tobytes() for a, b in zip(starts[part].tolist(), ends[part].tolist())], pa.binary()),
+                        pa.array(np.full(n, c["shard"].as_py(), np.int32)), keys[part], pa.array(ends[:-1][part] + c["first"].as_py()), pa.array(lens[part]),
+                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(((ends[at : at + n + 1] - ends[at]) * 4).astype(np.int32)), pa.py_buffer(own)]),
                     ], names=["shard", "doc_id", "in_shard", "n_tokens", "ids"])
 
     rows = chunks.mapInArrow(read, "shard int, doc_id long, in_shard long, n_tokens long, ids binary")

@@ -4,7 +4,8 @@ Documents are aggregated by encoded length; suffix sums over the lengths then an
 quantiles and truncated totals for every context limit without reading a text again.
 
 Defined results: null text is the empty text; with the end id it has one token; repeated rows
-count each; an empty table has an empty histogram; other columns are ignored.
+count each; lengths that tie are one row of the histogram; an empty table has an empty histogram;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import checkpointed, pieces, text_of
-from .tokens import default_tokenizer, encoder
+from .tokens import default_tokenizer, encoder, id_arrays
 
 #: Lengths that one window task sums; their totals are summed in a second step.
 STEP = 64
@@ -30,8 +31,8 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None, text_col: str =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(file)
         for batch in pieces(batches):
-            n = np.array([len(x) // 4 + end_ids for x in coder.encode(batch.column("text"))], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(n)], names=["n_tokens"])
+            _, ends = id_arrays(coder.encode(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(ends) + end_ids)], names=["n_tokens"])
 
     return docs.select(text_of(text_col).alias("text")).mapInArrow(count, "n_tokens long")
 
