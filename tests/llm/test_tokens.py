@@ -11,7 +11,7 @@ from verispark.llm._common import new_path
 from verispark.llm.best_fit_packing import pack_documents, sweep
 from verispark.llm.token_binary import op3_token_binary, pack, read_token_ids, unpack, write_token_ids
 from verispark.llm.token_counts import length_histogram, length_quantile, suffix_sums, truncated_total
-from verispark.llm.tokens import Encoder, default_tokenizer
+from verispark.llm.tokens import Encoder, default_tokenizer, id_arrays
 
 from .helpers import awkward, empty, rows_of
 
@@ -25,14 +25,18 @@ def ids_of(coder, text, end=True):
     return coder.tokenizer.encode(text or "", add_special_tokens=False).ids + [2] * end
 
 
-PARTS = st.sampled_from(["a", "the", "Words,", "é", " ", "  ", "\n", " \n", "\t", "'s", "12", "!", "<|endoftext|>", "\x1c", "　", "日本", "'", "\x00", "\x85", "😀", "\xa0", "|", "end."])
+PARTS = st.sampled_from(["a", "the", "Words,", "é", " ", "  ", "\n", " \n", "\t", "'s", "12", "!", "<|endoftext|>", "\x1c", "　", "日本", "'", "\x00", "\x85", "😀", "\xa0", "|", "end.", "a1", "x.y", "don't.", "ÿ×Ā", "é5", "ɏʰ", "\nB", "1,000", "\r", "́"])
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(PARTS, max_size=12).map("".join), max_size=8))
 def test_encoder_equals_library(coder, texts):
-    got = [np.frombuffer(b, "<u4").tolist() for b in coder.encode(pa.array(texts, pa.string()))]
-    assert got == [ids_of(coder, t, False) for t in texts]
+    for end in (False, True):
+        coded = coder.encode(pa.array(texts, pa.string()), end)
+        want = [ids_of(coder, t, end) for t in texts]
+        assert [np.frombuffer(b, "<u4").tolist() for b in coded.to_pylist()] == want
+        ids, ends = id_arrays(coded)
+        assert ids.tolist() == sum(want, []) and np.diff(ends).tolist() == [len(w) for w in want]
 
 
 @settings(max_examples=60, deadline=None)
@@ -129,27 +133,36 @@ def test_packing_awkward(spark, coder):
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) == 2 * pack_documents(docs, max_tokens=16).count()
 
 
-@given(st.dictionaries(st.integers(1, 32), st.integers(1, 40), max_size=20))
-def test_sweep_is_best_fit_decreasing(lengths):
-    seqs, ranks = {}, {}
-    for length, rank, first, n, offset in sweep(lengths, 32):
-        for k in range(n):
-            seqs.setdefault(first + k, []).append((offset, length))
-            ranks.setdefault(length, []).append(rank + k)
-    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in lengths.items()}
-    for members in seqs.values():
-        at = 0
-        for offset, length in sorted(members):
-            assert offset == at
-            at += length
-        assert at <= 32
-    gaps = []
-    for length in sorted((k for k, n in lengths.items() for _ in range(n)), reverse=True):
+def best_fit_decreasing(lengths, gaps, size):
+    gaps = list(gaps)
+    for length in sorted(lengths, reverse=True):
         fit = min((g for g in gaps if g >= length), default=None)
         if fit is not None:
             gaps.remove(fit)
-        gaps.append((32 if fit is None else fit) - length)
-    assert len(seqs) == len(gaps)
+        gaps.append((size if fit is None else fit) - length)
+    return sorted(gaps)
+
+
+@given(st.lists(st.integers(1, 32), max_size=120), st.lists(st.integers(1, 31), max_size=20))
+def test_sweep_is_best_fit_decreasing(lengths, gaps):
+    lengths = sorted(lengths, reverse=True)
+    places, offsets, left = sweep(lengths, gaps, 32)
+    assert sorted(left) == best_fit_decreasing(lengths, gaps, 32)
+    room, used = gaps + [32] * (len(left) - len(gaps)), [0] * len(left)
+    for place, offset, length in zip(places, offsets, lengths):
+        assert offset == used[place]
+        used[place] += length
+    assert [r - u for r, u in zip(room, used)] == left and min(left, default=0) >= 0
+
+
+@pytest.mark.parametrize("task_pieces", [100, 100_000])
+def test_rounds_over_many_tasks(spark, sf, coder, task_pieces):
+    """Any number of tasks gives a valid packing; one task gives that of best-fit decreasing."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 150")
+    rows = rows_of(pack_documents(docs, max_tokens=256, task_pieces=task_pieces))
+    n = check_packing(rows, [(r["doc_id"], r["text"]) for r in rows_of(docs)], coder, 256)
+    best = len(best_fit_decreasing([r["length"] for r in rows], [], 256))
+    assert n == best if task_pieces > len(rows) else n <= best + len(rows) // task_pieces + 1
 
 
 def test_empty(spark):

@@ -1,16 +1,20 @@
-"""Best-fit packing of documents into sequences: ranks and places on executors, the sweep on the driver.
+"""Best-fit packing of documents into sequences in bulk-synchronous rounds.
 
 Only documents longer than a sequence are cut: their last pieces fill whole sequences and the
-first takes the rest. Pieces are range-sorted by length; pieces of one length are interchangeable,
-and so are the gaps of one size, so the sweep works on runs: it goes down the lengths, finds for
-each run the successor gap (the smallest that holds it), gives the run's members to the run's gaps
-in rank order, updates the gaps and repeats until the run is placed or new sequences are opened.
-The runs number at most max_tokens, whatever the corpus; the placements (which ranks go to which
-sequences at which offset) are joined back to the ranked pieces on the executors. Ranks come from
-counts per sorted partition, so no task ever holds all pieces of a length.
+first takes the rest. Pieces are range-sorted by length. A round takes the pieces of one class of
+lengths (each class reaches down to half of the one before) and the gaps that can hold any of them;
+both are dealt by rank to tasks, so that each task has its share of every size. A task sweeps from
+its longest piece down: each piece goes to its successor gap, the smallest that holds it; where
+several pieces want one gap, the longer one, then the one of lower rank, goes first and the others
+see the updated gap; pieces without a gap open sequences. The gaps that are left are written,
+ranked and dealt anew in the next round, so the driver sees only the number of pieces.
+
+With one task the result is that of best-fit decreasing; each further task can leave a few gaps
+that another task's pieces would have filled, until the next round deals them again.
 
 Defined results: null text is the empty text and has the end id only; rows that repeat an id are
-packed as documents of their own; an empty table gives no rows; other columns are ignored.
+packed as documents of their own; pieces of equal length go in order of id, piece and checksum;
+an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,103 +25,149 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import checkpointed, pieces, text_of
-from .tokens import END, default_tokenizer, encoder
+from .tokens import default_tokenizer, encoder, id_arrays
 
 MAX_TOKENS = 1024
+#: Pieces for which there is one task; a round's task holds its share of one class and of the gaps.
+TASK_PIECES = 20_000
+_PIECE = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+_ROW = pa.schema([*_PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("is_gap", pa.bool_()), ("deal", pa.int32())])
+_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, size long, is_gap boolean, deal int"
 
 
 def cut_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece; all but a document's first have max_tokens tokens."""
     file = tokenizer or default_tokenizer()
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(file)
         for batch in pieces(batches):
-            rows = []
-            for key, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text"))):
-                ids += END
-                n = len(ids) // 4
-                starts = [0, *range(n % max_tokens or max_tokens, n, max_tokens)]
-                for k, (a, b) in enumerate(zip(starts, [*starts[1:], n])):
-                    rows.append((key, k, a, b - a, crc32(memoryview(ids)[a * 4 : b * 4])))
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(columns)], names=names)
+            ids, ends = id_arrays(coder.encode(batch.column("text"), end=True))
+            n = np.diff(ends)
+            count = -(-n // max_tokens)
+            doc = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            first = n - (count - 1) * max_tokens
+            start = np.where(piece > 0, first[doc] + (piece - 1) * max_tokens, 0)
+            length = np.where(piece > 0, max_tokens, first[doc])
+            raw, at = memoryview(np.ascontiguousarray(ids)).cast("B"), (ends[doc] + start) * 4
+            sums = [crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + length * 4).tolist())]
+            columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[name for name, _ in _PIECE])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def sweep(lengths: dict[int, int], max_tokens: int = MAX_TOKENS) -> list[tuple[int, int, int, int, int]]:
-    """Placements (length, first rank, first sequence, count, offset) for so many pieces of each length.
+def sweep(lengths: list[int], gaps: list[int], max_tokens: int = MAX_TOKENS) -> tuple[list[int], list[int], list[int]]:
+    """(place of each piece, its offset in that sequence's gap, what is left of each gap), pieces in descending order.
 
-    Gaps are runs of sequences with equal room; each placement is one successor match of a run.
+    Places beyond the given gaps are new sequences of max_tokens. Of equal gaps, the one that was
+    last made is taken.
     """
-    runs: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []  # sizes of the gaps that exist, ascending
-    placed, opened = [], 0
-
-    def add(size: int, first: int, count: int) -> None:
-        if size and count:
-            if size not in runs:
-                bisect.insort(sizes, size)
-            runs.setdefault(size, []).append((first, count))
-
-    for length in sorted(lengths, reverse=True):
-        rank, left = 0, lengths[length]
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at < len(sizes):
-                size = sizes[at]
-                first, count = runs[size].pop()
-                if not runs[size]:
-                    del runs[size], sizes[at]
-            else:
-                size = max_tokens
-                first, count = opened, -(-left // (max_tokens // length))
-                opened += count
-            each = size // length
-            full = min(count, left // each)  # these sequences take as many as they hold
-            rest = min(left - full * each, each) if full < count else 0  # one more takes what is left
-            for k in range(each if full else rest):
-                n = full + (k < rest)
-                placed.append((length, rank, first, n, max_tokens - size + k * length))
-                rank, left = rank + n, left - n
-            add(size - each * length, first, full)
-            add(size - rest * length, first + full, 1 if rest else 0)
-            add(size, first + full + (1 if rest else 0), count - full - (1 if rest else 0))
-    return placed
-
-
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
+    at_size: dict[int, list[int]] = {}
+    sizes: list[int] = []  # sizes that occur, ascending
+    left, places, offsets = list(gaps), [], []
+
+    def add(place: int, size: int) -> None:
+        if size not in at_size:
+            at_size[size] = []
+            bisect.insort(sizes, size)
+        at_size[size].append(place)
+
+    for place, size in enumerate(gaps):
+        add(place, size)
+    room = list(gaps)
+    for length in lengths:
+        k = bisect.bisect_left(sizes, length)
+        if k < len(sizes):
+            size = sizes[k]
+            place = at_size[size].pop()
+            if not at_size[size]:
+                del at_size[size], sizes[k]
+        else:
+            size, place = max_tokens, len(left)
+            left.append(size)
+            room.append(size)
+        places.append(place)
+        offsets.append(room[place] - size)
+        left[place] = size - length
+        if left[place]:
+            add(place, left[place])
+    return places, offsets, left
+
+
+def _task(round_: int, tasks: int, max_tokens: int):
+    """One task of a round: its gaps, then its pieces, both by descending size, in; placed pieces and gaps out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        n_gaps = int(table.column("is_gap").to_numpy().sum())
+        gaps, mine = table.slice(0, n_gaps), table.slice(n_gaps)
+        size = gaps.column("size").to_numpy()
+        places, offsets, left = sweep(mine.column("length").to_pylist(), size.tolist(), max_tokens)
+        task = TaskContext.get().partitionId()
+        opened = (((round_ << 24) + task) << 32) + np.arange(len(left) - n_gaps)
+        sequence = np.concatenate([gaps.column("sequence_id").to_numpy(), opened]).astype(np.int64)
+        used = np.concatenate([gaps.column("offset").to_numpy(), np.zeros(len(opened), np.int64)]).astype(np.int64)
+        place = np.array(places, np.int64)
+        zero = np.zeros(len(place), np.int32)
+        own = [mine.column(name).combine_chunks() for name, _ in _PIECE]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(sequence[place]), pa.array(used[place] + np.array(offsets, np.int64)), own[3], pa.array(zero > 0), pa.array(zero)], schema=_ROW)
+        # gaps are ranked by what is left of them; each task deals its own to all tasks in turn
+        rest = np.array(left, np.int64)
+        order = np.flatnonzero(rest)
+        order = order[np.argsort(-rest[order], kind="stable")]
+        total = np.concatenate([size, np.full(len(opened), max_tokens)]).astype(np.int64)
+        none = [pa.nulls(len(order), t) for _, t in _PIECE]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(sequence[order]), pa.array(used[order] + total[order] - rest[order]), pa.array(rest[order]), pa.array(np.ones(len(order), bool)), pa.array(((np.arange(len(order)) + task) % tasks).astype(np.int32))], schema=_ROW)
+
+    return run
+
+
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, task_pieces: int = TASK_PIECES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
     cut = checkpointed(cut_documents(docs, tokenizer, id_col, text_col, max_tokens))
-    # the range sort deals pieces of one length over as many partitions as they need
-    ordered = checkpointed(cut.repartitionByRange(F.desc("length"), "doc_id", "piece", "ids_crc32").withColumn("part", F.spark_partition_id()))
-    counts = ordered.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("base"))
-    # at most max_tokens rows reach the driver: the number of pieces of each length
-    plan = sweep({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, max_tokens)
-    plan.sort()
-    shift = 1 << 40
-    keys = np.array([p[0] * shift + p[1] for p in plan], np.int64)
-    ranks, firsts, offsets = (np.array([p[k] for p in plan], np.int64) for k in (1, 2, 4))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tasks = max(1, -(-cut.count() // task_pieces))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces of a range of lengths, in rank order, to all tasks in turn."""
+        at = TaskContext.get().partitionId()
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            at = np.searchsorted(keys, length * shift + rank, "right") - 1
-            rows = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*rows, pa.array(firsts[at] + rank - ranks[at]), pa.array(offsets[at])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    local = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = ordered.withColumn("local", local).join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("local") - 1)
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+            n = batch.num_rows
+            more = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), batch.column("length"), pa.array(np.zeros(n, bool)), pa.array(((np.arange(n) + at) % tasks).astype(np.int32))]
+            at += n
+            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name, _ in _PIECE), *more], schema=_ROW)
+
+    order = [F.desc("length"), "doc_id", "piece", "ids_crc32"]
+    ranked = checkpointed(cut.repartitionByRange(*order).sortWithinPartitions(*order, "start").mapInArrow(deal, _SQL))
+    # a piece that fills a sequence has no gap to look for: the first class holds what is over half a sequence
+    placed, gaps, top, round_ = [], None, max_tokens, 1
+    while top:
+        low = top // 2
+        rows = ranked.where((F.col("length") <= top) & (F.col("length") > low))
+        if gaps is not None:
+            rows = rows.unionByName(gaps.where(F.col("size") > low))
+        rows = rows.repartitionById(tasks, "deal").sortWithinPartitions(F.desc("is_gap"), F.desc("size"), "sequence_id", "doc_id", "piece", "ids_crc32", "start")
+        found = checkpointed(rows.mapInArrow(_task(round_, tasks, max_tokens), _SQL))
+        placed.append(found.where("NOT is_gap"))
+        small = None if gaps is None else gaps.where(F.col("size") <= low)
+        gaps = found.where("is_gap")
+        if small is not None:  # these wait for shorter pieces
+            gaps = gaps.unionByName(small)
+        top, round_ = low, round_ + 1
+    out = placed[0]
+    for rows in placed[1:]:
+        out = out.unionByName(rows)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
