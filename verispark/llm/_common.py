@@ -19,13 +19,16 @@ PIECE_BYTES = 16 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the one already set.
 
-    Only where neither is set (local tests) is a temporary folder made and set.
+    Only where neither is set and the master is local (tests) is a temporary folder made and set; a
+    cluster without a shared folder is an error, as each host's own folder would lose data.
     """
     here = spark.conf.get("spark.checkpoint.dir", None)
     if here:
         return here.rstrip("/")
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -49,6 +52,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
