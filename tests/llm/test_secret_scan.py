@@ -1,4 +1,5 @@
 import re
+import time
 from hashlib import sha256
 
 from pyspark.sql import functions as F
@@ -90,6 +91,25 @@ def test_both_counts_of_every_span(spark):
     assert found[10] == []
 
 
+def test_many_matches_in_one_text(spark):
+    """200,000 matches cost a sort of them, not a comparison of all pairs."""
+    n = 200_000
+    text = "é " + " ".join(["AKIA" + "B" * 12, "Ab1" * 7] * (n // 2))
+    began = time.time()
+    found = scan_secrets(spark.createDataFrame([row(1, text), row(None, text), row(None, "none")], DOCS).repartition(2)).select(F.size("base"), F.size("added"), F.try_element_at("base", F.lit(-1))["end"], F.try_element_at("added", F.lit(-1))["end"], "n_live").collect()
+    assert time.time() - began < 60
+    assert sorted(tuple(r) for r in found if r[0]) == [(n // 2, n // 2, len(text) - 22, len(text), n)] * 2
+    assert [tuple(r) for r in found if not r[0]] == [(0, 0, None, None, 0)]
+
+
+def test_overlaps(spark):
+    """Candidates that touch a base span go, whichever starts first; neighbours stay."""
+    long = "Ab1" * 7
+    texts = [f"token={long}", f"{long}=token={long}", f"{long}", f"x{'a1' * 16}Q {long}", f"{long}token=12345678", f"AKIA{'B' * 12}+{long} {long}", f"{'0' * 32}/{long}"]
+    docs = spark.createDataFrame([row(k, t) for k, t in enumerate(texts)], DOCS)
+    assert got(scan_secrets(docs)) == expected([(k, t, "s0") for k, t in enumerate(texts)])
+
+
 def test_repeated_rows_and_empty(spark):
     docs = many(spark)
     twice = scan_secrets(docs.union(docs))

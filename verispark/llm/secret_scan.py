@@ -8,15 +8,18 @@ credential; what fewer than COPIED owners share is a class of its own. Candidate
 added to the spans, shared ones are returned beside them; base spans always stay.
 
 Positions are in code points: between the matches of a pattern lie the pieces that split() gives,
-so starts are running sums of both lengths.
+so starts are running sums of both lengths. Rows are numbered after a checkpoint, so rows that
+repeat an id, or have none, keep their own spans.
 
 Defined results: null text is the empty text; a null owner or repository isn't counted; rows that
-repeat an id and text have the same spans; an empty table gives no rows; other columns are ignored.
+repeat an id and text have the same spans; of spans with one start, kinds go in the order of KINDS;
+a very long text costs in proportion to its length and a sort of its matches; an empty table gives
+no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import checkpointed, text_of
@@ -35,36 +38,36 @@ GENERIC = rf"[A-Za-z0-9+/_=-]{{{LONG},}}"
 _MAY = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}", "access": ACCESS, "hex": HEX, "generic": GENERIC}
 _SPAN = "array<struct<start: bigint, kind: int, end: bigint, secret: string>>"
 _HELD = "array<struct<start: bigint, kind: int, end: bigint, n_repositories: bigint, n_owners: bigint>>"
+_MATCH = "array<struct<kind: int, at: int, gap: bigint, size: bigint, secret: string>>"
 
 
-def _spans(text: Column, pattern: str, group: int, least: int, rank: int, may: str) -> Column:
-    """Matches as (start, rank of the kind, end, secret), without those whose group is too short."""
+def _matches(text: Column, pattern: str, group: int, rank: int, may: str) -> Column:
+    """All matches of a pattern: their rank of kind, number, distance from the one before, length and secret."""
     p = F.lit(pattern)
     whole, secret = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
-    parts = F.arrays_zip(whole.alias("m"), secret.alias("s"), gaps.alias("g"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
+    size = lambda c: F.char_length(c).cast("long")
+    found = F.transform(F.arrays_zip(whole.alias("m"), secret.alias("s"), gaps.alias("g")), lambda x, i: F.struct(F.lit(rank).alias("kind"), i.alias("at"), size(x["g"]).alias("gap"), size(x["m"]).alias("size"), x["s"].alias("secret")))
+    return F.when(text.rlike(may), found).otherwise(F.array().cast(_MATCH))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.char_length(x["g"])
-        b = a + F.char_length(x["m"])
-        one = F.array(F.struct(a.alias("start"), F.lit(rank).alias("kind"), b.alias("end"), x["s"].alias("secret")))
-        return F.struct(b.alias("at"), F.when(F.char_length(x["s"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(may), found).otherwise(F.array().cast(_SPAN))
+def found_spans(rows: DataFrame) -> DataFrame:
+    """row_id, repository, owner, start, kind, end, secret: base spans, and candidates that touch none.
 
-
-def base_spans(text: Column) -> Column:
-    """The spans of the three patterns by start, then kind."""
-    kinds = [_spans(text, p, g, n, k, _MAY[name]) for k, (name, (p, g, n)) in enumerate(KINDS.items())]
-    return F.array_sort(F.concat(*kinds))
-
-
-def candidate_spans(text: Column) -> Column:
-    """Long mixed strings, whatever stands around them."""
-    found = _spans(text, GENERIC, 0, LONG, len(KINDS), _MAY["generic"])
-    return F.filter(found, lambda s: s["secret"].rlike("[A-Z]") & s["secret"].rlike("[a-z]") & s["secret"].rlike("[0-9]"))
+    rows has row_id and matches. Positions and overlaps are running sums and extremes over a row's
+    matches, so a text with many matches costs a sort of them and no comparison of pairs.
+    """
+    least = F.element_at(F.array(*(F.lit(n) for _, _, n in KINDS.values()), F.lit(LONG)), F.col("kind") + 1)
+    mixed = F.col("secret").rlike("[A-Z]") & F.col("secret").rlike("[a-z]") & F.col("secret").rlike("[0-9]")
+    upto = Window.partitionBy("row_id", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = rows.where(F.size("matches") > 0).select("row_id", "repository", "owner", F.explode("matches").alias("m")).select("row_id", "repository", "owner", "m.*")
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto)).withColumn("start", F.col("end") - F.col("size"))
+    is_base = F.col("kind") < len(KINDS)
+    each = each.where((F.char_length("secret") >= least) & (is_base | mixed))
+    forth, back = (Window.partitionBy("row_id").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("start"), F.desc("start")))
+    each = each.withColumns({"reach": F.max(F.when(is_base, F.col("end"))).over(forth), "next": F.min(F.when(is_base, F.col("start"))).over(back)})
+    touches = F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    return each.where(is_base | ~touches).select("row_id", "repository", "owner", "start", "kind", "end", "secret")
 
 
 def written(spans: Column) -> Column:
@@ -92,24 +95,24 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     end, n_repositories, n_owners) of every base span and candidate; owners alone decide the class.
     """
     text = text_of(text_col)
-    row_key = F.xxhash64(F.col(id_col), text)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(repository_col).alias("repository"), F.col(owner_col).alias("owner"), row_key.alias("row_key"), base_spans(text).alias("base"), candidate_spans(text).alias("more"))
-    free = F.filter("more", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = checkpointed(rows.withColumn("more", free))  # spans without their texts: the patterns run once over the corpus
-    each = rows.where((F.size("base") > 0) | (F.size("more") > 0)).select("row_key", "repository", "owner", F.explode(F.concat("base", "more")).alias("span")).withColumn("secret_hash", F.xxhash64("span.secret"))
-    known = each.select("row_key", "span", "secret_hash").distinct().join(ownership(each.select("secret_hash", "repository", "owner")), "secret_hash")
-    live, generic = F.col("n_owners") <= 1, F.col("span.kind") == len(KINDS)
+    kinds = [(p, g, _MAY[name]) for name, (p, g, _) in KINDS.items()] + [(GENERIC, 0, _MAY["generic"])]
+    matches = F.concat(*(_matches(text, p, g, k, may) for k, (p, g, may) in enumerate(kinds)))
+    # matches without their texts, so the patterns run once over the corpus; a checkpoint's rows have fixed places and so fixed numbers
+    rows = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(repository_col).alias("repository"), F.col(owner_col).alias("owner"), matches.alias("matches"))).withColumn("row_id", F.monotonically_increasing_id())
+    each = checkpointed(found_spans(rows).withColumn("secret_hash", F.md5("secret")))
+    known = each.join(ownership(each.select("secret_hash", "repository", "owner")), "secret_hash")
+    span, generic = F.struct("start", "kind", "end", "secret"), F.col("kind") == len(KINDS)
+    live = F.col("n_owners") <= 1
     shared = ~live & (F.col("n_owners") < copied)
     # a document's spans only: bounded by its own text
-    per_row = known.groupBy("row_key").agg(
-        F.array_sort(F.collect_list(F.when(generic & live, F.col("span")))).alias("added"),
-        F.array_sort(F.collect_list(F.when(generic & shared, F.col("span")))).alias("shared"),
-        F.array_sort(F.collect_list(F.struct("span.start", "span.kind", "span.end", "n_repositories", "n_owners"))).alias("held"),
+    per_row = known.groupBy("row_id").agg(
+        *(F.array_sort(F.collect_list(F.when(c, span))).alias(name) for name, c in (("base", ~generic), ("added", generic & live), ("shared", generic & shared))),
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "n_repositories", "n_owners"))).alias("held"),
         F.count_if(F.col("n_owners") >= copied).alias("n_copied"), F.count_if(live).alias("n_live"), F.count_if(shared).alias("n_shared"),
     )
-    out = rows.select("doc_id", "row_key", "base").join(per_row, "row_key", "left")
-    spans, counts = {"added": _SPAN, "shared": _SPAN, "held": _HELD}, ("n_copied", "n_live", "n_shared")
-    return out.select("doc_id", "base", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in spans.items()), *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
+    out = rows.select("doc_id", "row_id").join(per_row, "row_id", "left")
+    spans, counts = {"base": _SPAN, "added": _SPAN, "shared": _SPAN, "held": _HELD}, ("n_copied", "n_live", "n_shared")
+    return out.select("doc_id", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in spans.items()), *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
