@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, pieces, text_of
+from ._common import checkpointed, pieces, text_of, unused
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -103,6 +103,15 @@ def anchors(half: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield which, half[which] ^ (np.uint32(1) << np.uint32(j)) ^ (np.uint32(1) << other[pick])
 
 
+def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The home of each fingerprint's halves."""
+    for batch in batches:
+        u = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        for side in (0, 1):
+            near, _ = home(((u >> np.uint64(32 * side)) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int64) | (side << 32))], names=["anchor"])
+
+
 def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         every = batch.column("fp").to_numpy(zero_copy_only=False)
@@ -185,8 +194,10 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE) -> DataF
     """a, b: edges whose components are those of all pairs of distinct fingerprints within max_bits."""
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the covering code is made for at most 3 differing bits")
+    # a fingerprint becomes some thirty rows, so the few bytes that it has now say little about the tasks that it needs
+    fps = fps.repartition(max(fps.sparkSession.sparkContext.defaultParallelism, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "fp")
     members = fps.mapInArrow(_replicate, "anchor long, fp long, home boolean")
-    hot = checkpointed(members.where("home").groupBy("anchor").agg(F.count("*").alias("homes")).where(F.col("homes") > dense).select("anchor", F.lit(True).alias("hot")))
+    hot = checkpointed(fps.mapInArrow(_homes, "anchor long").groupBy("anchor").agg(F.count("*").alias("homes")).where(F.col("homes") > dense).select("anchor", F.lit(True).alias("hot")))
     members = members.withColumn("hot", F.lit(False)) if hot.isEmpty() else members.join(hot, "anchor", "left")
     other = F.when(F.col("anchor") < F.lit(1 << 32), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     blocks = F.array(*(F.lit(k << 8).cast("long") + F.shiftrightunsigned(other, 8 * k).bitwiseAND(F.lit(255).cast("long")) for k in range(4)))
@@ -245,10 +256,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     fps = checkpointed(fingerprints(docs, id_col, text_col, words, hashed=True))
     no_id, some_id = (lambda c: F.col(c).isNull()), (lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")))
-    first = F.struct(no_id("doc_id").alias("__no_id"), some_id("doc_id").alias("__id"), "fp", F.col("text_hash").alias("__text_hash"))
+    first = F.struct(no_id("doc_id").alias("no_id"), some_id("doc_id").alias("id"), "fp", "text_hash")
     nodes = fps.groupBy("fp").agg(F.min(first).alias("first"))
-    keys = ["__no_id", "__id", "__text_hash"]
-    kept = rooted(nodes, max_bits).groupBy("root").agg(F.min("first").alias("first")).select(*(F.col("first")[k].alias(k) for k in keys))
+    names = ("no_id", "id", "text_hash")
+    keys = [unused(docs, k) for k in names]
+    kept = rooted(nodes, max_bits).groupBy("root").agg(F.min("first").alias("first")).select(*(F.col("first")[n].alias(k) for n, k in zip(names, keys)))
     # both steps need rows dealt by the keys, so texts are shuffled once
     keyed = docs.withColumns(dict(zip(keys, (no_id(id_col), some_id(id_col), F.md5(text_of(text_col))))))
     return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
