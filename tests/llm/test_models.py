@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from verispark.llm.kneser_ney import bigram_hash, discounts, op4_lm_scoring, pack, score, train, unpack
 from verispark.llm import language_id
-from verispark.llm.language_id import identify, keep_identified, learn_profiles, numbered, op7_language_id, spelt, top_ids
-from verispark.llm.quality_classifier import fit, indicators, op6_quality, quality
+from verispark.llm.language_id import identify, keep_identified, learn_profiles, numbered, op7_language_id, predict, spelt, top_ids
+from verispark.llm.quality_classifier import SMOOTHING, fit, indicators, op6_quality, quality
 from verispark.llm.quality_classifier import train as train_quality
 
 from .helpers import DOCS, awkward, empty, row, rows_of
@@ -134,7 +134,9 @@ def test_distance_by_brute_force(spark, sf):
         far = {lang: sum(min(400, abs(k - p.index(g))) if g in p else 400 for k, g in enumerate(own)) for lang, p in profiles.items()}
         best = min(far, key=lambda x: (far[x], x))
         want[r["doc_id"]] = (best, pytest.approx(1 - far[best] / (400 * len(own))))
-    assert {r["doc_id"]: tuple(r["__lang"]) for r in rows_of(identify(docs, profiles))} == want
+    assert {r["doc_id"]: tuple(r["lang_found"]) for r in rows_of(identify(docs, profiles))} == want
+    by_one = docs.select("doc_id", predict(spark, profiles, F.col("text"), max_languages=1).alias("p"))  # groups of languages
+    assert {r["doc_id"]: tuple(r["p"]) for r in rows_of(by_one)} == want
 
 
 def test_language_accuracy(spark):
@@ -150,14 +152,14 @@ def test_profiles_by_brute_force(spark):
     got = learn_profiles(docs, top=6)
     assert got["x"] == [" a", "a", "b", "b ", " ab", "ab"]
     assert set(got) == {"x", "y"}
-    pred = {r["doc_id"]: r["__lang"] for r in rows_of(identify(docs, got))}
+    pred = {r["doc_id"]: r["lang_found"] for r in rows_of(identify(docs, got))}
     assert pred[1]["lang"] == "x" and pred[3]["lang"] == "y" and pred[4]["lang"] == "und" and pred[4]["score"] == 0.0
 
 
 def test_language_edges(spark):
     profiles = learn_profiles(awkward(spark))
     assert learn_profiles(empty(spark)) == {}
-    assert {r["__lang"]["lang"] for r in rows_of(identify(awkward(spark), {}))} == {"und"}
+    assert {r["lang_found"]["lang"] for r in rows_of(identify(awkward(spark), {}))} == {"und"}
     kept = keep_identified(awkward(spark), profiles)
     assert kept.columns == awkward(spark).columns
     assert {8, 7, 9, 10}.isdisjoint({r["doc_id"] for r in rows_of(kept)}) and kept.where("doc_id = 1").count() == 1
@@ -168,7 +170,7 @@ def test_only_und_is_rejected(spark):
     """Letters without any n-gram of any profile have score 0 and a language: they stay."""
     profiles = learn_profiles(spark.createDataFrame([row(1, "ab ab", "x"), row(2, "zz", "y")], DOCS))
     docs = spark.createDataFrame([row(3, "龘"), row(4, "ქართული ენა"), row(5, "12 !"), row(6, "ab"), row(None, "龘 ა")], DOCS)
-    labels = {r["doc_id"]: (r["__lang"]["lang"], r["__lang"]["score"]) for r in rows_of(identify(docs, profiles))}
+    labels = {r["doc_id"]: (r["lang_found"]["lang"], r["lang_found"]["score"]) for r in rows_of(identify(docs, profiles))}
     assert labels[3] == labels[4] == labels[None] == ("x", 0.0)
     assert {r["doc_id"] for r in rows_of(keep_identified(docs, profiles))} == {d for d, (lang, _) in labels.items() if lang != "und"} == {3, 4, 6, None}
 
@@ -192,6 +194,48 @@ def test_dual_descent_separates():
     assert p[0] > 0.8 and p[1] < 0.2 and 0 <= p[2] <= 1
 
 
+def plain_svm(x, y, upper, passes):
+    """(w, primal, dual) of the hinge-loss problem by cyclic steps on dictionaries."""
+    w, alpha = Counter(), [0.0] * len(x)
+    for _ in range(passes):
+        for i, xi in enumerate(x):
+            g = y[i] * sum(w[k] * v for k, v in xi.items()) - 1
+            new = min(max(alpha[i] - g / sum(v * v for v in xi.values()), 0.0), upper[i])
+            for k, v in xi.items():
+                w[k] += (new - alpha[i]) * y[i] * v
+            alpha[i] = new
+    half = sum(v * v for v in w.values()) / 2
+    return w, half + sum(u * max(0, 1 - t * sum(w[k] * v for k, v in xi.items())) for u, t, xi in zip(upper, y, x)), sum(alpha) - half
+
+
+def test_quality_by_brute_force(spark, sf):
+    """Ratios recomputed from counts, and the dual optimum by a plain solver, on labelled texts of the table."""
+    labels = {r["doc_id"]: r["quality"] for r in rows_of(spark.read.parquet(f"{sf}/labels.parquet"))}
+    texts = [(r["text"], labels[r["doc_id"]]) for r in rows_of(spark.read.parquet(f"{sf}/documents.parquet")) if r["doc_id"] in labels][:60]
+    rows, y = [indicators(t) for t, _ in texts], [1 if q else -1 for _, q in texts]
+    assert len(set(y)) == 2
+    counts = {s: Counter(k for r, t in zip(rows, y) if t == s for k in r.tolist()) for s in (1, -1)}
+    n = {s: y.count(s) + 2 * SMOOTHING for s in (1, -1)}
+    ratio = {k: math.log((counts[1][k] + SMOOTHING) / n[1]) - math.log((counts[-1][k] + SMOOTHING) / n[-1]) for r in rows for k in r.tolist()} | {0: 1.0}
+    model = fit(rows, np.array([q for _, q in texts]), passes=300)
+    assert all(model.squares[k] == pytest.approx(v * v) for k, v in ratio.items())
+    scaled = [{k: ratio[k] / math.sqrt(sum(ratio[j] ** 2 for j in r.tolist())) for k in r.tolist()} for r in rows]
+    upper = [len(y) / (2 * y.count(t)) for t in y]
+    w, primal, dual = plain_svm(scaled, y, upper, 300)
+    assert primal - dual < 1e-3 * primal
+    for r, x, (text, _) in zip(rows, scaled, texts):
+        assert model.margin(text) == pytest.approx(sum(w[k] * v for k, v in x.items()), abs=0.02)
+    p = model.probability(np.array([model.margin(t) for t, _ in texts]))
+    assert (np.diff(p[np.argsort([model.margin(t) for t, _ in texts])]) >= 0).all()
+
+
+def test_quality_sample_skips_labels_without_a_document(spark):
+    docs = spark.createDataFrame([row(k, "fine words" if k % 2 else "BAD ###") for k in range(10)], DOCS)
+    labels = spark.range(-500, 10).select(F.col("id").alias("doc_id"), (F.abs("id") % 2).cast("int").alias("quality"))
+    model = train_quality(docs, labels, max_rows=10)
+    assert model.probability(np.array([model.margin("fine words")]))[0] > model.probability(np.array([model.margin("BAD ###")]))[0]
+
+
 def test_quality_edges(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, None), (None, 1), (4, 1), (77, 0)], "doc_id long, quality int")

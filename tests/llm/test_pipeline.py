@@ -39,3 +39,15 @@ def test_stages_on_awkward_tables(spark, sf):
             assert out.columns == docs.columns and out.dtypes == docs.dtypes
             docs = out
         assert P.STAGES[-1][1](spark, docs, sf).count() >= 0
+
+
+def test_clashing_columns_stay(spark, sf):
+    """Columns that bear the names of a stage's own columns come out as they went in."""
+    names = ["hits", "lang_found", "no_id", "id", "text_hash", "sha", "neg_chars", "text_sha256", "windows_found", "_hits", "fp", "root"]
+    docs = awkward(spark).drop("fp", "kept")
+    more = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, more, sf)
+        assert out.columns == more.columns
+        assert sorted(map(str, rows_of(out.select(docs.columns)))) == sorted(map(str, rows_of(stage(spark, docs, sf))))
+        assert all(r[n] == (None if r["doc_id"] is None else f"{n}{r['doc_id']}") for r in rows_of(out) for n in names)

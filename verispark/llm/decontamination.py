@@ -11,7 +11,8 @@ first; beyond that, windows are joined on their bytes by a shuffle, with the sam
 
 Defined results: null or empty text has no words; null or empty benchmark texts have no windows;
 items with a null id mark words as hit but aren't listed; items that repeat a text are all listed;
-an empty benchmark marks nothing; rows that repeat an id are scanned each.
+an empty benchmark marks nothing; rows that repeat an id are scanned each; windows that overlap or tie
+hit each word once; an empty table gives no rows; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import text_of
+from ._common import text_of, unused
 
 NGRAM = 10
 #: Windows that may be broadcast: some 100 bytes each, so 100 MB at most.
@@ -104,8 +105,11 @@ def _scanner(spark: SparkSession, windows: DataFrame) -> Column:
     return hits
 
 
-def _joined(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
-    """docs with __hits by a shuffle on the windows, for a benchmark too large to broadcast."""
+def _joined(docs: DataFrame, windows: DataFrame, text: str, into: str) -> DataFrame:
+    """docs with a column of hits by a shuffle on the windows, for a benchmark too large to broadcast.
+
+    Texts go by SHA-256, so that equal texts are scanned once and different ones never share hits.
+    """
     sizes = [r[0] for r in windows.select("n_words").distinct().collect()]  # at most NGRAM values
 
     @F.arrow_udf("array<struct<at: int, window: binary>>")
@@ -123,38 +127,41 @@ def _joined(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
             rows.append(_row(t, words_of(t), [(h["at"], h["n_words"], h["item_ids"]) for h in hits or []]))
         return pa.array(rows, _HITS_ARROW)
 
-    key = F.xxhash64(text)  # equal texts have equal hits
-    exploded = docs.select(key.alias("__text"), text_of(text).alias("t")).distinct().select("__text", F.explode(candidates("t")).alias("c")).select("__text", "c.*")
-    found = exploded.join(windows, "window").groupBy("__text").agg(F.collect_list(F.struct("at", "n_words", "item_ids")).alias("__found"))
-    rows = docs.withColumn("__text", key).join(found, "__text", "left")
-    return rows.withColumn("__hits", assemble(text_of(text), F.col("__found"))).drop("__text", "__found")
+    name, got = unused(docs, "text_sha256"), unused(docs, "windows_found")
+    key = F.sha2(text_of(text), 256)
+    exploded = docs.select(key.alias("key"), text_of(text).alias("t")).dropDuplicates(["key"]).select("key", F.explode(candidates("t")).alias("c")).select("key", "c.*")
+    found = exploded.join(windows, "window").groupBy("key").agg(F.collect_list(F.struct("at", "n_words", "item_ids")).alias(got))
+    rows = docs.withColumn(name, key).join(found.withColumnRenamed("key", name), name, "left")
+    return rows.withColumn(into, assemble(text_of(text), F.col(got))).drop(name, got)
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = NGRAM, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """docs with a column __hits: n_words, n_hit, item_ids and the character spans of hit words."""
+def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = NGRAM, max_windows: int = MAX_WINDOWS, into: str = "hits") -> DataFrame:
+    """docs with a column more: n_words, n_hit, item_ids and the character spans of hit words."""
     windows = item_windows(benchmark, item_id, item_text, n)
     if windows.count() > max_windows:
-        return _joined(docs, windows, text_col)
-    return docs.withColumn("__hits", _scanner(docs.sparkSession, windows)(text_of(text_col)))
+        return _joined(docs, windows, text_col, into)
+    return docs.withColumn(into, _scanner(docs.sparkSession, windows)(text_of(text_col)))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids, spans: one row per row of docs."""
-    return with_hits(docs, benchmark, **options).select(F.col(id_col).alias("doc_id"), "__hits.*")
+    into = unused(docs, "hits")
+    return with_hits(docs, benchmark, into=into, **options).select(F.col(id_col).alias("doc_id"), F.col(f"{into}.*"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", text_col: str = "text", **options) -> DataFrame:
     """docs without the contaminated documents, or (mode 'span') with the hit spans cut out of their texts."""
-    rows = with_hits(docs, benchmark, text_col, **options)
+    into = unused(docs, "hits")
+    rows = with_hits(docs, benchmark, text_col, into=into, **options)
     if mode == "document":
-        return rows.where("__hits.n_hit = 0").drop("__hits")
+        return rows.where(F.col(into)["n_hit"] == 0).drop(into)
     if mode != "span":
         raise ValueError("mode is 'document' or 'span'")
-    spans, text = F.col("__hits.spans"), F.col(text_col)
+    spans, text = F.col(into)["spans"], F.col(text_col)
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
     ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.char_length(text).cast("long")))
     kept = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))), "")
-    return rows.withColumn(text_col, F.when(F.size(spans) > 0, kept).otherwise(text)).drop("__hits")
+    return rows.withColumn(text_col, F.when(F.size(spans) > 0, kept).otherwise(text)).drop(into)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ operations whatever its length.
 
 Defined results: a text that is null or has no letter is 'und' with score 0, and so is every text
 when nothing could be learned; ties go to the smallest language; rows that repeat an id are rows of
-their own; an empty table gives no rows; other columns are ignored.
+their own; a very long text is one like any other; an empty table gives no rows; other columns are
+untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import fold_of, text_of
+from ._common import fold_of, text_of, unused
 
 #: N-grams of a profile, and of a document.
 PROFILE = 400
-#: Profiles are sent to every worker; more languages than this raise an error.
+#: Languages whose profiles are broadcast together; of more, each group gives its best and the best of those is taken.
 MAX_LANGUAGES = 2000
 UNKNOWN = "und"
 #: Characters of text that are turned into n-grams at once.
@@ -141,8 +142,8 @@ def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return one, np.bincount(which, n, len(one)).astype(np.int64)
 
 
-def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = PROFILE, max_languages: int = MAX_LANGUAGES) -> dict[str, list[str]]:
-    """language -> n-grams in rank order, from all rows with a language."""
+def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = PROFILE) -> dict[str, list[str]]:
+    """language -> n-grams in rank order, from all rows with a language; top n-grams of each reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -169,17 +170,23 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     counts = rows.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", "key", "rank")
-    found = best.limit(top * max_languages + 1).collect()
-    if len(found) > top * max_languages:
-        raise ValueError(f"more than {max_languages} languages")
     out: dict[str, list[str]] = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["rank"])):
+    for r in sorted(best.collect(), key=lambda r: (r["lang"], r["rank"])):
         out.setdefault(r["lang"], []).append(spelt(r["key"]))
     return out
 
 
-def predict(spark: SparkSession, profiles: dict[str, list[str]], text: Column, top: int = PROFILE) -> Column:
+def predict(spark: SparkSession, profiles: dict[str, list[str]], text: Column, top: int = PROFILE, max_languages: int = MAX_LANGUAGES) -> Column:
     """struct<lang, score> of a text; score is 1 - distance / largest distance."""
+    names = sorted(profiles)
+    groups = [_predict(spark, {k: profiles[k] for k in names[at : at + max_languages]}, text, top) for at in range(0, max(1, len(names)), max_languages)]
+    best = groups[0]
+    for other in groups[1:]:  # of equal scores, the earlier group has the smaller language
+        best = F.when(other["score"] > best["score"], other).otherwise(best)
+    return best
+
+
+def _predict(spark: SparkSession, profiles: dict[str, list[str]], text: Column, top: int) -> Column:
     langs = sorted(profiles)
     known = sorted({key_of(g) for grams in profiles.values() for g in grams})
     row = {k: i for i, k in enumerate(known)}
@@ -215,14 +222,15 @@ def predict(spark: SparkSession, profiles: dict[str, list[str]], text: Column, t
     return F.when(text.rlike(r"\p{L}"), run(text)).otherwise(F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score")))
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "text") -> DataFrame:
-    """docs with a column __lang: the predicted language and its score."""
-    return docs.withColumn("__lang", predict(docs.sparkSession, profiles, text_of(text_col)))
+def identify(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "text", into: str = "lang_found") -> DataFrame:
+    """docs with a column more: the predicted language and its score."""
+    return docs.withColumn(into, predict(docs.sparkSession, profiles, text_of(text_col)))
 
 
 def keep_identified(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "text") -> DataFrame:
     """docs whose language isn't 'und': what has letters stays, whatever its score."""
-    return identify(docs, profiles, text_col).where(F.col("__lang.lang") != UNKNOWN).drop("__lang")
+    into = unused(docs, "lang_found")
+    return identify(docs, profiles, text_col, into).where(F.col(into)["lang"] != UNKNOWN).drop(into)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,4 +238,4 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     profiles = learn_profiles(docs.where(fold_of("doc_id", 4) != 2))
     found = identify(docs.select("doc_id", "text"), profiles)
-    return found.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), F.col("__lang.lang").alias("lang_pred"), F.col("__lang.score").alias("score"))
+    return found.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), F.col("lang_found.lang").alias("lang_pred"), F.col("lang_found.score").alias("score"))

@@ -149,7 +149,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = COST, passes:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> NbSvm:
     """Fit on at most max_rows labelled rows of docs."""
     given = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((F.avg(label_col) > 0.5).cast("int").alias("label"))
-    chosen = given.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
+    # labels without a document don't count towards the sample
+    chosen = given.join(docs.select(F.col(id_col).alias("__id")), "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "__id")
     # rows that repeat a labelled id would count over and over: the first text of an id is fitted
     sample = rows.groupBy("__id").agg(F.min(F.struct("text", "label")).alias("r")).select("__id", "r.text", "r.label")
