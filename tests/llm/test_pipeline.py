@@ -1,34 +1,47 @@
 import corpus_pipeline as P
+import pytest
 from pyspark.sql import functions as F
 
-from verispark.llm.decontamination import words_of, windows_of
+from verispark.llm.tokens import Encoder, default_tokenizer
 
 from .helpers import awkward, empty, rows_of
+from .test_decontamination import words
 from .test_exact_dedup import strip
 from .test_simhash_dedup import plain, roots
+from .test_tokens import best_fit_decreasing, check_packing
 
 
-def test_stages_by_brute_force(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = rows_of(docs)
-    kept = [r for r in rows if any(c.isalpha() for c in r["text"] or "")]
+@pytest.fixture(scope="module")
+def coder():
+    return Encoder(default_tokenizer())
+
+
+def test_run_by_brute_force(spark, sf, coder):
+    """Which documents stay, and every piece and place of them, with code of its own."""
+    kept = [r for r in rows_of(spark.read.parquet(f"{sf}/documents.parquet")) if any(c.isalpha() for c in r["text"] or "")]
     best = {}
     for r in kept:
         k = strip(r["text"])
         if k not in best or (-len(r["text"]), r["doc_id"]) < (-len(best[k]["text"]), best[k]["doc_id"]):
             best[k] = r
     kept = list(best.values())
-    fps = [(r["doc_id"], plain(r["text"])) for r in kept]
-    kept = [r for r, c in zip(kept, roots(fps)) if r["doc_id"] == c]
-    wins = {w for r in rows_of(spark.read.parquet(f"{sf}/benchmark.parquet")) for w in windows_of(words_of(r["text"] or ""))}
+    kept = [r for r, c in zip(kept, roots([(r["doc_id"], plain(r["text"])) for r in kept])) if r["doc_id"] == c]
+    wins = set()
+    for r in rows_of(spark.read.parquet(f"{sf}/benchmark.parquet")):
+        w = words(r["text"])
+        wins |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
 
     def clean(text):
-        w = words_of(text)
-        return not any(b" ".join(w[k : k + n]) in wins for n in {x.count(b" ") + 1 for x in wins} for k in range(len(w) - n + 1))
+        w = words(text)
+        return not any(tuple(w[k : k + n]) in wins for n in {len(x) for x in wins} for k in range(len(w) - n + 1))
 
-    want = {r["doc_id"] for r in kept if clean(r["text"])}
-    got = rows_of(P.run(spark, sf))
-    assert {r["doc_id"] for r in got} == want
+    kept = [r for r in kept if clean(r["text"])]
+    got = P.run(spark, sf)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    rows = rows_of(got)
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in kept}
+    n = check_packing(rows, [(r["doc_id"], r["text"]) for r in kept], coder, 1024)
+    assert n == len(best_fit_decreasing([r["length"] for r in rows], [], 1024))
 
 
 def test_stages_on_awkward_tables(spark, sf):
