@@ -98,8 +98,8 @@ def test_fields_and_defaults(spark):
     df = spark.createDataFrame([("s", "f"), ("", "f"), (None, None)], "insuree_uuid string, frame string")
     good, bad = validate.require_fields(df, ["insuree_uuid", "frame"])
     assert good.count() == 1 and sorted(r["error"] for r in bad.collect()) == ["missing: insuree_uuid", "missing: insuree_uuid, frame"]
-    r = validate.apply_defaults(spark.createDataFrame([(None, 3)], "step_name string, version int")).first()
-    assert (r["step_name"], r["version"], r["device_id"], r["metadata"], r["threshold_used"], r["is_deleted"]) == ("unknown", 3, "", "{}", 0.4, False)
+    r = validate.apply_defaults(spark.createDataFrame([(None, 3)], "device_id string, version int")).first()  # a null that is given stays
+    assert (r["step_name"], r["version"], r["device_id"], r["metadata"], r["threshold_used"], r["is_deleted"]) == ("unknown", 3, None, "{}", 0.4, False)
 
 
 def test_lookups(spark):
@@ -172,6 +172,41 @@ def test_sample_frames_across_batches(spark):
     assert got == want
 
 
+def test_sampling_with_repeated_ids(spark):
+    """An id that two connections share, rows that repeat one, and a frame without a time."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    df = spark.createDataFrame([("a", 1, at(0)), ("a", 2, at(1)), ("b", 2, at(0)), ("b", 1, at(6)), ("b", 1, at(6)), ("b", 3, None), (None, 2, at(3)), ("b", 2, at(2))], "conn_id string, id int, ts timestamp")
+    passed = sampling.sample_frames(df, 5.0)
+    assert sorted(map(str, ((r["conn_id"], r["id"], r["ts"]) for r in passed.collect()))) == sorted(map(str, [("a", 1, at(0)), ("b", 2, at(0)), ("b", 1, at(6)), (None, 2, at(3))]))
+    numbered = sampling.number_verifications(df.dropDuplicates(), passed)
+    assert sorted((str(r["conn_id"]), r["id"], r["frame_count"], r["verification_count"]) for r in numbered.collect()) == [("None", 2, 1, 1), ("a", 1, 1, 1), ("b", 1, 4, 2), ("b", 2, 2, 1)]
+
+
+def test_supersede_with_two_rows_of_a_key(spark):
+    old = spark.createDataFrame([(1, "a", T0, None)], "subject_id int, v string, validity_from timestamp, validity_to timestamp")
+    new = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (2, "z")], "subject_id int, v string").repartition(3)
+    got = history.supersede(old, new, F.lit(T0 + dt.timedelta(1)))
+    assert sorted(r["subject_id"] for r in got.where("validity_to IS NULL").collect()) == [1, 2] and got.count() == 3
+
+
+def test_versions_of_a_log(spark):
+    day = lambda n: T0 + dt.timedelta(n)
+    old = spark.createDataFrame([(1, "a", day(0), day(1)), (1, "b", day(1), None), (2, "c", day(0), None)], "subject_id int, v string, validity_from timestamp, validity_to timestamp")
+    log = spark.createDataFrame([(1, "l1", day(3)), (1, "l2", day(5)), (3, "l3", day(4))], "subject_id int, v string, validity_from timestamp")
+    assert {r["v"]: r["validity_to"] for r in history.with_versions(old, log).collect()} == {"a": day(1), "b": day(3), "c": None, "l1": day(5), "l2": None, "l3": None}
+
+
+def test_attach_reference_to_a_stream(spark, tmp_path):
+    frames = spark.createDataFrame([(1, 1), (2, 2), (3, 9)], "id int, subject_id long")
+    frames.write.parquet(f"{tmp_path}/in")
+    subjects = spark.createDataFrame([(1, None), (2, T0)], "subject_id long, validity_to timestamp")
+    embeddings = spark.createDataFrame([(1, [1.0], "old", T0, T0), (1, [2.0], "m", T0, None), (2, [3.0], "m", T0, T0)], "subject_id long, embedding array<double>, metadata string, validity_from timestamp, validity_to timestamp")
+    stream = lookup.attach_reference(spark.readStream.schema(frames.schema).parquet(f"{tmp_path}/in"), subjects, embeddings)
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    got = sorted((r["id"], r["known"], r["embedding"], r["metadata"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(1, True, [2.0], "m"), (2, False, None, None), (3, False, None, None)]
+
+
 def test_merge_keeps_other_keys(spark):
     c = spark.createDataFrame([(1, '{"a":{"b":[1,true]},"biometric_risk_assessment":{"old":1}}'), (2, None), (3, '{"z":1}')], "claim_id long, json_ext string")
     scored = risk.claim_risk(audits(spark, {1: CASES[5], 2: CASES[1]})).withColumn("last_updated", F.lit(T0))

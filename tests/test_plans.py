@@ -12,13 +12,15 @@ from verispark.config import VerifyConfig
 from verispark.fixtures import CFG, Md5Embedder
 from verispark.operators import sampling
 from verispark.plans import embedder
-from verispark.plans.refresh import refresh_embeddings
+from verispark.plans.insert import insert_audits
+from verispark.plans.refresh import refresh_embeddings, store_embeddings
 from verispark.plans.verify import audits_from_results, verify
 from verispark.sources.audits import append_audits
-from verispark.sources.messages import format_results, parse_frames
+from verispark.sources.messages import format_results, parse_frames, read_messages
 from verispark.sources.photos import load_photos
-from verispark.streaming.risk import current_risk, risk_stream
+from verispark.streaming.risk import current, current_claims, risk_stream, store_stream
 from verispark.streaming.sampling import sample_stream
+from verispark.streaming.verification import stored_embeddings, verify_stream
 
 T0 = dt.datetime(2026, 3, 5, 10)
 
@@ -65,12 +67,38 @@ def test_routes(spark):
     assert got[5] == ("slow", False, "no photo") and got[6][:2] == ("fast", False) and "lengths" in got[6][2] and got[7] == ("slow", False, "unreadable image") and got[8] == ("slow", True, None)
     assert got[9] == ("slow", False, "no photo") and got[10] == got[11] == ("unknown", False, "unknown subject") and got[12] == ("fast", False, "unreadable image")
     assert got[13] == ("fast", False, "frame can't be decoded") and got[14][0] == "unknown"
-    assert {r["subject_id"] for r in store.collect()} == {3, 7}
+    new = {r["subject_id"]: r for r in store.collect()}
+    assert set(new) == {2, 3, 7} and new[2]["embedding"] == vec("p2") and {r["metadata"] for r in new.values()} == {CFG.snapshot}
+    now = dt.datetime(2026, 4, 1)
+    after = store_embeddings(embeddings, store, F.lit(now))
+    assert {(r["subject_id"], r["validity_from"]) for r in after.where("validity_to IS NULL").collect()} == {(1, T0), (2, now), (3, now), (4, T0), (5, T0), (7, now), (9, T0)}
+    again, store = verify(df, subjects, after, photos, CFG)  # what was stored is fresh now
+    assert {r["id"]: r["route"] for r in again.collect() if r["id"] in (3, 4, 8)} == {3: "fast", 4: "fast", 8: "fast"} and store.count() == 0
     off = VerifyConfig(provider="md5", provider_config=CFG.provider_config, store_embeddings=False)
     results, store = verify(df, subjects, embeddings, photos, off)
     assert {r["route"] for r in results.collect()} == {"slow", "unknown"} and store.count() == 0
 
 
+def test_model_sees_each_image_once(spark, tmp_path):
+    """One Arrow node for the photos and one for the frames, however often results and vectors are read."""
+    class Counting(Md5Embedder):
+        def embed(self, images):
+            with open(tmp_path / "seen", "ab") as f:
+                f.write(b"".join(x + b"\n" for x in images))
+            return super().embed(images)
+
+    embedder.register("counting", Counting)
+    cfg = VerifyConfig(provider="counting", model_name="ArcFace", provider_config={"detector_backend": "retinaface"})
+    subjects, photos, embeddings = tables(spark)
+    df = spark.createDataFrame([(i, s, b64(t), T0) for i, s, t in [(1, 1, "f1"), (2, 2, "p2"), (3, 7, "p7"), (4, 7, "f4")]], "id long, subject_id long, frame string, ts timestamp")
+    results, new = verify(df, subjects, embeddings, photos, cfg)
+    for _ in range(2):
+        results.collect(), new.collect()
+    assert sorted((tmp_path / "seen").read_text().split()) == sorted(["f1", "p2", "p7", "f4", "p1", "p2", "p7"])
+    refresh_embeddings(subjects, photos, embeddings, cfg, F.lit(T0), "missing")[0].collect()
+    assert (tmp_path / "seen").read_text().split().count("p3") == 1
+
+
 def test_model_failure_is_a_row(spark):
     class Broken(Md5Embedder):
         def embed(self, images):
@@ -107,6 +135,26 @@ def test_audits_from_results(spark):
     got = a.collect()
     assert [(x["claim_id"], x["service_id"], x["similarity_score"], x["metadata"]) for x in got] == [(11, 5, 0.905, '{"provider":"md5"}')]
     assert got[0]["id"] == audits_from_results(r, c, s, CFG).first()["id"]
+    zero = VerifyConfig(provider="md5", similarity_threshold=0.0)  # stored as configured, though another is in force
+    assert audits_from_results(r, c, s, zero).first()["threshold_used"] == 0.0 and zero.threshold == 0.68
+
+
+def test_insert_audits(spark):
+    """The first error wins: fields, ranges, verdict, claim, service."""
+    ok = ("c1", "s1", 0.9, 0.4, True, "reception", "d", '{"a":1}')
+    cases = {
+        1: (ok, None), 2: (("c1", None, 0.9, 0.4, True, "x", None, None), None), 3: ((None, "s1", 2.0, 0.4, True, "x", "", ""), "missing: claim_uuid"), 4: (("no", "no", 1.5, 2.0, True, "x", "", ""), "score_range"),
+        5: (("no", "no", 0.5, 2.0, True, "x", "", ""), "threshold_range"), 6: (("no", "no", 0.5, 0.4, False, "x", "", ""), "inconsistent"), 7: (("no", "no", 0.5, 0.4, True, "x", "", ""), "claim_not_found"),
+        8: (("c2", "no", 0.5, 0.4, True, "x", "", ""), "claim_ambiguous"), 9: (("c1", "no", 0.5, 0.4, True, "x", "", ""), "service_not_found"), 10: (("c3", "", 0.5, 0.4, True, "x", "", ""), "claim_not_found"),
+        11: (("c1", "s2", 0.5, 0.4, True, "x", "", ""), "service_not_found"), 12: (("c1", "", 0.4, 0.4, True, "x", "", ""), None), 13: (("c1", "s3", 0.4, 0.4, True, "x", "", ""), "service_ambiguous"),
+    }
+    rows = spark.createDataFrame([(k, *v, T0) for k, (v, _) in cases.items()], "id int, claim_uuid string, service_uuid string, similarity_score double, threshold_used double, is_verified boolean, step_name string, device_id string, metadata string, audit_date timestamp")
+    c = spark.createDataFrame([("c1", 1, None), ("c2", 2, None), ("c2", 3, None), ("c3", 4, T0)], "claim_uuid string, claim_id int, validity_to timestamp")
+    s = spark.createDataFrame([("s1", 5, None), ("s2", 6, T0), ("s3", 7, None), ("s3", 8, None)], "service_uuid string, service_id int, validity_to timestamp")
+    good, bad = insert_audits(rows, c, s)
+    assert {r["id"]: r["error"] for r in bad.collect()} == {k: e for k, (_, e) in cases.items() if e}
+    got = {r["id"]: (r["claim_id"], r["service_id"], r["device_id"], r["metadata"], r["is_deleted"], r["version"]) for r in good.collect()}
+    assert got == {1: (1, 5, "d", '{"a":1}', False, 1), 2: (1, None, "", "{}", False, 1), 12: (1, None, "", "{}", False, 1)}
 
 
 def test_photos(spark, tmp_path):
@@ -115,6 +163,13 @@ def test_photos(spark, tmp_path):
     m = spark.createDataFrame([(1, "2024/01", "photo.jpg"), (2, None, None), (3, "2024/01", "gone.jpg"), (4, "..", "photo.jpg"), (5, "/2024//01/.", "photo.jpg")], "subject_id int, folder string, filename string")
     got = {r["subject_id"]: (r["content"] and bytes(r["content"]), r["error"]) for r in load_photos(spark, str(tmp_path), m).collect()}
     assert got == {1: (b"\xff\xd8", None), 2: (None, "no photo"), 3: (None, "file missing"), 4: (None, "path outside root"), 5: (b"\xff\xd8", None)}
+    from verispark.sources import photos as module
+
+    before, module.MAX_BROADCAST = module.MAX_BROADCAST, 0  # a manifest too large to broadcast
+    try:
+        assert {r["subject_id"]: (r["content"] and bytes(r["content"]), r["error"]) for r in load_photos(spark, str(tmp_path), m).collect()} == got
+    finally:
+        module.MAX_BROADCAST = before
     assert {r["error"] for r in load_photos(spark, None, m).collect()} == {"no photo", "no photo root"}
 
 
@@ -124,6 +179,10 @@ def test_parse_and_format(spark):
     frames, other, dead = parse_frames(spark.createDataFrame(rows, "id int, bytes binary, text string"))
     assert {r["id"] for r in frames.collect()} == {1, 2, 3, 9} and {r["id"] for r in other.collect()} == {4}
     assert {r["id"]: r["parse_error"] for r in dead.collect()} == {5: "invalid", 6: "empty", 7: "invalid", 8: "invalid"}
+    more = [(1, None, '{"type":"frame","step_name":null}'), (2, zlib.compress(b" " * 200_000_000 + body.encode()), None)]
+    rows = {r["id"]: r for r in read_messages(spark.createDataFrame(more, "id int, bytes binary, text string")).collect()}
+    assert (rows[1]["status"], rows[1]["step_name"], rows[1]["device_id"]) == ("frame", None, "") and rows[2]["status"] == "invalid"  # beyond the bound
+    assert {(r["step_name"], r["device_id"]) for r in frames.collect()} == {("unknown", "")}
     df = spark.createDataFrame([(True, 99.5, None), (None, None, "boom")], "verified boolean, confidence double, error string")
     got = [json.loads(r["value"]) for r in format_results(df).collect()]
     assert got[0]["verified"] is True and got[0]["audit_uuid"] is None and set(got[0]) == {"type", "verified", "confidence", "distance", "provider", "error", "verification_count", "frame_count", "timestamp", "audit_uuid"}
@@ -154,6 +213,57 @@ def test_streams_equal_batches(spark, tmp_path):
     assert got == {(r["id"], r["frame_count"], r["verification_count"]) for r in batch.collect()}
 
 
+def test_late_and_expired_connections(spark, tmp_path):
+    """A frame behind the watermark is dropped; a connection that was idle starts anew, the other goes on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    files = [[("a", 1, 0), ("b", 2, 0), ("a", 3, 20)], [("b", 4, 500)], [("b", 10, 900)], [("b", 5, 1000), ("a", 6, 30)], [("a", 7, 1005), ("b", 8, 1020)], [("b", 9, 1030)]]
+    schema = "conn_id string, id long, ts timestamp"
+    for k, rows in enumerate(files):
+        spark.createDataFrame([(c, i, T0 + dt.timedelta(seconds=s)) for c, i, s in rows], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    passed = sample_stream(stream, 10.0, late="60 seconds", idle_seconds=700)
+    passed.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/s").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    got = {r["id"]: (r["conn_id"], r["frame_count"], r["verification_count"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {1: ("a", 1, 1), 2: ("b", 1, 1), 3: ("a", 2, 2), 4: ("b", 2, 2), 10: ("b", 3, 3), 5: ("b", 4, 4), 7: ("a", 1, 1), 8: ("b", 5, 5), 9: ("b", 6, 6)}
+
+
+def test_verify_stream_over_batches(spark, tmp_path):
+    """A refreshed embedding is used by the next micro-batch; malformed and broken messages keep their places."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    subjects, photos, embeddings = tables(spark)
+    subjects = subjects.withColumn("insuree_uuid", F.concat(F.lit("S"), F.col("subject_id").cast("string")))
+    given = {
+        "subjects": subjects, "photos": photos, "embeddings": embeddings, "claims": spark.createDataFrame([("C1", 11, None)], "claim_code string, claim_id int, validity_to timestamp"),
+        "services": spark.createDataFrame([("V1", 5, None)], "service_uuid string, service_id int, validity_to timestamp"),
+    }
+
+    def message(conn, i, second, subject, text, **more):
+        body = {"type": "frame", "insuree_uuid": subject, "frame": text and b64(text), **more}
+        return (conn, i, T0 + dt.timedelta(seconds=second), None, json.dumps(body))
+
+    batches = [
+        [message("a", 1, 0, "S2", "p2", claim_code="C1"), message("a", 2, 1, "S2", "p2"), message("a", 3, 2, "S2", None), ("a", 4, T0, None, "broken"), message("b", 5, 0, "S7", "p7", claim_code="C1", service_uuid="V9")],
+        [message("a", 6, 5, "S2", "p2", claim_code="C1", service_uuid="V1", step_name="gate"), message("b", 7, 5, "S7", "p7", claim_code="no"), message("b", 8, 9, "S77", "p7", claim_code="C1")],
+    ]
+    schema = "conn_id string, id long, ts timestamp, bytes binary, text string"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    out = f"{tmp_path}/out"
+    verify_stream(stream, lambda _: given, CFG, out, f"{tmp_path}/c").awaitTermination()
+    got = {r["id"]: (r["route"], r["verified"], r["error"], r["frame_count"], r["verification_count"], r["audit_uuid"] is not None) for r in spark.read.parquet(f"{out}/results").collect()}
+    assert got == {
+        1: ("refresh", True, None, 1, 1, True), 3: (None, None, "missing: frame", 3, 1, False), 5: ("slow", True, None, 1, 1, False), 6: ("fast", True, None, 4, 2, True), 7: ("fast", True, None, 2, 2, False),
+    }
+    audits = {r["audit_date"]: r for r in spark.read.parquet(f"{out}/audits").collect()}
+    assert {(r["claim_id"], r["service_id"], r["step_name"], r["threshold_used"]) for r in audits.values()} == {(11, None, "unknown", 0.68), (11, 5, "gate", 0.68)}
+    said = [json.loads(r["value"]) for r in spark.read.parquet(f"{out}/messages").collect()]
+    assert sorted(m["type"] for m in said) == ["error"] + ["verification_result"] * 4
+    assert {m["audit_uuid"] for m in said if m.get("audit_uuid")} == {r["id"] for r in audits.values()}
+    active = {r["subject_id"]: r["embedding"] for r in stored_embeddings(spark, embeddings, out).where("validity_to IS NULL").collect()}
+    assert active[2] == vec("p2") and active[7] == vec("p7")
+
+
 def test_risk_stream_over_batches(spark, tmp_path):
     from verispark.operators.risk import claim_risk
 
@@ -162,6 +272,23 @@ def test_risk_stream_over_batches(spark, tmp_path):
     for k in range(3):
         df.where(F.col("id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    risk_stream(stream, f"{tmp_path}/a", f"{tmp_path}/r", f"{tmp_path}/c").awaitTermination()
-    got = current_risk(spark.read.parquet(f"{tmp_path}/r"))
-    assert sorted(got.collect()) == sorted(claim_risk(df).select(*got.columns).collect())
+    c = spark.createDataFrame([(k, '{"x":1}') for k in range(5)], "claim_id long, json_ext string")
+    for query in (store_stream(stream, f"{tmp_path}/a", f"{tmp_path}/ca"), risk_stream(stream, f"{tmp_path}/r", f"{tmp_path}/c", c, f"{tmp_path}/e", raise_errors=True)):
+        query.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/a").count() == 40
+    got = current(spark.read.parquet(f"{tmp_path}/r"))
+    want = claim_risk(df, last_updated=True)
+    assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
+    ext = {r["claim_id"]: json.loads(r["json_ext"]) for r in current_claims(c, spark.read.parquet(f"{tmp_path}/e")).collect()}
+    assert ext[4] == {"x": 1} and all(ext[r["claim_id"]]["x"] == 1 and ext[r["claim_id"]]["biometric_risk_assessment"]["risk_score"] == r["risk_score"] for r in want.collect())
+
+
+def test_risk_errors_leave_the_audits(spark, tmp_path):
+    """A batch that can't be scored is logged; the stream and the stored audits go on."""
+    df = spark.createDataFrame([(1, 1, 0.5, True, T0, False)], "claim_id long, id long, similarity_score double, is_verified boolean, audit_date timestamp, is_deleted boolean")
+    df.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    (tmp_path / "r").write_text("in the way")
+    risk_stream(stream, f"{tmp_path}/r", f"{tmp_path}/c").awaitTermination()
+    store_stream(stream, f"{tmp_path}/a", f"{tmp_path}/ca").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/a").count() == 1

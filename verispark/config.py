@@ -31,5 +31,5 @@ class VerifyConfig:
         return json.dumps({"model_name": self.model_name, "provider": self.provider} | self.provider_config, sort_keys=True, separators=(",", ":"))
 
 
-#: Length of each model's embeddings.
-EMBEDDING_SIZES = {"ArcFace": 512, "Facenet512": 512, "Buffalo_L": 512, "GhostFaceNet": 512, "SFace": 128, "Facenet": 128, "OpenFace": 128, "Dlib": 128, "DeepID": 160, "VGG-Face": 2622, "DeepFace": 4096}
+#: Length of each model's embeddings, by name.
+EMBEDDING_SIZES = {"ArcFace": 512, "Buffalo_L": 512, "DeepFace": 4096, "DeepID": 160, "Dlib": 128, "Facenet": 128, "Facenet512": 512, "GhostFaceNet": 512, "OpenFace": 128, "SFace": 128, "VGG-Face": 2622}

@@ -219,6 +219,16 @@ def messages_m(conversations: DataFrame) -> DataFrame:
     )
 
 
+def messages_v(events: DataFrame) -> DataFrame:
+    """The frames of V as messages: some without a frame, some broken, every third compressed."""
+    rows = frames_v(events)
+    frame = F.when(F.col("id") % 37 != 0, F.col("frame"))
+    service = F.concat(F.lit("V"), F.col("service_id").cast("string"))
+    body = F.to_json(F.struct(F.lit("frame").alias("type"), F.concat(F.lit("S"), F.col("subject_id").cast("string")).alias("insuree_uuid"), frame.alias("frame"), "claim_code", "step_name", service.alias("service_uuid"), "device_id"))
+    body = F.when(F.col("id") % 41 == 0, F.lit("not json")).otherwise(body)
+    return rows.select("conn_id", "id", "ts", F.when(F.col("id") % 3 == 0, deflate(body.cast("binary"))).alias("bytes"), F.when(F.col("id") % 3 != 0, body).alias("text"))
+
+
 # H: change log of audits
 
 H_SQL = f"""

@@ -21,6 +21,7 @@ def is_stale(metadata: Column, cfg: VerifyConfig) -> Column:
 def set_json_key(text: Column, key: str, value: Column) -> Column:
     """JSON object text with one key set to a struct; null is the empty object, other keys keep their types; keys come sorted."""
     old = F.coalesce(F.try_parse_json(text).cast("map<string,variant>"), F.expr("map()").cast("map<string,variant>"))
-    kept = F.map_filter(old, lambda k, v: k != key)
     new = F.create_map(F.lit(key), F.to_variant_object(value))
-    return canonical_json(F.to_json(F.map_concat(kept, new)))
+    # a variant's keys come sorted, so one pass puts the new one in its place
+    before, after = F.map_filter(old, lambda k, v: k < key), F.map_filter(old, lambda k, v: k > key)
+    return F.to_json(F.map_concat(before, new, after))

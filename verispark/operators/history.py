@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 def supersede(existing: DataFrame, new: DataFrame, now: Column, key: str = "subject_id") -> DataFrame:
     """existing with the active row of each key in new closed at now, and new's rows active from now.
 
-    new holds successes only, so a failed refresh leaves the old row active.
+    new holds successes only, so a failed refresh leaves the old row active. Of several rows of one
+    key in new, the one with the largest hash is taken, so a key has one active row at most.
     """
+    rest = [c for c in new.columns if c != key]
+    row = F.struct(*rest)
+    new = new.groupBy(key).agg(F.max_by(row, F.xxhash64(*rest)).alias("r")).select(key, "r.*") if rest else new.distinct()
     fresh = new.select(key).distinct().withColumn("__new", F.lit(True))
     closed = existing.join(fresh, key, "left").withColumn("validity_to", F.when(F.col("__new") & F.col("validity_to").isNull(), now).otherwise(F.col("validity_to"))).drop("__new")
     kind = dict(existing.dtypes)["validity_to"]
@@ -22,6 +26,14 @@ def intervals(versions: DataFrame, key: str = "subject_id") -> DataFrame:
     return versions.withColumn("validity_to", F.lead("validity_from").over(Window.partitionBy(key).orderBy("validity_from")))
 
 
+def with_versions(existing: DataFrame, log: DataFrame, key: str = "subject_id") -> DataFrame:
+    """existing with the later versions of a log; an open row ends where its key's next version starts."""
+    kind = dict(existing.dtypes)["validity_to"]
+    rows = existing.unionByName(log.withColumn("validity_to", F.lit(None).cast(kind)))
+    start = F.lead("validity_from").over(Window.partitionBy(key).orderBy("validity_from"))
+    return rows.withColumn("validity_to", F.coalesce("validity_to", start))
+
+
 def latest_from_history(history: DataFrame, as_of: Column | None = None, key: str = "id") -> DataFrame:
     """The state of each id after its last change; deleted ids are gone.
 

@@ -56,9 +56,21 @@ def _assess(moments: DataFrame, keep: list[str], baseline: float) -> DataFrame:
     )
 
 
-def claim_risk(audits: DataFrame, claims: DataFrame | None = None, include_deleted: bool = True, precision: str = "exact", baseline: float = 0.0) -> DataFrame:
+def claim_sums(audits: DataFrame, last_updated: bool = False) -> DataFrame:
+    """claim_id, n, failed, s1, s2 (and last_updated): what a claim's risk needs, in batch or as a stream's state."""
+    return audits.groupBy("claim_id").agg(*(c.alias(k) for k, c in _moments().items()), *([F.max("audit_date").alias("last_updated")] if last_updated else []))
+
+
+def risk_of_sums(sums: DataFrame, keep: list[str], baseline: float = 0.0) -> DataFrame:
+    """The risk of rows of claim_sums."""
+    return _assess(_with_exact_moments(sums), keep, baseline)
+
+
+def claim_risk(audits: DataFrame, claims: DataFrame | None = None, include_deleted: bool = True, precision: str = "exact", baseline: float = 0.0, last_updated: bool = False) -> DataFrame:
     """claim_id, risk_score, risk_level, audit_count, failed_audits, score_variance, avg_similarity, message.
 
+    With last_updated, the last audit's date comes out of the same aggregate.
+
     With claims (claim_id, validity_to), every active claim has a row; those without audits are
     UNKNOWN. precision 'double' takes scores that aren't whole basis points.
     """
@@ -66,10 +78,10 @@ def claim_risk(audits: DataFrame, claims: DataFrame | None = None, include_delet
         audits = audits.where(~F.col("is_deleted"))
     m, score = _moments(), F.col("similarity_score")
     if precision == "double":
-        moments = audits.groupBy("claim_id").agg(m["n"].alias("n"), m["failed"].alias("failed"), F.coalesce(F.var_samp(score), F.lit(0.0)).alias("variance"), F.avg(score).alias("mean"))
+        moments = audits.groupBy("claim_id").agg(m["n"].alias("n"), m["failed"].alias("failed"), F.coalesce(F.var_samp(score), F.lit(0.0)).alias("variance"), F.avg(score).alias("mean"), *([F.max("audit_date").alias("last_updated")] if last_updated else []))
     else:
-        moments = _with_exact_moments(audits.groupBy("claim_id").agg(*(c.alias(k) for k, c in m.items())))
-    risk = _assess(moments, ["claim_id"], baseline)
+        moments = _with_exact_moments(claim_sums(audits, last_updated))
+    risk = _assess(moments, ["claim_id", *(["last_updated"] if last_updated else [])], baseline)
     if claims is None:
         return risk
     rows = claims.where(F.col("validity_to").isNull()).select("claim_id").join(risk, "claim_id", "left")
@@ -77,7 +89,7 @@ def claim_risk(audits: DataFrame, claims: DataFrame | None = None, include_delet
     return rows.select(
         "claim_id", F.coalesce("risk_score", F.lit(0.0)).alias("risk_score"), F.coalesce("risk_level", F.lit("UNKNOWN")).alias("risk_level"),
         *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("audit_count", "failed_audits")), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("score_variance", "avg_similarity")),
-        F.when(none, F.lit(NO_AUDITS)).alias("message"),
+        F.when(none, F.lit(NO_AUDITS)).alias("message"), *(["last_updated"] if last_updated else []),
     )
 
 

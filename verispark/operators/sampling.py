@@ -25,7 +25,9 @@ def sample_frames(frames: DataFrame, seconds: float = 5.0, key: str = "conn_id",
     """The rows of frames that pass.
 
     Ids are dealt by connection and sorted by Spark; a task walks its sorted rows and holds one
-    batch and one connection's last time, however long a connection is. Payloads are joined back.
+    batch and one connection's last time, however long a connection is. Payloads are joined back on
+    connection, time and id, so ids need to be unique only among a connection's frames of one time;
+    rows that repeat all three are one frame. A frame without a time doesn't pass.
     """
     interval = int(seconds * 1_000_000)
 
@@ -45,16 +47,18 @@ def sample_frames(frames: DataFrame, seconds: float = 5.0, key: str = "conn_id",
                     last = int(micros[found[-1]])
                 passed += found
                 start = stop
-            yield pa.RecordBatch.from_arrays([batch.column("i").take(pa.array(passed, pa.int64()))], names=["i"])
+            yield batch.take(pa.array(passed, pa.int64()))
 
     slim = frames.select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(id_col).alias("i"))
-    passed = slim.repartition("k").sortWithinPartitions("k", "t", "i").mapInArrow(run, f"i {dict(frames.dtypes)[id_col]}")
-    return frames.join(passed, frames[id_col] == passed["i"], "left_semi")
+    passed = slim.where("t IS NOT NULL").repartition("k").sortWithinPartitions("k", "t", "i").mapInArrow(run, f"k string, t long, i {dict(frames.dtypes)[id_col]}")
+    same = F.col(key).cast("string").eqNullSafe(passed["k"]) & (F.unix_micros(F.col(ts).cast("timestamp")) == passed["t"]) & F.col(id_col).eqNullSafe(passed["i"])
+    return frames.join(passed, same, "left_semi").dropDuplicates([key, ts, id_col])
 
 
 def number_verifications(frames: DataFrame, sampled: DataFrame, key: str = "conn_id", ts: str = "ts", id_col: str = "id") -> DataFrame:
     """frames with frame_count and verification_count as each sampled frame saw them; only sampled rows."""
-    marks = frames.join(sampled.select(id_col, F.lit(1).alias("__s")), id_col, "left")
+    found = sampled.select(F.col(key).alias("__k"), F.col(ts).alias("__t"), F.col(id_col).alias("__i"), F.lit(1).alias("__s"))
+    marks = frames.join(found, F.col(key).eqNullSafe(found["__k"]) & (F.col(ts) == found["__t"]) & F.col(id_col).eqNullSafe(found["__i"]), "left").drop("__k", "__t", "__i")
     w = Window.partitionBy(key).orderBy(ts, id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = marks.withColumns({"frame_count": F.count("*").over(w), "verification_count": F.count("__s").over(w)})
     return counted.where(F.col("__s").isNotNull()).drop("__s")

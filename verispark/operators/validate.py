@@ -30,8 +30,8 @@ DEFAULTS = {"step_name": "unknown", "device_id": "", "metadata": "{}", "threshol
 
 
 def apply_defaults(df: DataFrame) -> DataFrame:
-    """df with absent columns added and nulls filled by the defaults."""
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in DEFAULTS.items()})
+    """df with absent columns added; a null in a column that is there stays null."""
+    return df.withColumns({c: F.lit(v) for c, v in DEFAULTS.items() if c not in df.columns})
 
 
 def _in_unit(c: str) -> Column:

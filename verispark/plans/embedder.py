@@ -57,6 +57,12 @@ def get(cfg: VerifyConfig) -> Embedder:
     return _instances[cfg.provider]
 
 
+def default_threshold(cfg: VerifyConfig) -> float:
+    """The configured model's own threshold, without making the model where its class tells."""
+    factory = factory_of(cfg)
+    return factory.default_threshold if isinstance(factory, type) and issubclass(factory, Embedder) else get(cfg).default_threshold
+
+
 _workers: dict[tuple[str, str], Embedder] = {}
 
 

@@ -9,6 +9,7 @@ from ..config import VerifyConfig
 from ..functions.snapshot import is_stale
 from ..operators.history import supersede
 from ..operators.validate import active
+from ..storage import checkpointed
 from .embedder import embed
 
 
@@ -18,11 +19,21 @@ def embed_photos(photos: DataFrame, cfg: VerifyConfig) -> DataFrame:
     return rows.select("subject_id", F.col("__e.embedding").alias("embedding"), F.when(F.col("__none"), F.lit("no photo")).otherwise(F.col("__e.error")).alias("error"))
 
 
+def store_embeddings(embeddings: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """The table of embeddings after storing new ones (subject_id, embedding, metadata): old rows are closed at now."""
+    kinds = dict(embeddings.dtypes)
+    for c in embeddings.columns:
+        if c not in new.columns and c not in ("validity_from", "validity_to"):
+            new = new.withColumn(c, F.lit(None).cast(kinds[c]))
+    return supersede(embeddings, new, now)
+
+
 def refresh_embeddings(subjects: DataFrame, photos: DataFrame, embeddings: DataFrame, cfg: VerifyConfig, now: Column, only: str = "all") -> tuple[DataFrame, DataFrame]:
     """(new embeddings table, report) after embedding the photos of the active subjects that need it.
 
     only: 'missing' (no active embedding), 'stale' (made under other settings) or 'all'. The report
-    has subject_id, success, model_name, provider, error.
+    has subject_id, success, model_name, provider, error. The model runs once per photo: what it
+    gave is checkpointed, so the table and the report never disagree.
     """
     current = active(embeddings)
     people = active(subjects).select("subject_id")
@@ -32,11 +43,7 @@ def refresh_embeddings(subjects: DataFrame, photos: DataFrame, embeddings: DataF
         people = people.join(current.where(is_stale(F.col("metadata"), cfg)), "subject_id", "left_semi")
     elif only != "all":
         raise ValueError("only is 'missing', 'stale' or 'all'")
-    found = embed_photos(people.join(photos.select("subject_id", "content"), "subject_id", "left"), cfg)
-    good = found.where(F.col("error").isNull())
-    new = good.select("subject_id", "embedding", F.lit(cfg.snapshot).alias("metadata"))
-    for c in embeddings.columns:
-        if c not in new.columns and c not in ("validity_from", "validity_to"):
-            new = new.withColumn(c, F.lit(None).cast(dict(embeddings.dtypes)[c]))
+    found = checkpointed(embed_photos(people.join(photos.select("subject_id", "content"), "subject_id", "left"), cfg))
+    new = found.where(F.col("error").isNull()).select("subject_id", "embedding", F.lit(cfg.snapshot).alias("metadata"))
     report = found.select("subject_id", F.col("error").isNull().alias("success"), F.lit(cfg.model_name).alias("model_name"), F.lit(cfg.provider).alias("provider"), "error")
-    return supersede(embeddings, new, now), report
+    return store_embeddings(embeddings, new, now), report

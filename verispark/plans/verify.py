@@ -9,9 +9,10 @@ from ..config import VerifyConfig
 from ..functions.frames import decode_frame
 from ..functions.similarity import cosine_distance, effective_threshold, length_error, similarity, verdict
 from ..functions.snapshot import is_stale
-from ..operators.lookup import resolve_one, resolve_optional
-from ..operators.validate import active, apply_defaults
-from .embedder import embed, get
+from ..operators.lookup import attach_reference, resolve_one, resolve_optional
+from ..operators.validate import apply_defaults
+from ..storage import checkpointed
+from .embedder import default_threshold, embed
 from .refresh import embed_photos
 
 
@@ -28,51 +29,65 @@ def _compared(rows: DataFrame, reference: str, threshold: Column, route: Column)
 
 
 def verify(frames: DataFrame, subjects: DataFrame, embeddings: DataFrame, photos: DataFrame, cfg: VerifyConfig) -> tuple[DataFrame, DataFrame]:
-    """(results, subjects whose embedding should be stored).
+    """(results, embeddings to store: subject_id, embedding, metadata).
 
     frames has id, subject_id and frame (base64); its other columns stay. A frame's image is turned
     into its embedding before any join, so no image is shuffled; a reference photo is embedded once
-    per subject that needs it, not once per frame. Failures are rows with an error.
+    per subject that needs it, not once per frame. Failures are rows with an error. Photos' vectors
+    and results are checkpointed, so the model sees each image once.
 
     Routes: 'unknown' (no active subject), 'fast' (fresh stored embedding), 'refresh' (stale one,
-    embedded anew), 'slow' (none stored, or storing is off: the model's own threshold holds).
+    embedded anew), 'slow' (none stored, or storing is off: the model's own threshold holds). With
+    storing on, what the refresh route embedded and what a verified slow match compared is to be
+    stored (plans.refresh.store_embeddings).
     """
-    provider = get(cfg)
     image = decode_frame(F.col("frame"))
-    probes = frames.withColumn("__e", embed(image, cfg)).withColumns({
-        "probe": F.col("__e.embedding"), "probe_error": F.when(image.isNull(), F.lit("frame can't be decoded")).otherwise(F.col("__e.error")),
+    probes = frames.withColumns({"__decoded": image.isNotNull(), "__e": embed(image, cfg)}).withColumns({
+        "probe": F.col("__e.embedding"), "probe_error": F.when(~F.col("__decoded"), F.lit("frame can't be decoded")).otherwise(F.col("__e.error")),
     }).drop("__e", "frame")
-    people = active(subjects).select("subject_id", F.lit(True).alias("known"))
-    stored = active(embeddings).select("subject_id", F.col("embedding").alias("stored"), F.coalesce(is_stale(F.col("metadata"), cfg), F.lit(True)).alias("stale"))
-    base = F.when(F.col("known").isNull(), "unknown").when(F.lit(not cfg.store_embeddings) | F.col("stored").isNull(), "slow").when(F.col("stale"), "refresh").otherwise("fast")
     # one row per subject that frames ask for
-    asked = probes.select("subject_id").where(F.col("subject_id").isNotNull()).distinct().join(people, "subject_id", "left").join(stored, "subject_id", "left").withColumn("route", base)
-    need = asked.where(F.col("route").isin("refresh", "slow")).select("subject_id").join(photos.select("subject_id", "content"), "subject_id", "left")
-    fresh = embed_photos(need, cfg).withColumnsRenamed({"embedding": "photo", "error": "photo_error"})
-    known = asked.join(fresh, "subject_id", "left").select("subject_id", "route", "stored", "photo", "photo_error")
+    ids = frames.where(F.col("subject_id").isNotNull()).groupBy("subject_id").agg(F.bool_or(image.isNotNull()).alias("__usable"))
+    stale = F.coalesce(is_stale(F.col("metadata"), cfg), F.lit(True))
+    base = F.when(~F.col("known"), "unknown").when(F.lit(not cfg.store_embeddings) | F.col("embedding").isNull(), "slow").when(stale, "refresh").otherwise("fast")
+    asked = attach_reference(ids, subjects, embeddings).select("subject_id", "__usable", F.col("embedding").alias("stored"), base.alias("route"))
+    need = asked.where(F.col("route").isin("refresh", "slow")).select("subject_id", "__usable", F.col("route").alias("need"))
+    photo = embed_photos(need.select("subject_id").join(photos.select("subject_id", "content"), "subject_id", "left"), cfg).withColumnsRenamed({"embedding": "photo", "error": "photo_error"})
+    fresh = checkpointed(photo.join(need, "subject_id"))
+    known = asked.join(fresh.drop("__usable", "need"), "subject_id", "left").select("subject_id", "route", "stored", "photo", "photo_error")
     rows = probes.join(known, "subject_id", "left").withColumn("route", F.coalesce("route", F.lit("unknown")))
     # a refresh that fails falls back to the slow route, which then reports the same problem
     route = F.when((F.col("route") == "refresh") & F.col("photo_error").isNotNull(), "slow").otherwise(F.col("route"))
     rows = rows.withColumns({"reference": F.when(route == "fast", F.col("stored")).otherwise(F.col("photo")), "ref_error": F.when(route == "unknown", F.lit("unknown subject")).when(route == "fast", F.lit(None)).otherwise(F.col("photo_error"))})
-    threshold = F.when(route == "slow", F.lit(provider.default_threshold)).otherwise(effective_threshold(None, cfg))
+    threshold = F.when(route == "slow", F.lit(default_threshold(cfg))).otherwise(effective_threshold(None, cfg))
     results = _compared(rows, "reference", threshold, route).withColumn("provider", F.lit(cfg.provider))
-    results = results.drop("probe", "probe_error", "stored", "photo", "photo_error", "reference", "ref_error")
-    to_store = results.where((F.col("route") == "slow") & F.col("verified") & F.lit(cfg.store_embeddings)).select("subject_id").distinct()
-    return results, to_store
+    results = checkpointed(results.drop("probe", "probe_error", "stored", "photo", "photo_error", "reference", "ref_error", "__decoded"))
+    matched = results.where((F.col("route") == "slow") & F.col("verified")).select("subject_id").distinct().withColumn("__matched", F.lit(True))
+    good = fresh.where(F.lit(cfg.store_embeddings) & F.col("photo_error").isNull()).join(matched, "subject_id", "left")
+    new = good.where(F.col("__matched") | ((F.col("need") == "refresh") & F.col("__usable")))
+    return results, new.select("subject_id", F.col("photo").alias("embedding"), F.lit(cfg.snapshot).alias("metadata"))
 
 
-def audits_from_results(results: DataFrame, claims: DataFrame, services: DataFrame, cfg: VerifyConfig) -> DataFrame:
+def audit_id() -> Column:
+    """A uuid made from connection and time, so a replay gives the same audit."""
+    h = F.md5(F.concat_ws("|", F.col("conn_id").cast("string"), F.unix_micros(F.col("ts").cast("timestamp")).cast("string")))
+    return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
+def audits_from_results(results: DataFrame, claims: DataFrame, services: DataFrame, cfg: VerifyConfig, service: str = "service_id") -> DataFrame:
     """Audits of results that name a claim and have no error; an unknown or ambiguous claim or an unknown service gives none.
 
-    Ids are made from connection and time, so a replay gives the same audits.
+    service names the column of results and services by which services are found. The stored
+    threshold is the configured one, also where another was in force.
     """
     rows = results.where(F.col("claim_code").isNotNull() & (F.col("claim_code") != "") & F.col("error").isNull()).drop("error")
     rows = resolve_one(rows, claims.select("claim_code", "claim_id", "validity_to"), "claim_code", "claim_id", mode="null").where(F.col("claim_id").isNotNull())
-    rows = resolve_optional(rows, services, "service_id").where(F.col("error").isNull())
-    h = F.md5(F.concat_ws("|", F.col("conn_id").cast("string"), F.unix_micros(F.col("ts").cast("timestamp")).cast("string")))
-    uuid = F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    if service != "service_id":
+        rows = rows.withColumn(service, F.nullif(F.col(service), F.lit("")))
+    rows = resolve_optional(rows, services, service).where(F.col("error").isNull())
+    if service != "service_id":
+        rows = resolve_one(rows, services, service, "service_id", mode="null").where(F.col(service).isNull() | F.col("service_id").isNotNull())
     audits = rows.select(
-        uuid.alias("id"), "claim_id", "service_id", similarity(F.col("confidence")).alias("similarity_score"), F.lit(cfg.threshold).alias("threshold_used"), F.col("verified").alias("is_verified"),
+        audit_id().alias("id"), "claim_id", "service_id", similarity(F.col("confidence")).alias("similarity_score"), F.lit(cfg.similarity_threshold).cast("double").alias("threshold_used"), F.col("verified").alias("is_verified"),
         "step_name", "device_id", F.col("ts").alias("audit_date"), F.to_json(F.struct("provider")).alias("metadata"),
     )
     return apply_defaults(audits)

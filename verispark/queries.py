@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as X
@@ -16,20 +15,18 @@ from .functions.similarity import first_face as first_of
 from .functions.similarity import match_band as band_of
 from .functions.snapshot import is_stale
 from .operators import claims, history, lookup, risk, sampling, validate
+from .plans import insert as insert_plan
 from .plans import refresh as refresh_plan
 from .plans import verify as verify_plan
 from .sources import messages, photos
-from .streaming.risk import current_risk
-from .streaming.risk import risk_stream as start_risk_stream
+from .storage import checkpointed, shared_path
+from .streaming import risk as risk_streams
+from .streaming import verification
 from .streaming.sampling import sample_stream
 
 SAMPLING_SECONDS = 7200.0  # events are minutes apart
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where none is set."""
-    here = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{here.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+IDLE_SECONDS = 30 * 86400.0
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -231,13 +228,15 @@ _NOW = "2025-01-01"
 
 def supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = X.embeddings_e(spark, sf_dir).select("subject_id", "vec_id", "validity_from", "validity_to")
-    new = X.subjects_u(table(spark, sf_dir, "customer")).where(F.col("subject_id") % 3 == 0).select("subject_id", F.lit(None).cast("long").alias("vec_id"))
+    stale = validate.active(X.embeddings_e(spark, sf_dir)).where(is_stale(F.col("metadata"), CFG))
+    new = stale.select("subject_id", F.lit(None).cast("long").alias("vec_id"))  # as after refreshing what is stale
     return history.supersede(old, new, F.lit(_NOW).cast("timestamp_ntz"))
 
 
 SUPERSEDE_SQL = f"""
-SELECT e.subject_id, vec_id, validity_from, CASE WHEN validity_to IS NULL AND c_custkey IS NOT NULL THEN TIMESTAMP '{_NOW}' ELSE validity_to END AS validity_to FROM ({E_SQL}) e LEFT JOIN customer ON c_custkey = e.subject_id AND c_custkey % 3 = 0
-UNION ALL SELECT c_custkey, NULL, TIMESTAMP '{_NOW}', NULL FROM customer WHERE c_custkey % 3 = 0
+WITH s AS (SELECT e.* FROM ({E_SQL}) e JOIN ({STALE_SQL}) t ON t.vec_id = e.vec_id WHERE e.validity_to IS NULL AND stale)
+SELECT e.subject_id, e.vec_id, e.validity_from, CASE WHEN e.validity_to IS NULL AND s.vec_id IS NOT NULL THEN TIMESTAMP '{_NOW}' ELSE e.validity_to END AS validity_to FROM ({E_SQL}) e LEFT JOIN s ON s.vec_id = e.vec_id
+UNION ALL SELECT subject_id, NULL, TIMESTAMP '{_NOW}', NULL FROM s
 """
 
 
@@ -246,7 +245,7 @@ def refresh_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     subjects = docs.select(F.col("doc_id").alias("subject_id"), F.lit(None).cast("timestamp_ntz").alias("validity_to"))
     old = X.embeddings_e(spark, sf_dir).drop("vec_id")
     rows, report = refresh_plan.refresh_embeddings(subjects, X.photos_d(docs), old, CFG, F.lit(_NOW).cast("timestamp_ntz"))
-    new = rows.where(F.col("validity_from") == F.lit(_NOW).cast("timestamp_ntz")).select("subject_id", F.array_join(F.transform("embedding", lambda x: (x * 128 + 128).cast("int").cast("string")), " ").alias("vector"))
+    new = rows.where(F.col("validity_from") == F.lit(_NOW).cast("timestamp_ntz")).select("subject_id", _vector(F.col("embedding")).alias("vector"))
     return report.join(new, "subject_id", "left").select("subject_id", "success", "error", "vector")
 
 
@@ -257,21 +256,25 @@ FROM (SELECT doc_id, text, CASE WHEN doc_id % 17 = 0 OR text IS NULL THEN 'no ph
 
 
 def load_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_nationkey") % 6
-    name = F.when(k == 0, "nation.parquet").when(k == 1, "region.parquet").when(k == 2, "missing.parquet").when(k == 3, "../nation.parquet").when(k == 4, "./supplier.parquet")
-    manifest = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("subject_id"), F.lit(None).cast("string").alias("folder"), name.alias("filename"))
-    found = photos.load_photos(spark, sf_dir, manifest, glob="{nation,region,supplier}.parquet")
-    return found.select("subject_id", F.substring(F.col("content"), 1, 4).cast("string").alias("magic"), "error")
+    """A file for each supplier, written by Spark and read back by a manifest of them all."""
+    root, suppliers = shared_path(spark, "photos"), table(spark, sf_dir, "supplier")
+    suppliers.select("s_suppkey", F.concat(F.lit("photo of "), "s_name")).write.partitionBy("s_suppkey").text(root)
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_extract("path", r"s_suppkey=(\d+)/", 1).cast("long").alias("subject_id"), F.element_at(F.split("path", "/"), -1).alias("file"))
+    k = F.col("subject_id") % 6
+    name = F.when(k == 2, F.concat("file", F.lit(".gone"))).when(k == 3, F.concat(F.lit("../"), "file")).when(k == 4, F.concat(F.lit("./"), "file")).when(k != 5, F.col("file"))
+    found = photos.load_photos(spark, root, paths.select("subject_id", F.concat(F.lit("s_suppkey="), F.col("subject_id").cast("string")).alias("folder"), name.alias("filename")))
+    return found.select("subject_id", F.md5("content").alias("content_md5"), "error")
 
 
 PHOTOS_SQL = """
-SELECT CAST(n_nationkey AS BIGINT) AS subject_id, CASE WHEN n_nationkey % 6 IN (0, 1, 4) THEN 'PAR1' END AS magic,
-  CASE n_nationkey % 6 WHEN 2 THEN 'file missing' WHEN 3 THEN 'path outside root' WHEN 5 THEN 'no photo' END AS error FROM nation
+SELECT s_suppkey AS subject_id, CASE WHEN s_suppkey % 6 IN (0, 1, 4) THEN md5('photo of ' || s_name || chr(10)) END AS content_md5,
+  CASE s_suppkey % 6 WHEN 2 THEN 'file missing' WHEN 3 THEN 'path outside root' WHEN 5 THEN 'no photo' END AS error FROM supplier
 """
 
 
 def parse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames, other, dead = messages.parse_frames(X.messages_m(table(spark, sf_dir, "conversations")))
+    # one pass over the messages for all outputs
+    frames, other, dead = messages.split_messages(checkpointed(messages.read_messages(X.messages_m(table(spark, sf_dir, "conversations")))))
     good, lacking = validate.require_fields(frames, ["insuree_uuid", "frame"])
     from .functions.frames import decode_frame
 
@@ -327,10 +330,10 @@ SELECT conn_id, id, frame_count, verification_count FROM (
 
 def sample_frames_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream over everything that is there now; the frames that pass are written and read back."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     stream = stream_of(spark, sf_dir, "events")
     out = shared_path(spark, "sampled")
-    passed = sample_stream(X.frames_b(stream).select("conn_id", "id", "ts"), SAMPLING_SECONDS)
+    passed = sample_stream(X.frames_b(stream).select("conn_id", "id", "ts"), SAMPLING_SECONDS, idle_seconds=IDLE_SECONDS)
     passed.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(passed.schema).parquet(out).select(F.col("conn_id").cast("long").alias("conn_id"), "id", "frame_count", "verification_count")
 
@@ -366,10 +369,35 @@ SELECT event_id AS id, user_id AS subject_id, route, error IS NULL AND d <= thr
 
 
 def verify_to_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verified(spark, sf_dir)[1]
+    """The subjects whose embedding the verification made anew: stale ones, and those of a verified slow match."""
+    return _verified(spark, sf_dir)[1].select("subject_id")
+
+
+TO_STORE_SQL = f"""
+SELECT subject_id FROM ({VERIFY_SQL}) WHERE route = 'slow' AND verified
+UNION SELECT user_id FROM ({_V_SQL}) WHERE route = 'refresh' AND coalesce(probe_error, '') <> 'frame can''t be decoded'
+"""
+
+
+def _vector(embedding: Column) -> Column:
+    return F.array_join(F.transform(embedding, lambda x: (x * 128 + 128).cast("int").cast("string")), " ")
+
+
+def verify_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of embeddings after the verification's new ones are stored."""
+    new = _verified(spark, sf_dir)[1]
+    rows = refresh_plan.store_embeddings(X.embeddings_v(spark, sf_dir), new, F.lit(_NOW).cast("timestamp_ntz"))
+    return rows.select("subject_id", "vec_id", "validity_from", "validity_to", _vector(F.col("embedding")).alias("vector"))
 
 
-TO_STORE_SQL = f"SELECT DISTINCT subject_id FROM ({VERIFY_SQL}) WHERE route = 'slow' AND verified"
+_VECTOR_SQL = f"array_to_string(list_transform({md5_vector_sql(V_TEXT.format(k='subject_id'))}, lambda x: CAST(x * 128 + 128 AS INTEGER)), ' ')"
+STORED_SQL = f"""
+WITH s AS ({TO_STORE_SQL})
+SELECT *, {_VECTOR_SQL} AS vector FROM (
+  SELECT e.subject_id, vec_id, validity_from, CASE WHEN validity_to IS NULL AND s.subject_id IS NOT NULL THEN TIMESTAMP '{_NOW}' ELSE validity_to END AS validity_to FROM ({E_SQL}) e LEFT JOIN s ON s.subject_id = e.subject_id
+  UNION ALL SELECT subject_id, NULL, TIMESTAMP '{_NOW}', NULL FROM s
+)
+"""
 
 
 def audits_from_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,6 +406,34 @@ def audits_from_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.select("id", "claim_id", "service_id", "similarity_score", "threshold_used", "is_verified", "step_name", "metadata", "is_deleted", "version")
 
 
+def insert_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every audit as a request: what is stored, and what is rejected with its first error."""
+    k = F.col("claim_id")
+    rows = _scaled(spark, sf_dir).withColumns({
+        "claim_uuid": F.when(k % 97 != 0, F.concat(F.lit("CL-"), k.cast("string"))), "service_uuid": F.when(k % 3 == 2, F.concat(F.lit("V"), F.col("service_id").cast("string"))).when(k % 3 == 1, F.lit("")),
+        "device_id": F.when(k % 2 == 0, F.lit("d")), "metadata": F.lit(""),
+    }).drop("claim_id", "service_id")
+    good, bad = insert_plan.insert_audits(rows, X.claims_c(table(spark, sf_dir, "orders")).withColumnRenamed("claim_code", "claim_uuid"), _services(spark, sf_dir))
+    return good.select("id", "claim_id", "service_id", "device_id", "metadata", "version", F.lit(None).cast("string").alias("error")).unionByName(bad, allowMissingColumns=True)
+
+
+def _services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.services_s(table(spark, sf_dir, "supplier")).withColumn("service_uuid", F.concat(F.lit("V"), F.col("service_id").cast("string")))
+
+
+INSERT_SQL = f"""
+SELECT id, CASE WHEN error IS NULL THEN claim END AS claim_id, CASE WHEN error IS NULL THEN service END AS service_id, CASE WHEN error IS NULL THEN CASE WHEN claim_id % 2 = 0 THEN 'd' ELSE '' END END AS device_id,
+  CASE WHEN error IS NULL THEN '{{}}' END AS metadata, CASE WHEN error IS NULL THEN 1 END AS version, error
+FROM (
+  SELECT a.id, a.claim_id, c.claim_id AS claim, s.service_id AS service,
+    CASE WHEN a.claim_id % 97 = 0 THEN 'missing: claim_uuid' WHEN score_bp * 12 > 100000 THEN 'score_range' WHEN thr_bp * 3 > 10000 THEN 'threshold_range' WHEN is_verified <> (score_bp * 12 >= thr_bp * 30) THEN 'inconsistent'
+      WHEN n IS NULL THEN 'claim_not_found' WHEN n > 1 THEN 'claim_ambiguous' WHEN a.claim_id % 3 = 2 AND s.service_id IS NULL THEN 'service_not_found' END AS error
+  FROM ({A_SQL}) a LEFT JOIN (SELECT claim_code, count(*) AS n, min(claim_id) AS claim_id FROM ({C_SQL}) WHERE validity_to IS NULL GROUP BY 1) c ON c.claim_code = 'CL-' || CAST(a.claim_id AS VARCHAR)
+  LEFT JOIN ({S_SQL}) s ON a.claim_id % 3 = 2 AND s.service_id = a.service_id AND s.validity_to IS NULL
+)
+"""
+
+
 AUDITS_SQL = f"""
 SELECT concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS id, claim_id, service_id, similarity_score, 0.68::DOUBLE AS threshold_used, is_verified, 'gate' AS step_name, '{{"provider":"md5"}}' AS metadata, false AS is_deleted, 1 AS version
 FROM (
@@ -405,8 +461,10 @@ SELECT CASE WHEN route = 'unknown' THEN 'error' ELSE 'verification_result' END A
 
 def merge_claim_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     audits = X.audits_a(table(spark, sf_dir, "lineitem"))
-    scored = risk.claim_risk(audits).join(audits.groupBy("claim_id").agg(F.max("audit_date").alias("last_updated")), "claim_id")
-    rows = claims.merge_claim_ext(X.claims_c(table(spark, sf_dir, "orders")), scored)
+    return _risk_fields(claims.merge_claim_ext(X.claims_c(table(spark, sf_dir, "orders")), risk.claim_risk(audits, last_updated=True)))
+
+
+def _risk_fields(rows: DataFrame) -> DataFrame:
     at = lambda k: F.get_json_object("json_ext", f"$.{k}")
     key = claims.RISK_KEY
     return rows.select(
@@ -428,12 +486,55 @@ def latest_from_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATEST_SQL = f"SELECT id, claim_id, score_bp, history_type, history_date FROM ({H_SQL}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY history_date DESC, history_id DESC) = 1 AND history_type <> '-'"
 
 
-def risk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream over everything that is there now; the last risk of each claim."""
+def _risk_streamed(spark: SparkSession, sf_dir: str) -> str:
+    """Both streams over everything that is there now: audits are stored, risks and claims kept current."""
     to = shared_path(spark, "risk_stream")
     stream = X.audits_a(stream_of(spark, sf_dir, "lineitem"))
-    start_risk_stream(stream, f"{to}/audits", f"{to}/risk", f"{to}/state").awaitTermination()
-    return current_risk(spark.read.parquet(f"{to}/risk")).drop("message")
+    running = risk_streams.store_stream(stream, f"{to}/audits", f"{to}/state-audits"), risk_streams.risk_stream(stream, f"{to}/risk", f"{to}/state-risk", X.claims_c(table(spark, sf_dir, "orders")), f"{to}/claims", raise_errors=True)
+    for query in running:
+        query.awaitTermination()
+    return to
+
+
+def risk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last risk of each claim."""
+    return risk_streams.current(spark.read.parquet(f"{_risk_streamed(spark, sf_dir)}/risk")).drop("message", "last_updated")
+
+
+def risk_stream_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All claims with the risk that the stream wrote into their JSON."""
+    written = spark.read.parquet(f"{_risk_streamed(spark, sf_dir)}/claims")
+    return _risk_fields(risk_streams.current_claims(X.claims_c(table(spark, sf_dir, "orders")), written))
+
+
+def verify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verification job over all messages that are there now: the rows of its results."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    out = shared_path(spark, "verify_stream")
+
+    def tables(session: SparkSession) -> dict[str, DataFrame]:
+        customers = table(session, sf_dir, "customer")
+        people = X.subjects_u(customers).withColumn("insuree_uuid", F.concat(F.lit("S"), F.col("subject_id").cast("string")))
+        return {"subjects": people, "photos": X.photos_v(customers), "embeddings": X.embeddings_v(session, sf_dir), "claims": X.claims_c(table(session, sf_dir, "orders")), "services": _services(session, sf_dir)}
+
+    cfg = replace(CFG, sampling_seconds=SAMPLING_SECONDS)
+    verification.verify_stream(X.messages_v(stream_of(spark, sf_dir, "events")), tables, cfg, out, f"{out}/state", idle_seconds=IDLE_SECONDS).awaitTermination()
+    rows = spark.read.parquet(f"{out}/results")
+    return rows.select("id", "subject_id", "route", "verified", "confidence", "distance", "error", "frame_count", "verification_count", F.col("audit_uuid").isNotNull().alias("has_audit"))
+
+
+VERIFY_STREAM_SQL = f"""
+WITH RECURSIVE {_SAMPLE_CTE.replace(f"({B_SQL})", f"(SELECT * FROM ({B_SQL}) WHERE id % 37 <> 0 AND id % 41 <> 0)")},
+f AS (SELECT event_id AS id, user_id AS conn_id, ts FROM events WHERE event_id % 41 <> 0),
+n AS (
+  SELECT f.id, passed.id AS p, count(*) OVER w AS frame_count, count(passed.id) OVER w AS verification_count FROM f LEFT JOIN passed ON passed.id = f.id
+  WINDOW w AS (PARTITION BY f.conn_id ORDER BY f.ts, f.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)
+SELECT n.id, CASE WHEN route <> 'unknown' THEN subject_id END AS subject_id, route, verified, confidence, distance, error, frame_count, verification_count, a.id IS NOT NULL AS has_audit
+FROM n JOIN ({VERIFY_SQL}) v ON v.id = n.id JOIN events e ON e.event_id = n.id
+LEFT JOIN ({AUDITS_SQL}) a ON replace(a.id, '-', '') = md5(CAST(user_id AS VARCHAR) || '|' || CAST(epoch_us(e.ts) AS VARCHAR)) WHERE p IS NOT NULL
+UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL, 'missing: frame', frame_count, verification_count, false FROM n WHERE id % 37 = 0
+"""
 
 
 QUERIES = {
@@ -441,7 +542,7 @@ QUERIES = {
     for f in (
         claim_risk, running_claim_risk, failure_rates, cosine_verdict, match_band, first_face, validate_audits, inconsistent_audits, classify_error, active_not_deleted, list_audits, resolve_one, resolve_optional,
         attach_reference, reference_asof, stale_embeddings, supersede, refresh_embeddings, load_photos, parse_frames, sample_frames, connection_stats, number_verifications, sample_frames_stream, verify,
-        verify_to_store, audits_from_results, format_results, merge_claim_ext, latest_from_history, risk_stream,
+        verify_to_store, verify_stored, audits_from_results, insert_audits, format_results, merge_claim_ext, latest_from_history, risk_stream, risk_stream_claims, verify_stream,
     )
 }
 ORACLE_SQL = {
@@ -450,4 +551,5 @@ ORACLE_SQL = {
     "attach_reference": ATTACH_SQL, "reference_asof": ASOF_SQL, "stale_embeddings": STALE_SQL, "supersede": SUPERSEDE_SQL, "refresh_embeddings": REFRESH_SQL, "load_photos": PHOTOS_SQL, "parse_frames": PARSE_SQL,
     "sample_frames": SAMPLE_SQL, "connection_stats": STATS_SQL, "number_verifications": NUMBER_SQL, "sample_frames_stream": NUMBER_SQL, "verify": VERIFY_SQL, "verify_to_store": TO_STORE_SQL,
     "audits_from_results": AUDITS_SQL, "format_results": FORMAT_SQL, "merge_claim_ext": MERGE_SQL, "latest_from_history": LATEST_SQL, "risk_stream": _ALL_RISK_SQL,
+    "verify_stored": STORED_SQL, "insert_audits": INSERT_SQL, "risk_stream_claims": MERGE_SQL, "verify_stream": VERIFY_STREAM_SQL,
 }

@@ -12,10 +12,20 @@ from pyspark.sql import functions as F
 FRAME_SCHEMA = "type string, insuree_uuid string, frame string, claim_code string, step_name string, service_uuid string, device_id string"
 
 
+#: Bytes that a message may inflate to; a longer one is taken as it came, which isn't JSON.
+MAX_INFLATED = 64 << 20
+#: What an absent field becomes.
+ABSENT = {"step_name": "unknown", "device_id": ""}
+
+
 def _inflate(data: pa.Array) -> pa.Array:
     def one(x: bytes | None) -> bytes | None:
+        if not x:
+            return x
         try:
-            return zlib.decompress(x) if x else x
+            stream = zlib.decompressobj()
+            out = stream.decompress(x, MAX_INFLATED)
+            return out if stream.eof else x
         except zlib.error:
             return x
 
@@ -27,28 +37,43 @@ def inflate(data: Column) -> Column:
     return F.arrow_udf(_inflate, "binary")(data)
 
 
-def message_text(raw: Column, text: Column) -> Column:
-    """The message's JSON: from bytes if there are any, else from the text."""
-    return F.when(F.octet_length(raw) > 0, F.try_validate_utf8(inflate(raw).cast("string"))).otherwise(F.nullif(text, F.lit("")))
+def read_messages(raw: DataFrame) -> DataFrame:
+    """raw (columns bytes and text; others stay) with status and the message's fields, in one pass.
+
+    status is 'frame', 'unknown' (another type), 'empty' or 'invalid'. The JSON comes from the bytes
+    if there are any, inflated where they are zlib data, else from the text. Works on streams too.
+    """
+    sent = F.when(F.octet_length("bytes") > 0, F.try_validate_utf8(inflate(F.col("bytes")).cast("string"))).otherwise(F.nullif(F.col("text"), F.lit("")))
+    rows = raw.withColumn("__body", sent).withColumns({"__m": F.from_json("__body", FRAME_SCHEMA), "__v": F.try_parse_json("__body")})
+    nothing = F.coalesce(F.octet_length("bytes"), F.lit(0)) + F.coalesce(F.octet_length("text"), F.lit(0)) == 0
+    status = F.when(nothing, "empty").when(F.col("__v").isNull() | ~F.col("__body").startswith("{"), "invalid").when(F.col("__m.type") == "frame", "frame").otherwise("unknown")
+    field = lambda c: F.col("__m")[c]
+    # only an absent key takes the default; an explicit null stays
+    absent = {c: F.when((status == "frame") & F.try_variant_get("__v", f"$.{c}", "variant").isNull(), F.lit(v)).otherwise(field(c)).alias(c) for c, v in ABSENT.items()}
+    names = [f.split()[0] for f in FRAME_SCHEMA.split(", ")]
+    return rows.select(*raw.columns, status.alias("status"), *(absent.get(c, field(c).alias(c)) for c in names))
 
 
 def parse_frames(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(frames, unknown types, dead letters) from rows with columns bytes and text; other columns stay.
+    """(frames, unknown types, dead letters) from rows with columns bytes and text; other columns stay."""
+    return split_messages(read_messages(raw))
+
+
+def split_messages(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(frames, unknown types, dead letters) of read_messages, whose checkpoint makes it one pass for all three.
 
     A dead letter has parse_error 'empty' or 'invalid'.
     """
-    body = F.col("__body")
-    rows = raw.withColumn("__body", message_text(F.col("bytes"), F.col("text"))).withColumn("__m", F.from_json(body, FRAME_SCHEMA))
-    error = F.when(F.coalesce(F.octet_length("bytes"), F.lit(0)) + F.coalesce(F.octet_length("text"), F.lit(0)) == 0, "empty").when(F.try_parse_json(body).isNull() | ~body.startswith("{"), "invalid")
-    rows = rows.withColumn("parse_error", error)
-    good = rows.where("parse_error IS NULL").select(*(c for c in raw.columns if c not in ("bytes", "text")), "__m.*")
-    return good.where(F.col("type") == "frame"), good.where(F.col("type").isNull() | (F.col("type") != "frame")), rows.where("parse_error IS NOT NULL").drop("__body", "__m")
+    names = [f.split()[0] for f in FRAME_SCHEMA.split(", ")]
+    good = rows.drop("bytes", "text")
+    dead = rows.where(F.col("status").isin("empty", "invalid")).withColumnRenamed("status", "parse_error").drop(*names)
+    return good.where("status = 'frame'").drop("status"), good.where("status = 'unknown'").drop("status"), dead
 
 
-def format_results(results: DataFrame) -> DataFrame:
-    """value: one JSON message per result, nulls kept; a result without a verdict becomes an error message."""
+def format_results(results: DataFrame, keep_cols: list[str] | None = None) -> DataFrame:
+    """value (and keep_cols): one JSON message per result, nulls kept; a result without a verdict becomes an error message."""
     names = ["verified", "confidence", "distance", "provider", "error", "verification_count", "frame_count", "timestamp", "audit_uuid"]
     message = F.struct(F.lit("verification_result").alias("type"), *(F.col(n) if n in results.columns else F.lit(None).cast("string").alias(n) for n in names))
     failed = F.struct(F.lit("error").alias("type"), F.col("error").alias("message"))
     keep = {"ignoreNullFields": "false"}
-    return results.select(F.when(F.col("verified").isNull(), F.to_json(failed, keep)).otherwise(F.to_json(message, keep)).alias("value"))
+    return results.select(*(keep_cols or []), F.when(F.col("verified").isNull(), F.to_json(failed, keep)).otherwise(F.to_json(message, keep)).alias("value"))

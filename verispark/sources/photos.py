@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a manifest that is broadcast: some 100 bytes each. Beyond, manifest and files are shuffled.
+MAX_BROADCAST = 500_000
+
+
 def load_photos(spark: SparkSession, root: str | None, manifest: DataFrame, glob: str | None = None) -> DataFrame:
     """subject_id, path, content, error for a manifest (subject_id, folder, filename).
 
@@ -23,6 +27,14 @@ def load_photos(spark: SparkSession, root: str | None, manifest: DataFrame, glob
     # file systems write the same root in several ways, so what follows its last part counts
     tail = "/" + base.rstrip("/").rsplit("/", 1)[-1] + "/"
     files = files.select(F.expr(f"substr(path, locate('{tail}', path) + {len(tail)})").alias("path"), "content")
+    if rows.count() <= MAX_BROADCAST:
+        # the manifest goes to the files, so that no image is shuffled
+        wanted = rows.where(~none & ~outside).select("subject_id", F.col("path").alias("__path"))
+        got = files.join(F.broadcast(wanted), files["path"] == wanted["__path"]).select("subject_id", "path", "content")
+        # paths alone tell which rows have no file; the scan doesn't open files for them
+        lost = rows.join(files.select(F.col("path").alias("__path")), (F.col("path") == F.col("__path")) & ~none & ~outside, "left_anti")
+        error = F.when(none, "no photo").when(outside, "path outside root").otherwise("file missing")
+        return got.withColumn("error", F.lit(None).cast("string")).unionByName(lost.select("subject_id", "path", F.lit(None).cast("binary").alias("content"), error.alias("error")))
     found = rows.join(files, "path", "left")
     error = F.when(none, "no photo").when(outside, "path outside root").when(F.col("content").isNull(), "file missing")
     return found.select("subject_id", "path", F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))

@@ -2,34 +2,60 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.risk import claim_risk
+from ..operators.claims import merge_claim_ext
+from ..operators.risk import claim_sums, risk_of_sums
 from ..sources.audits import append_audits
 
+log = logging.getLogger(__name__)
 
-def risk_stream(audits: DataFrame, audits_path: str, risk_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Each micro-batch is stored, then the claims that it touches are scored over all their audits.
 
-    Both tables are written per batch id, so a repeated batch replaces its rows and the result is
-    the same after a restart.
-    """
+def store_stream(audits: DataFrame, audits_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Each micro-batch of audits is stored under its id, so a repeated batch replaces its rows."""
+    writer = audits.writeStream.foreachBatch(lambda batch, n: append_audits(batch, audits_path, n)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        append_audits(batch, audits_path, batch_id)
-        rows = spark.read.parquet(audits_path).where(F.col("batch") <= batch_id)
-        touched = rows.where(F.col("batch") == batch_id).select("claim_id").distinct()
-        mine = rows.join(touched, "claim_id", "left_semi")
-        claim_risk(mine).write.mode("overwrite").parquet(f"{risk_path}/batch={batch_id}")
+def risk_stream(audits: DataFrame, risk_path: str, checkpoint: str, claims: DataFrame | None = None, claims_path: str | None = None, available_now: bool = True, raise_errors: bool = False) -> StreamingQuery:
+    """The risk of every claim that a micro-batch touches, and its JSON with that risk if claims are given.
 
-    writer = audits.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    The state is four sums and the last date per claim: a batch costs what it touches, whatever was
+    stored before. It is a query of its own beside store_stream, so audits stay whatever happens
+    here; a batch that can't be scored is logged, and its claims are right again at their next audit.
+    Tables are written per batch id, so a repeated batch replaces its rows.
+    """
+
+    def each(batch: DataFrame, n: int) -> None:
+        try:
+            risk = risk_of_sums(batch, ["claim_id", "last_updated"])
+            risk.write.mode("overwrite").parquet(f"{risk_path}/batch={n}")
+            if claims is not None:
+                scored = batch.sparkSession.read.parquet(f"{risk_path}/batch={n}")
+                touched = claims.join(scored.select("claim_id"), "claim_id", "left_semi")
+                merge_claim_ext(touched, scored).select("claim_id", "json_ext").write.mode("overwrite").parquet(f"{claims_path}/batch={n}")
+        except Exception:
+            if raise_errors:
+                raise
+            log.exception("risk of micro-batch %d", n)
+            batch.write.format("noop").mode("overwrite").save()  # the sums must reach the state all the same
+
+    sums = claim_sums(audits, last_updated=True)
+    writer = sums.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def current_risk(risk: DataFrame) -> DataFrame:
-    """The last risk of each claim among all batches."""
-    row = F.struct(*(c for c in risk.columns if c not in ("claim_id", "batch")))
-    return risk.groupBy("claim_id").agg(F.max_by(row, "batch").alias("r")).select("claim_id", "r.*")
+def current(rows: DataFrame) -> DataFrame:
+    """The last row of each claim among all batches."""
+    row = F.struct(*(c for c in rows.columns if c not in ("claim_id", "batch")))
+    return rows.groupBy("claim_id").agg(F.max_by(row, "batch").alias("r")).select("claim_id", "r.*")
+
+
+def current_claims(claims: DataFrame, written: DataFrame) -> DataFrame:
+    """claims with the last JSON that the stream wrote."""
+    last = current(written).select("claim_id", F.col("json_ext").alias("__ext"))
+    return claims.join(last, "claim_id", "left").withColumn("json_ext", F.coalesce("__ext", "json_ext")).drop("__ext")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,36 +12,78 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.sampling import greedy
 
+#: How late a frame may be, and after how many seconds without one a connection is over.
+LATE = "10 minutes"
+IDLE_SECONDS = 3600.0
+
 
 class FrameSampler(StatefulProcessor):
-    """State of a connection: the last time that passed, frames received, frames passed."""
+    """State of a connection: the last time that passed, frames received, frames passed, its newest frame.
+
+    After idle microseconds without a frame (0: never) a connection is over. A timer drops its state
+    once the watermark is past that, and a frame that comes later starts a new one in any case.
+    """
 
-    def __init__(self, interval: int):
-        self.interval = interval
+    def __init__(self, interval: int, idle: int, names: list[str]):
+        self.interval, self.idle, self.names = interval, idle, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("sampler", "last long, frames long, passed long")
+        self.handle = handle
+        self.state = handle.getValueState("sampler", "last long, frames long, passed long, newest long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last, frames, passed = self.state.get() if self.state.exists() else (None, 0, 0)
+        last, frames, passed, newest = self.state.get() if self.state.exists() else (-1, 0, 0, -1)
         # a key's rows may come in several chunks, in any order
         chunk = pd.concat(list(rows)).sort_values(["micros", "id"], kind="stable").reset_index(drop=True)
-        at = greedy(chunk["micros"].to_numpy(), self.interval, last)
-        if at:
-            last = int(chunk["micros"].iloc[at[-1]])
-        out = pd.DataFrame({"conn_id": chunk["conn_id"].iloc[at], "id": chunk["id"].iloc[at], "frame_count": [frames + k + 1 for k in at], "verification_count": range(passed + 1, passed + len(at) + 1)})
-        self.state.update((last if last is not None else -1, frames + len(chunk), passed + len(at)))
+        micros, usable = chunk["micros"].to_numpy(), chunk["error"].isna().to_numpy()
+        gaps = np.diff(micros, prepend=newest if newest >= 0 else micros[0])
+        starts = np.flatnonzero(gaps > self.idle).tolist() if self.idle else []
+        mark, received, verified = (np.zeros(len(chunk), np.int64) for _ in range(3))
+        for a, b in zip([0, *starts], [*starts, len(chunk)]):
+            if a in starts:
+                last, frames, passed = -1, 0, 0
+            place = a + np.flatnonzero(usable[a:b])
+            at = place[greedy(micros[place], self.interval, None if last < 0 else last)]
+            mark[at] = 1
+            received[a:b], verified[a:b] = frames + np.arange(1, b - a + 1), passed + np.cumsum(mark[a:b])
+            last, frames, passed = int(micros[at[-1]]) if len(at) else last, frames + b - a, passed + len(at)
+        newest = max(newest, int(micros[-1]))
+        self.state.update((last, frames, passed, newest))
+        if self.idle:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((newest + self.idle) // 1000 + 1)
+        chunk["frame_count"], chunk["verification_count"] = received, verified
+        out = chunk[~usable | (mark > 0)]
         if len(out):
-            yield out
+            yield out[self.names]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def sample_stream(frames: DataFrame, seconds: float = 5.0) -> DataFrame:
-    """conn_id, id, frame_count, verification_count of the frames that pass, for a stream with conn_id, id, ts.
+def sample_stream(frames: DataFrame, seconds: float = 5.0, carry: list[str] | None = None, late: str = LATE, idle_seconds: float | None = IDLE_SECONDS) -> DataFrame:
+    """conn_id, id, frame_count, verification_count (and ts, error and the columns carry) of the frames that pass, for a stream with conn_id, id, ts.
 
-    A frame older than its connection's last passed one doesn't pass. Needs the RocksDB state store.
+    Rows whose column error (optional) isn't null are counted and come out, but never take a
+    connection's turn. A frame older than its connection's last passed one doesn't pass, one later
+    than late is dropped, and a connection without a frame for idle_seconds is over: a frame that
+    comes then starts a new one. Without idle_seconds connections never end. A task holds one
+    micro-batch's rows of a connection, so bound the batches (maxFilesPerTrigger, maxBytesPerTrigger)
+    where connections are busy. Needs the RocksDB state store.
     """
-    slim = frames.select(F.col("conn_id").cast("string").alias("conn_id"), F.col("id").cast("long").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    return slim.groupBy("conn_id").transformWithStateInPandas(FrameSampler(int(seconds * 1_000_000)), "conn_id string, id long, frame_count long, verification_count long", "append", "none")
+    error = F.col("error") if "error" in frames.columns else F.lit(None)
+    extra = ["ts", "error", *carry] if carry is not None else []
+    ts = F.col("ts").cast("timestamp")
+    slim = frames.select(F.col("conn_id").cast("string").alias("conn_id"), F.col("id").cast("long").alias("id"), ts.alias("ts"), F.unix_micros(ts).alias("micros"), error.cast("string").alias("error"), *(carry or []))
+    kinds = dict(slim.dtypes)
+    names = ["conn_id", "id", "frame_count", "verification_count", *extra]
+    schema = ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in names)
+    sampler = FrameSampler(int(seconds * 1_000_000), int((idle_seconds or 0) * 1_000_000), names)
+    if not idle_seconds:
+        return slim.groupBy("conn_id").transformWithStateInPandas(sampler, schema, "append", "none")
+    return slim.withWatermark("ts", late).groupBy("conn_id").transformWithStateInPandas(sampler, schema, "append", "EventTime")
