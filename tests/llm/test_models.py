@@ -1,4 +1,6 @@
 import math
+import os
+import resource
 import unicodedata
 import zlib
 from collections import Counter
@@ -9,7 +11,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from verispark.llm.kneser_ney import bigram_hash, discounts, op4_lm_scoring, pack, score, train, unpack
+from verispark.llm.kneser_ney import discounts, gram_hash, op4_lm_scoring, pack, score, train, unpack
 from verispark.llm import language_id
 from verispark.llm.language_id import identify, keep_identified, learn_profiles, numbered, op7_language_id, predict, spelt, top_ids
 from verispark.llm.quality_classifier import SMOOTHING, fit, indicators, op6_quality, quality
@@ -28,63 +30,96 @@ def tokens(text):
 
 
 class Plain:
-    """The same model by dictionaries."""
+    """The same model by dictionaries, for any order."""
 
-    def __init__(self, texts):
-        self.c, self.big = Counter(), Counter()
+    def __init__(self, texts, order=2):
+        self.order, self.c, top = order, Counter(), Counter()
         for t in texts:
             w = tokens(t)
             self.c.update(w)
-            self.big.update(zip(["<s>", *w], w))
-        self.nc, self.cu, self.cont = Counter(w for _, w in self.big), Counter(), {}
-        for (u, _), n in self.big.items():
-            self.cu[u] += n
-            self.cont.setdefault(u, Counter())[min(n, 3)] += 1
-        of = lambda counts: discounts(*(sum(v == k for v in counts.values()) for k in range(1, 5)))
-        self.low, self.high = of(self.nc), of(self.big)
-        self.n, self.v = sum(self.c.values()), len(self.c)
-
-    def p(self, u, w):
-        d = lambda n, ds: 0 if n == 0 else ds[min(n, 3) - 1]
-        total = len(self.big)
-        if not hasattr(self, "mass"):
-            self.mass = sum(d(n, self.low) for n in self.nc.values()) / total if total else 1.0
-        mass = self.mass
-        low = (max(self.nc[w] - d(self.nc[w], self.low), 0) / total if total else 0) + mass / (self.v + 1)
-        if not self.cu[u]:
+            padded = ["<s>"] * (order - 1) + w
+            top.update(tuple(padded[k : k + order]) for k in range(len(w)))
+        self.counts, raw = {order: top}, top
+        for m in range(order - 1, 0, -1):
+            short, occurs = Counter(), Counter()
+            for g, n in raw.items():
+                occurs[g[1:]] += n
+            for g in self.counts[m + 1]:
+                short[g[1:]] += 1
+            self.counts[m] = Counter({g: occurs[g] if m > 1 and g[0] == "<s>" else n for g, n in short.items()})
+            raw = occurs
+        self.totals, self.cont = {}, {}
+        for m in range(2, order + 1):
+            for g, n in self.counts[m].items():
+                self.totals[g[:-1]] = self.totals.get(g[:-1], 0) + n
+                self.cont.setdefault(g[:-1], Counter())[min(n, 3)] += 1
+        self.d = {m: discounts(*(sum(v == k for v in c.values()) for k in range(1, 5))) for m, c in self.counts.items()}
+        self.n, self.v, self.continuations = sum(self.c.values()), len(self.c), sum(self.counts[1].values())
+        cut = lambda n, m: 0 if n == 0 else self.d[m][min(n, 3) - 1]
+        self.cut = cut
+        self.mass = sum(cut(n, 1) for n in self.counts[1].values()) / self.continuations if self.continuations else 1.0
+
+    def p(self, *gram):
+        n = self.counts[len(gram)][gram]
+        if len(gram) == 1:
+            return (max(n - self.cut(n, 1), 0) / self.continuations if self.continuations else 0) + self.mass / (self.v + 1)
+        low, context = self.p(*gram[1:]), gram[:-1]
+        if not self.totals.get(context):
             return low
-        n = self.big[u, w]
-        return max(n - d(n, self.high), 0) / self.cu[u] + sum(self.high[k - 1] * m for k, m in self.cont[u].items()) / self.cu[u] * low
+        back = sum(self.d[len(gram)][k - 1] * m for k, m in self.cont[context].items()) / self.totals[context]
+        return max(n - self.cut(n, len(gram)), 0) / self.totals[context] + back * low
 
     def row(self, text):
         w = tokens(text)
-        return len(w), sum(self.c[x] > 0 for x in w), sum(math.log10((self.c[x] + 0.1) / (self.n + 0.1 * (self.v + 1))) for x in w), sum(math.log10(self.p(u, x)) for u, x in zip(["<s>", *w], w))
+        padded = ["<s>"] * (self.order - 1) + w
+        return len(w), sum(self.c[x] > 0 for x in w), sum(math.log10((self.c[x] + 0.1) / (self.n + 0.1 * (self.v + 1))) for x in w), sum(math.log10(self.p(*padded[k : k + self.order])) for k in range(len(w)))
 
 
-@pytest.mark.parametrize("shard_bytes", [40_000, 1 << 24])
-def test_lm_equals_dictionaries(spark, sf, shard_bytes):
+@pytest.mark.parametrize("order,shard_bytes", [(2, 40_000), (2, 1 << 24), (3, 60_000), (3, 1 << 24), (4, 1 << 24)])
+def test_lm_equals_dictionaries(spark, sf, order, shard_bytes):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(awkward(spark).select("doc_id", "text"))
     rows = rows_of(docs)
-    plain = Plain([r["text"] for r in rows if r["doc_id"] is None or r["doc_id"] % 3])
-    model = train(docs.where("doc_id IS NULL OR doc_id % 3 <> 0"), shard_bytes=shard_bytes)
-    assert (model.tokens, model.types, model.continuations) == (plain.n, plain.v, len(plain.big))
+    plain = Plain([r["text"] for r in rows if r["doc_id"] is None or r["doc_id"] % 3], order)
+    model = train(docs.where("doc_id IS NULL OR doc_id % 3 <> 0"), shard_bytes=shard_bytes, order=order)
+    assert (model.tokens, model.types, model.continuations) == (plain.n, plain.v, plain.continuations)
     got = sorted(((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in rows_of(score(docs, model))))
     want = sorted((str(r["doc_id"]), *plain.row(r["text"])) for r in rows)
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert np.allclose([g[3:] for g in got], [w[3:] for w in want], rtol=1e-9)
 
 
-def test_lm_sums_to_one():
-    plain = Plain(["a b a b c", "a c b", "b b a"])
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_sums_to_one(order):
+    plain = Plain(["a b a b c", "a c b", "b b a"], order)
     for u in ("a", "b", "<s>", "never"):
-        assert sum(plain.p(u, w) for w in [*plain.c, "unseen"]) == pytest.approx(1)
+        for v in ("a", "b"):
+            context = (u, v)[3 - order :]
+            assert sum(plain.p(*context, w) for w in [*plain.c, "unseen"]) == pytest.approx(1)
 
 
 def test_lm_columns_round_trip():
     rng = np.random.default_rng(1)
-    columns = [np.sort(rng.integers(0, 2**48, 1000)), rng.integers(0, 2**48, 1000), rng.integers(0, 300, 1000), np.zeros(1000, np.int64)]
+    columns = [np.sort(rng.integers(0, 2**64, 1000, np.uint64)), rng.integers(0, 2**64, 1000, np.uint64), rng.integers(0, 300, 1000), np.zeros(1000, np.int64)]
     assert all((a == b).all() for a, b in zip(columns, unpack(pack(*columns))))
-    assert len(np.unique(bigram_hash(columns[0], columns[1]))) == 1000
+    assert len(np.unique(gram_hash(columns[:2]))) == 1000
+
+
+def test_lm_with_more_shards_than_descriptors(spark, sf):
+    """Some 2,000 shards under a limit of 256 descriptors: few are mapped at once, and none is opened in vain."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 120")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    model = train(docs, shard_bytes=max(1, size // 1400))
+    assert sum(model.shards) > 2000
+    texts = [r["text"] or "" for r in rows_of(docs)]
+    limit = resource.getrlimit(resource.RLIMIT_NOFILE)
+    used = len(os.listdir("/proc/self/fd"))
+    resource.setrlimit(resource.RLIMIT_NOFILE, (used + 256, limit[1]))
+    try:
+        got = model.score(texts)["score"]
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, limit)
+    plain = Plain(texts)
+    assert np.allclose(got, [plain.row(t)[3] for t in texts], rtol=1e-9)
 
 
 def test_lm_query_beats_base(spark):

@@ -1,27 +1,33 @@
-"""LM scoring with an interpolated modified Kneser-Ney bigram model.
+"""LM scoring with an interpolated modified Kneser-Ney n-gram model.
 
-Counting: each task turns its texts into word hashes, counts its own bigrams and deals them, packed
-in columns, to shards by bigram hash, so that a frequent word's bigrams are spread over all shards.
-A shard adds the counts up and writes its sorted hash array to the shared folder; what it knows of
-words (counts, continuation counts, contexts' totals and numbers of bigrams seen once, twice and
-more) is dealt on by word hash and written as sorted arrays too. Scoring: workers memory-map the
-arrays and look up the distinct words and bigrams of each piece of the corpus.
+Counting: each task turns its texts into word hashes, counts its own n-grams and deals them, packed
+in columns, to shards by n-gram hash, so that a frequent word's n-grams are spread over all shards.
+A shard adds the counts up and writes its sorted hash array to the shared folder. What it knows of
+shorter grams (continuation counts, and as contexts their totals and numbers of n-grams seen once,
+twice and more) is dealt on to the shards of the next shorter grams, down to words. Scoring:
+workers memory-map the arrays and look up the distinct grams of each piece of the corpus.
 
 Shards are sized by bytes of training text, so their memory is bounded and the model grows with
-the corpus on disk only. Files are written under a task-own name and then renamed, so a repeated
-task leaves the same file.
+the corpus on disk only. A shard is one file; a worker keeps MAX_OPEN of them mapped at once and
+opens only those that a piece of text asks for. Files are written under a task-own name and then
+renamed, so a repeated task leaves the same file.
 
-Words are identified by 48 bits of XXH64 and bigrams by 40 bits within their shard: at two million
-entries a shard, about two in a million unseen bigrams are taken for seen ones.
+Words are identified by their XXH64, longer grams by 40 bits within their shard: at two million
+entries a shard, about two in a million unseen grams are taken for seen ones.
 
 Defined results: null text is the empty text, whose only token is the end; without training rows
-every token has probability 1; rows that repeat an id count and are scored each; an empty table
-gives no rows; other columns are ignored.
+every token has probability 1; grams that begin a text are counted as often as they occur, all
+other shorter grams by what stands before them; rows that repeat an id count and are scored each;
+a very long text is one like any other; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,13 +39,17 @@ from pyspark.sql import functions as F
 
 from ._common import fold_of, new_path, pieces, posix_path, text_of
 
-#: Bytes of training text for which there is one shard of bigrams; words have one for two of them.
+ORDER = 2
+#: Bytes of training text for which there is one shard of n-grams; words have one for two of them.
 SHARD_BYTES = 24 << 20
-WORD_BITS, KEY_BITS = 48, 40
-#: Words whose hashes a worker keeps.
+KEY_BITS = 40
+#: Words whose hashes a worker keeps, and shards that it keeps mapped.
 MEMO = 400_000
+MAX_OPEN = 64
 _END, _START = b" ", b"  "  # no word has a space
-_STATS = ("c", "nc", "cu", "n1", "n2", "n3")
+#: What is known of a gram: its count as a shorter gram, how often it occurs, and its extensions' total and numbers of counts 1, 2 and more.
+_STATS = ("count", "raw", "total", "n1", "n2", "n3")
+_U = np.uint64
 
 
 class _Hashes(dict):
@@ -48,55 +58,58 @@ class _Hashes(dict):
 
         if len(self) >= MEMO:
             self.clear()
-        self[word] = out = xxh64_intdigest(word) >> (64 - WORD_BITS)
+        self[word] = out = xxh64_intdigest(word)
         return out
 
 
 _hashes = _Hashes()
 
 
-def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, words, numbers of tokens of each text), as hashes; each text ends with the end token."""
-    lists = [x.encode("utf-8", "surrogatepass").lower().split() for x in texts]
-    n = np.fromiter(map(len, lists), np.int64, len(lists)) + 1
-    get = _hashes.__getitem__
-    flat: list[bytes] = []
-    for words in lists:
-        flat += words
-        flat.append(_END)
-    words = np.fromiter(map(get, flat), np.int64, len(flat))
-    contexts = np.roll(words, 1)
-    contexts[np.cumsum(n) - n] = get(_START)
-    return contexts, words, n
-
-
-def bigram_hash(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """64 mixed bits of pairs of word hashes."""
-    x = contexts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words.astype(np.uint64)
-    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
-    return x ^ (x >> np.uint64(31))
-
-
-def bigram_place(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shard and key of bigram hashes."""
-    return ((h >> np.uint64(KEY_BITS)) * np.uint64(shards) >> np.uint64(64 - KEY_BITS)).astype(np.int64), h & np.uint64((1 << KEY_BITS) - 1)
-
-
-def word_place(words: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of word hashes; shards are ranges of hashes."""
-    return ((words >> 16) * shards) >> (WORD_BITS - 16)
+def tokens_of(texts: list[str], order: int = ORDER) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the words of every token's n-gram, first to last, as hashes; numbers of tokens of each text); each text ends with the end token."""
+    get, flat, n = _hashes.__getitem__, array("Q"), np.empty(len(texts), np.int64)
+    end = get(_END)
+    for k, x in enumerate(texts):  # a text's words are gone before the next one's come
+        before = len(flat)
+        flat.extend(map(get, x.encode("utf-8", "surrogatepass").lower().split()))
+        flat.append(end)
+        n[k] = len(flat) - before
+    words = np.frombuffer(flat, _U) if len(flat) else np.zeros(0, _U)
+    out, starts, begin = [words], np.cumsum(n) - n, _U(get(_START))
+    for _ in range(order - 1):
+        before = np.roll(out[0], 1)
+        before[starts] = begin
+        out.insert(0, before)
+    return out, n
+
+
+def gram_hash(words: list[np.ndarray]) -> np.ndarray:
+    """64 mixed bits of grams of word hashes; a single word is its own hash."""
+    h = words[0]
+    for w in words[1:]:
+        h = h * _U(0x9E3779B97F4A7C15) + w
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> _U(shift))) * _U(by)
+        h ^= h >> _U(31)
+    return h
+
+
+def place(h: np.ndarray, shards: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shard and key of grams' hashes; shards are ranges of hashes, a word's key is its whole hash."""
+    shard = ((h >> _U(KEY_BITS)) * _U(shards) >> _U(64 - KEY_BITS)).astype(np.int64)
+    return shard, h if level == 1 else h & _U((1 << KEY_BITS) - 1)
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of non-negative integers; the first is ascending and kept as differences."""
+    """Columns of unsigned integers; the first is ascending and kept as differences."""
     import zstandard
 
     out = [np.array([len(columns), len(columns[0])], "<i8").tobytes()]
     for k, c in enumerate(columns):
-        c = np.diff(c, prepend=0) if k == 0 else c
+        c = c.astype(_U)
+        c = np.diff(c, prepend=_U(0)) if k == 0 else c
         width = max(1, (int(c.max(initial=0)).bit_length() + 7) // 8)
-        planes = np.ascontiguousarray(c, "<i8").view(np.uint8).reshape(-1, 8)[:, :width]
+        planes = np.ascontiguousarray(c, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
         raw = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
         out += [np.array([width, len(raw)], "<i8").tobytes(), raw]
     return b"".join(out)
@@ -112,8 +125,8 @@ def unpack(blob: bytes) -> list[np.ndarray]:
         at += 16
         full = np.zeros((n, 8), np.uint8)
         full[:, :width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at : at + size]), np.uint8).reshape(width, n).T
-        c = full.reshape(-1).view("<i8")
-        out.append(np.cumsum(c) if i == 0 else c)
+        c = full.reshape(-1).view("<u8")
+        out.append(np.cumsum(c, dtype=_U) if i == 0 else c)
         at += size
     return out
 
@@ -128,20 +141,93 @@ def _summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[first], order[first], [np.add.reduceat(c[order], first) for c in columns]
 
 
-def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
+def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """One file: a line that says what is where, then the arrays, each from a multiple of 16 bytes on."""
     os.makedirs(folder, exist_ok=True)
+    index, at, parts = {}, 0, []
     for k, a in arrays.items():
-        own = f"{folder}/.{name}.{k}-{TaskContext.get().taskAttemptId()}"
-        a.tofile(own)
-        os.replace(own, f"{folder}/{name}.{k}")
+        raw = a.tobytes() + b"\0" * (-a.nbytes % 16)
+        index[k] = (a.dtype.str, at, len(a))
+        at += len(raw)
+        parts.append(raw)
+    head = json.dumps(index).encode()
+    head += b" " * (-(len(head) + 1) % 16) + b"\n"
+    own = f"{folder}/.{name}-{TaskContext.get().taskAttemptId()}"
+    with open(own, "wb") as f:
+        f.write(head)
+        f.writelines(parts)
+    os.replace(own, f"{folder}/{name}")
+
+
+def _small(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in a byte each; those from 255 on stand in a list of (place, count) besides."""
+    big = np.flatnonzero(values >= 255)
+    return {name: np.minimum(values, 255).astype("<u1"), f"{name}+": np.stack([big.astype(np.int64), values[big].astype(np.int64)], axis=1).ravel().astype("<i8")}
+
+
+def _keys(key: np.ndarray, level: int) -> dict[str, np.ndarray]:
+    return {"key": key.astype("<u8")} if level == 1 else {"high": (key >> _U(8)).astype("<u4"), "low": (key & _U(255)).astype("<u1")}
+
+
+class Shard:
+    """A mapped file of grams."""
+
+    def __init__(self, path: str):
+        raw = np.memmap(path, np.uint8, "r")
+        head = bytes(raw[: 1 << 12]).split(b"\n", 1)[0]
+        base = len(head) + 1
+        self.arrays = {k: raw[base + at : base + at + np.dtype(t).itemsize * n].view(t) for k, (t, at, n) in json.loads(head).items()}
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Where each key stands, or -1."""
+        found, open_, a = np.full(len(key), -1, np.int64), np.arange(len(key)), self.arrays
+        if "key" in a:
+            at = np.searchsorted(a["key"], key)
+            open_ = open_[at < len(a["key"])]
+            open_ = open_[a["key"][at[open_]] == key[open_]]
+            found[open_] = at[open_]
+            return found
+        high, low = (key >> _U(8)).astype(np.uint32), (key & _U(255)).astype(np.uint8)
+        at = np.searchsorted(a["high"], high)
+        while len(open_):
+            open_ = open_[at[open_] < len(a["high"])]
+            open_ = open_[a["high"][at[open_]] == high[open_]]
+            same = a["low"][at[open_]] == low[open_]
+            found[open_[same]] = at[open_[same]]
+            open_ = open_[~same]
+            at[open_] += 1
+        return found
+
+    def values(self, name: str, found: np.ndarray) -> np.ndarray:
+        """The counts at places that find() gave; 0 for -1."""
+        if name not in self.arrays or not len(self.arrays[name]):
+            return np.zeros(len(found), np.int64)
+        out = np.where(found >= 0, self.arrays[name][np.maximum(found, 0)], 0).astype(np.int64)
+        if (big := np.flatnonzero(out == 255)).size:
+            more = self.arrays[f"{name}+"].reshape(-1, 2)
+            out[big] = more[np.searchsorted(more[:, 0], found[big]), 1]
+        return out
+
+
+_open: OrderedDict[str, Shard | None] = OrderedDict()
+
+
+def _shard(path: str) -> Shard | None:
+    """The shard of a path, None if nothing was written for it; the least recently used one is closed."""
+    if path in _open:
+        _open.move_to_end(path)
+    else:
+        while len(_open) >= MAX_OPEN:
+            _open.popitem(last=False)
+        _open[path] = Shard(path) if os.path.exists(path) else None
+    return _open[path]
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """Rows of each shard; the rows come sorted by shard."""
     shard, held = None, []
     for batch in batches:
-        for row in range(batch.num_rows):
-            r = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
+        for r in batch.to_pylist():
             if r["shard"] != shard and held:
                 yield shard, held
                 held = []
@@ -166,147 +252,133 @@ def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Where the sorted hash arrays are, and the corpus totals."""
+    """Where the sorted hash arrays are, and the corpus totals; discounts are those of words, bigrams and so on."""
 
     folder: str
-    shards: int
-    word_shards: int
+    order: int
+    shards: tuple[int, ...]
     tokens: int
     types: int
     continuations: int
-    low: tuple[float, float, float]
-    low_mass: float
-    high: tuple[float, float, float]
-
-    def _open(self, name: str, **kinds: str) -> dict[str, np.ndarray]:
-        if (key := (self.folder, name)) not in _maps:
-            paths = {k: f"{self.folder}/{name}.{k}" for k in kinds}
-            _maps[key] = {k: np.memmap(p, kinds[k], "r") if os.path.exists(p) and os.path.getsize(p) else np.zeros(0, kinds[k]) for k, p in paths.items()}
-        return _maps[key]
-
-    def words(self, words: np.ndarray) -> dict[str, np.ndarray]:
-        """The statistics of ascending distinct words (0 where unknown)."""
-        out = {k: np.zeros(len(words), np.int64) for k in _STATS}
-        cuts = np.searchsorted(word_place(words, self.word_shards), np.arange(self.word_shards + 1))
-        for s in range(self.word_shards):
-            q = words[cuts[s] : cuts[s + 1]]
-            if len(q):
-                m = self._open(f"words-{s}", key="<i8", **{k: "<i8" for k in _STATS})
-                if len(m["key"]):
-                    at = np.minimum(np.searchsorted(m["key"], q), len(m["key"]) - 1)
-                    hit = m["key"][at] == q
-                    for k in _STATS:
-                        out[k][cuts[s] : cuts[s + 1]] = np.where(hit, m[k][at], 0)
+    discounts: tuple[tuple[float, float, float], ...]
+    mass: float
+
+    def look_up(self, level: int, h: np.ndarray, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+        """Statistics of ascending distinct grams (0 where unknown); only the shards that they fall into are opened."""
+        out = {k: np.zeros(len(h), np.int64) for k in names}
+        shard, key = place(h, self.shards[level - 1], level)
+        cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(h))
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            if found := _shard(f"{self.folder}/{level}-{shard[a]}"):
+                at = found.find(key[a:b])
+                for k in names:
+                    out[k][a:b] = found.values(k, at)
         return out
 
-    def bigrams(self, h: np.ndarray) -> np.ndarray:
-        """The counts of ascending bigram hashes."""
-        shard, key = bigram_place(h, self.shards)
-        out, cuts = np.zeros(len(h), np.int64), np.searchsorted(shard, np.arange(self.shards + 1))
-        for s in range(self.shards):
-            part = slice(cuts[s], cuts[s + 1])
-            m = self._open(f"bigrams-{s}", high="<u4", low="<u1", count="<u1", more="<i8")
-            if cuts[s] == cuts[s + 1] or not len(m["high"]):
-                continue
-            high, low = (key[part] >> np.uint64(8)).astype(np.uint32), (key[part] & np.uint64(255)).astype(np.uint8)
-            at = np.searchsorted(m["high"], high)
-            found, open_ = np.full(len(high), -1, np.int64), np.arange(len(high))
-            while len(open_):
-                open_ = open_[at[open_] < len(m["high"])]
-                open_ = open_[m["high"][at[open_]] == high[open_]]
-                same = m["low"][at[open_]] == low[open_]
-                found[open_[same]] = at[open_[same]]
-                open_ = open_[~same]
-                at[open_] += 1
-            c = np.where(found >= 0, m["count"][np.maximum(found, 0)], 0).astype(np.int64)
-            if (big := np.flatnonzero(c == 255)).size:
-                more = m["more"].reshape(-1, 2)
-                c[big] = more[np.searchsorted(more[:, 0], found[big]), 1]
-            out[part] = c
-        return out
+    def _each(self, level: int, words: list[np.ndarray], names: tuple[str, ...]) -> dict[str, np.ndarray]:
+        h, which = np.unique(gram_hash(words), return_inverse=True)
+        return {k: v[which] for k, v in self.look_up(level, h, names).items()}
 
     def score(self, texts: list[str]) -> dict[str, np.ndarray]:
         """n_tokens, n_known, base_score and score of each text."""
-        contexts, words, n = tokens_of(texts)
+        words, n = tokens_of(texts, self.order)
         starts = np.cumsum(n) - n
-        known, inverse = np.unique(np.concatenate([words, contexts]), return_inverse=True)
-        stats = self.words(known)
-        w, u = inverse[: len(words)], inverse[len(words) :]
-        base = np.log10((stats["c"] + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
-        low = (np.maximum(stats["nc"] - _discount(stats["nc"], self.low), 0) / self.continuations if self.continuations else 0.0) + self.low_mass / (self.types + 1)
-        total = np.maximum(stats["cu"], 1)
-        back = np.where(stats["cu"] > 0, (self.high[0] * stats["n1"] + self.high[1] * stats["n2"] + self.high[2] * stats["n3"]) / total, 1.0)
-        h, first, which = np.unique(bigram_hash(contexts, words), return_index=True, return_inverse=True)
-        c = self.bigrams(h)
-        wi, ui = w[first], u[first]
-        p = np.log10(np.maximum(c - _discount(c, self.high), 0) / total[ui] + back[ui] * np.broadcast_to(low, len(known))[wi])
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
-        return {"n_tokens": n, "n_known": add((stats["c"] > 0)[w].astype(np.int64)), "base_score": add(base[w]), "score": add(p[which])}
-
-
-_maps: dict[tuple[str, str], dict[str, np.ndarray]] = {}
-
-
-def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> Model:
-    """Count all texts of docs and write the model to folder (default: a new one in the shared folder)."""
+        known, which = np.unique(words[-1], return_inverse=True)
+        c = self.look_up(1, known, ("raw",))["raw"]
+        base = np.log10((c + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
+        out = {"n_tokens": n, "n_known": add((c > 0)[which].astype(np.int64)), "base_score": add(base[which])}
+        # a token's probability depends on its n-gram only
+        _, first, gram = np.unique(gram_hash(words), return_index=True, return_inverse=True)
+        own = [w[first] for w in words]
+        seen = self._each(1, own[-1:], ("count",))["count"]
+        p = (np.maximum(seen - _discount(seen, self.discounts[0]), 0) / self.continuations if self.continuations else 0.0) + np.full(len(seen), self.mass / (self.types + 1))
+        for level in range(2, self.order + 1):
+            seen, d = self._each(level, own[-level:], ("count",))["count"], self.discounts[level - 1]
+            context = self._each(level - 1, own[-level:-1], ("total", "n1", "n2", "n3"))
+            total = np.maximum(context["total"], 1)
+            back = np.where(context["total"] > 0, (d[0] * context["n1"] + d[1] * context["n2"] + d[2] * context["n3"]) / total, 1.0)
+            p = np.maximum(seen - _discount(seen, d), 0) / total + back * p
+        return out | {"score": add(np.log10(p)[gram])}
+
+
+def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, shard_bytes: int = SHARD_BYTES, order: int = ORDER) -> Model:
+    """Count all texts of docs and write the model of n-grams up to order to folder (default: a new one in the shared folder)."""
+    if order < 2:
+        raise ValueError("order is 2 or more")
     spark = docs.sparkSession
     to = posix_path(folder or new_path(spark, "kneser_ney"))
     texts = docs.select(text_of(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    word_shards = max(1, -(-shards // 2))
-    packed = pa.schema([("shard", pa.int64()), ("columns", pa.binary())])
+    most = max(1, -(-size // shard_bytes))
+    shards = (max(1, -(-most // 2)), *[most] * (order - 1))
+    dealt, kinds = pa.schema([("shard", pa.int64()), ("columns", pa.binary()), ("tally", pa.list_(pa.int64()))]), "shard long, columns binary, tally array<long>"
+    start = _hashes[_START]
+
+    def deal(words: list[np.ndarray], h: np.ndarray, stats: list[np.ndarray], tally: list[int]) -> pa.RecordBatch:
+        """Packed rows of grams, by the shards of their level; the first row has the tally."""
+        shard, _ = place(h, shards[len(words) - 1], len(words))
+        order_ = np.lexsort((words[0], shard))
+        cuts = np.append(np.flatnonzero(np.diff(shard[order_], prepend=-1)), len(h))
+        parts = [order_[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+        blobs = [pack(*(x[p] for x in (*words, *stats))) for p in parts]
+        tallies = [tally, *([0] * len(tally) for _ in parts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([int(shard[p[0]]) for p in parts], blobs, tallies), dealt.types)], schema=dealt)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            contexts, words, _ = tokens_of(batch.column("text").to_pylist())
-            _, one, (n,) = _summed(h := bigram_hash(contexts, words), np.ones(len(words), np.int64))
-            shard, _ = bigram_place(h[one], shards)
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(cuts)).tolist():
-                part = one[cuts[s] : cuts[s + 1]]
-                order = np.argsort(contexts[part])
-                blob = pack(contexts[part][order], words[part][order], n[cuts[s] : cuts[s + 1]][order])
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([blob], pa.binary())], schema=packed)
-
-    dealt = pa.schema([("shard", pa.int64()), ("columns", pa.binary()), *((f"b{k}", pa.int64()) for k in range(1, 5))])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, rows in _by_shard(batches):
-            u, w, n = (np.concatenate(c) for c in zip(*(unpack(r["columns"]) for r in rows)))
-            del rows
-            key, one, (c,) = _summed(bigram_place(bigram_hash(u, w), shards)[1], n)
-            u, w = u[one], w[one]
-            big = np.flatnonzero(c >= 255)
-            _save(to, f"bigrams-{s}", high=(key >> np.uint64(8)).astype("<u4"), low=(key & np.uint64(255)).astype("<u1"), count=np.minimum(c, 255).astype("<u1"), more=np.stack([big, c[big]], axis=1).astype("<i8"))
-            words = np.unique(np.concatenate([u, w]))
-            place = lambda x, v: np.bincount(np.searchsorted(words, x), v, len(words)).astype(np.int64)  # noqa: E731, B023  exact below 2^53
-            columns = [place(w, c), place(w, None), place(u, c), *(place(u, m) for m in (c == 1, c == 2, c > 2))]
-            of = word_place(words, word_shards)
-            cuts, seen = np.searchsorted(of, np.arange(word_shards + 1)), [int((c == k).sum()) for k in range(1, 5)]
-            for ws in np.flatnonzero(np.diff(cuts)).tolist():
-                part = slice(cuts[ws], cuts[ws + 1])
-                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (ws, pack(words[part], *(x[part] for x in columns)), *seen)], schema=dealt)
-                seen = [0] * 4
-
-    sums = pa.schema([(k, pa.int64()) for k in ("tokens", "types", "continuations", "t1", "t2", "t3", "t4", "b1", "b2", "b3", "b4")])
+            words, _ = tokens_of(batch.column("text").to_pylist(), order)
+            h, one, (n,) = _summed(gram_hash(words), np.ones(len(words[0]), np.int64))
+            yield deal([w[one] for w in words], h, [n], [0] * (4 * order))
+
+    def merged(level: int, rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[int]]:
+        """Keys, words, statistics and tally of a shard's grams, added up; the tally counts counts of 1 to 4 at each level."""
+        columns = [np.concatenate(c) for c in zip(*(unpack(r["columns"]) for r in rows))]
+        words, stats = columns[:level], [c.astype(np.int64) for c in columns[level:]]
+        key, one, stats = _summed(place(gram_hash(words), shards[level - 1], level)[1], *stats)
+        tally = np.sum([r["tally"] for r in rows], axis=0).tolist()
+        tally[4 * level - 4 : 4 * level] = [int((stats[0] == k).sum()) for k in range(1, 5)]
+        return key, [w[one] for w in words], stats, tally
+
+    def merge(level: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for s, rows in _by_shard(batches):
+                key, words, stats, tally = merged(level, rows)
+                del rows
+                named = {"count": stats[0]} if level == order else dict(zip(_STATS, stats))
+                _save(to, f"{level}-{s}", _keys(key, level) | {k: v for name, x in named.items() if name != "raw" for k, v in _small(name, x).items()})
+                c, raw = stats[0], stats[0] if level == order else stats[1]
+                seen = c > 0
+                c, raw, words = c[seen], raw[seen], [w[seen] for w in words]
+                # as the end of longer grams, and as the context of them
+                zero = np.zeros(len(c), np.int64)
+                count_ = np.where(words[1] == start, raw, 1) if level > 2 else zero + 1
+                both = [np.concatenate([a, b]) for a, b in zip(words[1:], words[:-1])]
+                columns = [np.concatenate(x) for x in ((count_, zero), (raw, zero), (zero, c), (zero, c == 1), (zero, c == 2), (zero, c > 2))]
+                h, one, sums = _summed(gram_hash(both), *columns)
+                yield deal([w[one] for w in both], h, sums, tally)
+
+        return run
+
+    names = ["tokens", "types", "continuations", *(f"t{k}" for k in range(4 * order))]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ws, rows in _by_shard(batches):
-            merged = [np.concatenate(c) for c in zip(*(unpack(r["columns"]) for r in rows))]
-            key, _, stats = _summed(merged[0], *merged[1:])
-            _save(to, f"words-{ws}", key=key.astype("<i8"), **{k: v.astype("<i8") for k, v in zip(_STATS, stats)})
-            c, nc = stats[0], stats[1]
-            total = [c.sum(), (c > 0).sum(), nc.sum(), *((nc == k).sum() for k in range(1, 5)), *(sum(r[f"b{k}"] for r in rows) for k in range(1, 5))]
-            yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in total], schema=sums)
-
-    counted = texts.mapInArrow(count, "shard long, columns binary").repartition(shards, "shard").sortWithinPartitions("shard")
-    words = counted.mapInArrow(merge, "shard long, columns binary, b1 long, b2 long, b3 long, b4 long").repartition(word_shards, "shard").sortWithinPartitions("shard")
-    t = words.mapInArrow(finish, ", ".join(f"{k} long" for k in sums.names)).agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in sums.names)).first()
-    low = discounts(t["t1"], t["t2"], t["t3"], t["t4"])
-    high = discounts(t["b1"], t["b2"], t["b3"], t["b4"])
-    mass = (low[0] * t["t1"] + low[1] * t["t2"] + low[2] * (t["types"] - t["t1"] - t["t2"])) / t["continuations"] if t["continuations"] else 1.0
-    return Model(to, shards, word_shards, t["tokens"], t["types"], t["continuations"], low, mass, high)
+        for s, rows in _by_shard(batches):
+            key, _, stats, tally = merged(1, rows)
+            _save(to, f"1-{s}", _keys(key, 1) | {k: v for name, x in zip(_STATS, stats) for k, v in _small(name, x).items()})
+            total = [stats[1].sum(), (stats[1] > 0).sum(), stats[0].sum(), *tally]
+            yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in total], names=names)
+
+    grams = texts.mapInArrow(count, kinds)
+    for level in range(order, 0, -1):
+        # a shard is a task of its own
+        mine = grams.repartitionById(shards[level - 1], F.col("shard").cast("int")).sortWithinPartitions("shard")
+        grams = mine.mapInArrow(merge(level), kinds) if level > 1 else mine.mapInArrow(finish, ", ".join(f"{k} long" for k in names))
+    t = grams.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in names)).first()
+    d = tuple(discounts(*(t[f"t{4 * k + j}"] for j in range(4))) for k in range(order))
+    ones, twos = t["t0"], t["t1"]
+    mass = (d[0][0] * ones + d[0][1] * twos + d[0][2] * (t["types"] - ones - twos)) / t["continuations"] if t["continuations"] else 1.0
+    return Model(to, order, shards, t["tokens"], t["types"], t["continuations"], d, mass)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
