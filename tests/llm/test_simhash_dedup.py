@@ -70,8 +70,8 @@ def test_star(edges):
     assert set(zip(low.tolist(), other.tolist())) == want
 
 
-@pytest.mark.parametrize("dense", [1, 4096])
-def test_links_and_components(spark, dense):
+@pytest.mark.parametrize("dense,denser", [(0, 0), (1, 256), (4096, 256)])
+def test_links_and_components(spark, dense, denser):
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 2**63, 30)
     fps = [0]
@@ -84,7 +84,7 @@ def test_links_and_components(spark, dense):
             s = x  # chains
     fps = sorted(set(fps))
     df = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(5)
-    comp = {r["node"]: r["root"] for r in components(links(df, dense=dense)).collect()}
+    comp = {r["node"]: r["root"] for r in components(links(df, dense=dense, denser=denser)).collect()}
     want = roots([(k, f) for k, f in enumerate(fps)])
     got = [comp.get(f, f) for f in fps]
     assert len(set(got)) == len(set(want))

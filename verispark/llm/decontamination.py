@@ -109,28 +109,44 @@ def _joined(docs: DataFrame, windows: DataFrame, text: str, into: str) -> DataFr
     """docs with a column of hits by a shuffle on the windows, for a benchmark too large to broadcast.
 
     Texts go by SHA-256, so that equal texts are scanned once and different ones never share hits.
+    Windows meet by their XXH64, and what meets is verified by the windows' bytes.
     """
     sizes = [r[0] for r in windows.select("n_words").distinct().collect()]  # at most NGRAM values
 
-    @F.arrow_udf("array<struct<at: int, window: binary>>")
+    @F.arrow_udf("array<struct<at: int, hash: bigint>>")
     def candidates(texts: pa.Array) -> pa.Array:
-        rows = []
+        from xxhash import xxh64_digest
+
+        ats, digests, ends = [], [], [0]
         for t in texts.to_pylist():
             words = words_of(t)
-            rows.append([{"at": at, "window": b" ".join(words[at : at + k])} for k in sizes for at in range(len(words) - k + 1)])
-        return pa.array(rows, pa.list_(pa.struct([("at", pa.int32()), ("window", pa.binary())])))
+            for k in sizes:
+                n = max(0, len(words) - k + 1)
+                ats.append(np.arange(n, dtype=np.int32))
+                digests += [xxh64_digest(b" ".join(words[at : at + k])) for at in range(n)]
+            ends.append(len(digests))
+        hashes = np.frombuffer(b"".join(digests), "<i8")
+        pair = pa.StructArray.from_arrays([pa.array(np.concatenate(ats) if ats else np.zeros(0, np.int32)), pa.array(hashes)], names=["at", "hash"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pair)
+
+    @F.arrow_udf("bigint")
+    def hash_of(windows: pa.Array) -> pa.Array:
+        from xxhash import xxh64_digest
+
+        return pa.array(np.frombuffer(b"".join(xxh64_digest(w) for w in windows.to_pylist()), "<i8"))
 
     @F.arrow_udf(_HITS)
     def assemble(texts: pa.Array, found: pa.Array) -> pa.Array:
         rows = []
         for t, hits in zip(texts.to_pylist(), found.to_pylist()):
-            rows.append(_row(t, words_of(t), [(h["at"], h["n_words"], h["item_ids"]) for h in hits or []]))
+            words = words_of(t)
+            rows.append(_row(t, words, [(h["at"], h["n_words"], h["item_ids"]) for h in hits or [] if b" ".join(words[h["at"] : h["at"] + h["n_words"]]) == h["window"]]))
         return pa.array(rows, _HITS_ARROW)
 
     name, got = unused(docs, "text_sha256"), unused(docs, "windows_found")
-    key = F.sha2(text_of(text), 256)
+    key = F.unhex(F.sha2(text_of(text), 256))
     exploded = docs.select(key.alias("key"), text_of(text).alias("t")).dropDuplicates(["key"]).select("key", F.explode(candidates("t")).alias("c")).select("key", "c.*")
-    found = exploded.join(windows, "window").groupBy("key").agg(F.collect_list(F.struct("at", "n_words", "item_ids")).alias(got))
+    found = exploded.join(windows.withColumn("hash", hash_of("window")), "hash").groupBy("key").agg(F.collect_list(F.struct("at", "n_words", "window", "item_ids")).alias(got))
     rows = docs.withColumn(name, key).join(found.withColumnRenamed("key", name), name, "left")
     return rows.withColumn(into, assemble(text_of(text), F.col(got))).drop(name, got)
 

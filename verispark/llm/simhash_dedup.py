@@ -9,8 +9,10 @@ either one, and each anchor's members are compared there with the full 64 bits.
 a star of each component that it finds, never all pairs. Equal fingerprints are
 one node, and components come from rounds of large-star and small-star joins.
 
-Anchors that are home to over DENSE fingerprints have their members dealt again by eight-bit blocks of the other half: two
-fingerprints within three bits agree in one of its four blocks, so nothing is lost.
+Anchors that are home to over DENSE fingerprints have their members dealt again by parts of the
+other half. Two fingerprints within three bits agree in one of its four bytes; above DENSE * DENSER
+homes they are dealt by three of its six blocks of five or six bits, three of which agree as well.
+So nothing is lost, and a group shrinks by 2^8 or some 2^16.
 
 Defined results: null text is the empty text; texts without words have fingerprint zero and link
 like any other; rows that repeat an id count as rows; an empty table gives no rows; other columns
@@ -20,6 +22,7 @@ are ignored, also when they share the results' names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,11 @@ MAX_BITS = 3
 SEED = 42
 #: Fingerprints at home at an anchor beyond which its members are dealt again by blocks of the other half.
 DENSE = 4096
+#: So many times more make it an anchor whose members are dealt by finer parts.
+DENSER = 256
+_BYTES = [0xFF << (8 * k) for k in range(4)]
+_BLOCKS = [(2**b - 1) << a for a, b in ((0, 6), (6, 5), (11, 5), (16, 5), (21, 5), (26, 6))]
+_TRIPLES = [a | b | c for a, b, c in combinations(_BLOCKS, 3)]
 #: Pairs that are compared at once.
 PAIRS = 1 << 20
 
@@ -190,18 +198,19 @@ def _compare(max_bits: int):
     return run
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE, denser: int = DENSER) -> DataFrame:
     """a, b: edges whose components are those of all pairs of distinct fingerprints within max_bits."""
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the covering code is made for at most 3 differing bits")
     # a fingerprint becomes some thirty rows, so the few bytes that it has now say little about the tasks that it needs
     fps = fps.repartition(max(fps.sparkSession.sparkContext.defaultParallelism, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "fp")
     members = fps.mapInArrow(_replicate, "anchor long, fp long, home boolean")
-    hot = checkpointed(fps.mapInArrow(_homes, "anchor long").groupBy("anchor").agg(F.count("*").alias("homes")).where(F.col("homes") > dense).select("anchor", F.lit(True).alias("hot")))
-    members = members.withColumn("hot", F.lit(False)) if hot.isEmpty() else members.join(hot, "anchor", "left")
+    hot = checkpointed(fps.mapInArrow(_homes, "anchor long").groupBy("anchor").agg(F.count("*").alias("homes")).where(F.col("homes") > dense).select("anchor", F.when(F.col("homes") > dense * denser, 2).otherwise(1).alias("hot")))
+    members = members.withColumn("hot", F.lit(0)) if hot.isEmpty() else members.join(hot, "anchor", "left")
     other = F.when(F.col("anchor") < F.lit(1 << 32), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    blocks = F.array(*(F.lit(k << 8).cast("long") + F.shiftrightunsigned(other, 8 * k).bitwiseAND(F.lit(255).cast("long")) for k in range(4)))
-    dealt = members.withColumn("block", F.explode(F.when(F.col("hot"), blocks).otherwise(F.array(F.lit(-1).cast("long")))))
+    parts = lambda masks: F.array(*(F.lit(k << 32).cast("long") + other.bitwiseAND(F.lit(m).cast("long")) for k, m in enumerate(masks)))
+    blocks = F.when(F.col("hot") == 1, parts(_BYTES)).when(F.col("hot") == 2, parts(_TRIPLES)).otherwise(F.array(F.lit(-1).cast("long")))
+    dealt = members.withColumn("block", F.explode(blocks))
     dealt = dealt.select("anchor", "block", "fp", "home").repartition("anchor", "block").sortWithinPartitions("anchor", "block")
     return dealt.mapInArrow(_compare(max_bits), "a long, b long").distinct()
 
