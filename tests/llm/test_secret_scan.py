@@ -37,14 +37,14 @@ def expected(docs):
     out = []
     for d, text, _ in docs:
         b, g = base(text), generic(text)
-        added = [s for s in g if len(owners[s[3]]) <= 1]
-        out.append((d, b, sorted(added), sum(len(owners[s[3]]) >= 3 for s in b + g), sum(len(owners[s[3]]) <= 1 for s in b + g)))
+        n = {s: len(owners[s[3]]) for s in b + g}
+        out.append((d, b, sorted(s for s in g if n[s] <= 1), sorted(s for s in g if n[s] == 2), sum(n[s] >= 3 for s in b + g), sum(n[s] <= 1 for s in b + g), sum(n[s] == 2 for s in b + g)))
     return sorted(out, key=str)
 
 
 def got(df):
     t = lambda spans: [tuple(s[k] for k in ("start", "kind", "end", "secret")) for s in spans]
-    return sorted(((r["doc_id"], t(r["base"]), t(r["added"]), r["n_copied"], r["n_live"]) for r in rows_of(df)), key=str)
+    return sorted(((r["doc_id"], t(r["base"]), t(r["added"]), t(r["shared"]), r["n_copied"], r["n_live"], r["n_shared"]) for r in rows_of(df)), key=str)
 
 
 def many(spark):
@@ -63,10 +63,10 @@ def test_query_on_whole_table(spark, sf):
     docs = [(r["doc_id"], r["text"], r["source"]) for r in rows_of(spark.read.parquet(f"{sf}/documents.parquet"))]
     rows = {r["doc_id"]: r for r in rows_of(op9_secret_scan(spark, sf))}
     text = lambda spans: ",".join(f"{(*KINDS, 'generic')[k]}:{a}:{b}" for a, k, b, _ in sorted(spans))
-    for d, b, added, copied, live in expected(docs):
+    for d, b, added, both, copied, live, shared in expected(docs):
         r = rows.pop(d)
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[1] == k for s in b) for k in range(3))
-        assert r["base_sha256"] == sha256(text(b).encode()).hexdigest() and r["spans"] == text(b + added) and (r["n_copied"], r["n_live"]) == (copied, live)
+        assert r["base_sha256"] == sha256(text(b).encode()).hexdigest() and r["spans"] == text(b + added + both) and (r["n_copied"], r["n_live"], r["n_shared"]) == (copied, live, shared)
     assert not rows
 
 

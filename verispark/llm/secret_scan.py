@@ -4,8 +4,8 @@ Base spans come from three patterns. Candidates beyond them are runs of at least
 characters with upper-case, lower-case letters and digits. Each secret's hash is counted over the
 corpus by distinct documents (repositories) and sources (owners). A string that COPIED or more
 owners hold is a widely copied example; one that a single owner holds is a live-looking
-credential; what fewer than COPIED owners share is a class of its own. Candidates that look live are
-added to the spans, shared ones are returned beside them; base spans always stay.
+credential; what fewer than COPIED owners share is a class of its own. Candidates that look live and
+shared ones are added to the spans, widely copied ones aren't; base spans always stay.
 
 Positions are in code points: between the matches of a pattern lie the pieces that split() gives,
 so starts are running sums of both lengths. Rows are numbered after a checkpoint, so rows that
@@ -116,12 +116,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's base spans and those that ownership adds."""
+    """Every document's base spans, and the candidates that aren't widely copied."""
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        written(F.array_sort(F.concat("base", "added"))).alias("spans"), "n_copied", "n_live",
+        written(F.array_sort(F.concat("base", "added", "shared"))).alias("spans"), "n_copied", "n_live", "n_shared",
     )
 
 
@@ -143,9 +143,9 @@ own AS (SELECT secret, count(DISTINCT source) AS owners FROM every GROUP BY 1),
 w AS (SELECT doc_id, kind, a, e.n, owners, ['assign', 'access', 'hex', 'generic'][kind + 1] || ':' || a || ':' || (a + e.n) AS txt FROM every e JOIN own ON own.secret = e.secret),
 r AS (
   SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-    coalesce(string_agg(txt, ',' ORDER BY a, kind) FILTER (kind < 3), '') AS base, coalesce(string_agg(txt, ',' ORDER BY a, kind) FILTER (kind < 3 OR owners <= 1), '') AS spans,
-    count(*) FILTER (owners >= {COPIED}) AS n_copied, count(*) FILTER (owners <= 1) AS n_live FROM w GROUP BY 1
+    coalesce(string_agg(txt, ',' ORDER BY a, kind) FILTER (kind < 3), '') AS base, coalesce(string_agg(txt, ',' ORDER BY a, kind) FILTER (kind < 3 OR owners < {COPIED}), '') AS spans,
+    count(*) FILTER (owners >= {COPIED}) AS n_copied, count(*) FILTER (owners <= 1) AS n_live, count(*) FILTER (owners > 1 AND owners < {COPIED}) AS n_shared FROM w GROUP BY 1
 )
-SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared
 FROM d LEFT JOIN r ON r.doc_id = d.doc_id
 """
