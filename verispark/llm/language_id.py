@@ -33,7 +33,7 @@ PROFILE = 400
 MAX_LANGUAGES = 2000
 UNKNOWN = "und"
 #: Characters of text that are turned into n-grams at once.
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 19
 #: Codes of three letters that are numbered by a table; larger alphabets are numbered by sorting.
 TABLE_CODES = 1 << 22
 _POINTS = 0x40000
