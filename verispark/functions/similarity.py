@@ -18,6 +18,10 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
 def length_error(a: Column, b: Column) -> Column:
     """A message where two embeddings differ in length, else null."""
     return F.when(F.size(a) != F.size(b), F.concat(F.lit("embedding lengths differ: "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string")))
@@ -30,7 +34,7 @@ def expected_size(model_name: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine: 0 same direction, 1 orthogonal or a zero vector, 2 opposite; null on unequal length."""
-    norms = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+    norms = _norm(a) * _norm(b)
     return F.when(F.size(a) == F.size(b), F.when(norms == 0.0, F.lit(1.0)).otherwise(F.lit(1.0) - _dot(a, b) / norms))
 
 
