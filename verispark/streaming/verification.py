@@ -20,10 +20,12 @@ from .sampling import IDLE_SECONDS, LATE, sample_stream
 CARRY = ["insuree_uuid", "frame", "claim_code", "step_name", "service_uuid", "device_id"]
 
 
-def stored_embeddings(spark: SparkSession, embeddings: DataFrame, out: str, before: int | None = None) -> DataFrame:
-    """embeddings with the versions that the job's batches stored (before a batch id)."""
+def stored_embeddings(spark: SparkSession, embeddings: DataFrame, out: str, before: int | None = None, of: DataFrame | None = None) -> DataFrame:
+    """embeddings with the versions that the job's batches stored (before a batch id), of some subjects only if they are given."""
     log = spark.read.parquet(f"{out}/embeddings")
     log = (log if before is None else log.where(F.col("batch") < before)).drop("batch")
+    if of is not None:  # before versions are put in order, so a batch sorts those of its own subjects
+        embeddings, log = (df.join(of.select("subject_id"), "subject_id", "left_semi") for df in (embeddings, log))
     kinds = dict(embeddings.dtypes)
     more = {c: F.lit(None).cast(kinds[c]) for c in embeddings.columns if c not in log.columns and c != "validity_to"}
     return with_versions(embeddings, log.withColumns(more) if more else log)
@@ -48,10 +50,11 @@ def verify_stream(messages: DataFrame, tables: Callable[[SparkSession], dict[str
 
     def each(batch: DataFrame, n: int) -> None:
         session = batch.sparkSession
+        batch.persist()  # it is read several times, and comes out of the connections' state
         t = tables(session)
         people = active(t["subjects"]).select("insuree_uuid", "subject_id")
         good = batch.where("error IS NULL").drop("error").join(people, "insuree_uuid", "left")
-        found, new = verify(good, t["subjects"], stored_embeddings(session, t["embeddings"], out, n), t["photos"], cfg)
+        found, new = verify(good, t["subjects"], stored_embeddings(session, t["embeddings"], out, n, good.select("subject_id").distinct()), t["photos"], cfg)
         now = found.agg(F.max("ts")).first()[0]
         new.withColumn("validity_from", F.lit(now).cast("timestamp_ntz")).write.mode("overwrite").parquet(f"{out}/embeddings/batch={n}")
         append_audits(audits_from_results(found, t["claims"], t["services"], cfg, "service_uuid"), f"{out}/audits", n)
@@ -62,6 +65,7 @@ def verify_stream(messages: DataFrame, tables: Callable[[SparkSession], dict[str
         results.write.mode("overwrite").parquet(f"{out}/results/batch={n}")
         written = session.read.parquet(f"{out}/results/batch={n}").withColumn("timestamp", F.unix_micros("ts") / 1e6)
         format_results(written, ["conn_id"]).write.mode("overwrite").parquet(f"{out}/messages/batch={n}")
+        batch.unpersist()
 
     writer = passed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
