@@ -193,13 +193,13 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, trie_bytes: int) -> Dat
 
 
 def _sha(text: Column) -> Column:
-    """SHA-256 of a normalised text."""
+    """SHA-256 of a normalised text; never null, so a join on it needs no filter that would hash texts once more."""
 
     @F.arrow_udf("binary")
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([sha256(normalised(x)).digest() for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
 
-    return run(text)
+    return F.coalesce(run(text), F.lit(b""))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
