@@ -146,7 +146,7 @@ def _joined(docs: DataFrame, windows: DataFrame, text: str, into: str) -> DataFr
     name, got = unused(docs, "text_sha256"), unused(docs, "windows_found")
     key = F.unhex(F.sha2(text_of(text), 256))
     exploded = docs.select(key.alias("key"), text_of(text).alias("t")).dropDuplicates(["key"]).select("key", F.explode(candidates("t")).alias("c")).select("key", "c.*")
-    found = exploded.join(windows.withColumn("hash", hash_of("window")), "hash").groupBy("key").agg(F.collect_list(F.struct("at", "n_words", "window", "item_ids")).alias(got))
+    found = exploded.join(windows.withColumn("hash", F.coalesce(hash_of("window"), F.lit(0).cast("long"))), "hash").groupBy("key").agg(F.collect_list(F.struct("at", "n_words", "window", "item_ids")).alias(got))
     rows = docs.withColumn(name, key).join(found.withColumnRenamed("key", name), name, "left")
     return rows.withColumn(into, assemble(text_of(text), F.col(got))).drop(name, got)
 
