@@ -5,6 +5,7 @@ from __future__ import annotations
 from .best_fit_packing import op10_best_fit_packing
 from .decontamination import OP5_SQL, op5_decontamination
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .importance_resampling import OP13_SQL, op13_importance_resampling
 from .kneser_ney import op4_lm_scoring
 from .language_id import op7_language_id
 from .quality_classifier import op6_quality
@@ -13,5 +14,5 @@ from .simhash_dedup import op2_simhash_dedup
 from .token_binary import op3_token_binary
 from .token_counts import op8_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash_dedup, op3_token_binary, op4_lm_scoring, op5_decontamination, op6_quality, op7_language_id, op8_token_counts, op9_secret_scan, op10_best_fit_packing)}
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op9_secret_scan": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash_dedup, op3_token_binary, op4_lm_scoring, op5_decontamination, op6_quality, op7_language_id, op8_token_counts, op9_secret_scan, op10_best_fit_packing, op13_importance_resampling)}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op9_secret_scan": OP9_SQL, "op13_importance_resampling": OP13_SQL}
