@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +80,25 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         step = max(1, min(PIECE_ROWS, PIECE_BYTES // mean))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the UTF-8 bytes of an array of texts without nulls, where each text begins and the last ends)."""
+    texts = texts.cast(pa.large_binary())
+    rows = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[rows[0] : rows[-1]], rows - rows[0]
+
+
+def runs_of(data: np.ndarray, inside: np.ndarray, rows: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct runs of the bytes inside, each run's number among them, runs of each row); a run ends with its row."""
+    edges = np.unique(rows)
+    edges = edges[(edges > 0) & (edges < len(data))]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    first[edges] = inside[edges]
+    last[edges - 1] = inside[edges - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    runs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    return runs.dictionary, runs.indices.to_numpy(zero_copy_only=False), np.diff(np.searchsorted(starts, rows))

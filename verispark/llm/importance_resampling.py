@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._common import checkpointed, new_path, pieces, text_of, unused
+from ._common import checkpointed, new_path, pieces, runs_of, text_bytes, text_of, unused
 
 NGRAMS = 1
 BUCKETS = 10_000
@@ -46,22 +46,9 @@ _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
 
 def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, each word's number among them, words of each row) of an array of texts."""
-    texts = texts.cast(pa.large_binary())
-    rows = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[rows[0] : rows[-1]]
+    data, rows = text_bytes(texts)
     folded = _FOLD[data]
-    inside = folded != 32
-    edges = np.unique(rows - rows[0])
-    edges = edges[(edges > 0) & (edges < len(data))]
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    first[edges] = inside[edges]
-    last[edges - 1] = inside[edges - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(folded[inside])]).dictionary_encode()
-    return words.dictionary, words.indices.to_numpy(zero_copy_only=False), np.diff(np.searchsorted(starts, rows - rows[0]))
+    return runs_of(folded, folded != 32, rows)
 
 
 class Head:
