@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ._common import checkpointed, unused
 from .simhash_dedup import components, star
@@ -71,7 +72,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return unit(_lists(column)[0].reshape(-1, dim))
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(BinaryType())
 def node_key(label: pa.Array, vectors: pa.Array) -> pa.Array:
     """SHA-256 of label and numbers; null for what links with nothing."""
     values, at = _lists(vectors)
