@@ -67,7 +67,7 @@ def test_longer_runs_with_any_head(spark):
 
 def test_the_head_is_bounded_and_holds_pairs_of_its_words(spark):
     docs = many(spark)
-    for head in (12, 50):
+    for head in (45, 70):
         h = R.frequent(docs, ngrams=2, head=head)
         assert 0 < len(h.words) <= head and len(h.pairs) <= head
         assert set(h.pair_states.tolist()) <= {zlib.crc32(a + b" " + b) for a in h.words.to_pylist() for b in h.words.to_pylist()}
