@@ -34,3 +34,40 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once, its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+class SharedFiles:
+    """Small files in one folder of any file system that Spark knows, for the driver's own notes."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.jvm = spark.sparkContext._jvm
+        self.folder = self.jvm.org.apache.hadoop.fs.Path(folder)
+        self.fs = self.folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(self.folder, name)
+
+    def names(self) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.folder)] if self.fs.exists(self.folder) else []
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self._path(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Write a new file whole: it appears by a rename."""
+        self.fs.mkdirs(self.folder)
+        part = self._path(f"{name}.{uuid.uuid4().hex}")
+        stream = self.fs.create(part)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        if self.fs.exists(self._path(name)) or not self.fs.rename(part, self._path(name)):
+            raise FileExistsError(f"{name} is there already: two queries write this table")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._path(name), True)
