@@ -74,7 +74,7 @@ def test_stale(spark):
     assert '"model_name":"Other"' in VerifyConfig(provider_config={"model_name": "Other"}).snapshot
 
 
-@pytest.mark.parametrize("text,want", [(None, '{"k":{"a":1,"b":null}}'), ('{"x":[1,{"y":true}],"k":5}', '{"k":{"a":1,"b":null},"x":[1,{"y":true}]}'), ("{}", '{"k":{"a":1,"b":null}}')])
+@pytest.mark.parametrize("text,want", [(None, '{"k":{"a":1,"b":null}}'), ('{"x":[1,{"y":true}],"k":5}', '{"k":{"a":1,"b":null},"x":[1,{"y":true}]}'), ("{}", '{"k":{"a":1,"b":null}}'), ("null", '{"k":{"a":1,"b":null}}'), ("[1,2]", None), ('"x"', None), ("5", None), ("oops", None), ("", None)])
 def test_set_json_key(spark, text, want):
     value = F.struct(F.lit(1).alias("a"), F.lit(None).cast("string").alias("b"))
     assert one(spark, "j string", (text,), snapshot.set_json_key(F.col("j"), "k", value))[0] == want

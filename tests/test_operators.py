@@ -196,6 +196,19 @@ def test_versions_of_a_log(spark):
     assert {r["v"]: r["validity_to"] for r in history.with_versions(old, log).collect()} == {"a": day(1), "b": day(3), "c": None, "l1": day(5), "l2": None, "l3": None}
 
 
+def test_late_versions_of_a_log_stay_open(spark):
+    day = lambda n: T0 + dt.timedelta(n)
+    old = spark.createDataFrame([(1, "a", day(5), None)], "subject_id int, v string, validity_from timestamp, validity_to timestamp")
+    log = spark.createDataFrame([(1, "l1", day(3), 1), (1, "l2", day(1), 2)], "subject_id int, v string, validity_from timestamp, n int")
+    got = {r["v"]: (r["validity_from"], r["validity_to"]) for r in history.with_versions(old, log, order="n").collect()}
+    assert got == {"a": (day(5), day(5)), "l1": (day(5), day(5)), "l2": (day(5), None)}
+
+
+def test_greedy_takes_whole_times_only():
+    with pytest.raises(TypeError):
+        sampling.greedy(np.array([1.0, np.nan]), 5, None)
+
+
 def test_attach_reference_to_a_stream(spark, tmp_path):
     frames = spark.createDataFrame([(1, 1), (2, 2), (3, 9)], "id int, subject_id long")
     frames.write.parquet(f"{tmp_path}/in")
@@ -211,4 +224,7 @@ def test_merge_keeps_other_keys(spark):
     c = spark.createDataFrame([(1, '{"a":{"b":[1,true]},"biometric_risk_assessment":{"old":1}}'), (2, None), (3, '{"z":1}')], "claim_id long, json_ext string")
     scored = risk.claim_risk(audits(spark, {1: CASES[5], 2: CASES[1]})).withColumn("last_updated", F.lit(T0))
     got = {r["claim_id"]: r["json_ext"] for r in claims.merge_claim_ext(c, scored).collect()}
+    broken = spark.createDataFrame([(1, "[1,2]"), (2, "no json"), (3, "[1,2]")], "claim_id long, json_ext string")
+    assert {r["claim_id"]: r["json_ext"] for r in claims.merge_claim_ext(broken, scored).collect()} == {1: "[1,2]", 2: "no json", 3: "[1,2]"}
+    assert {r["claim_id"]: r["error"] for r in claims.unmerged_claims(broken, scored).collect()} == {1: "json_ext is not an object", 2: "json_ext is not JSON"}
     assert got[3] == '{"z":1}' and '"a":{"b":[1,true]}' in got[1] and '"old"' not in got[1] and '"risk_level":"CRITICAL"' in got[1] and '"last_updated":"2026-03-05T10:00:00"' in got[2]

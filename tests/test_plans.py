@@ -3,6 +3,7 @@
 import base64
 import datetime as dt
 import json
+import os
 import zlib
 
 import pytest
@@ -15,12 +16,13 @@ from verispark.plans import embedder
 from verispark.plans.insert import insert_audits
 from verispark.plans.refresh import refresh_embeddings, store_embeddings
 from verispark.plans.verify import audits_from_results, verify
-from verispark.sources.audits import append_audits
+from verispark.sources.audits import append_audits, audit_table
 from verispark.sources.messages import format_results, parse_frames, read_messages
 from verispark.sources.photos import load_photos
-from verispark.streaming.risk import current, current_claims, risk_stream, store_stream
+from verispark.streaming.risk import current_claims, current_risk, insert_stream, log_unmerged, risk_stream, store_stream
 from verispark.streaming.sampling import sample_stream
-from verispark.streaming.verification import stored_embeddings, verify_stream
+from verispark.streaming.verification import EmbeddingStore, verify_stream
+from verispark.tables import BatchTable
 
 T0 = dt.datetime(2026, 3, 5, 10)
 
@@ -163,14 +165,33 @@ def test_photos(spark, tmp_path):
     m = spark.createDataFrame([(1, "2024/01", "photo.jpg"), (2, None, None), (3, "2024/01", "gone.jpg"), (4, "..", "photo.jpg"), (5, "/2024//01/.", "photo.jpg")], "subject_id int, folder string, filename string")
     got = {r["subject_id"]: (r["content"] and bytes(r["content"]), r["error"]) for r in load_photos(spark, str(tmp_path), m).collect()}
     assert got == {1: (b"\xff\xd8", None), 2: (None, "no photo"), 3: (None, "file missing"), 4: (None, "path outside root"), 5: (b"\xff\xd8", None)}
+    assert {r["error"] for r in load_photos(spark, None, m).collect()} == {"no photo", "no photo root"}
+
+
+@pytest.mark.parametrize("folder", ["photos/x/photos", "it's a folder", 'quo"te & 100%', "ünï/日本"])
+def test_photos_of_any_root(spark, tmp_path, folder):
+    """A root whose last part comes twice, quotes, spaces; nothing is listed, so only the asked files are opened."""
+    root = tmp_path / folder
+    root.mkdir(parents=True)
+    (root / "a b.jpg").write_bytes(b"1")
+    m = spark.createDataFrame([(1, None, "a b.jpg"), (2, None, "b.jpg")], "subject_id int, folder string, filename string")
+    for name in (str(root), root.as_uri(), f"{root}/"):
+        assert {r["subject_id"]: (r["content"] and bytes(r["content"]), r["error"]) for r in load_photos(spark, name, m).collect()} == {1: (b"1", None), 2: (None, "file missing")}
+    assert "FileScan" not in load_photos(spark, str(root), m)._jdf.queryExecution().executedPlan().toString()
+    (root / "dir").mkdir()
+    m = spark.createDataFrame([(1, None, "dir")], "subject_id int, folder string, filename string")
+    assert [r["error"] for r in load_photos(spark, str(root), m).collect()] == ["file unreadable"]
+
+
+def test_photos_leave_a_task_in_bounded_pieces(spark, tmp_path, monkeypatch):
     from verispark.sources import photos as module
 
-    before, module.MAX_BROADCAST = module.MAX_BROADCAST, 0  # a manifest too large to broadcast
-    try:
-        assert {r["subject_id"]: (r["content"] and bytes(r["content"]), r["error"]) for r in load_photos(spark, str(tmp_path), m).collect()} == got
-    finally:
-        module.MAX_BROADCAST = before
-    assert {r["error"] for r in load_photos(spark, None, m).collect()} == {"no photo", "no photo root"}
+    monkeypatch.setattr(module, "HELD", 25)
+    for k in range(20):
+        (tmp_path / f"{k}.jpg").write_bytes(b"x" * 10)
+    m = spark.range(20).selectExpr("id subject_id", "cast(null as string) folder", "concat(id, '.jpg') filename").coalesce(1)
+    sizes = load_photos(spark, str(tmp_path), m).mapInArrow(lambda batches: (type(b).from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert [r["n"] for r in sizes.collect()] == [3] * 6 + [2]
 
 
 def test_parse_and_format(spark):
@@ -181,7 +202,9 @@ def test_parse_and_format(spark):
     assert {r["id"]: r["parse_error"] for r in dead.collect()} == {5: "invalid", 6: "empty", 7: "invalid", 8: "invalid"}
     more = [(1, None, '{"type":"frame","step_name":null}'), (2, zlib.compress(b" " * 200_000_000 + body.encode()), None)]
     rows = {r["id"]: r for r in read_messages(spark.createDataFrame(more, "id int, bytes binary, text string")).collect()}
-    assert (rows[1]["status"], rows[1]["step_name"], rows[1]["device_id"]) == ("frame", None, "") and rows[2]["status"] == "invalid"  # beyond the bound
+    assert (rows[1]["status"], rows[1]["step_name"], rows[1]["device_id"]) == ("frame", None, "") and rows[2]["status"] == "too_large"
+    one = spark.createDataFrame([(zlib.compress(json.dumps({"type": "frame", "frame": "x" * 5000}).encode()), None)], "bytes binary, text string")
+    assert [read_messages(one, max_inflated=k).first()["status"] for k in (1000, 1 << 20)] == ["too_large", "frame"]  # the bound is a parameter
     assert {(r["step_name"], r["device_id"]) for r in frames.collect()} == {("unknown", "")}
     df = spark.createDataFrame([(True, 99.5, None), (None, None, "boom")], "verified boolean, confidence double, error string")
     got = [json.loads(r["value"]) for r in format_results(df).collect()]
@@ -193,7 +216,8 @@ def test_append_is_idempotent_per_batch(spark, tmp_path):
     a = spark.createDataFrame([(1, 0.5, T0)], "claim_id long, similarity_score double, audit_date timestamp")
     for _ in range(2):
         append_audits(a, f"{tmp_path}/t", batch_id=3)
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 1
+    stored = audit_table(spark, f"{tmp_path}/t").read()
+    assert [(r["user_created"], r["user_updated"], r["date_created"], r["audit_month"], r["version"]) for r in stored.collect()] == [(None, None, T0, "2026-03", 1)]
     append_audits(a, f"{tmp_path}/u")
     append_audits(a, f"{tmp_path}/u")
     assert spark.read.parquet(f"{tmp_path}/u").count() == 2
@@ -250,18 +274,117 @@ def test_verify_stream_over_batches(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
     out = f"{tmp_path}/out"
-    verify_stream(stream, lambda _: given, CFG, out, f"{tmp_path}/c").awaitTermination()
-    got = {r["id"]: (r["route"], r["verified"], r["error"], r["frame_count"], r["verification_count"], r["audit_uuid"] is not None) for r in spark.read.parquet(f"{out}/results").collect()}
+    verify_stream(stream, lambda _: given, CFG, out, f"{tmp_path}/c", max_files=2).awaitTermination()
+    at = lambda t: BatchTable(spark, f"{out}/{t}")
+    got = {r["id"]: (r["route"], r["verified"], r["error"], r["frame_count"], r["verification_count"], r["audit_uuid"] is not None) for r in at("results").read().collect()}
     assert got == {
-        1: ("refresh", True, None, 1, 1, True), 3: (None, None, "missing: frame", 3, 1, False), 5: ("slow", True, None, 1, 1, False), 6: ("fast", True, None, 4, 2, True), 7: ("fast", True, None, 2, 2, False),
+        1: ("refresh", True, None, 1, 1, True), 3: (None, None, "missing: frame", 3, 1, False), 4: (None, None, "the message is not a JSON object", None, None, False),
+        5: ("slow", True, None, 1, 1, False), 6: ("fast", True, None, 4, 2, True), 7: ("fast", True, None, 2, 2, False),
     }
-    audits = {r["audit_date"]: r for r in spark.read.parquet(f"{out}/audits").collect()}
+    audits = {r["audit_date"]: r for r in at("audits").read().collect()}
     assert {(r["claim_id"], r["service_id"], r["step_name"], r["threshold_used"]) for r in audits.values()} == {(11, None, "unknown", 0.68), (11, 5, "gate", 0.68)}
-    said = [json.loads(r["value"]) for r in spark.read.parquet(f"{out}/messages").collect()]
-    assert sorted(m["type"] for m in said) == ["error"] + ["verification_result"] * 4
+    said = [json.loads(r["value"]) for r in at("messages").read().collect()]
+    assert sorted(m["type"] for m in said) == ["error"] * 2 + ["verification_result"] * 4
     assert {m["audit_uuid"] for m in said if m.get("audit_uuid")} == {r["id"] for r in audits.values()}
-    active = {r["subject_id"]: r["embedding"] for r in stored_embeddings(spark, embeddings, out).where("validity_to IS NULL").collect()}
+    active = {r["subject_id"]: r["embedding"] for r in EmbeddingStore(spark, out).versions().where("validity_to IS NULL").collect()}
     assert active[2] == vec("p2") and active[7] == vec("p7")
+    assert [(r["claim_id"], r["audit_count"]) for r in current_risk(spark, f"{out}/sums").collect()] == [(11, 2)]
+
+
+def streamed(spark, tmp_path, batches, schema="conn_id string, id long, ts timestamp, bytes binary, text string"):
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+
+
+def job_tables(spark):
+    subjects, photos, embeddings = tables(spark)
+    return {
+        "subjects": subjects.withColumn("insuree_uuid", F.concat(F.lit("S"), F.col("subject_id").cast("string"))), "photos": photos, "embeddings": embeddings,
+        "claims": spark.createDataFrame([("C1", 11, None)], "claim_code string, claim_id int, validity_to timestamp"), "services": spark.createDataFrame([("V1", 5, None)], "service_uuid string, service_id int, validity_to timestamp"),
+    }
+
+
+def said_by(conn, i, second, subject, text, **more):
+    ts = None if second is None else T0 + dt.timedelta(seconds=second)
+    return (conn, i, ts, None, json.dumps({"type": "frame", "insuree_uuid": subject, "frame": text and b64(text), **more}))
+
+
+def test_frames_without_a_time_and_broken_messages_are_answered(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    given = job_tables(spark)
+    stream = streamed(spark, tmp_path, [[said_by("a", 1, None, "S1", "p1"), said_by("a", 2, 0, "S1", "p1"), ("a", 3, None, b"", ""), ("a", 4, T0, b"[1]", None), ("a", 5, T0, None, '{"type":"ping"}'), ("a", 6, T0, zlib.compress(b" " * 5000), None)]])
+    out = f"{tmp_path}/out"
+    verify_stream(stream, lambda _: given, CFG, out, f"{tmp_path}/c", max_inflated=1000).awaitTermination()
+    got = {r["id"]: (r["error"], r["frame_count"]) for r in BatchTable(spark, f"{out}/results").read().collect()}
+    assert got == {1: ("the frame has no time", None), 2: (None, 1), 3: ("the message has neither text nor bytes", None), 4: ("the message is not a JSON object", None), 6: ("the message is too large", None)}
+    plain = spark.createDataFrame([("a", 1, None), ("a", 2, T0)], "conn_id string, id long, ts timestamp")
+    plain.write.parquet(f"{tmp_path}/plain")
+    passed = sample_stream(spark.readStream.schema(plain.schema).parquet(f"{tmp_path}/plain"), 5.0)
+    passed.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/s").trigger(availableNow=True).start(f"{tmp_path}/passed").awaitTermination()
+    assert [r["id"] for r in spark.read.parquet(f"{tmp_path}/passed").collect()] == [2]
+
+
+def test_one_input_batch_gives_one_output_batch_and_the_inbox_is_emptied(spark, tmp_path):
+    """The batch without rows that follows the watermark writes nothing; the frames' files go with the next batch."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    given, out = job_tables(spark), f"{tmp_path}/out"
+    stream = streamed(spark, tmp_path, [[said_by("a", 1, 0, "S1", "p1")], [said_by("a", 2, 9, "S1", "p1")]])
+    verify_stream(stream, lambda _: given, CFG, out, f"{tmp_path}/c", max_files=1).awaitTermination()
+    for t in ("results", "messages", "audits"):
+        assert BatchTable(spark, f"{out}/{t}").folders() == 2
+    assert EmbeddingStore(spark, out).last.folders() == 3  # the table that it took over, too
+    left = [p for p in (tmp_path / "out" / "inbox").rglob("*.parquet")]
+    assert len(left) == 1
+
+
+def test_no_image_goes_through_the_state(spark, tmp_path, monkeypatch):
+    from verispark.streaming import verification as module
+
+    seen = []
+    monkeypatch.setattr(module, "sample_stream", lambda frames, *a: seen.append(frames.columns) or sample_stream(frames, *a))
+    stream = streamed(spark, tmp_path, [[said_by("a", 1, 0, "S1", "p1")]])
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    verify_stream(stream, lambda _: job_tables(spark), CFG, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    assert seen == [["conn_id", "id", "ts", "error", "file", "row"]]
+
+
+def test_late_versions_are_the_open_ones(spark, tmp_path):
+    """A version of an earlier time than the open row's start takes its place all the same, and later batches find it."""
+    given = tables(spark)[2]
+    store = EmbeddingStore(spark, str(tmp_path), buckets=4)
+    store.start(given)
+    store.start(given)
+    new = lambda subject, v, at: spark.createDataFrame([(subject, [v], "m", at)], "subject_id long, embedding array<double>, metadata string, validity_from timestamp")
+    store.put(new(2, 1.0, T0 - dt.timedelta(days=5)), 0)
+    store.put(new(2, 2.0, T0 - dt.timedelta(days=9)), 1)
+    store.put(new(2, 2.5, T0 - dt.timedelta(days=9)), 1)  # repeated
+    store.put(new(8, 3.0, T0), 2)
+    who = spark.createDataFrame([(2,), (8,), (3,), (99,)], "subject_id long")
+    last = {r["subject_id"]: (r["embedding"], r["validity_from"], r["validity_to"]) for r in store.of(who).collect()}
+    assert last == {2: ([2.5], T0, None), 8: ([3.0], T0, None), 3: (vec("p3"), T0, T0)}
+    every = store.versions()
+    assert sorted((r["embedding"][0], r["validity_to"]) for r in every.where("subject_id = 2 AND validity_to IS NULL").collect()) == [(2.5, None)]
+    assert every.count() == given.count() + 3
+
+
+def test_a_batch_reads_its_subjects_buckets_only(spark, tmp_path):
+    """Over 50 batches the bytes that a lookup opens stay level, whatever is stored."""
+    base = spark.range(4000).select(F.col("id").alias("subject_id"), F.array(F.rand(1), F.rand(2), F.rand(3)).alias("embedding"), F.lit("m").alias("metadata"), F.lit(T0).alias("validity_from"), F.lit(None).cast("timestamp").alias("validity_to"))
+    store = EmbeddingStore(spark, str(tmp_path), buckets=16)
+    store.start(base)
+    who, opened = spark.createDataFrame([(7,)], "subject_id long"), []
+    for n in range(50):
+        store.put(spark.createDataFrame([(7, [float(n)], "m", T0), (100 + n, [0.0], "m", T0)], "subject_id long, embedding array<double>, metadata string, validity_from timestamp"), n)
+        if n in (5, 20, 49):
+            bucket = store.last.read(of=who).inputFiles()
+            opened.append(sum(os.path.getsize(f[7:]) for f in bucket if f"__bucket={hash_bucket(spark, 7, 16)}/" in f))
+            assert [r["embedding"] for r in store.of(who).collect()] == [[float(n)]]
+    assert max(opened) < 2 * min(opened) and store.last.folders() <= 24
+
+
+def hash_bucket(spark, key, buckets):
+    return spark.range(1).select(F.pmod(F.xxhash64(F.lit(key).cast("long")), F.lit(buckets))).first()[0]
 
 
 def test_risk_stream_over_batches(spark, tmp_path):
@@ -272,15 +395,19 @@ def test_risk_stream_over_batches(spark, tmp_path):
     for k in range(3):
         df.where(F.col("id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    c = spark.createDataFrame([(k, '{"x":1}') for k in range(5)], "claim_id long, json_ext string")
-    for query in (store_stream(stream, f"{tmp_path}/a", f"{tmp_path}/ca"), risk_stream(stream, f"{tmp_path}/r", f"{tmp_path}/c", c, f"{tmp_path}/e", raise_errors=True)):
+    for query in (store_stream(stream, f"{tmp_path}/a", f"{tmp_path}/ca"), risk_stream(stream, f"{tmp_path}/r", f"{tmp_path}/c", raise_errors=True)):
         query.awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/a").count() == 40
-    got = current(spark.read.parquet(f"{tmp_path}/r"))
+    assert audit_table(spark, f"{tmp_path}/a").read().count() == 40
+    got = current_risk(spark, f"{tmp_path}/r")
     want = claim_risk(df, last_updated=True)
     assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
-    ext = {r["claim_id"]: json.loads(r["json_ext"]) for r in current_claims(c, spark.read.parquet(f"{tmp_path}/e")).collect()}
-    assert ext[4] == {"x": 1} and all(ext[r["claim_id"]]["x"] == 1 and ext[r["claim_id"]]["biometric_risk_assessment"]["risk_score"] == r["risk_score"] for r in want.collect())
+    some = spark.createDataFrame([(2,), (9,)], "claim_id long")
+    assert [r["claim_id"] for r in current_risk(spark, f"{tmp_path}/r", some).collect()] == [2]
+    # claims as they are when they are read: an edit since the stream began survives
+    c = spark.createDataFrame([(0, '{"x":1}'), (1, '{"edited":true}'), (2, "[1,2]"), (3, "oops"), (4, '{"x":1}')], "claim_id long, json_ext string")
+    ext = {r["claim_id"]: r["json_ext"] for r in current_claims(c, f"{tmp_path}/r").collect()}
+    assert ext[2] == "[1,2]" and ext[3] == "oops" and ext[4] == '{"x":1}' and json.loads(ext[1])["edited"] and json.loads(ext[0])["biometric_risk_assessment"]["audit_count"] == 10
+    assert {r["claim_id"]: r["error"] for r in log_unmerged(c, f"{tmp_path}/r").collect()} == {2: "json_ext is not an object", 3: "json_ext is not JSON"}
 
 
 def test_risk_errors_leave_the_audits(spark, tmp_path):
@@ -291,4 +418,36 @@ def test_risk_errors_leave_the_audits(spark, tmp_path):
     (tmp_path / "r").write_text("in the way")
     risk_stream(stream, f"{tmp_path}/r", f"{tmp_path}/c").awaitTermination()
     store_stream(stream, f"{tmp_path}/a", f"{tmp_path}/ca").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/a").count() == 1
+    assert audit_table(spark, f"{tmp_path}/a").read().count() == 1
+
+
+def test_unscored_batches_are_added_later(spark, tmp_path, monkeypatch):
+    """A batch that can't be scored keeps its audits; the next one adds them, once, also when it is repeated."""
+    from verispark.streaming import risk as module
+
+    batch = lambda k: spark.createDataFrame([(1, k, 0.5, True, T0 + dt.timedelta(k))], "claim_id long, id long, similarity_score double, is_verified boolean, audit_date timestamp")
+    out, add = str(tmp_path), module.add_sums
+    count = lambda: current_risk(spark, f"{out}/sums").first()["audit_count"]
+    module.store_and_score(batch(0), out, 0)
+    monkeypatch.setattr(module, "add_sums", lambda *a: 1 / 0)
+    for n in (1, 2, 2):
+        assert module.store_and_score(batch(n), out, n).count() == 1
+    monkeypatch.setattr(module, "add_sums", add)
+    assert count() == 1
+    for _ in range(2):
+        module.store_and_score(batch(3), out, 3)
+        assert count() == 4
+    module.store_and_score(batch(4), out, 4)
+    assert count() == 5 and audit_table(spark, f"{out}/audits").read().count() == 5
+
+
+def test_insert_stream(spark, tmp_path):
+    schema = "id int, claim_uuid string, similarity_score double, threshold_used double, is_verified boolean, step_name string, service_uuid string, device_id string, metadata string, audit_date timestamp, user string"
+    rows = [[(1, "C", 0.9, 0.5, True, "s", None, None, None, T0, "u1"), (2, "C", 0.9, 0.5, False, "s", None, None, None, T0, None)], [(3, "C", 0.1, 0.5, False, "s", "", None, None, T0, "u2"), (4, "no", 0.9, 0.5, True, "s", None, None, None, T0, None)]]
+    stream = streamed(spark, tmp_path, rows, schema)
+    given = {"claims": spark.createDataFrame([("C", 7, None)], "claim_uuid string, claim_id int, validity_to timestamp"), "services": spark.createDataFrame([], "service_uuid string, service_id int, validity_to timestamp")}
+    out = f"{tmp_path}/out"
+    insert_stream(stream, lambda _: given, out, f"{tmp_path}/c").awaitTermination()
+    assert {r["id"]: (r["claim_id"], r["user_created"], r["user_updated"]) for r in audit_table(spark, f"{out}/audits").read().collect()} == {1: (7, "u1", "u1"), 3: (7, "u2", "u2")}
+    assert {r["id"]: r["error"] for r in BatchTable(spark, f"{out}/rejected").read().collect()} == {2: "inconsistent", 4: "claim_not_found"}
+    assert [(r["claim_id"], r["audit_count"], r["failed_audits"]) for r in current_risk(spark, f"{out}/sums").collect()] == [(7, 2, 1)]

@@ -18,10 +18,15 @@ def is_stale(metadata: Column, cfg: VerifyConfig) -> Column:
     return ~F.coalesce(canonical_json(metadata).eqNullSafe(canonical_json(F.lit(cfg.snapshot))), F.lit(False))
 
 
+def json_object(text: Column) -> Column:
+    """A JSON object's keys and values; null and JSON's null are the empty object, anything else is null."""
+    v = F.try_parse_json(text)
+    return F.when(text.isNull() | F.is_variant_null(v), F.expr("map()").cast("map<string,variant>")).otherwise(F.try_variant_get(v, "$", "map<string,variant>"))
+
+
 def set_json_key(text: Column, key: str, value: Column) -> Column:
-    """JSON object text with one key set to a struct; null is the empty object, other keys keep their types; keys come sorted."""
-    old = F.coalesce(F.try_parse_json(text).cast("map<string,variant>"), F.expr("map()").cast("map<string,variant>"))
-    new = F.create_map(F.lit(key), F.to_variant_object(value))
+    """JSON object text with one key set to a struct, other keys keep their types; keys come sorted. Null where text is another JSON value or none."""
+    old, new = json_object(text), F.create_map(F.lit(key), F.to_variant_object(value))
     # a variant's keys come sorted, so one pass puts the new one in its place
     before, after = F.map_filter(old, lambda k, v: k < key), F.map_filter(old, lambda k, v: k > key)
-    return F.to_json(F.map_concat(before, new, after))
+    return F.when(old.isNotNull(), F.to_json(F.map_concat(before, new, after)))

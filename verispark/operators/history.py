@@ -26,12 +26,19 @@ def intervals(versions: DataFrame, key: str = "subject_id") -> DataFrame:
     return versions.withColumn("validity_to", F.lead("validity_from").over(Window.partitionBy(key).orderBy("validity_from")))
 
 
-def with_versions(existing: DataFrame, log: DataFrame, key: str = "subject_id") -> DataFrame:
-    """existing with the later versions of a log; an open row ends where its key's next version starts."""
+def with_versions(existing: DataFrame, log: DataFrame, key: str = "subject_id", order: str = "validity_from") -> DataFrame:
+    """existing with the versions that a log added later, in order of a column of it; an open row ends where its key's next version starts.
+
+    A version never starts before the one that it follows, also when its own time is earlier (it
+    came late), so the last one added is the open one.
+    """
     kind = dict(existing.dtypes)["validity_to"]
-    rows = existing.unionByName(log.withColumn("validity_to", F.lit(None).cast(kind)))
-    start = F.lead("validity_from").over(Window.partitionBy(key).orderBy("validity_from"))
-    return rows.withColumn("validity_to", F.coalesce("validity_to", start))
+    old = existing.withColumns({"__added": F.lit(0), "__order": F.lit(None).cast(dict(log.dtypes)[order])})
+    new = log.withColumns({"__added": F.lit(1), "__order": F.col(order), "validity_to": F.lit(None).cast(kind)})
+    w = Window.partitionBy(key).orderBy("__added", "__order", "validity_from")
+    start = F.max("validity_from").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = old.unionByName(new.select(*old.columns)).withColumn("validity_from", F.when(F.col("__added") == 1, start).otherwise(F.col("validity_from")))
+    return rows.withColumn("validity_to", F.coalesce("validity_to", F.lead("validity_from").over(w))).drop("__added", "__order")
 
 
 def latest_from_history(history: DataFrame, as_of: Column | None = None, key: str = "id") -> DataFrame:

@@ -40,15 +40,15 @@ def list_audits(audits: DataFrame, claims: DataFrame, services: DataFrame, claim
 def attach_reference(frames: DataFrame, subjects: DataFrame, embeddings: DataFrame, photos: DataFrame | None = None) -> DataFrame:
     """frames with known (the subject is active), its active embedding with its metadata, and its photo if photos are given.
 
-    embeddings has at most one active row per subject. frames may be a stream: the others are
-    static sides of plain equi joins.
+    embeddings has at most one active row per subject, as supersede and the stream's store keep it;
+    the filter on it reaches the scan, so closed versions aren't read. frames may be a stream: the
+    others are static sides of plain equi joins.
     """
     people = active(subjects).select("subject_id", F.lit(True).alias("known"))
-    now = embeddings.groupBy("subject_id").agg(F.max_by(F.struct("embedding", "metadata"), F.when(F.col("validity_to").isNull(), F.col("validity_from"))).alias("e"))
-    rows = frames.join(people, "subject_id", "left").join(now, "subject_id", "left")
+    rows = frames.join(people, "subject_id", "left").join(active(embeddings).select("subject_id", "embedding", "metadata"), "subject_id", "left")
     if photos is not None:
         rows = rows.join(photos.select("subject_id", F.col("content").alias("photo")), "subject_id", "left")
-    return rows.withColumns({"known": F.coalesce("known", F.lit(False)), "embedding": F.col("e.embedding"), "metadata": F.col("e.metadata")}).drop("e")
+    return rows.withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def attach_reference_asof(frames: DataFrame, embeddings: DataFrame) -> DataFrame:

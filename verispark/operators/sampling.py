@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 
 def greedy(micros: np.ndarray, interval: int, last: int | None) -> list[int]:
-    """Positions that pass in ascending times, given the last one that passed before."""
+    """Positions that pass in ascending whole times, given the last one that passed before."""
+    if micros.dtype.kind not in "iu" or interval <= 0:
+        raise TypeError("times and the interval must be whole microseconds, the interval more than none")
     out, at = [], 0
     if last is not None:
         at = int(np.searchsorted(micros, last + interval))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lookup import resolve_one, resolve_optional
+from ..operators.lookup import resolve_one
 from ..operators.validate import apply_defaults, audit_reason
 
 #: Fields that a request must have.
@@ -15,7 +15,7 @@ REQUIRED = ("claim_uuid", "similarity_score", "threshold_used", "is_verified", "
 def insert_audits(requests: DataFrame, claims: DataFrame, services: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(audits to store, rejected requests with their first error).
 
-    requests has id, REQUIRED, service_uuid, device_id, metadata and audit_date; claims has
+    requests has id, REQUIRED, service_uuid, device_id, metadata and audit_date, and user if it is known; claims has
     claim_uuid, claim_id, validity_to and services service_uuid, service_id, validity_to. The order
     of the checks: required fields, score range, threshold range, verdict, claim, service. An empty
     service is none; an empty device or metadata takes its default.
@@ -23,13 +23,11 @@ def insert_audits(requests: DataFrame, claims: DataFrame, services: DataFrame) -
     lacking = F.coalesce(*(F.when(F.col(c).isNull(), F.lit(f"missing: {c}")) for c in REQUIRED))
     rows = requests.withColumns({"service_uuid": F.nullif("service_uuid", F.lit("")), "__rule": F.coalesce(lacking, audit_reason())})
     rows = resolve_one(rows, claims, "claim_uuid", "claim_id").withColumn("__rule", F.coalesce("__rule", F.concat(F.lit("claim_"), F.col("error")))).drop("error")
-    found = services.select("service_uuid", "service_id", "validity_to")
-    rows = resolve_optional(rows, found, "service_uuid").withColumn("__rule", F.coalesce("__rule", F.when(F.col("error").isNotNull(), F.lit("service_not_found")))).drop("error")
-    rows = resolve_one(rows, found, "service_uuid", "service_id", mode="null")
-    # two services of one uuid are as bad as none
-    rows = rows.withColumn("__rule", F.coalesce("__rule", F.when(F.col("service_uuid").isNotNull() & F.col("service_id").isNull(), F.lit("service_ambiguous"))))
+    # one lookup tells how many services there are and which; two of one uuid are as bad as none
+    rows = resolve_one(rows, services.select("service_uuid", "service_id", "validity_to"), "service_uuid", "service_id")
+    rows = rows.withColumn("__rule", F.coalesce("__rule", F.when(F.col("service_uuid").isNotNull(), F.concat(F.lit("service_"), F.col("error"))))).drop("error")
     good = rows.where(F.col("__rule").isNull()).select(
         "id", "claim_id", "service_id", "similarity_score", "threshold_used", "is_verified", "step_name", F.coalesce("device_id", F.lit("")).alias("device_id"),
-        F.coalesce(F.nullif("metadata", F.lit("")), F.lit("{}")).alias("metadata"), "audit_date",
+        F.coalesce(F.nullif("metadata", F.lit("")), F.lit("{}")).alias("metadata"), "audit_date", *([F.col("user").alias("user_created")] if "user" in requests.columns else []),
     )
     return apply_defaults(good), rows.where(F.col("__rule").isNotNull()).select("id", F.col("__rule").alias("error"))

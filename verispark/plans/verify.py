@@ -28,41 +28,47 @@ def _compared(rows: DataFrame, reference: str, threshold: Column, route: Column)
     }).drop("__v")
 
 
-def verify(frames: DataFrame, subjects: DataFrame, embeddings: DataFrame, photos: DataFrame, cfg: VerifyConfig) -> tuple[DataFrame, DataFrame]:
+#: The error of a frame whose text isn't base64.
+UNDECODABLE = "frame can't be decoded"
+
+
+def verify(frames: DataFrame, subjects: DataFrame, embeddings: DataFrame, photos: DataFrame, cfg: VerifyConfig, keep: bool = True) -> tuple[DataFrame, DataFrame]:
     """(results, embeddings to store: subject_id, embedding, metadata).
 
     frames has id, subject_id and frame (base64); its other columns stay. A frame's image is turned
     into its embedding before any join, so no image is shuffled; a reference photo is embedded once
-    per subject that needs it, not once per frame. Failures are rows with an error. Photos' vectors
-    and results are checkpointed, so the model sees each image once.
+    per subject that needs it, not once per frame. Failures are rows with an error. With keep,
+    photos' vectors and results are checkpointed, so the model sees each image once whatever is read
+    afterwards; without it nothing is written, for callers that read one of the two outputs once.
 
     Routes: 'unknown' (no active subject), 'fast' (fresh stored embedding), 'refresh' (stale one,
     embedded anew), 'slow' (none stored, or storing is off: the model's own threshold holds). With
     storing on, what the refresh route embedded and what a verified slow match compared is to be
     stored (plans.refresh.store_embeddings).
     """
-    image = decode_frame(F.col("frame"))
+    image, held = decode_frame(F.col("frame")), checkpointed if keep else lambda df: df
     probes = frames.withColumns({"__decoded": image.isNotNull(), "__e": embed(image, cfg)}).withColumns({
-        "probe": F.col("__e.embedding"), "probe_error": F.when(~F.col("__decoded"), F.lit("frame can't be decoded")).otherwise(F.col("__e.error")),
+        "probe": F.col("__e.embedding"), "probe_error": F.when(~F.col("__decoded"), F.lit(UNDECODABLE)).otherwise(F.col("__e.error")),
     }).drop("__e", "frame")
     # one row per subject that frames ask for
-    ids = frames.where(F.col("subject_id").isNotNull()).groupBy("subject_id").agg(F.bool_or(image.isNotNull()).alias("__usable"))
+    ids = frames.where(F.col("subject_id").isNotNull()).select("subject_id").distinct()
     stale = F.coalesce(is_stale(F.col("metadata"), cfg), F.lit(True))
     base = F.when(~F.col("known"), "unknown").when(F.lit(not cfg.store_embeddings) | F.col("embedding").isNull(), "slow").when(stale, "refresh").otherwise("fast")
-    asked = attach_reference(ids, subjects, embeddings).select("subject_id", "__usable", F.col("embedding").alias("stored"), base.alias("route"))
-    need = asked.where(F.col("route").isin("refresh", "slow")).select("subject_id", "__usable", F.col("route").alias("need"))
+    asked = attach_reference(ids, subjects, embeddings).select("subject_id", F.col("embedding").alias("stored"), base.alias("route"))
+    need = asked.where(F.col("route").isin("refresh", "slow")).select("subject_id", F.col("route").alias("need"))
     photo = embed_photos(need.select("subject_id").join(photos.select("subject_id", "content"), "subject_id", "left"), cfg).withColumnsRenamed({"embedding": "photo", "error": "photo_error"})
-    fresh = checkpointed(photo.join(need, "subject_id"))
-    known = asked.join(fresh.drop("__usable", "need"), "subject_id", "left").select("subject_id", "route", "stored", "photo", "photo_error")
+    fresh = held(photo.join(need, "subject_id"))
+    known = asked.join(fresh.drop("need"), "subject_id", "left").select("subject_id", "route", "stored", "photo", "photo_error")
     rows = probes.join(known, "subject_id", "left").withColumn("route", F.coalesce("route", F.lit("unknown")))
     # a refresh that fails falls back to the slow route, which then reports the same problem
     route = F.when((F.col("route") == "refresh") & F.col("photo_error").isNotNull(), "slow").otherwise(F.col("route"))
     rows = rows.withColumns({"reference": F.when(route == "fast", F.col("stored")).otherwise(F.col("photo")), "ref_error": F.when(route == "unknown", F.lit("unknown subject")).when(route == "fast", F.lit(None)).otherwise(F.col("photo_error"))})
     threshold = F.when(route == "slow", F.lit(default_threshold(cfg))).otherwise(effective_threshold(None, cfg))
     results = _compared(rows, "reference", threshold, route).withColumn("provider", F.lit(cfg.provider))
-    results = checkpointed(results.drop("probe", "probe_error", "stored", "photo", "photo_error", "reference", "ref_error", "__decoded"))
-    matched = results.where((F.col("route") == "slow") & F.col("verified")).select("subject_id").distinct().withColumn("__matched", F.lit(True))
-    good = fresh.where(F.lit(cfg.store_embeddings) & F.col("photo_error").isNull()).join(matched, "subject_id", "left")
+    results = held(results.drop("probe", "probe_error", "stored", "photo", "photo_error", "reference", "ref_error", "__decoded"))
+    # a stale embedding is made anew by any frame that can be decoded, a missing one stored after a match
+    seen = results.groupBy("subject_id").agg(F.bool_or((F.col("route") == "slow") & F.col("verified")).alias("__matched"), F.bool_or(~F.col("error").eqNullSafe(UNDECODABLE)).alias("__usable"))
+    good = fresh.where(F.lit(cfg.store_embeddings) & F.col("photo_error").isNull()).join(seen, "subject_id")
     new = good.where(F.col("__matched") | ((F.col("need") == "refresh") & F.col("__usable")))
     return results, new.select("subject_id", F.col("photo").alias("embedding"), F.lit(cfg.snapshot).alias("metadata"))
 

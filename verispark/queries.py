@@ -23,6 +23,7 @@ from .storage import checkpointed, shared_path
 from .streaming import risk as risk_streams
 from .streaming import verification
 from .streaming.sampling import sample_stream
+from .tables import BatchTable
 
 SAMPLING_SECONDS = 7200.0  # events are minutes apart
 IDLE_SECONDS = 30 * 86400.0
@@ -119,7 +120,10 @@ FACE_SQL = "SELECT doc_id, f AS face, CASE WHEN f IS NULL THEN 'no face found' E
 
 
 def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.audits_a(table(spark, sf_dir, "lineitem"))
+    return _rescaled(X.audits_a(table(spark, sf_dir, "lineitem")))
+
+
+def _rescaled(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"similarity_score": F.col("score_bp") * 12 / 100000.0, "threshold_used": F.col("thr_bp") * 3 / 10000.0})
 
 
@@ -338,9 +342,9 @@ def sample_frames_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(passed.schema).parquet(out).select(F.col("conn_id").cast("long").alias("conn_id"), "id", "frame_count", "verification_count")
 
 
-def _verified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _verified(spark: SparkSession, sf_dir: str, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     customers = table(spark, sf_dir, "customer")
-    return verify_plan.verify(X.frames_v(table(spark, sf_dir, "events")), X.subjects_u(customers), X.embeddings_v(spark, sf_dir), X.photos_v(customers), CFG)
+    return verify_plan.verify(X.frames_v(table(spark, sf_dir, "events")), X.subjects_u(customers), X.embeddings_v(spark, sf_dir), X.photos_v(customers), CFG, keep)
 
 
 def verify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,7 +374,7 @@ SELECT event_id AS id, user_id AS subject_id, route, error IS NULL AND d <= thr
 
 def verify_to_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subjects whose embedding the verification made anew: stale ones, and those of a verified slow match."""
-    return _verified(spark, sf_dir)[1].select("subject_id")
+    return _verified(spark, sf_dir, keep=True)[1].select("subject_id")
 
 
 TO_STORE_SQL = f"""
@@ -385,7 +389,7 @@ def _vector(embedding: Column) -> Column:
 
 def verify_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of embeddings after the verification's new ones are stored."""
-    new = _verified(spark, sf_dir)[1]
+    new = _verified(spark, sf_dir, keep=True)[1]
     rows = refresh_plan.store_embeddings(X.embeddings_v(spark, sf_dir), new, F.lit(_NOW).cast("timestamp_ntz"))
     return rows.select("subject_id", "vec_id", "validity_from", "validity_to", _vector(F.col("embedding")).alias("vector"))
 
@@ -408,13 +412,17 @@ def audits_from_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def insert_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every audit as a request: what is stored, and what is rejected with its first error."""
+    rows = _requests(X.audits_a(table(spark, sf_dir, "lineitem")))
+    good, bad = insert_plan.insert_audits(rows, X.claims_c(table(spark, sf_dir, "orders")).withColumnRenamed("claim_code", "claim_uuid"), _services(spark, sf_dir))
+    return good.select("id", "claim_id", "service_id", "device_id", "metadata", "version", F.lit(None).cast("string").alias("error")).unionByName(bad, allowMissingColumns=True)
+
+
+def _requests(audits: DataFrame) -> DataFrame:
     k = F.col("claim_id")
-    rows = _scaled(spark, sf_dir).withColumns({
+    return _rescaled(audits).withColumns({
         "claim_uuid": F.when(k % 97 != 0, F.concat(F.lit("CL-"), k.cast("string"))), "service_uuid": F.when(k % 3 == 2, F.concat(F.lit("V"), F.col("service_id").cast("string"))).when(k % 3 == 1, F.lit("")),
         "device_id": F.when(k % 2 == 0, F.lit("d")), "metadata": F.lit(""),
     }).drop("claim_id", "service_id")
-    good, bad = insert_plan.insert_audits(rows, X.claims_c(table(spark, sf_dir, "orders")).withColumnRenamed("claim_code", "claim_uuid"), _services(spark, sf_dir))
-    return good.select("id", "claim_id", "service_id", "device_id", "metadata", "version", F.lit(None).cast("string").alias("error")).unionByName(bad, allowMissingColumns=True)
 
 
 def _services(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -487,24 +495,40 @@ LATEST_SQL = f"SELECT id, claim_id, score_bp, history_type, history_date FROM ({
 
 
 def _risk_streamed(spark: SparkSession, sf_dir: str) -> str:
-    """Both streams over everything that is there now: audits are stored, risks and claims kept current."""
+    """Both streams over everything that is there now: audits are stored, sums kept current."""
     to = shared_path(spark, "risk_stream")
     stream = X.audits_a(stream_of(spark, sf_dir, "lineitem"))
-    running = risk_streams.store_stream(stream, f"{to}/audits", f"{to}/state-audits"), risk_streams.risk_stream(stream, f"{to}/risk", f"{to}/state-risk", X.claims_c(table(spark, sf_dir, "orders")), f"{to}/claims", raise_errors=True)
+    running = risk_streams.store_stream(stream, f"{to}/audits", f"{to}/state-audits"), risk_streams.risk_stream(stream, f"{to}/sums", f"{to}/state-risk", raise_errors=True)
     for query in running:
         query.awaitTermination()
-    return to
+    return f"{to}/sums"
 
 
 def risk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last risk of each claim."""
-    return risk_streams.current(spark.read.parquet(f"{_risk_streamed(spark, sf_dir)}/risk")).drop("message", "last_updated")
+    return risk_streams.current_risk(spark, _risk_streamed(spark, sf_dir)).drop("message", "last_updated")
 
 
 def risk_stream_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All claims with the risk that the stream wrote into their JSON."""
-    written = spark.read.parquet(f"{_risk_streamed(spark, sf_dir)}/claims")
-    return _risk_fields(risk_streams.current_claims(X.claims_c(table(spark, sf_dir, "orders")), written))
+    """All claims as they are, with the risk that the stream keeps merged into their JSON."""
+    return _risk_fields(risk_streams.current_claims(X.claims_c(table(spark, sf_dir, "orders")), _risk_streamed(spark, sf_dir)))
+
+
+def insert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests of insert_audits as a stream: what is stored and what is rejected, and the risk of the claims that got audits."""
+    out = shared_path(spark, "insert_stream")
+    tables = lambda session: {"claims": X.claims_c(table(session, sf_dir, "orders")).withColumnRenamed("claim_code", "claim_uuid"), "services": _services(session, sf_dir)}
+    risk_streams.insert_stream(_requests(X.audits_a(stream_of(spark, sf_dir, "lineitem"))), tables, out, f"{out}/state").awaitTermination()
+    stored, bad = BatchTable(spark, f"{out}/audits").read(), BatchTable(spark, f"{out}/rejected").read()
+    rows = stored.join(risk_streams.current_risk(spark, f"{out}/sums"), "claim_id").select("id", "claim_id", "service_id", "risk_score", "audit_count", F.lit(None).cast("string").alias("error"))
+    return rows.unionByName(bad, allowMissingColumns=True)
+
+
+INSERT_STREAM_SQL = f"""
+WITH i AS ({INSERT_SQL}),
+r AS ({_risk_sql("claim_id", f"SELECT claim_id, {_SUMS.format(w='')} FROM (SELECT i.claim_id, a.score_bp * 6 // 5 AS score_bp, is_verified FROM i JOIN ({A_SQL}) a ON a.id = i.id WHERE error IS NULL) GROUP BY claim_id")})
+SELECT i.id, i.claim_id, service_id, risk_score, audit_count, error FROM i LEFT JOIN r ON r.claim_id = i.claim_id AND error IS NULL
+"""
 
 
 def verify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -519,7 +543,7 @@ def verify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cfg = replace(CFG, sampling_seconds=SAMPLING_SECONDS)
     verification.verify_stream(X.messages_v(stream_of(spark, sf_dir, "events")), tables, cfg, out, f"{out}/state", idle_seconds=IDLE_SECONDS).awaitTermination()
-    rows = spark.read.parquet(f"{out}/results")
+    rows = BatchTable(spark, f"{out}/results").read()
     return rows.select("id", "subject_id", "route", "verified", "confidence", "distance", "error", "frame_count", "verification_count", F.col("audit_uuid").isNotNull().alias("has_audit"))
 
 
@@ -534,6 +558,7 @@ SELECT n.id, CASE WHEN route <> 'unknown' THEN subject_id END AS subject_id, rou
 FROM n JOIN ({VERIFY_SQL}) v ON v.id = n.id JOIN events e ON e.event_id = n.id
 LEFT JOIN ({AUDITS_SQL}) a ON replace(a.id, '-', '') = md5(CAST(user_id AS VARCHAR) || '|' || CAST(epoch_us(e.ts) AS VARCHAR)) WHERE p IS NOT NULL
 UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL, 'missing: frame', frame_count, verification_count, false FROM n WHERE id % 37 = 0
+UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, NULL, '{messages.UNREADABLE["invalid"]}', NULL, NULL, false FROM events WHERE event_id % 41 = 0
 """
 
 
@@ -542,7 +567,7 @@ QUERIES = {
     for f in (
         claim_risk, running_claim_risk, failure_rates, cosine_verdict, match_band, first_face, validate_audits, inconsistent_audits, classify_error, active_not_deleted, list_audits, resolve_one, resolve_optional,
         attach_reference, reference_asof, stale_embeddings, supersede, refresh_embeddings, load_photos, parse_frames, sample_frames, connection_stats, number_verifications, sample_frames_stream, verify,
-        verify_to_store, verify_stored, audits_from_results, insert_audits, format_results, merge_claim_ext, latest_from_history, risk_stream, risk_stream_claims, verify_stream,
+        verify_to_store, verify_stored, audits_from_results, insert_audits, format_results, merge_claim_ext, latest_from_history, risk_stream, risk_stream_claims, insert_stream, verify_stream,
     )
 }
 ORACLE_SQL = {
@@ -551,5 +576,5 @@ ORACLE_SQL = {
     "attach_reference": ATTACH_SQL, "reference_asof": ASOF_SQL, "stale_embeddings": STALE_SQL, "supersede": SUPERSEDE_SQL, "refresh_embeddings": REFRESH_SQL, "load_photos": PHOTOS_SQL, "parse_frames": PARSE_SQL,
     "sample_frames": SAMPLE_SQL, "connection_stats": STATS_SQL, "number_verifications": NUMBER_SQL, "sample_frames_stream": NUMBER_SQL, "verify": VERIFY_SQL, "verify_to_store": TO_STORE_SQL,
     "audits_from_results": AUDITS_SQL, "format_results": FORMAT_SQL, "merge_claim_ext": MERGE_SQL, "latest_from_history": LATEST_SQL, "risk_stream": _ALL_RISK_SQL,
-    "verify_stored": STORED_SQL, "insert_audits": INSERT_SQL, "risk_stream_claims": MERGE_SQL, "verify_stream": VERIFY_STREAM_SQL,
+    "verify_stored": STORED_SQL, "insert_audits": INSERT_SQL, "risk_stream_claims": MERGE_SQL, "insert_stream": INSERT_STREAM_SQL, "verify_stream": VERIFY_STREAM_SQL,
 }

@@ -1,40 +1,69 @@
-"""Reference photos from a folder."""
+"""Reference photos from a folder, read by their manifest."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of photos that a task holds before it passes them on.
+HELD = 32 << 20
+
 
-#: Rows of a manifest that is broadcast: some 100 bytes each. Beyond, manifest and files are shuffled.
-MAX_BROADCAST = 500_000
+def _open(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a root and the root's path in it; a plain path is local."""
+    parts = urlparse(root)
+    if parts.scheme in ("", "file"):
+        return fs.LocalFileSystem(), (unquote(parts.path) if parts.scheme else root).rstrip("/")
+    found, path = fs.FileSystem.from_uri(root)
+    return found, path.rstrip("/")
 
 
-def load_photos(spark: SparkSession, root: str | None, manifest: DataFrame, glob: str | None = None) -> DataFrame:
+def load_photos(spark: SparkSession, root: str | None, manifest: DataFrame) -> DataFrame:
     """subject_id, path, content, error for a manifest (subject_id, folder, filename).
 
-    Paths are relative to root. Errors: no photo, no root, path outside root, file missing; they
-    never name a path.
+    Paths are relative to root, which every worker must see. Tasks are the manifest's partitions and
+    open the files of their rows, no others: the root is never listed, and photos aren't shuffled.
+    What follows in the same stage, such as a model, gets the bytes as they are read. Errors: no
+    photo, no root, path outside root, file missing, file unreadable; they never name a path.
     """
-    rel = F.array_join(F.filter(F.split(F.concat_ws("/", F.coalesce("folder", F.lit("")), F.coalesce("filename", F.lit(""))), "/"), lambda s: ~s.isin("", ".")), "/")
-    rows = manifest.select("subject_id", "filename", rel.alias("path"))
-    none, outside = F.col("filename").isNull() | (F.col("filename") == ""), F.exists(F.split("path", "/"), lambda s: s == "..")
+    segments = F.filter(F.split(F.concat_ws("/", F.coalesce("folder", F.lit("")), F.coalesce("filename", F.lit(""))), "/"), lambda s: ~s.isin("", "."))
+    none, outside = F.col("filename").isNull() | (F.col("filename") == ""), F.exists(segments, lambda s: s == "..")
+    error = F.when(none, "no photo").when(F.lit(not root), "no photo root").when(outside, "path outside root")
+    rows = manifest.select("subject_id", F.array_join(segments, "/").alias("path"), error.alias("error"))
     if not root:
-        return rows.select("subject_id", "path", F.lit(None).cast("binary").alias("content"), F.when(none, "no photo").otherwise("no photo root").alias("error"))
-    base = root.rstrip("/")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(base)
-    # file systems write the same root in several ways, so what follows its last part counts
-    tail = "/" + base.rstrip("/").rsplit("/", 1)[-1] + "/"
-    files = files.select(F.expr(f"substr(path, locate('{tail}', path) + {len(tail)})").alias("path"), "content")
-    if rows.count() <= MAX_BROADCAST:
-        # the manifest goes to the files, so that no image is shuffled
-        wanted = rows.where(~none & ~outside).select("subject_id", F.col("path").alias("__path"))
-        got = files.join(F.broadcast(wanted), files["path"] == wanted["__path"]).select("subject_id", "path", "content")
-        # paths alone tell which rows have no file; the scan doesn't open files for them
-        lost = rows.join(files.select(F.col("path").alias("__path")), (F.col("path") == F.col("__path")) & ~none & ~outside, "left_anti")
-        error = F.when(none, "no photo").when(outside, "path outside root").otherwise("file missing")
-        return got.withColumn("error", F.lit(None).cast("string")).unionByName(lost.select("subject_id", "path", F.lit(None).cast("binary").alias("content"), error.alias("error")))
-    found = rows.join(files, "path", "left")
-    error = F.when(none, "no photo").when(outside, "path outside root").when(F.col("content").isNull(), "file missing")
-    return found.select("subject_id", "path", F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
+        return rows.select("subject_id", "path", F.lit(None).cast("binary").alias("content"), "error")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = _open(root)
+
+        def batch_of(part: pa.RecordBatch, content: list, errors: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([part.column("subject_id"), part.column("path"), pa.array(content, pa.binary()), pa.array(errors, pa.string())], names=["subject_id", "path", "content", "error"])
+
+        for batch in batches:
+            begun, held, content, errors = 0, 0, [], []
+            for k, (path, problem) in enumerate(zip(batch.column("path").to_pylist(), batch.column("error").to_pylist())):
+                data = None
+                if problem is None:
+                    try:
+                        with files.open_input_stream(f"{base}/{path}") as stream:
+                            data = stream.read()
+                    except FileNotFoundError:
+                        problem = "file missing"
+                    except OSError:
+                        problem = "file unreadable"
+                content.append(data)
+                errors.append(problem)
+                held += len(data or b"")
+                if held >= HELD:
+                    yield batch_of(batch.slice(begun, k + 1 - begun), content, errors)
+                    begun, held, content, errors = k + 1, 0, [], []
+            if content:
+                yield batch_of(batch.slice(begun), content, errors)
+
+    kind = dict(rows.dtypes)["subject_id"]
+    return rows.mapInArrow(read, f"subject_id {kind}, path string, content binary, error string")

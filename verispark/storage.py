@@ -47,6 +47,9 @@ class SharedFiles:
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(self.folder, name)
 
+    def make(self) -> None:
+        self.fs.mkdirs(self.folder)
+
     def names(self) -> list[str]:
         return [s.getPath().getName() for s in self.fs.listStatus(self.folder)] if self.fs.exists(self.folder) else []
 
@@ -59,7 +62,7 @@ class SharedFiles:
 
     def write(self, name: str, text: str) -> None:
         """Write a new file whole: it appears by a rename."""
-        self.fs.mkdirs(self.folder)
+        self.make()
         part = self._path(f"{name}.{uuid.uuid4().hex}")
         stream = self.fs.create(part)
         try:

@@ -1,43 +1,71 @@
-"""Risk of claims kept current by a stream of audits."""
+"""Risk of claims kept current by a stream of audits.
+
+What is stored is a change log: four sums and the last date of each claim that a micro-batch touches
+(tables.BatchTable, by claim). Risks are computed from the last sums when they are read, and merged
+into whatever a claim's JSON is then, so nobody's edit of a claim is lost and no claim is rewritten.
+"""
 
 from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.claims import merge_claim_ext
+from ..operators.claims import merge_claim_ext, unmerged_claims
 from ..operators.risk import claim_sums, risk_of_sums
-from ..sources.audits import append_audits
+from ..plans.insert import insert_audits
+from ..sources.audits import append_audits, audit_table
+from ..storage import SharedFiles
+from ..tables import BatchTable
 
 log = logging.getLogger(__name__)
 
 
+def sums_table(spark: SparkSession, path: str) -> BatchTable:
+    """The last sums of each claim."""
+    return BatchTable(spark, path, key="claim_id")
+
+
+def current_risk(spark: SparkSession, path: str, claims: DataFrame | None = None) -> DataFrame:
+    """claim_id, last_updated and the columns of claim_risk, by the last sums under path; of some claims only if they are given."""
+    return risk_of_sums(sums_table(spark, path).read(of=claims), ["claim_id", "last_updated"])
+
+
+def current_claims(claims: DataFrame, path: str) -> DataFrame:
+    """claims as they are now with their current risk in json_ext.
+
+    A claim whose json_ext isn't a JSON object stays as it is; each is logged by log_unmerged.
+    """
+    return merge_claim_ext(claims, current_risk(claims.sparkSession, path))
+
+
+def log_unmerged(claims: DataFrame, path: str) -> DataFrame:
+    """claim_id, error of the claims that can't take their risk, logged by their number."""
+    found = unmerged_claims(claims, current_risk(claims.sparkSession, path))
+    if n := found.count():
+        log.error("%d claims can't take their risk: json_ext isn't a JSON object", n)
+    return found
+
+
 def store_stream(audits: DataFrame, audits_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Each micro-batch of audits is stored under its id, so a repeated batch replaces its rows."""
     writer = audits.writeStream.foreachBatch(lambda batch, n: append_audits(batch, audits_path, n)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def risk_stream(audits: DataFrame, risk_path: str, checkpoint: str, claims: DataFrame | None = None, claims_path: str | None = None, available_now: bool = True, raise_errors: bool = False) -> StreamingQuery:
-    """The risk of every claim that a micro-batch touches, and its JSON with that risk if claims are given.
+def risk_stream(audits: DataFrame, path: str, checkpoint: str, available_now: bool = True, raise_errors: bool = False) -> StreamingQuery:
+    """The sums of every claim that a micro-batch touches.
 
-    The state is four sums and the last date per claim: a batch costs what it touches, whatever was
-    stored before. It is a query of its own beside store_stream, so audits stay whatever happens
-    here; a batch that can't be scored is logged, and its claims are right again at their next audit.
-    Tables are written per batch id, so a repeated batch replaces its rows.
+    The sums are the stream's state as well, so a batch costs what it touches, whatever was stored
+    before. It is a query of its own beside store_stream, so audits stay whatever happens here; a
+    batch that can't be stored is logged, and its claims are right again at their next audit.
     """
 
     def each(batch: DataFrame, n: int) -> None:
         try:
-            risk = risk_of_sums(batch, ["claim_id", "last_updated"])
-            risk.write.mode("overwrite").parquet(f"{risk_path}/batch={n}")
-            if claims is not None:
-                scored = batch.sparkSession.read.parquet(f"{risk_path}/batch={n}")
-                touched = claims.join(scored.select("claim_id"), "claim_id", "left_semi")
-                merge_claim_ext(touched, scored).select("claim_id", "json_ext").write.mode("overwrite").parquet(f"{claims_path}/batch={n}")
+            sums_table(batch.sparkSession, path).write(batch, n)
         except Exception:
             if raise_errors:
                 raise
@@ -49,13 +77,59 @@ def risk_stream(audits: DataFrame, risk_path: str, checkpoint: str, claims: Data
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def current(rows: DataFrame) -> DataFrame:
-    """The last row of each claim among all batches."""
-    row = F.struct(*(c for c in rows.columns if c not in ("claim_id", "batch")))
-    return rows.groupBy("claim_id").agg(F.max_by(row, "batch").alias("r")).select("claim_id", "r.*")
+def add_sums(audits: DataFrame, path: str, n: int) -> None:
+    """Add the audits of batch n to the sums of their claims; a repeated batch starts from the sums before it."""
+    fresh, table = claim_sums(audits, last_updated=True), sums_table(audits.sparkSession, path)
+    if table.exists():
+        rows = table.read(before=n, of=fresh).unionByName(fresh)
+        fresh = rows.groupBy("claim_id").agg(*(F.sum(c).alias(c) for c in ("n", "failed", "s1", "s2")), F.max("last_updated").alias("last_updated"))
+    table.write(fresh, n)
+
+
+def store_and_score(audits: DataFrame, out: str, n: int) -> DataFrame:
+    """Store the audits of batch n under out/audits and add them to out/sums; gives the stored audits back.
 
+    An error in scoring is logged and never costs an audit: the batch is noted, and the next batch
+    that can be scored adds its audits too.
+    """
+    spark = audits.sparkSession
+    append_audits(audits, f"{out}/audits", n)
+    table, notes = audit_table(spark, f"{out}/audits"), SharedFiles(spark, f"{out}/unscored")
+    stored = table.batch(n)
+    # a note k says that batch k isn't scored yet, k.by.n that batch n has added it; that one may be repeated
+    names = notes.names()
+    late = sorted({int(x.split(".")[0]) for x in names if x.lstrip("-").isdigit() or x.endswith(f".by.{n}")} - {n})
+    try:
+        # all audits are read only where earlier batches must be added
+        add_sums(table.read(with_batch=True).where(F.col("batch").isin([*late, n])) if late else stored, f"{out}/sums", n)
+    except Exception:
+        log.exception("risk of micro-batch %d", n)
+        if str(n) not in names:
+            notes.write(str(n), "")
+    else:
+        for k in late:
+            if f"{k}.by.{n}" not in names:
+                notes.write(f"{k}.by.{n}", "")
+        for x in names:
+            if x in map(str, [*late, n]) or (".by." in x and int(x.rsplit(".", 1)[1]) < n):
+                notes.delete(x)
+    return stored
+
+
+def insert_stream(requests: DataFrame, tables, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Audit requests as a stream: each micro-batch is checked, stored and scored.
+
+    tables(spark) gives claims and services anew for each micro-batch. Under out: audits, sums and
+    rejected (id, error), each by batch, so a repeated batch replaces its rows.
+    """
 
-def current_claims(claims: DataFrame, written: DataFrame) -> DataFrame:
-    """claims with the last JSON that the stream wrote."""
-    last = current(written).select("claim_id", F.col("json_ext").alias("__ext"))
-    return claims.join(last, "claim_id", "left").withColumn("json_ext", F.coalesce("__ext", "json_ext")).drop("__ext")
+    def each(batch: DataFrame, n: int) -> None:
+        if batch.isEmpty():
+            return
+        t = tables(batch.sparkSession)
+        good, bad = insert_audits(batch, t["claims"], t["services"])
+        BatchTable(batch.sparkSession, f"{out}/rejected").write(bad, n)
+        store_and_score(good, out, n)
+
+    writer = requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -18,10 +18,11 @@ IDLE_SECONDS = 3600.0
 
 
 class FrameSampler(StatefulProcessor):
-    """State of a connection: the last time that passed, frames received, frames passed, its newest frame.
+    """State of a connection: the last time that passed, frames received, frames passed, its newest frame, its timer.
 
-    After idle microseconds without a frame (0: never) a connection is over. A timer drops its state
-    once the watermark is past that, and a frame that comes later starts a new one in any case.
+    After idle microseconds without a frame (0: never) a connection is over. Its timer, once due,
+    drops the state or is set again from the newest frame, so a batch touches no timers; a frame
+    that comes later than idle starts a new connection in any case.
     """
 
     def __init__(self, interval: int, idle: int, names: list[str]):
@@ -29,13 +30,13 @@ class FrameSampler(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("sampler", "last long, frames long, passed long, newest long")
+        self.state = handle.getValueState("sampler", "last long, frames long, passed long, newest long, timer boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last, frames, passed, newest = self.state.get() if self.state.exists() else (-1, 0, 0, -1)
-        # a key's rows may come in several chunks, in any order
+        last, frames, passed, newest, timer = self.state.get() if self.state.exists() else (-1, 0, 0, -1, False)
+        # a key's rows may come in several chunks, in any order; they are pointers, not frames
         chunk = pd.concat(list(rows)).sort_values(["micros", "id"], kind="stable").reset_index(drop=True)
-        micros, usable = chunk["micros"].to_numpy(), chunk["error"].isna().to_numpy()
+        micros, usable = chunk["micros"].to_numpy(np.int64), chunk["error"].isna().to_numpy()
         gaps = np.diff(micros, prepend=newest if newest >= 0 else micros[0])
         starts = np.flatnonzero(gaps > self.idle).tolist() if self.idle else []
         mark, received, verified = (np.zeros(len(chunk), np.int64) for _ in range(3))
@@ -48,18 +49,20 @@ class FrameSampler(StatefulProcessor):
             received[a:b], verified[a:b] = frames + np.arange(1, b - a + 1), passed + np.cumsum(mark[a:b])
             last, frames, passed = int(micros[at[-1]]) if len(at) else last, frames + b - a, passed + len(at)
         newest = max(newest, int(micros[-1]))
-        self.state.update((last, frames, passed, newest))
-        if self.idle:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+        if self.idle and not timer:
             self.handle.registerTimer((newest + self.idle) // 1000 + 1)
+        self.state.update((last, frames, passed, newest, bool(self.idle)))
         chunk["frame_count"], chunk["verification_count"] = received, verified
         out = chunk[~usable | (mark > 0)]
         if len(out):
             yield out[self.names]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.state.clear()
+        due = (self.state.get()[3] + self.idle) // 1000 + 1 if self.state.exists() else 0
+        if due > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(due)  # frames came since
+        else:
+            self.state.clear()
         return iter([])
 
     def close(self) -> None:
@@ -72,10 +75,12 @@ def sample_stream(frames: DataFrame, seconds: float = 5.0, carry: list[str] | No
     Rows whose column error (optional) isn't null are counted and come out, but never take a
     connection's turn. A frame older than its connection's last passed one doesn't pass, one later
     than late is dropped, and a connection without a frame for idle_seconds is over: a frame that
-    comes then starts a new one. Without idle_seconds connections never end. A task holds one
-    micro-batch's rows of a connection, so bound the batches (maxFilesPerTrigger, maxBytesPerTrigger)
-    where connections are busy. Needs the RocksDB state store.
+    comes then starts a new one. Without idle_seconds connections never end. A frame without a time
+    has no place among the others: it never reaches the state and is left out (no_time gives those).
+    A task holds one micro-batch's rows of a connection, so carry pointers rather than payloads.
+    Needs the RocksDB state store.
     """
+    frames = frames.where(F.col("ts").isNotNull())
     error = F.col("error") if "error" in frames.columns else F.lit(None)
     extra = ["ts", "error", *carry] if carry is not None else []
     ts = F.col("ts").cast("timestamp")
@@ -87,3 +92,8 @@ def sample_stream(frames: DataFrame, seconds: float = 5.0, carry: list[str] | No
     if not idle_seconds:
         return slim.groupBy("conn_id").transformWithStateInPandas(sampler, schema, "append", "none")
     return slim.withWatermark("ts", late).groupBy("conn_id").transformWithStateInPandas(sampler, schema, "append", "EventTime")
+
+
+def no_time(frames: DataFrame) -> DataFrame:
+    """The frames without a time, with an error; their counts are null."""
+    return frames.where(F.col("ts").isNull()).withColumns({"error": F.coalesce("error", F.lit("the frame has no time")), "frame_count": F.lit(None).cast("long"), "verification_count": F.lit(None).cast("long")})

@@ -89,6 +89,12 @@ class BatchTable:
         columns = [f["name"] for f in m["schema"]["fields"]]
         return rows.select(*columns, *(["batch"] if with_batch else []))
 
+    def batch(self, n: int) -> DataFrame:
+        """The rows of the newest batch n, as they were written."""
+        m = self._load()
+        rows = self._rows([p for p in m["parts"] if p["level"] == 0 and p["last"] == n])
+        return rows.select(*(f["name"] for f in m["schema"]["fields"]))
+
     def _write(self, rows: DataFrame, level: int) -> str:
         folder = f"level={level}-{uuid.uuid4().hex}"
         if self._manifest["key"]:
