@@ -31,6 +31,10 @@ from ._common import fold_of, text_of, unused
 PROFILE = 400
 #: Languages whose profiles are broadcast together; of more, each group gives its best and the best of those is taken.
 MAX_LANGUAGES = 2000
+#: Values of the language column beyond which it is taken for an error, as all profiles reach the driver.
+MOST_LANGUAGES = 100_000
+#: Ranks that are compared at once: n-grams times languages.
+COMPARED = 1 << 22
 UNKNOWN = "und"
 #: Characters of text that are turned into n-grams at once.
 PIECE_CHARS = 1 << 19
@@ -62,6 +66,44 @@ class Numbered:
         """How often each n-gram occurs in text k."""
         return np.bincount(self.ids[self.bounds[k] : self.bounds[k + 1]].ravel(), minlength=len(self.keys) + 1)[: len(self.keys)]
 
+    def counts_by(self, group: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(group, n-grams, how often each occurs in its texts), given each text's group; one pass over all texts."""
+        none = len(self.keys)
+        code = np.repeat(group, np.diff(self.bounds))[:, None] * np.int64(none + 1) + self.ids[self.bounds[0] : self.bounds[-1]]
+        if groups * (none + 1) <= TABLE_CODES:
+            n = np.bincount(code.ravel(), minlength=groups * (none + 1))
+            found = np.flatnonzero(n)
+            n = n[found]
+        else:
+            found, n = np.unique(code.ravel(), return_counts=True)
+        of, gram = found // (none + 1), found % (none + 1)
+        for g in np.unique(of).tolist():
+            pick = (of == g) & (gram < none)
+            yield g, gram[pick], n[pick]
+
+    def ranked(self, which: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, n-gram, rank) of the most frequent n-grams of some texts, as top_ids ranks them, in order; all texts are sorted at once."""
+        none, lengths = len(self.keys), np.diff(self.bounds)
+        chosen = np.zeros(len(lengths), bool)
+        chosen[which] = True
+        text, at = np.repeat(np.arange(len(lengths)), lengths), np.repeat(chosen, lengths)
+        ids = self.ids[self.bounds[0] : self.bounds[-1]][at]
+        pairs = (text[at][:, None] * np.int64(none + 1) + ids)[ids < none]
+        pairs.sort()
+        first = np.flatnonzero(np.diff(pairs, prepend=-1))
+        n = np.diff(np.append(first, len(pairs)))
+        text, gram = pairs[first] // (none + 1), pairs[first] % (none + 1)
+        if none < 1 << 21 and len(lengths) < 1 << 21 and (not len(n) or n.max() < 1 << 20):
+            packed = text << 41 | ((1 << 20) - n) << 21 | gram  # sorting numbers is faster than sorting places
+            packed.sort()
+            text, gram = packed >> 41, packed & ((1 << 21) - 1)
+        else:
+            order = np.lexsort((gram, -n, text))
+            text, gram = text[order], gram[order]
+        starts = np.flatnonzero(np.diff(text, prepend=-1))
+        rank = np.arange(len(text)) - np.repeat(starts, np.diff(np.append(starts, len(text))))
+        return text[rank < top], gram[rank < top], rank[rank < top]
+
 
 def numbered(texts: list[str]) -> Numbered:
     """All 1- to 3-grams of one text or more."""
@@ -150,16 +192,13 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
         for batch in batches:
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             for part in _parts(texts):
-                grams, sums = numbered(texts[part]), {}
-                for k, lang in enumerate(langs[part]):
-                    n = grams.counts(k)
-                    sums[lang] = sums[lang] + n if lang in sums else n
-                for lang, n in sums.items():
-                    pick = np.flatnonzero(n)
-                    mine = held.setdefault(lang, [])
-                    mine.append((grams.keys[pick], n[pick]))
+                grams, names = numbered(texts[part]), sorted(set(langs[part]))
+                place = {x: k for k, x in enumerate(names)}
+                for g, pick, n in grams.counts_by(np.array([place[x] for x in langs[part]], np.int64), len(names)):
+                    mine = held.setdefault(names[g], [])
+                    mine.append((grams.keys[pick], n))
                     if len(mine) > 15:
-                        held[lang] = [_merged(mine)]
+                        held[names[g]] = [_merged(mine)]
         for lang, found in held.items():
             keys, n = _merged(found)
             for at in range(0, len(keys), 10_000):
@@ -171,6 +210,8 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", "key", "rank")
     out: dict[str, list[str]] = {}
+    if (n := rows.agg(F.approx_count_distinct("lang")).first()[0]) > MOST_LANGUAGES:
+        raise ValueError(f"about {n} values of {lang_col}: these can't be languages")
     for r in sorted(best.collect(), key=lambda r: (r["lang"], r["rank"])):
         out.setdefault(r["lang"], []).append(spelt(r["key"]))
     return out
@@ -186,6 +227,40 @@ def predict(spark: SparkSession, profiles: dict[str, list[str]], text: Column, t
     return best
 
 
+def _nearest(grams: Numbered, ranks: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest profile or -1, score) of each text; ranks has the profiles' ranks of each n-gram.
+
+    Long texts count their n-grams in a table each; all short ones are sorted together.
+    """
+    sizes, langs = np.diff(grams.bounds) * 3, ranks.shape[1]
+    best, score = np.full(len(sizes), -1), np.zeros(len(sizes))
+    if not langs:
+        return best, score
+
+    def compare(text: np.ndarray, gram: np.ndarray, rank: np.ndarray) -> None:
+        """Texts in order, each whole."""
+        starts = np.flatnonzero(np.diff(text, prepend=-1))
+        r = ranks[gram]
+        far = np.add.reduceat(np.where(r < 0, top, np.minimum(top, np.abs(r - rank[:, None].astype(np.int32)))), starts, axis=0, dtype=np.int64)
+        own, which = np.diff(np.append(starts, len(text))), text[starts]
+        best[which] = far.argmin(axis=1)
+        score[which] = 1 - far.min(axis=1) / (top * own)
+
+    long = sizes * 4 >= len(grams.keys)
+    for k in np.flatnonzero(long).tolist():
+        own = top_ids(grams.counts(k), top)
+        if len(own):
+            compare(np.full(len(own), k), own, np.arange(len(own)))
+    if not long.all():
+        text, gram, rank = grams.ranked(np.flatnonzero(~long), top)
+        starts, at = np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(text)), 0
+        while at < len(text):
+            to = int(starts[max(np.searchsorted(starts, at + COMPARED // langs, "right") - 1, np.searchsorted(starts, at, "right"))])
+            compare(text[at:to], gram[at:to], rank[at:to])
+            at = to
+    return best, score
+
+
 def _predict(spark: SparkSession, profiles: dict[str, list[str]], text: Column, top: int) -> Column:
     langs = sorted(profiles)
     known = sorted({key_of(g) for grams in profiles.values() for g in grams})
@@ -204,18 +279,9 @@ def _predict(spark: SparkSession, profiles: dict[str, list[str]], text: Column,
             grams = numbered(texts[part])
             at = np.searchsorted(known, grams.keys)
             hit = known[np.minimum(at, len(known) - 1)] == grams.keys if len(known) else np.zeros(len(at), bool)
-            mine = ranks[np.where(hit, at, len(known))]
-            for k in range(len(grams.bounds) - 1):
-                own = top_ids(grams.counts(k), top)
-                if not len(own) or not langs:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                r = mine[own]
-                far = np.where(r < 0, top, np.minimum(top, np.abs(r - np.arange(len(own), dtype=np.int32)[:, None]))).sum(axis=0)
-                best = int(far.argmin())
-                names.append(langs[best])
-                scores.append(1 - float(far[best]) / (top * len(own)))
+            best, score = _nearest(grams, ranks[np.where(hit, at, len(known))], top)
+            names += [langs[k] if k >= 0 else UNKNOWN for k in best.tolist()]
+            scores += score.tolist()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     # marks alone are no letters
