@@ -1,6 +1,7 @@
 import math
 import os
 import resource
+import time
 import unicodedata
 import zlib
 from collections import Counter
@@ -11,7 +12,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from verispark.llm.kneser_ney import discounts, gram_hash, op4_lm_scoring, pack, score, train, unpack
+from verispark.llm.kneser_ney import PIECE, discounts, gram_hash, op4_lm_scoring, pack, score, train, unpack
 from verispark.llm import language_id
 from verispark.llm.language_id import identify, keep_identified, learn_profiles, numbered, op7_language_id, predict, spelt, top_ids
 from verispark.llm.quality_classifier import SMOOTHING, fit, indicators, op6_quality, quality
@@ -120,6 +121,21 @@ def test_lm_with_more_shards_than_descriptors(spark, sf):
         resource.setrlimit(resource.RLIMIT_NOFILE, limit)
     plain = Plain(texts)
     assert np.allclose(got, [plain.row(t)[3] for t in texts], rtol=1e-9)
+    # a whole piece costs at most twice what it costs with some 20 shards
+    few = train(docs, shard_bytes=max(1, size // 14))
+    assert sum(few.shards) < 30
+    rng = np.random.default_rng(0)
+    piece = [" ".join(map(str, rng.integers(0, 60_000, 4000))) for _ in range(PIECE // 6 // 4000)]
+
+    def seconds(model):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            model.score(piece)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(model) < 2 * seconds(few)
 
 
 def test_lm_query_beats_base(spark):

@@ -71,13 +71,13 @@ def fold_of(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that none has more than PIECE_ROWS rows or much over PIECE_BYTES of text."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that none has more than PIECE_ROWS rows or much over size bytes of text."""
     for batch in batches:
         if not batch.num_rows:
             continue
         mean = max(1, batch.column(text).nbytes // batch.num_rows)
-        step = max(1, min(PIECE_ROWS, PIECE_BYTES // mean))
+        step = max(1, min(PIECE_ROWS, size // mean))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
 

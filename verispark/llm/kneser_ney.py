@@ -8,9 +8,11 @@ twice and more) is dealt on to the shards of the next shorter grams, down to wor
 workers memory-map the arrays and look up the distinct grams of each piece of the corpus.
 
 Shards are sized by bytes of training text, so their memory is bounded and the model grows with
-the corpus on disk only. A shard is one file; a worker keeps MAX_OPEN of them mapped at once and
-opens only those that a piece of text asks for. Files are written under a task-own name and then
-renamed, so a repeated task leaves the same file.
+the corpus on disk only. A shard is one file; a worker keeps MAX_OPEN of them mapped at once. With
+bigrams a piece of text asks a shard once at most, for all that is known of its grams, so with more
+shards it opens each of them once, which takes some 0.1 ms, as the places of a file's arrays stand
+in its first bytes. Files are written under a task-own name and then renamed, so a repeated task
+leaves the same file.
 
 Words are identified by their XXH64, longer grams by 40 bits within their shard: at two million
 entries a shard, about two in a million unseen grams are taken for seen ones.
@@ -24,7 +26,7 @@ whatever their names.
 
 from __future__ import annotations
 
-import json
+import mmap
 import os
 from array import array
 from collections import OrderedDict
@@ -45,7 +47,12 @@ SHARD_BYTES = 24 << 20
 KEY_BITS = 40
 #: Words whose hashes a worker keeps, and shards that it keeps mapped.
 MEMO = 400_000
-MAX_OPEN = 64
+MAX_OPEN = 200
+#: Bytes of text that are counted or scored at once.
+PIECE = 8 << 20
+#: Fixed values of the files: names of arrays, and bytes for the places of each.
+_ARRAYS = ("key", "high", "low", "count", "count+", "raw", "raw+", "total", "total+", "n1", "n1+", "n2", "n2+", "n3", "n3+")
+_TYPES = {"key": "<u8", "high": "<u4"}
 _END, _START = b" ", b"  "  # no word has a space
 #: What is known of a gram: its count as a shorter gram, how often it occurs, and its extensions' total and numbers of counts 1, 2 and more.
 _STATS = ("count", "raw", "total", "n1", "n2", "n3")
@@ -104,13 +111,13 @@ def pack(*columns: np.ndarray) -> bytes:
     """Columns of unsigned integers; the first is ascending and kept as differences."""
     import zstandard
 
-    out = [np.array([len(columns), len(columns[0])], "<i8").tobytes()]
+    out, shrink = [np.array([len(columns), len(columns[0])], "<i8").tobytes()], zstandard.ZstdCompressor(level=1).compress
     for k, c in enumerate(columns):
         c = c.astype(_U)
         c = np.diff(c, prepend=_U(0)) if k == 0 else c
         width = max(1, (int(c.max(initial=0)).bit_length() + 7) // 8)
         planes = np.ascontiguousarray(c, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-        raw = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
+        raw = shrink(np.ascontiguousarray(planes.T).tobytes())
         out += [np.array([width, len(raw)], "<i8").tobytes(), raw]
     return b"".join(out)
 
@@ -119,12 +126,12 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     """The columns that pack() was given."""
     import zstandard
 
-    (k, n), at, out = np.frombuffer(blob, "<i8", 2), 16, []
+    (k, n), at, out, grow = np.frombuffer(blob, "<i8", 2), 16, [], zstandard.ZstdDecompressor().decompress
     for i in range(k):
         width, size = np.frombuffer(blob, "<i8", 2, at)
         at += 16
         full = np.zeros((n, 8), np.uint8)
-        full[:, :width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at : at + size]), np.uint8).reshape(width, n).T
+        full[:, :width] = np.frombuffer(grow(blob[at : at + size]), np.uint8).reshape(width, n).T
         c = full.reshape(-1).view("<u8")
         out.append(np.cumsum(c, dtype=_U) if i == 0 else c)
         at += size
@@ -142,19 +149,17 @@ def _summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """One file: a line that says what is where, then the arrays, each from a multiple of 16 bytes on."""
+    """One file: where each of _ARRAYS begins and how long it is, then the arrays, each from a multiple of 16 bytes on."""
     os.makedirs(folder, exist_ok=True)
-    index, at, parts = {}, 0, []
+    index, at, parts = np.zeros((len(_ARRAYS), 2), "<i8"), 16 * len(_ARRAYS), []
     for k, a in arrays.items():
         raw = a.tobytes() + b"\0" * (-a.nbytes % 16)
-        index[k] = (a.dtype.str, at, len(a))
+        index[_ARRAYS.index(k)] = at, len(a)
         at += len(raw)
         parts.append(raw)
-    head = json.dumps(index).encode()
-    head += b" " * (-(len(head) + 1) % 16) + b"\n"
     own = f"{folder}/.{name}-{TaskContext.get().taskAttemptId()}"
     with open(own, "wb") as f:
-        f.write(head)
+        f.write(index.tobytes())
         f.writelines(parts)
     os.replace(own, f"{folder}/{name}")
 
@@ -173,10 +178,10 @@ class Shard:
     """A mapped file of grams."""
 
     def __init__(self, path: str):
-        raw = np.memmap(path, np.uint8, "r")
-        head = bytes(raw[: 1 << 12]).split(b"\n", 1)[0]
-        base = len(head) + 1
-        self.arrays = {k: raw[base + at : base + at + np.dtype(t).itemsize * n].view(t) for k, (t, at, n) in json.loads(head).items()}
+        with open(path, "rb") as f:
+            raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        index = np.frombuffer(raw, "<i8", 2 * len(_ARRAYS)).reshape(-1, 2).tolist()
+        self.arrays = {k: np.frombuffer(raw, _TYPES.get(k, "<i8" if k.endswith("+") else "<u1"), n, at) for k, (at, n) in zip(_ARRAYS, index) if at}
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Where each key stands, or -1."""
@@ -219,7 +224,10 @@ def _shard(path: str) -> Shard | None:
     else:
         while len(_open) >= MAX_OPEN:
             _open.popitem(last=False)
-        _open[path] = Shard(path) if os.path.exists(path) else None
+        try:
+            _open[path] = Shard(path)
+        except FileNotFoundError:
+            _open[path] = None
     return _open[path]
 
 
@@ -275,27 +283,34 @@ class Model:
                     out[k][a:b] = found.values(k, at)
         return out
 
-    def _each(self, level: int, words: list[np.ndarray], names: tuple[str, ...]) -> dict[str, np.ndarray]:
-        h, which = np.unique(gram_hash(words), return_inverse=True)
-        return {k: v[which] for k, v in self.look_up(level, h, names).items()}
-
     def score(self, texts: list[str]) -> dict[str, np.ndarray]:
         """n_tokens, n_known, base_score and score of each text."""
         words, n = tokens_of(texts, self.order)
         starts = np.cumsum(n) - n
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
-        known, which = np.unique(words[-1], return_inverse=True)
-        c = self.look_up(1, known, ("raw",))["raw"]
+        # all that is known of the piece's words, and of the start, which is only ever a context
+        known = np.unique(np.append(words[-1], _U(_hashes[_START])))
+        of_word = self.look_up(1, known, _STATS)
+        which = np.searchsorted(known, words[-1])
+        c = of_word["raw"]
         base = np.log10((c + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
         out = {"n_tokens": n, "n_known": add((c > 0)[which].astype(np.int64)), "base_score": add(base[which])}
         # a token's probability depends on its n-gram only
         _, first, gram = np.unique(gram_hash(words), return_index=True, return_inverse=True)
         own = [w[first] for w in words]
-        seen = self._each(1, own[-1:], ("count",))["count"]
+
+        def each(level: int, words: list[np.ndarray], names: tuple[str, ...]) -> dict[str, np.ndarray]:
+            if level == 1:
+                at = np.searchsorted(known, words[0])
+                return {k: of_word[k][at] for k in names}
+            h, at = np.unique(gram_hash(words), return_inverse=True)
+            return {k: v[at] for k, v in self.look_up(level, h, names).items()}
+
+        seen = each(1, own[-1:], ("count",))["count"]
         p = (np.maximum(seen - _discount(seen, self.discounts[0]), 0) / self.continuations if self.continuations else 0.0) + np.full(len(seen), self.mass / (self.types + 1))
         for level in range(2, self.order + 1):
-            seen, d = self._each(level, own[-level:], ("count",))["count"], self.discounts[level - 1]
-            context = self._each(level - 1, own[-level:-1], ("total", "n1", "n2", "n3"))
+            seen, d = each(level, own[-level:], ("count",))["count"], self.discounts[level - 1]
+            context = each(level - 1, own[-level:-1], ("total", "n1", "n2", "n3"))
             total = np.maximum(context["total"], 1)
             back = np.where(context["total"] > 0, (d[0] * context["n1"] + d[1] * context["n2"] + d[2] * context["n3"]) / total, 1.0)
             p = np.maximum(seen - _discount(seen, d), 0) / total + back * p
@@ -326,7 +341,7 @@ def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, sh
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([int(shard[p[0]]) for p in parts], blobs, tallies), dealt.types)], schema=dealt)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, size=PIECE):
             words, _ = tokens_of(batch.column("text").to_pylist(), order)
             h, one, (n,) = _summed(gram_hash(words), np.ones(len(words[0]), np.int64))
             yield deal([w[one] for w in words], h, [n], [0] * (4 * order))
@@ -386,7 +401,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, size=PIECE):
             found = model.score(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[k]) for k in names[1:])], names=names)
 
