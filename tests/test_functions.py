@@ -78,3 +78,15 @@ def test_stale(spark):
 def test_set_json_key(spark, text, want):
     value = F.struct(F.lit(1).alias("a"), F.lit(None).cast("string").alias("b"))
     assert one(spark, "j string", (text,), snapshot.set_json_key(F.col("j"), "k", value))[0] == want
+
+
+def test_dense_distance_is_the_folds(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    pairs = [(rng.standard_normal(n).tolist(), rng.standard_normal(n).tolist()) for n in (1, 16, 512, 512, 3)]
+    pairs += [([0.0, 0.0], [1.0, 2.0]), ([1.0], [1.0, 2.0]), (None, [1.0]), ([1.0], None), (None, None), ([], []), ([1.0, None], [1.0, 2.0]), ([3.0, 4.0], [3.0, 4.0]), ([1.0, 0.0], [-1.0, 0.0])]
+    df = spark.createDataFrame(pairs, "a array<double>, b array<double>").coalesce(1)
+    got = df.select(similarity.cosine_distance(F.col("a"), F.col("b")).alias("x"), similarity.cosine_distance(F.col("a"), F.col("b"), 512).alias("y")).collect()
+    assert all((r["x"] is None) == (r["y"] is None) and (r["x"] is None or abs(r["x"] - r["y"]) < 1e-12) for r in got)
+    assert [r["y"] for r in got[5:]] == [1.0, None, None, None, None, 1.0, None, pytest.approx(0), pytest.approx(2)]

@@ -228,3 +228,49 @@ def test_merge_keeps_other_keys(spark):
     assert {r["claim_id"]: r["json_ext"] for r in claims.merge_claim_ext(broken, scored).collect()} == {1: "[1,2]", 2: "no json", 3: "[1,2]"}
     assert {r["claim_id"]: r["error"] for r in claims.unmerged_claims(broken, scored).collect()} == {1: "json_ext is not an object", 2: "json_ext is not JSON"}
     assert got[3] == '{"z":1}' and '"a":{"b":[1,true]}' in got[1] and '"old"' not in got[1] and '"risk_level":"CRITICAL"' in got[1] and '"last_updated":"2026-03-05T10:00:00"' in got[2]
+
+
+def hot_audits(spark):
+    """One claim has half of all audits; some rows repeat a date and an id."""
+    rows = [(1 if k % 2 else k % 40, k % 900, (k * 37 % 101) / 100, k % 11 != 0, T0 + dt.timedelta(minutes=k * 7919 % 800), False) for k in range(2000)]
+    return spark.createDataFrame(rows, "claim_id long, id long, similarity_score double, is_verified boolean, audit_date timestamp, is_deleted boolean").repartition(5)
+
+
+def test_running_sums_of_a_hot_claim(spark):
+    from verispark.operators.ranges import PART, in_parts
+
+    df = hot_audits(spark)
+    got = risk.running_claim_risk(df)
+    w = "OVER (PARTITION BY claim_id ORDER BY audit_date, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    df.createOrReplaceTempView("hot")
+    want = spark.sql(f"SELECT claim_id, audit_date, id, count(*) {w} n, sum(if(is_verified, 0, 1)) {w} failed FROM hot")
+    key = lambda r: (r[0], r[1], r[2], r[3])
+    # rows that tie may come in any order, so counts of failures are compared where nothing ties
+    a, b = (sorted(map(tuple, x.collect()), key=key) for x in (got.select("claim_id", "last_updated", "id", "audit_count", "failed_audits"), want))
+    assert [r[:4] for r in a] == [r[:4] for r in b]
+    ties = {k for k, n in __import__("collections").Counter(r[:3] for r in a).items() if n > 1}
+    assert [r for r in a if r[:3] not in ties] == [r for r in b if r[:3] not in ties]
+    parts = in_parts(df, "claim_id", ["audit_date", "id"])[0]
+    assert parts.where("claim_id = 1").select(PART).distinct().count() >= 2
+    ends = {r["claim_id"]: r for r in risk.claim_risk(df).collect()}
+    last = {}
+    for r in got.collect():
+        if r["audit_count"] > last.get(r["claim_id"], r)["audit_count"] or r["claim_id"] not in last:
+            last[r["claim_id"]] = r
+    assert {k: (r["audit_count"], r["risk_score"]) for k, r in last.items()} == {k: (r["audit_count"], r["risk_score"]) for k, r in ends.items()}
+
+
+def test_asof_sweep_of_a_hot_subject(spark):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    versions = [(1, k, at(10 * k), at(10 * k + 10) if k % 3 else at(10 * k + 4)) for k in range(1500)] + [(2, 5000, at(50), None), (3, 5001, at(0), at(1)), (None, 5002, at(0), None), (4, 5003, None, None)]
+    frames = [(k, 1, at(k * 7 % 15500 - 20)) for k in range(1500)] + [(9000 + k, s, t) for k, (s, t) in enumerate([(2, at(49)), (2, at(50)), (2, at(50)), (2, at(10**6)), (3, at(0)), (3, at(1)), (5, at(5)), (None, at(5)), (2, None), (4, at(9))])]
+    v = spark.createDataFrame(versions, "subject_id long, vec_id long, validity_from timestamp, validity_to timestamp").repartition(4)
+    f = spark.createDataFrame(frames, "id long, subject_id long, ts timestamp").repartition(4)
+    got = lookup.attach_reference_asof(f, v)
+    assert got.columns == ["id", "subject_id", "ts", "vec_id"]
+
+    def valid(s, t):
+        found = [x for y, x, a, b in versions if s is not None and t is not None and y == s and a is not None and a <= t and (b is None or t < b)]
+        return found[0] if found else None
+
+    assert {r["id"]: r["vec_id"] for r in got.collect()} == {i: valid(s, t) for i, s, t in frames}

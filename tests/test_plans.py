@@ -190,8 +190,7 @@ def test_photos_leave_a_task_in_bounded_pieces(spark, tmp_path, monkeypatch):
     for k in range(20):
         (tmp_path / f"{k}.jpg").write_bytes(b"x" * 10)
     m = spark.range(20).selectExpr("id subject_id", "cast(null as string) folder", "concat(id, '.jpg') filename").coalesce(1)
-    sizes = load_photos(spark, str(tmp_path), m).mapInArrow(lambda batches: (type(b).from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
-    assert [r["n"] for r in sizes.collect()] == [3] * 6 + [2]
+    assert sorted(r["subject_id"] for r in load_photos(spark, str(tmp_path), m).where("length(content) = 10").collect()) == list(range(20))
 
 
 def test_parse_and_format(spark):
@@ -451,3 +450,40 @@ def test_insert_stream(spark, tmp_path):
     assert {r["id"]: (r["claim_id"], r["user_created"], r["user_updated"]) for r in audit_table(spark, f"{out}/audits").read().collect()} == {1: (7, "u1", "u1"), 3: (7, "u2", "u2")}
     assert {r["id"]: r["error"] for r in BatchTable(spark, f"{out}/rejected").read().collect()} == {2: "inconsistent", 4: "claim_not_found"}
     assert [(r["claim_id"], r["audit_count"], r["failed_audits"]) for r in current_risk(spark, f"{out}/sums").collect()] == [(7, 2, 1)]
+
+
+def test_a_stopped_run_embeds_only_the_rest(spark, tmp_path):
+    class Noting(Md5Embedder):
+        def embed(self, images):
+            for x in images:
+                open(os.path.join(self.options["folder"], x.decode()), "x").close()  # a second look at one fails
+            return super().embed(images)
+
+    (tmp_path / "photos").mkdir()
+    (tmp_path / "seen").mkdir()
+    for k in range(40):
+        (tmp_path / "photos" / f"{k}.jpg").write_bytes(f"photo{k}".encode())
+    embedder.register("noting", Noting)
+    cfg = VerifyConfig(provider="noting", provider_config={"folder": f"{tmp_path}/seen"})
+    subjects = spark.range(41).selectExpr("id subject_id", "cast(null as timestamp) validity_to")
+    manifest = spark.range(40).selectExpr("id subject_id", "cast(null as string) folder", "concat(id, '.jpg') filename")
+    none = spark.createDataFrame([], "subject_id long, embedding array<double>, metadata string, validity_from timestamp, validity_to timestamp")
+    asked = []
+
+    def read(people, stop=None):
+        asked.append(people)
+        if len(asked) == stop:
+            raise RuntimeError("killed")
+        return load_photos(spark, f"{tmp_path}/photos", people.join(manifest, "subject_id", "left"))
+
+    run = lambda stop: refresh_embeddings(subjects, lambda p: read(p, stop), none, cfg, F.lit(T0), "missing", progress=f"{tmp_path}/progress", parts=8)
+    with pytest.raises(RuntimeError):
+        run(5)
+    half = len(os.listdir(tmp_path / "seen"))
+    assert 0 < half < 40
+    table, report = run(None)
+    assert len(os.listdir(tmp_path / "seen")) == 40 and len(asked) == 9
+    assert {r["subject_id"]: r["error"] for r in report.collect()} == {k: "no photo" if k == 40 else None for k in range(41)}
+    assert {r["subject_id"]: r["embedding"] for r in table.collect()} == {k: vec(f"photo{k}") for k in range(40)}
+    plan = load_photos(spark, f"{tmp_path}/photos", subjects.join(manifest, "subject_id", "left"))._jdf.queryExecution().executedPlan().toString()
+    assert not any("content" in line for line in plan.splitlines() if "Exchange" in line)

@@ -1,9 +1,13 @@
-"""Column functions for comparing embeddings; all of them stay in the JVM."""
+"""Column functions for comparing embeddings; all of them stay in the JVM, but for the distance of long ones."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..config import EMBEDDING_SIZES, FALLBACK_THRESHOLD, VerifyConfig
 
@@ -32,8 +36,34 @@ def expected_size(model_name: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in EMBEDDING_SIZES.items() for x in pair)), model_name)
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine: 0 same direction, 1 orthogonal or a zero vector, 2 opposite; null on unequal length."""
+@F.arrow_udf(DoubleType())
+def _dense_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    """cosine_distance by one product over all numbers of a batch."""
+    n, m = (pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False) for x in (a, b))
+    fit = np.flatnonzero((n == m) & (n >= 0))
+    x, y = (c.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64) for c in (a, b))
+    out, some = np.ones(len(fit)), n[fit] > 0
+    starts = (np.cumsum(n[fit]) - n[fit])[some].astype(np.int64)
+    if len(starts):
+        dot, xx, yy = (np.add.reduceat(p, starts) for p in (x * y, x * x, y * y))
+        norms = np.sqrt(xx) * np.sqrt(yy)
+        out[some] = np.where(norms == 0, 1.0, 1.0 - dot / np.where(norms == 0, 1.0, norms))
+    full = np.full(len(n), np.nan)
+    full[fit] = out
+    return pa.array(full, pa.float64(), from_pandas=True)  # a null number in a vector gives null, as in the JVM
+
+
+#: Numbers of an embedding from which a batch in Arrow is faster than the JVM's fold.
+DENSE = 128
+
+
+def cosine_distance(a: Column, b: Column, size: int | None = None) -> Column:
+    """1 - cosine: 0 same direction, 1 orthogonal or a zero vector, 2 opposite; null on unequal length.
+
+    size is the length that embeddings are expected to have; it only chooses how they are computed.
+    """
+    if size is not None and size >= DENSE:
+        return _dense_distance(a, b)
     norms = _norm(a) * _norm(b)
     return F.when(F.size(a) == F.size(b), F.when(norms == 0.0, F.lit(1.0)).otherwise(F.lit(1.0) - _dot(a, b) / norms))
 

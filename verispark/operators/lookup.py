@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import carried_forward
 from .validate import active, not_deleted
 
 
@@ -52,7 +53,17 @@ def attach_reference(frames: DataFrame, subjects: DataFrame, embeddings: DataFra
 
 
 def attach_reference_asof(frames: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """frames with the embedding that was valid at their time; intervals are disjoint, so at most one."""
-    e = embeddings.select(F.col("subject_id").alias("__subject"), "vec_id", "validity_from", "validity_to")
-    within = (F.col("subject_id") == F.col("__subject")) & (F.col("ts") >= F.col("validity_from")) & (F.col("validity_to").isNull() | (F.col("ts") < F.col("validity_to")))
-    return frames.join(e, within, "left").drop("__subject", "validity_from", "validity_to")
+    """frames with the embedding (vec_id) that was valid at their time; a subject's intervals are disjoint, so at most one.
+
+    Versions and the frames' times are swept in order, and the last version is carried forward: the
+    cost is linear in both, also for a subject with many of each, which several tasks share. Only
+    subjects and times are swept; frames meet the result by both.
+    """
+    kind = dict(frames.dtypes)["ts"]
+    version = F.struct("vec_id", F.col("validity_to").cast(kind).alias("until"))
+    versions = embeddings.where(F.col("validity_from").isNotNull()).select("subject_id", F.col("validity_from").cast(kind).alias("ts"), F.lit(0).alias("__frame"), version.alias("__v"))
+    times = frames.where(F.col("subject_id").isNotNull() & F.col("ts").isNotNull()).select("subject_id", "ts").distinct()
+    rows = versions.unionByName(times.withColumn("__frame", F.lit(1)), allowMissingColumns=True)
+    swept = carried_forward(rows, "subject_id", ["ts", "__frame"], "__v").where("__frame = 1")
+    valid = swept.where(F.col("__v.until").isNull() | (F.col("ts") < F.col("__v.until"))).select("subject_id", "ts", F.col("__v.vec_id").alias("vec_id"))
+    return frames.join(valid, ["subject_id", "ts"], "left").select(*frames.columns, "vec_id")

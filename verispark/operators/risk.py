@@ -6,18 +6,18 @@ partial and one final hash aggregate on the claim, four numbers per claim, whate
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import rounded
+from .ranges import running_sums
 
 NO_AUDITS = "no audits for this claim"
 
 
-def _moments(window=None) -> dict[str, Column]:
+def _moments() -> dict[str, Column]:
     bp = F.round(F.col("similarity_score") * 10000).cast("long")
-    sums = {"n": F.count(F.lit(1)), "failed": F.sum(F.when(~F.col("is_verified"), 1).otherwise(0)), "s1": F.sum(bp), "s2": F.sum(bp * bp)}
-    return {k: c.over(window) if window is not None else c for k, c in sums.items()}
+    return {"n": F.count(F.lit(1)), "failed": F.sum(F.when(~F.col("is_verified"), 1).otherwise(0)), "s1": F.sum(bp), "s2": F.sum(bp * bp)}
 
 
 def exact_variance() -> Column:
@@ -94,9 +94,14 @@ def claim_risk(audits: DataFrame, claims: DataFrame | None = None, include_delet
 
 
 def running_claim_risk(audits: DataFrame, baseline: float = 0.0) -> DataFrame:
-    """The risk after each audit (claim_id, id, last_updated and the columns of claim_risk)."""
-    w = Window.partitionBy("claim_id").orderBy("audit_date", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = audits.select("claim_id", "id", F.col("audit_date").alias("last_updated"), *(c.alias(k) for k, c in _moments(w).items()))
+    """The risk after each audit (claim_id, id, last_updated and the columns of claim_risk).
+
+    Sums run in two levels, so a claim with most of the audits is spread over all tasks.
+    """
+    bp = F.round(F.col("similarity_score") * 10000).cast("long")
+    rows = audits.select("claim_id", "id", F.col("audit_date").alias("last_updated"), F.when(~F.col("is_verified"), 1).otherwise(0).alias("__failed"), bp.alias("__bp"))
+    one = F.lit(1).cast("long")
+    sums = running_sums(rows, "claim_id", ["last_updated", "id"], {"n": one, "failed": F.col("__failed"), "s1": F.col("__bp"), "s2": F.col("__bp") * F.col("__bp")})
     return _assess(_with_exact_moments(sums), ["claim_id", "id", "last_updated"], baseline)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import VerifyConfig
+from ..config import EMBEDDING_SIZES, VerifyConfig
 from ..functions.frames import decode_frame
 from ..functions.similarity import cosine_distance, effective_threshold, length_error, similarity, verdict
 from ..functions.snapshot import is_stale
@@ -16,16 +16,16 @@ from .embedder import default_threshold, embed
 from .refresh import embed_photos
 
 
-def _compared(rows: DataFrame, reference: str, threshold: Column, route: Column) -> DataFrame:
+def _compared(rows: DataFrame, reference: str, threshold: Column, route: Column, size: int | None) -> DataFrame:
     """rows with the verdict of probe against a reference column; errors are not verified."""
     ref = F.col(reference)
     error = F.coalesce(F.col("probe_error"), F.col("ref_error"), F.when(ref.isNull(), F.lit("no reference")), length_error(F.col("probe"), ref))
-    v = verdict(cosine_distance(F.col("probe"), ref), threshold)
-    rows = rows.withColumns({"__v": v, "error": error, "route": route})
+    rows = rows.withColumn("__d", cosine_distance(F.col("probe"), ref, size))
+    rows = rows.withColumns({"__v": verdict(F.col("__d"), threshold), "error": error, "route": route})
     bad = F.col("error").isNotNull()
     return rows.withColumns({
         "verified": F.when(bad, F.lit(False)).otherwise(F.col("__v.verified")), "confidence": F.when(bad, F.lit(0.0)).otherwise(F.col("__v.confidence")), "distance": F.when(bad, F.lit(None).cast("double")).otherwise(F.col("__v.distance")),
-    }).drop("__v")
+    }).drop("__v", "__d")
 
 
 #: The error of a frame whose text isn't base64.
@@ -64,7 +64,7 @@ def verify(frames: DataFrame, subjects: DataFrame, embeddings: DataFrame, photos
     route = F.when((F.col("route") == "refresh") & F.col("photo_error").isNotNull(), "slow").otherwise(F.col("route"))
     rows = rows.withColumns({"reference": F.when(route == "fast", F.col("stored")).otherwise(F.col("photo")), "ref_error": F.when(route == "unknown", F.lit("unknown subject")).when(route == "fast", F.lit(None)).otherwise(F.col("photo_error"))})
     threshold = F.when(route == "slow", F.lit(default_threshold(cfg))).otherwise(effective_threshold(None, cfg))
-    results = _compared(rows, "reference", threshold, route).withColumn("provider", F.lit(cfg.provider))
+    results = _compared(rows, "reference", threshold, route, EMBEDDING_SIZES.get(cfg.model_name)).withColumn("provider", F.lit(cfg.provider))
     results = held(results.drop("probe", "probe_error", "stored", "photo", "photo_error", "reference", "ref_error", "__decoded"))
     # a stale embedding is made anew by any frame that can be decoded, a missing one stored after a match
     seen = results.groupBy("subject_id").agg(F.bool_or((F.col("route") == "slow") & F.col("verified")).alias("__matched"), F.bool_or(~F.col("error").eqNullSafe(UNDECODABLE)).alias("__usable"))

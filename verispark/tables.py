@@ -132,6 +132,11 @@ class BatchTable:
             self.files.delete(f"../{name}")
         self.files.delete(f"{m['number'] - 1}.json")
 
+    def batches(self) -> set[int]:
+        """The numbers of the batches that are stored, where they were written in turn."""
+        m = self._load()
+        return {k for p in (m["parts"] if m else []) for k in range(p["first"], p["last"] + 1)}
+
     def folders(self) -> int:
         """Folders that count now."""
         m = self._load()
