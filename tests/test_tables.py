@@ -71,3 +71,14 @@ def test_two_writers_are_told(spark, tmp_path):
     a.files.write("2.json", "{}")
     with pytest.raises(FileExistsError):
         a.files.write("2.json", "{}")
+
+
+def test_intermediate_data_can_be_discarded(spark):
+    from verispark.storage import discard, shared_path
+
+    discard(spark)
+    path = shared_path(spark, "x")
+    rows(spark, [(1, "a")]).write.parquet(path)
+    assert discard(spark) == 1 and discard(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

@@ -25,9 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Paths that shared_path gave, by application.
+_given: dict[str, list[str]] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; what is written there is intermediate (discard)."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _given.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete what this application wrote to paths of shared_path, once its results are stored elsewhere; tells how many paths."""
+    paths = _given.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        SharedFiles(spark, path).delete("")
+    return len(paths)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -73,4 +87,5 @@ class SharedFiles:
             raise FileExistsError(f"{name} is there already: two queries write this table")
 
     def delete(self, name: str) -> None:
-        self.fs.delete(self._path(name), True)
+        """Delete a file or folder; no name is the folder itself."""
+        self.fs.delete(self._path(name) if name else self.folder, True)
