@@ -2,43 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed  # noqa: F401
+from ..storage import shared_path as new_path  # noqa: F401
+
 #: Rows that a Python worker holds at once; long texts make the pieces smaller.
 PIECE_ROWS = 10_000
 PIECE_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the one already set.
-
-    Only where neither is set and the master is local (tests) is a temporary folder made and set; a
-    cluster without a shared folder is an error, as each host's own folder would lose data.
-    """
-    here = spark.conf.get("spark.checkpoint.dir", None)
-    if here:
-        return here.rstrip("/")
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def posix_path(uri: str) -> str:
     """The path under which every worker sees a shared folder; raises if it isn't mounted."""
     parts = urlparse(uri)
@@ -47,12 +26,6 @@ def posix_path(uri: str) -> str:
     return unquote(parts.path) if parts.scheme else uri
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def unused(df: DataFrame, name: str) -> str:
     """A column name like name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
