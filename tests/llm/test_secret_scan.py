@@ -13,7 +13,7 @@ KINDS = ("assign", "access", "hex")
 
 def base(text):
     out = []
-    for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text or ""):
+    for m in re.finditer(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text or ""):
         if len(m[2]) >= 8:
             out.append((m.start(), 0, m.end(), m[2]))
     out += [(m.start(), 1, m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 16]
@@ -117,3 +117,18 @@ def test_repeated_rows_and_empty(spark):
     assert sorted({str(x) for x in got(twice)}) == sorted({str(x) for x in got(scan_secrets(docs))})
     assert scan_secrets(empty(spark)).count() == 0
     assert rows_of(scan_secrets(docs).select(F.max(written(F.col("base")))))
+
+
+def test_letters_beyond_ascii_are_no_other_case_of_ascii_letters(spark):
+    """A long s and the Kelvin sign aren't s and k; Spark, the brute force and the SQL agree."""
+    import duckdb
+
+    from verispark.llm.secret_scan import OP9_SQL
+
+    texts = ["\u017fecret = abcdefgh1", "to\u212aen: abcdefgh1", "SeCrEt = abcdefgh1", "API\u212aEY=abcdefgh1 apiKEY=abcdefgh2"]
+    docs = spark.createDataFrame([row(k, t) for k, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: [s["secret"] for s in r["base"]] for r in scan_secrets(docs).collect()}
+    assert got == {0: [], 1: [], 2: ["abcdefgh1"], 3: ["abcdefgh2"]} == {k: [s[3] for s in base(t)] for k, t in enumerate(texts)}
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text", "source").toPandas())
+    assert dict(con.sql(f"SELECT doc_id, n_assign FROM ({OP9_SQL})").fetchall()) == {0: 0, 1: 0, 2: 1, 3: 1}

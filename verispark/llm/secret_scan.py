@@ -19,6 +19,8 @@ no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -125,8 +127,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _spelt_out(pattern: str) -> str:
+    """The pattern with both cases of each letter where it ignores case: DuckDB would take letters beyond ASCII for them, Spark doesn't."""
+    return re.sub(r"\(\?i:([^)]*)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")", pattern)
+
+
 def _sql_kind(rank: int, pattern: str, group: int, least: int) -> str:
-    p = "'" + pattern.replace("'", "''") + "'"
+    p = "'" + _spelt_out(pattern).replace("'", "''") + "'"
     return f"SELECT doc_id, source, {rank} AS kind, {least} AS least, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, {group}) AS s, string_split_regex(t, {p}) AS g FROM d"
 
 
