@@ -10,7 +10,8 @@ further: its words are compared by their vectors in thermometer code first.
 The trie is dealt to tasks by its subtrees. Nodes with more than BOUND words (fewer where the
 vocabulary is small, so that there are enough subtrees) are its top: at most as many a level as the
 vocabulary has BOUNDs, counted level by level and broadcast. Every word is sent to its own subtree
-as an entry, and by the same search over the top to all subtrees that its budget reaches. A subtree
+as an entry, and by the same search over the top to the subtrees from its own on, in order, that its
+budget reaches; a pair across subtrees is so found once, for both of its words. A subtree
 of all levels that is still too large, as its words have one vector, is dealt to several tasks by
 the words' CRC and searched in each. So no task holds more than some BOUND entries.
 
@@ -134,7 +135,7 @@ class Subtree:
         self.vec, self.names, self.counts = vec[order], [names[k] for k in order.tolist()], counts[order]
         self.code = thermometer(self.vec)
         self.first, self.last, self.lengths = _ends(self.names)
-        self.rank = np.argsort(np.array(sorted(range(len(names)), key=self.names.__getitem__)))
+        self.rank = _ranks(self.names)
 
     def candidates(self, vec: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(word looked for, entry) whose vectors differ by a surplus and a deficit of one at most."""
@@ -198,7 +199,7 @@ def top_of(vocabulary: DataFrame, bound: int) -> dict[bytes, int]:
 
 
 def route(vec: np.ndarray, top: dict[bytes, int]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
-    """(subtree, words that reach it, whether it is their own) by the search over the top."""
+    """(subtree, words that reach it, whether it is their own) by the search over the top, without subtrees before a word's own."""
     none = np.zeros(len(vec), bool)
     stack = [(b"", np.arange(len(vec)), none, none, ~none)]
     while stack:
@@ -209,11 +210,15 @@ def route(vec: np.ndarray, top: dict[bytes, int]) -> Iterator[tuple[bytes, np.nd
         mine = vec[which, len(part)].astype(np.int16)
         for count in np.unique(np.clip(np.concatenate([mine - 1, mine, mine + 1]), 0, 255)).tolist():
             more = mine - np.int16(count)
-            go = (more == 0) | ((more == 1) & ~spent) | ((more == -1) & ~owed)
+            go = ((more == 0) | ((more == 1) & ~spent & ~own) | ((more == -1) & ~owed))
             if go.any():
                 stack.append((part + bytes([count]), which[go], spent[go] | (more[go] == 1), owed[go] | (more[go] == -1), own[go] & (more[go] == 0)))
 
 
+#: What a row is to its subtree: an entry, a word asked for that is an entry too, a word of an earlier subtree asked for.
+_ENTRY, _OWN, _OTHER = 0, 1, 2
+
+
 def _dealt(sent, bound: int) -> Callable:
     """Rows (subtree, asks, word, n): each word as an entry of its own subtree and as a question to all that it reaches."""
 
@@ -223,36 +228,52 @@ def _dealt(sent, bound: int) -> Callable:
             names, counts = batch.column("word").to_pylist(), batch.column("n")
             for part, which, own in route(vectors(names), top):
                 blocks = -(-top[part] // bound) if part in top else 1
-                entries = which[own]
+                entries, role = which[own], np.where(own, _OWN, _OTHER)
                 block = np.array([zlib.crc32(names[k].encode()) % blocks for k in entries.tolist()], np.int64)
                 for b in range(blocks):
                     mine = np.concatenate([entries[block == b], which])
                     key = pa.array([part + b.to_bytes(4, "big")] * len(mine), pa.binary())
-                    asks = pa.array(np.arange(len(mine)) >= len(mine) - len(which))
+                    asks = pa.array(np.concatenate([np.full(len(mine) - len(which), _ENTRY), role]), pa.int32())
                     yield pa.RecordBatch.from_arrays([key, asks, batch.column("word").take(pa.array(mine)), counts.take(pa.array(mine))], names=["subtree", "asks", "word", "n"])
 
     return run
 
 
+def _ranks(names: list[str]) -> np.ndarray:
+    """Each word's place in code-point order."""
+    return np.argsort(np.array(sorted(range(len(names)), key=names.__getitem__), np.int64))
+
+
+def _best(word: np.ndarray, names: list[str], other: np.ndarray, others: list[str], counts: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+    """word, n_near, best_n, best of pairs (word, other)."""
+    order = np.lexsort((rank[other], -counts[other], word))
+    word, other = word[order], other[order]
+    each, first, n = np.unique(word, return_index=True, return_counts=True)
+    best = other[first]
+    return pa.RecordBatch.from_arrays([pa.array([names[k] for k in each.tolist()], pa.string()), pa.array(n), pa.array(counts[best]), pa.array([others[k] for k in best.tolist()], pa.string())], names=["word", "n_near", "best_n", "best"])
+
+
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by subtree, entries first: word, n_near, the largest count of a near word and the smallest such word, for each question."""
-    tree, at, entries, counts, asked = None, None, [], [], []
-
-    def answers() -> pa.RecordBatch | None:
-        nonlocal tree, asked
-        if not asked or not entries:
-            asked = []
-            return None
-        if tree is None:
-            tree = Subtree(entries, np.concatenate(counts))
-        which, entry = tree.near(asked, vectors(asked))
-        order = np.lexsort((tree.rank[entry], -tree.counts[entry], which))
-        which, entry = which[order], entry[order]
-        each, first, n = np.unique(which, return_index=True, return_counts=True)
-        best = entry[first].tolist()
-        out = pa.RecordBatch.from_arrays([pa.array([asked[k] for k in each.tolist()], pa.string()), pa.array(n), pa.array(tree.counts[best]), pa.array([tree.names[k] for k in best], pa.string())], names=["word", "n_near", "best_n", "best"])
-        asked = []
-        return out
+    """Rows by subtree, entries first, in; word, n_near, the largest count of a near word and the smallest such word out.
+
+    Pairs with words of earlier subtrees are given for both words, as no other task finds them.
+    """
+    tree, at, entries, counts = None, None, [], []
+    asked: list[str] = []
+    more: list[np.ndarray] = []  # roles and counts of what is asked
+
+    def answers() -> Iterator[pa.RecordBatch]:
+        nonlocal tree, asked, more
+        if asked and entries:
+            if tree is None:
+                tree = Subtree(entries, np.concatenate(counts))
+            role, n = (np.concatenate([m[k] for m in more]) for k in (0, 1))
+            which, entry = tree.near(asked, vectors(asked))
+            yield _best(which, asked, entry, tree.names, tree.counts, tree.rank)
+            other = role[which] == _OTHER
+            if other.any():
+                yield _best(entry[other], tree.names, which[other], asked, n, _ranks(asked))
+        asked, more = [], []
 
     for batch in batches:
         if not batch.num_rows:
@@ -261,19 +282,18 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borders = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
         for a, b in zip(borders[:-1], borders[1:]):
             if keys[a] != at:
-                if (out := answers()) is not None:
-                    yield out
+                yield from answers()
                 tree, at, entries, counts = None, keys[a], [], []
             part = batch.slice(a, b - a)
-            asks = part.column("asks").to_numpy(zero_copy_only=False)
-            split = int(np.argmax(asks)) if asks.any() else len(asks)
+            asks, n = (part.column(c).to_numpy() for c in ("asks", "n"))
+            split = int((asks == _ENTRY).sum())
             entries += part.column("word").slice(0, split).to_pylist()
-            counts.append(part.column("n").to_numpy()[:split])
+            counts.append(n[:split])
             asked += part.column("word").slice(split).to_pylist()
-            if len(asked) >= CHUNK and (out := answers()) is not None:
-                yield out
-    if (out := answers()) is not None:
-        yield out
+            more.append((asks[split:], n[split:]))
+            if len(asked) >= CHUNK:
+                yield from answers()
+    yield from answers()
 
 
 def near_words(vocabulary: DataFrame, bound: int = BOUND) -> DataFrame:
@@ -282,7 +302,7 @@ def near_words(vocabulary: DataFrame, bound: int = BOUND) -> DataFrame:
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bound = max(min(LEAST, bound), min(bound, vocabulary.count() // (4 * tasks)))
     sent = spark.sparkContext.broadcast(top_of(vocabulary, bound))
-    dealt = vocabulary.mapInArrow(_dealt(sent, bound), "subtree binary, asks boolean, word string, n long")
+    dealt = vocabulary.mapInArrow(_dealt(sent, bound), "subtree binary, asks int, word string, n long")
     dealt = dealt.repartitionByRange(tasks, "subtree").sortWithinPartitions("subtree", "asks")
     found = dealt.mapInArrow(_searched, "word string, n_near long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("word")))
