@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -44,6 +45,14 @@ def fold_of(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task, beside the JVM and the workers of the next stage."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc only
+        libc.malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that none has more than PIECE_ROWS rows or much over size bytes of text."""
     for batch in batches:
@@ -53,6 +62,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = PI
         step = max(1, min(PIECE_ROWS, size // mean))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        del batch
+        give_back()
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

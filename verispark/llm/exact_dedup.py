@@ -28,6 +28,8 @@ from ._common import pieces, text_of, unused
 
 #: Bytes that a trie may hold before it spills its largest subtrees.
 TRIE_BYTES = 32 << 20
+#: Bytes of text that are hashed at once.
+SHA_BYTES = 4 << 20
 #: What a node takes besides its label: list, dictionary, label object, terminal.
 NODE_BYTES = 600
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -197,7 +199,8 @@ def _sha(text: Column) -> Column:
 
     @F.arrow_udf("binary")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([sha256(normalised(x)).digest() for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        return pa.array([sha256(normalised(x)).digest() for piece in pieces(iter([batch]), size=SHA_BYTES) for x in piece.column("text").cast(pa.binary()).to_pylist()], pa.binary())
 
     return F.coalesce(run(text), F.lit(b""))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import fold_of, text_of, unused
+from ._common import fold_of, give_back, text_of, unused
 
 #: N-grams of a profile, and of a document.
 PROFILE = 400
@@ -199,6 +199,7 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
                     mine.append((grams.keys[pick], n))
                     if len(mine) > 15:
                         held[names[g]] = [_merged(mine)]
+            give_back()
         for lang, found in held.items():
             keys, n = _merged(found)
             for at in range(0, len(keys), 10_000):
@@ -282,6 +283,8 @@ def _predict(spark: SparkSession, profiles: dict[str, list[str]], text: Column,
             best, score = _nearest(grams, ranks[np.where(hit, at, len(known))], top)
             names += [langs[k] if k >= 0 else UNKNOWN for k in best.tolist()]
             scores += score.tolist()
+        del texts
+        give_back()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     # marks alone are no letters
