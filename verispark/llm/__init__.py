@@ -1,4 +1,4 @@
-"""Training-data operators: ten self-contained modules, one per operator.
+"""Training-data operators: thirteen modules, one per operator.
 
 Nothing outside this package imports it, so it can be removed whole.
 """

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import mmap
 import os
+import sys
 from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -39,15 +40,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fold_of, new_path, pieces, posix_path, text_of
+from ._common import fold_of, give_back, new_path, pieces, posix_path, text_of
 
 ORDER = 2
 #: Bytes of training text for which there is one shard of n-grams; words have one for two of them.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 14 << 20
 KEY_BITS = 40
 #: Words whose hashes a worker keeps, and shards that it keeps mapped.
 MEMO = 400_000
-MAX_OPEN = 200
+MAX_OPEN = 8_000 if sys.version_info >= (3, 13) else 200
 #: Bytes of text that are counted or scored at once.
 PIECE = 8 << 20
 #: Fixed values of the files: names of arrays, and bytes for the places of each.
@@ -174,12 +175,16 @@ def _keys(key: np.ndarray, level: int) -> dict[str, np.ndarray]:
     return {"key": key.astype("<u8")} if level == 1 else {"high": (key >> _U(8)).astype("<u4"), "low": (key & _U(255)).astype("<u1")}
 
 
+#: A mapping that holds no file descriptor, where Python knows that.
+_UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+
+
 class Shard:
     """A mapped file of grams."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_UNTRACKED)
         index = np.frombuffer(raw, "<i8", 2 * len(_ARRAYS)).reshape(-1, 2).tolist()
         self.arrays = {k: np.frombuffer(raw, _TYPES.get(k, "<i8" if k.endswith("+") else "<u1"), n, at) for k, (at, n) in zip(_ARRAYS, index) if at}
 
@@ -371,7 +376,10 @@ def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, sh
                 both = [np.concatenate([a, b]) for a, b in zip(words[1:], words[:-1])]
                 columns = [np.concatenate(x) for x in ((count_, zero), (raw, zero), (zero, c), (zero, c == 1), (zero, c == 2), (zero, c > 2))]
                 h, one, sums = _summed(gram_hash(both), *columns)
+                del columns, key, stats, named
                 yield deal([w[one] for w in both], h, sums, tally)
+                del both, h, one, sums, c, raw, words, zero, count_, seen
+                give_back()
 
         return run
 
