@@ -7,7 +7,8 @@ rules out almost all positions, the rest are looked up, and equality of the whol
 verifies the hit. Contaminated documents or the hit spans can be removed.
 
 The table is broadcast only if the benchmark has at most MAX_WINDOWS windows, which is counted
-first; beyond that, windows are joined on their bytes by a shuffle, with the same results.
+first; beyond that, a Bloom filter of at most FILTER_WORDS words is broadcast instead, and the
+positions that pass it are joined with the windows by a shuffle, with the same results.
 
 Defined results: null or empty text has no words; null or empty benchmark texts have no windows;
 items with a null id mark words as hit but aren't listed; items that repeat a text are all listed;
@@ -26,11 +27,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import text_of, unused
+from ._common import checkpointed, pieces, text_of, unused
 
 NGRAM = 10
 #: Windows that may be broadcast: some 100 bytes each, so 100 MB at most.
 MAX_WINDOWS = 1_000_000
+#: 64-bit words of the filter before a join: 64 MB at most, with more false positives for a larger benchmark.
+FILTER_WORDS = 1 << 23
+#: A hash sets four bits of its word; the word is told by the lowest bits.
+_SHIFTS = (24, 30, 36, 42)
+#: Parts that a window's occurrences are dealt to in a join, whatever its share of all.
+SALTS = 64
+#: Windows that a task holds before it passes them on.
+HELD = 100_000
 #: Every byte that isn't part of a word becomes a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: The same words in the original text.
@@ -72,15 +81,16 @@ def _spans(text: str, hit: np.ndarray) -> list[dict]:
     return [{"start": places[a][0], "end": places[b - 1][1]} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
 
-def _row(text: str, words: list[bytes], found: list[tuple[int, int, list[str]]]) -> dict:
+def _row(text: str, words: list[bytes], found: list[tuple[int, int]], items: list[str]) -> dict:
+    """found has the first word and the number of words of each hit."""
     if not found:
         return {"n_words": len(words), "n_hit": 0, "item_ids": [], "spans": []}
     step = np.zeros(len(words) + 1, np.int64)
-    for at, k, _ in found:
+    for at, k in found:
         step[at] += 1
         step[at + k] -= 1
     hit = np.cumsum(step[:-1]) > 0
-    return {"n_words": len(words), "n_hit": int(hit.sum()), "item_ids": sorted({i for *_, items in found for i in items}), "spans": _spans(text, hit)}
+    return {"n_words": len(words), "n_hit": int(hit.sum()), "item_ids": items, "spans": _spans(text, hit)}
 
 
 def _scanner(spark: SparkSession, windows: DataFrame) -> Column:
@@ -93,41 +103,68 @@ def _scanner(spark: SparkSession, windows: DataFrame) -> Column:
         table, known, sizes = sent.value
         rows = []
         for text in texts.to_pylist():
-            words, found = words_of(text), []
+            words, found, of = words_of(text), [], set()
             misses = np.concatenate([[0], np.cumsum(1 - np.fromiter(map(known.get, words, repeat(0)), np.int64, len(words)))])
             for k in sizes:
                 for at in np.flatnonzero(misses[k:] == misses[:-k]).tolist() if k <= len(words) else ():
                     if (items := table.get(b" ".join(words[at : at + k]))) is not None:
-                        found.append((at, k, items))
-            rows.append(_row(text, words, found))
+                        found.append((at, k))
+                        of.update(items)
+            rows.append(_row(text, words, found, sorted(of)))
         return pa.array(rows, _HITS_ARROW)
 
     return hits
 
 
-def _joined(docs: DataFrame, windows: DataFrame, text: str, into: str) -> DataFrame:
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """The bits that hashes set in their words of a filter."""
+    out = np.zeros(len(hashes), np.uint64)
+    for shift in _SHIFTS:
+        out |= np.uint64(1) << ((hashes >> np.uint64(shift)) & np.uint64(63))
+    return out
+
+
+def window_filter(windows: DataFrame, count: int, max_words: int = FILTER_WORDS) -> np.ndarray:
+    """A Bloom filter of the column hash: about four windows a word, but never more than max_words (a power of two) words."""
+    words = min(max_words, 1 << max(6, (count // 4).bit_length()))
+    bits = " | ".join(f"shiftleft(1L, CAST(shiftrightunsigned(hash, {s}) & 63 AS INT))" for s in _SHIFTS)
+    rows = windows.groupBy(F.expr(f"hash & {words - 1}L").alias("word")).agg(F.expr(f"bit_or({bits})").alias("bits")).toArrow()  # at most a row a word
+    out = np.zeros(words, np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def passing(texts: Iterator[tuple[bytes, str]], sizes: list[int], table: np.ndarray, held: int = HELD) -> Iterator[tuple[list, list, list, np.ndarray]]:
+    """(keys, first words, windows, hashes) of the windows that pass the filter, some held of them at a time."""
+    from xxhash import xxh64_digest
+
+    keys, ats, found, hashes = [], [], [], [np.zeros(0, np.uint64)]
+    for key, text in texts:
+        words = words_of(text)
+        for k in sizes:
+            for start in range(0, len(words) - k + 1, held):
+                windows = [b" ".join(words[at : at + k]) for at in range(start, min(start + held, len(words) - k + 1))]
+                h = np.frombuffer(b"".join(map(xxh64_digest, windows)), "<u8")
+                bits = _bits(h)
+                passed = np.flatnonzero((table[h & np.uint64(len(table) - 1)] & bits) == bits)
+                keys += [key] * len(passed)
+                ats += (start + passed).tolist()
+                found += [windows[p] for p in passed.tolist()]
+                hashes.append(h[passed])
+                if len(found) >= held:
+                    yield keys, ats, found, np.concatenate(hashes)
+                    keys, ats, found, hashes = [], [], [], [np.zeros(0, np.uint64)]
+    if found:
+        yield keys, ats, found, np.concatenate(hashes)
+
+
+def _joined(docs: DataFrame, windows: DataFrame, count: int, text: str, into: str, max_words: int) -> DataFrame:
     """docs with a column of hits by a shuffle on the windows, for a benchmark too large to broadcast.
 
-    Texts go by SHA-256, so that equal texts are scanned once and different ones never share hits.
-    Windows meet by their XXH64, and what meets is verified by the windows' bytes.
+    Positions that pass the filter go by their text's SHA-256, so that equal texts count once and
+    different ones never share hits; no text is shuffled for the search. Windows meet by XXH64 and
+    bytes, a window's occurrences in SALTS parts. Hits and items come back as two lists a text.
     """
-    sizes = [r[0] for r in windows.select("n_words").distinct().collect()]  # at most NGRAM values
-
-    @F.arrow_udf("array<struct<at: int, hash: bigint>>")
-    def candidates(texts: pa.Array) -> pa.Array:
-        from xxhash import xxh64_digest
-
-        ats, digests, ends = [], [], [0]
-        for t in texts.to_pylist():
-            words = words_of(t)
-            for k in sizes:
-                n = max(0, len(words) - k + 1)
-                ats.append(np.arange(n, dtype=np.int32))
-                digests += [xxh64_digest(b" ".join(words[at : at + k])) for at in range(n)]
-            ends.append(len(digests))
-        hashes = np.frombuffer(b"".join(digests), "<i8")
-        pair = pa.StructArray.from_arrays([pa.array(np.concatenate(ats) if ats else np.zeros(0, np.int32)), pa.array(hashes)], names=["at", "hash"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pair)
 
     @F.arrow_udf("bigint")
     def hash_of(windows: pa.Array) -> pa.Array:
@@ -135,27 +172,40 @@ def _joined(docs: DataFrame, windows: DataFrame, text: str, into: str) -> DataFr
 
         return pa.array(np.frombuffer(b"".join(xxh64_digest(w) for w in windows.to_pylist()), "<i8"))
 
-    @F.arrow_udf(_HITS)
-    def assemble(texts: pa.Array, found: pa.Array) -> pa.Array:
-        rows = []
-        for t, hits in zip(texts.to_pylist(), found.to_pylist()):
-            words = words_of(t)
-            rows.append(_row(t, words, [(h["at"], h["n_words"], h["item_ids"]) for h in hits or [] if b" ".join(words[h["at"] : h["at"] + h["n_words"]]) == h["window"]]))
-        return pa.array(rows, _HITS_ARROW)
+    table = checkpointed(windows.withColumn("hash", hash_of("window")))
+    sizes = sorted(r[0] for r in table.select("n_words").distinct().collect())  # at most NGRAM values
+    sent = docs.sparkSession.sparkContext.broadcast(window_filter(table, count, max_words))
 
-    name, got = unused(docs, "text_sha256"), unused(docs, "windows_found")
-    key = F.unhex(F.sha2(text_of(text), 256))
-    exploded = docs.select(key.alias("key"), text_of(text).alias("t")).dropDuplicates(["key"]).select("key", F.explode(candidates("t")).alias("c")).select("key", "c.*")
-    found = exploded.join(windows.withColumn("hash", F.coalesce(hash_of("window"), F.lit(0).cast("long"))), "hash").groupBy("key").agg(F.collect_list(F.struct("at", "n_words", "window", "item_ids")).alias(got))
-    rows = docs.withColumn(name, key).join(found.withColumnRenamed("key", name), name, "left")
-    return rows.withColumn(into, assemble(text_of(text), F.col(got))).drop(name, got)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            texts = zip(batch.column("key").to_pylist(), batch.column("text").to_pylist())
+            for keys, ats, found, hashes in passing(texts, sizes, sent.value):
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ats, pa.int32()), pa.array(found, pa.binary()), pa.array(hashes.view(np.int64))], names=["key", "at", "window", "hash"])
 
+    @F.arrow_udf(_HITS)
+    def assemble(texts: pa.Array, places: pa.Array, items: pa.Array) -> pa.Array:
+        return pa.array([_row(t, words_of(t), [(p["at"], p["n_words"]) for p in found or []], of or []) for t, found, of in zip(texts.to_pylist(), places.to_pylist(), items.to_pylist())], _HITS_ARROW)
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = NGRAM, max_windows: int = MAX_WINDOWS, into: str = "hits") -> DataFrame:
+    name, places, items = unused(docs, "text_sha256"), unused(docs, "windows_found"), unused(docs, "items_found")
+    key = F.unhex(F.sha2(text_of(text), 256))
+    seen = docs.select(key.alias("key"), text_of(text).alias("text")).mapInArrow(scan, "key binary, at int, window binary, hash bigint")
+    # copies of a text collapse before their shuffle, so a text with a third of all rows counts once
+    seen = checkpointed(seen.dropDuplicates(["key", "at", "window"]).withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int")))
+    # only the parts in which a window occurs, each once, meet the windows
+    parts = seen.select("hash", "salt", "window").distinct().join(table, ["hash", "window"])
+    found = seen.join(parts, ["hash", "salt", "window"]).select("key", "at", "n_words", "window", "item_ids")
+    hits = found.groupBy("key").agg(F.collect_list(F.struct("at", "n_words")).alias(places))
+    of = found.select("key", "window", "item_ids").dropDuplicates(["key", "window"]).select("key", F.explode("item_ids").alias("item")).groupBy("key").agg(F.array_sort(F.collect_set("item")).alias(items))
+    rows = docs.withColumn(name, key).join(hits.join(of, "key", "left").withColumnRenamed("key", name), name, "left")
+    return rows.withColumn(into, assemble(text_of(text), F.col(places), F.col(items))).drop(name, places, items)
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = NGRAM, max_windows: int = MAX_WINDOWS, max_words: int = FILTER_WORDS, into: str = "hits") -> DataFrame:
     """docs with a column more: n_words, n_hit, item_ids and the character spans of hit words."""
     windows = item_windows(benchmark, item_id, item_text, n)
-    if windows.count() > max_windows:
-        return _joined(docs, windows, text_col, into)
+    count = windows.count()
+    if count > max_windows:
+        return _joined(docs, windows, count, text_col, into, max_words)
     return docs.withColumn(into, _scanner(docs.sparkSession, windows)(text_of(text_col)))
 
 
