@@ -182,6 +182,22 @@ def test_sampling_with_repeated_ids(spark):
     assert sorted((str(r["conn_id"]), r["id"], r["frame_count"], r["verification_count"]) for r in numbered.collect()) == [("None", 2, 1, 1), ("a", 1, 1, 1), ("b", 1, 4, 2), ("b", 2, 2, 1)]
 
 
+def test_numbers_of_a_hot_connection(spark):
+    """One connection has half of all frames; payload columns are named like the helper columns."""
+    rows = [("hot" if n % 2 else f"c{n % 40}", n, T0 + dt.timedelta(seconds=n // 3), "p", 1) for n in range(4000)] + [("hot", -1, None, "p", 1), (None, 5, T0, "p", 1)]
+    df = spark.createDataFrame(rows, "conn_id string, id int, ts timestamp, k string, t int").repartition(7)
+    got = sampling.number_verifications(df, sampling.sample_frames(df, 5.0))
+    assert got.columns == [*df.columns, "frame_count", "verification_count"]
+    want = set()
+    for c in {r[0] for r in rows}:
+        last, verified = None, 0
+        for n, (t, i) in enumerate(sorted(((t or dt.datetime.min, i) for k, i, t, *_ in rows if k == c), key=lambda x: (x[0].replace(tzinfo=None), x[1])), 1):
+            if t != dt.datetime.min and (last is None or (t - last).total_seconds() >= 5):
+                last, verified = t, verified + 1
+                want.add((c, i, n, verified))
+    assert {(r["conn_id"], r["id"], r["frame_count"], r["verification_count"]) for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_supersede_with_two_rows_of_a_key(spark):
     old = spark.createDataFrame([(1, "a", T0, None)], "subject_id int, v string, validity_from timestamp, validity_to timestamp")
     new = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (2, "z")], "subject_id int, v string").repartition(3)

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import running_sums
+
 
 def greedy(micros: np.ndarray, interval: int, last: int | None) -> list[int]:
     """Positions that pass in ascending whole times, given the last one that passed before."""
@@ -51,19 +53,33 @@ def sample_frames(frames: DataFrame, seconds: float = 5.0, key: str = "conn_id",
                 start = stop
             yield batch.take(pa.array(passed, pa.int64()))
 
-    slim = frames.select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(id_col).alias("i"))
+    slim = _slim(frames, key, ts, id_col)
     passed = slim.where("t IS NOT NULL").repartition("k").sortWithinPartitions("k", "t", "i").mapInArrow(run, f"k string, t long, i {dict(frames.dtypes)[id_col]}")
-    same = F.col(key).cast("string").eqNullSafe(passed["k"]) & (F.unix_micros(F.col(ts).cast("timestamp")) == passed["t"]) & F.col(id_col).eqNullSafe(passed["i"])
-    return frames.join(passed, same, "left_semi").dropDuplicates([key, ts, id_col])
+    return frames.join(passed, _same(frames, passed, key, ts, id_col), "left_semi").dropDuplicates([key, ts, id_col])
+
+
+def _slim(frames: DataFrame, key: str, ts: str, id_col: str) -> DataFrame:
+    return frames.select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(id_col).alias("i"))
+
+
+def _same(frames: DataFrame, slim: DataFrame, key: str, ts: str, id_col: str) -> Column:
+    return F.col(key).cast("string").eqNullSafe(slim["k"]) & (F.unix_micros(F.col(ts).cast("timestamp")) == slim["t"]) & F.col(id_col).eqNullSafe(slim["i"])
 
 
 def number_verifications(frames: DataFrame, sampled: DataFrame, key: str = "conn_id", ts: str = "ts", id_col: str = "id") -> DataFrame:
-    """frames with frame_count and verification_count as each sampled frame saw them; only sampled rows."""
-    found = sampled.select(F.col(key).alias("__k"), F.col(ts).alias("__t"), F.col(id_col).alias("__i"), F.lit(1).alias("__s"))
-    marks = frames.join(found, F.col(key).eqNullSafe(found["__k"]) & (F.col(ts) == found["__t"]) & F.col(id_col).eqNullSafe(found["__i"]), "left").drop("__k", "__t", "__i")
-    w = Window.partitionBy(key).orderBy(ts, id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = marks.withColumns({"frame_count": F.count("*").over(w), "verification_count": F.count("__s").over(w)})
-    return counted.where(F.col("__s").isNotNull()).drop("__s")
+    """frames with frame_count and verification_count as each sampled frame saw them; only sampled rows.
+
+    Both counts are running sums over range-sorted frames without payloads, so a connection with
+    half of all frames is spread over tasks. Frames without a time come first and are never sampled;
+    of rows that repeat connection, time and id each counts, and they have the counts of the last.
+    """
+    chosen = _slim(sampled, key, ts, id_col).dropDuplicates().withColumn("__s", F.lit(1))
+    slim = _slim(frames, key, ts, id_col)
+    equal = slim["k"].eqNullSafe(chosen["k"]) & (slim["t"] == chosen["t"]) & slim["i"].eqNullSafe(chosen["i"])
+    marks = slim.join(chosen, equal, "left").select(slim["k"], slim["t"], slim["i"], F.coalesce("__s", F.lit(0)).alias("__s"))
+    counted = running_sums(marks, "k", ["t", "i"], {"frame_count": F.lit(1), "verification_count": F.col("__s")}).where("__s = 1")
+    found = counted.groupBy("k", "t", "i").agg(F.max("frame_count").alias("frame_count"), F.max("verification_count").alias("verification_count"))
+    return frames.join(found, _same(frames, found, key, ts, id_col)).drop(found["k"], found["t"], found["i"])
 
 
 def connection_stats(frames: DataFrame, verified: DataFrame, key: str = "conn_id") -> DataFrame:
