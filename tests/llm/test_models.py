@@ -1,6 +1,8 @@
 import math
 import os
+import re
 import resource
+import struct
 import time
 import unicodedata
 import zlib
@@ -11,11 +13,12 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from xxhash import xxh32_intdigest, xxh64_intdigest
 
 from verispark.llm.kneser_ney import PIECE, discounts, gram_hash, op4_lm_scoring, pack, score, train, unpack
 from verispark.llm import language_id
 from verispark.llm.language_id import identify, keep_identified, learn_profiles, numbered, op7_language_id, predict, spelt, top_ids
-from verispark.llm.quality_classifier import SMOOTHING, fit, indicators, op6_quality, quality
+from verispark.llm.quality_classifier import BUCKETS, SMOOTHING, fit, indicators, op6_quality, quality
 from verispark.llm.quality_classifier import train as train_quality
 
 from .helpers import DOCS, awkward, empty, row, rows_of
@@ -280,6 +283,53 @@ def test_quality_by_brute_force(spark, sf):
     assert (np.diff(p[np.argsort([model.margin(t) for t, _ in texts])]) >= 0).all()
 
 
+def plain_indicators(text):
+    """The hashed n-grams by whole numbers, one at a time."""
+    parts = re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", text)
+
+    def shape(p):
+        if p[0].isdigit():
+            return "9"
+        if not p[0].isalpha():
+            return p[:3]
+        return "U" if p.isupper() and len(p) > 1 else "T" if p.istitle() else "l" if p.islower() else "m"
+
+    low, s = [xxh32_intdigest(p.lower()) for p in parts], [xxh32_intdigest(shape(p)) for p in parts]
+    two = [a * 31 + b for a, b in zip(s, s[1:])]
+    three = [a * 37 + b for a, b in zip(two, s[2:])]
+    salted = [(low, 1), (s, 2 << 40), (two, 3 << 41), (three, 5 << 42)]
+    return [0, *sorted({((x * 0x9E3779B97F4A7C15 + salt) % 2**64 >> 20) % (BUCKETS - 1) + 1 for codes, salt in salted for x in codes})]
+
+
+@given(st.lists(st.sampled_from(["Word", "word", "WORD", "wOrd", "é", "日本", "12", "!!!!", "?", "_", " ", "\n", "$", "don't", "x1"]), max_size=20).map(" ".join))
+def test_quality_indicators(text):
+    assert indicators(text).tolist() == plain_indicators(text)
+
+
+def test_quality_query_by_rows(spark, sf):
+    """The sample, its order, the mapping to probabilities and every row's score, recomputed beside the query."""
+    labels = {r["doc_id"]: r["quality"] for r in rows_of(spark.read.parquet(f"{sf}/labels.parquet"))}
+    docs = {r["doc_id"]: r["text"] or "" for r in rows_of(spark.read.parquet(f"{sf}/documents.parquet"))}
+    order = lambda d: (xxh64_intdigest(struct.pack("<q", d), 42) + 2**63) % 2**64
+    sample = sorted((d for d, q in labels.items() if d in docs and q is not None and zlib.crc32(str(d).encode()) % 5), key=order)[:12_000]
+    x, y = [np.array(plain_indicators(docs[d])) for d in sample], np.array([labels[d] for d in sample])
+    model = fit(x, y)
+    rest = np.arange(len(y)) % 5 != 4
+    first = fit([r for r, k in zip(x, rest) if k], y[rest])
+    margins = np.array([first.weights[r].sum() / np.sqrt(first.squares[r].sum()) for r, k in zip(x, rest) if not k])
+    z = y[~rest] > 0
+    target = np.where(z, (z.sum() + 1) / (z.sum() + 2), 1 / ((~z).sum() + 2))
+    p = 1 / (1 + np.exp(-(model.slope * margins + model.offset)))
+    assert abs(((p - target) * margins).sum() + 1e-3 * (model.slope - 1)) < 1e-5 and abs((p - target).sum()) < 1e-5
+    got = rows_of(op6_quality(spark, sf))
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    for r in got:
+        at = np.array(plain_indicators(docs[r["doc_id"]]))
+        want = 1 / (1 + math.exp(-(model.slope * model.weights[at].sum() / math.sqrt(model.squares[at].sum()) + model.offset)))
+        assert r["score"] == pytest.approx(want, abs=1e-4) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert r["predicted"] == (r["score"] >= 0.3)
+
+
 def test_quality_sample_skips_labels_without_a_document(spark):
     docs = spark.createDataFrame([row(k, "fine words" if k % 2 else "BAD ###") for k in range(10)], DOCS)
     labels = spark.range(-500, 10).select(F.col("id").alias("doc_id"), (F.abs("id") % 2).cast("int").alias("quality"))
