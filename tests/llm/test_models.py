@@ -141,6 +141,20 @@ def test_lm_with_more_shards_than_descriptors(spark, sf):
     assert seconds(model) < 2 * seconds(few)
 
 
+def test_lm_counts_bigrams_of_one_short_hash(spark):
+    """Two bigrams whose hashes end in the same 40 bits are two: their words' counts are exact."""
+    h = np.array([xxh64_intdigest(f"w{k}") for k in range(3000)], np.uint64)
+    pairs = gram_hash([np.repeat(h[:1000], 3000), np.tile(h, 1000)]) & np.uint64((1 << 40) - 1)
+    order = np.argsort(pairs)
+    at = np.flatnonzero(np.diff(pairs[order]) == 0)
+    found = [[divmod(int(order[k + j]), 3000) for j in (0, 1)] for k in at.tolist()]
+    (a, b), (c, d) = next(x for x in found if len({*x[0], *x[1]}) == 4)
+    docs = spark.createDataFrame([(1, f"w{a} w{b}"), (2, f"w{c} w{d}")], "doc_id long, text string")
+    rows = rows_of(score(docs, train(docs)))
+    each = 2 * math.log10(1.1 / 6.6) + math.log10(2.1 / 6.6)
+    assert len(rows) == 2 and all(r["n_known"] == 3 and r["base_score"] == pytest.approx(each) for r in rows)
+
+
 def test_lm_query_beats_base(spark):
     rows = rows_of(op4_lm_scoring(spark, SF))
     held = [r for r in rows if r["held_out"]]

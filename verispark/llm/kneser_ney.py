@@ -14,8 +14,9 @@ shards it opens each of them once, which takes some 0.1 ms, as the places of a f
 in its first bytes. Files are written under a task-own name and then renamed, so a repeated task
 leaves the same file.
 
-Words are identified by their XXH64, longer grams by 40 bits within their shard: at two million
-entries a shard, about two in a million unseen grams are taken for seen ones.
+Words are identified by their XXH64 and longer grams, while they are counted, by their words, so
+counts of words are exact. In the files longer grams have 48 bits within their shard: at two million
+entries a shard, about seven in a billion unseen grams are taken for seen ones.
 
 Defined results: null text is the empty text, whose only token is the end; without training rows
 every token has probability 1; grams that begin a text are counted as often as they occur, all
@@ -45,7 +46,9 @@ from ._common import fold_of, give_back, new_path, pieces, posix_path, text_of
 ORDER = 2
 #: Bytes of training text for which there is one shard of n-grams; words have one for two of them.
 SHARD_BYTES = 14 << 20
-KEY_BITS = 40
+KEY_BITS = 48
+#: Bits of a hash that choose the shard.
+PLACE_BITS = 24
 #: Words whose hashes a worker keeps, and shards that it keeps mapped.
 MEMO = 400_000
 MAX_OPEN = 8_000 if sys.version_info >= (3, 13) else 200
@@ -53,7 +56,7 @@ MAX_OPEN = 8_000 if sys.version_info >= (3, 13) else 200
 PIECE = 8 << 20
 #: Fixed values of the files: names of arrays, and bytes for the places of each.
 _ARRAYS = ("key", "high", "low", "count", "count+", "raw", "raw+", "total", "total+", "n1", "n1+", "n2", "n2+", "n3", "n3+")
-_TYPES = {"key": "<u8", "high": "<u4"}
+_TYPES = {"key": "<u8", "high": "<u4", "low": "<u2"}
 _END, _START = b" ", b"  "  # no word has a space
 #: What is known of a gram: its count as a shorter gram, how often it occurs, and its extensions' total and numbers of counts 1, 2 and more.
 _STATS = ("count", "raw", "total", "n1", "n2", "n3")
@@ -104,7 +107,7 @@ def gram_hash(words: list[np.ndarray]) -> np.ndarray:
 
 def place(h: np.ndarray, shards: int, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Shard and key of grams' hashes; shards are ranges of hashes, a word's key is its whole hash."""
-    shard = ((h >> _U(KEY_BITS)) * _U(shards) >> _U(64 - KEY_BITS)).astype(np.int64)
+    shard = ((h >> _U(64 - PLACE_BITS)) * _U(shards) >> _U(PLACE_BITS)).astype(np.int64)
     return shard, h if level == 1 else h & _U((1 << KEY_BITS) - 1)
 
 
@@ -139,14 +142,19 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Ascending distinct keys, the place of one row of each, and the columns' sums."""
-    if not len(keys):
-        return keys, np.zeros(0, np.int64), [c[:0] for c in columns]
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], order[first], [np.add.reduceat(c[order], first) for c in columns]
+def _summed(words: list[np.ndarray], *columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The place of one row of each distinct gram, and the columns' sums; grams of one hash but other words stay apart."""
+    h = gram_hash(words)
+    if not len(h):
+        return np.zeros(0, np.int64), [c[:0] for c in columns]
+    order = np.argsort(h)
+    new = np.append(True, np.diff(h[order]) != 0)
+    other = np.append(True, np.any([np.diff(w[order]) != 0 for w in words], axis=0))
+    if np.any(other & ~new):
+        order = np.lexsort((*words[::-1], h))
+        other = np.append(True, np.any([np.diff(w[order]) != 0 for w in words], axis=0))
+    first = np.flatnonzero(other)
+    return order[first], [np.add.reduceat(c[order], first) for c in columns]
 
 
 def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
@@ -172,7 +180,7 @@ def _small(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _keys(key: np.ndarray, level: int) -> dict[str, np.ndarray]:
-    return {"key": key.astype("<u8")} if level == 1 else {"high": (key >> _U(8)).astype("<u4"), "low": (key & _U(255)).astype("<u1")}
+    return {"key": key.astype("<u8")} if level == 1 else {"high": (key >> _U(16)).astype("<u4"), "low": (key & _U(0xFFFF)).astype("<u2")}
 
 
 #: A mapping that holds no file descriptor, where Python knows that.
@@ -197,7 +205,7 @@ class Shard:
             open_ = open_[a["key"][at[open_]] == key[open_]]
             found[open_] = at[open_]
             return found
-        high, low = (key >> _U(8)).astype(np.uint32), (key & _U(255)).astype(np.uint8)
+        high, low = (key >> _U(16)).astype(np.uint32), (key & _U(0xFFFF)).astype(np.uint16)
         at = np.searchsorted(a["high"], high)
         while len(open_):
             open_ = open_[at[open_] < len(a["high"])]
@@ -335,11 +343,11 @@ def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, sh
     dealt, kinds = pa.schema([("shard", pa.int64()), ("columns", pa.binary()), ("tally", pa.list_(pa.int64()))]), "shard long, columns binary, tally array<long>"
     start = _hashes[_START]
 
-    def deal(words: list[np.ndarray], h: np.ndarray, stats: list[np.ndarray], tally: list[int]) -> pa.RecordBatch:
+    def deal(words: list[np.ndarray], stats: list[np.ndarray], tally: list[int]) -> pa.RecordBatch:
         """Packed rows of grams, by the shards of their level; the first row has the tally."""
-        shard, _ = place(h, shards[len(words) - 1], len(words))
+        shard, _ = place(gram_hash(words), shards[len(words) - 1], len(words))
         order_ = np.lexsort((words[0], shard))
-        cuts = np.append(np.flatnonzero(np.diff(shard[order_], prepend=-1)), len(h))
+        cuts = np.append(np.flatnonzero(np.diff(shard[order_], prepend=-1)), len(shard))
         parts = [order_[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
         blobs = [pack(*(x[p] for x in (*words, *stats))) for p in parts]
         tallies = [tally, *([0] * len(tally) for _ in parts[1:])]
@@ -348,17 +356,22 @@ def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, sh
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, size=PIECE):
             words, _ = tokens_of(batch.column("text").to_pylist(), order)
-            h, one, (n,) = _summed(gram_hash(words), np.ones(len(words[0]), np.int64))
-            yield deal([w[one] for w in words], h, [n], [0] * (4 * order))
+            one, (n,) = _summed(words, np.ones(len(words[0]), np.int64))
+            yield deal([w[one] for w in words], [n], [0] * (4 * order))
 
     def merged(level: int, rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[int]]:
-        """Keys, words, statistics and tally of a shard's grams, added up; the tally counts counts of 1 to 4 at each level."""
+        """Ascending keys, words, statistics and tally of a shard's grams, added up; the tally counts counts of 1 to 4 at each level."""
         columns = [np.concatenate(c) for c in zip(*(unpack(r["columns"]) for r in rows))]
         words, stats = columns[:level], [c.astype(np.int64) for c in columns[level:]]
-        key, one, stats = _summed(place(gram_hash(words), shards[level - 1], level)[1], *stats)
+        one, stats = _summed(words, *stats)
+        words = [w[one] for w in words]
+        key = place(gram_hash(words), shards[level - 1], level)[1]
+        if level > 1:
+            rise = np.argsort(key)
+            key, words, stats = key[rise], [w[rise] for w in words], [c[rise] for c in stats]
         tally = np.sum([r["tally"] for r in rows], axis=0).tolist()
         tally[4 * level - 4 : 4 * level] = [int((stats[0] == k).sum()) for k in range(1, 5)]
-        return key, [w[one] for w in words], stats, tally
+        return key, words, stats, tally
 
     def merge(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,10 +388,10 @@ def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, sh
                 count_ = np.where(words[1] == start, raw, 1) if level > 2 else zero + 1
                 both = [np.concatenate([a, b]) for a, b in zip(words[1:], words[:-1])]
                 columns = [np.concatenate(x) for x in ((count_, zero), (raw, zero), (zero, c), (zero, c == 1), (zero, c == 2), (zero, c > 2))]
-                h, one, sums = _summed(gram_hash(both), *columns)
+                one, sums = _summed(both, *columns)
                 del columns, key, stats, named
-                yield deal([w[one] for w in both], h, sums, tally)
-                del both, h, one, sums, c, raw, words, zero, count_, seen
+                yield deal([w[one] for w in both], sums, tally)
+                del both, one, sums, c, raw, words, zero, count_, seen
                 give_back()
 
         return run
