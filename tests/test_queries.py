@@ -36,6 +36,19 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert sorted(names) == cols and got == want
 
 
+def test_refresh_with_a_version_that_starts_now(spark, sf, tmp_path):
+    """An old version that starts at the very time of the refresh is no new row."""
+    for t in ("events", "documents"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    vectors.withColumn("vec_id", vectors.vec_id + 8700).write.parquet(f"{tmp_path}/embeddings.parquet")  # number 8784 starts on 2025-01-01
+    got = sorted(tuple(r) for r in E.queries()["refresh_embeddings"](spark, str(tmp_path)).collect())
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+        want = con.execute(f"SELECT subject_id, success, error, vector FROM ({E.oracle_sql()['refresh_embeddings']}) ORDER BY 1").fetchall()
+    assert got == want
+
+
 def test_entry(spark):
     assert E.entry(spark).count() > 0
 

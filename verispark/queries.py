@@ -247,9 +247,10 @@ UNION ALL SELECT subject_id, NULL, TIMESTAMP '{_NOW}', NULL FROM s
 def refresh_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     subjects = docs.select(F.col("doc_id").alias("subject_id"), F.lit(None).cast("timestamp_ntz").alias("validity_to"))
-    old = X.embeddings_e(spark, sf_dir).drop("vec_id")
+    old = X.embeddings_e(spark, sf_dir)
     rows, report = refresh_plan.refresh_embeddings(subjects, X.photos_d(docs), old, CFG, F.lit(_NOW).cast("timestamp_ntz"))
-    new = rows.where(F.col("validity_from") == F.lit(_NOW).cast("timestamp_ntz")).select("subject_id", _vector(F.col("embedding")).alias("vector"))
+    # new rows have no number; an old version may start at the same time
+    new = rows.where(F.col("vec_id").isNull()).select("subject_id", _vector(F.col("embedding")).alias("vector"))
     return report.join(new, "subject_id", "left").select("subject_id", "success", "error", "vector")
 
 
