@@ -18,7 +18,7 @@ from verispark.plans.refresh import refresh_embeddings, store_embeddings
 from verispark.plans.verify import audits_from_results, verify
 from verispark.sources.audits import append_audits, audit_table
 from verispark.sources.messages import format_results, parse_frames, read_messages
-from verispark.sources.photos import load_photos
+from verispark.sources.photos import load_photos, store_photos
 from verispark.streaming.risk import current_claims, current_risk, insert_stream, log_unmerged, risk_stream, store_stream
 from verispark.streaming.sampling import sample_stream
 from verispark.streaming.verification import EmbeddingStore, verify_stream
@@ -487,3 +487,14 @@ def test_a_stopped_run_embeds_only_the_rest(spark, tmp_path):
     assert {r["subject_id"]: r["embedding"] for r in table.collect()} == {k: vec(f"photo{k}") for k in range(40)}
     plan = load_photos(spark, f"{tmp_path}/photos", subjects.join(manifest, "subject_id", "left"))._jdf.queryExecution().executedPlan().toString()
     assert not any("content" in line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_photos_are_stored_once_and_loaded(spark, tmp_path):
+    rows = [(k, f"{k % 3}", f"{k}.jpg", f"photo {k}".encode() if k % 10 else None) for k in range(40)]
+    photos = spark.createDataFrame(rows, "subject_id long, folder string, filename string, content binary").repartition(4)
+    for k in range(2):  # a repeated run leaves the same files
+        store_photos(photos, f"{tmp_path}/photos").write.parquet(f"{tmp_path}/manifest{k}")
+    files = sorted(os.path.relpath(os.path.join(d, f), f"{tmp_path}/photos") for d, _, fs in os.walk(f"{tmp_path}/photos") for f in fs)
+    assert files == sorted(f"{f}/{n}" for _, f, n, c in rows if c)  # a folder is shared, nothing else is left
+    found = load_photos(spark, f"{tmp_path}/photos", spark.read.parquet(f"{tmp_path}/manifest1")).collect()
+    assert {r["subject_id"]: (r["content"] and bytes(r["content"]), r["error"]) for r in found} == {k: (c, None if c else "file missing") for k, _, _, c in rows}

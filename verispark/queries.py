@@ -27,6 +27,7 @@ from .tables import BatchTable
 
 SAMPLING_SECONDS = 7200.0  # events are minutes apart
 IDLE_SECONDS = 30 * 86400.0
+PHOTO_FOLDERS = 64
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -261,13 +262,15 @@ FROM (SELECT doc_id, text, CASE WHEN doc_id % 17 = 0 OR text IS NULL THEN 'no ph
 
 
 def load_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for each supplier, written by Spark and read back by a manifest of them all."""
-    root, suppliers = shared_path(spark, "photos"), table(spark, sf_dir, "supplier")
-    suppliers.select("s_suppkey", F.concat(F.lit("photo of "), "s_name")).write.partitionBy("s_suppkey").text(root)
-    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_extract("path", r"s_suppkey=(\d+)/", 1).cast("long").alias("subject_id"), F.element_at(F.split("path", "/"), -1).alias("file"))
-    k = F.col("subject_id") % 6
-    name = F.when(k == 2, F.concat("file", F.lit(".gone"))).when(k == 3, F.concat(F.lit("../"), "file")).when(k == 4, F.concat(F.lit("./"), "file")).when(k != 5, F.col("file"))
-    found = photos.load_photos(spark, root, paths.select("subject_id", F.concat(F.lit("s_suppkey="), F.col("subject_id").cast("string")).alias("folder"), name.alias("filename")))
+    """A file for each supplier, written by tasks and read back by a manifest of them all."""
+    root, manifest = shared_path(spark, "photos"), shared_path(spark, "manifest")
+    k = F.col("s_suppkey")
+    content = F.concat(F.lit("photo of "), "s_name", F.lit("\n")).cast("binary")
+    rows = table(spark, sf_dir, "supplier").select(k.alias("subject_id"), F.concat(F.lit("part="), k % PHOTO_FOLDERS).alias("folder"), F.concat(k.cast("string"), F.lit(".txt")).alias("filename"), content.alias("content"))
+    photos.store_photos(rows.repartition(PHOTO_FOLDERS, F.col("folder")), root).write.parquet(manifest)
+    paths, k, file = spark.read.parquet(manifest), F.col("subject_id") % 6, F.col("filename")
+    name = F.when(k == 2, F.concat(file, F.lit(".gone"))).when(k == 3, F.concat(F.lit("../"), file)).when(k == 4, F.concat(F.lit("./"), file)).when(k != 5, file)
+    found = photos.load_photos(spark, root, paths.select("subject_id", "folder", name.alias("filename")))
     return found.select("subject_id", F.md5("content").alias("content_md5"), "error")
 
 

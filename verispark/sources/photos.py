@@ -1,7 +1,8 @@
-"""Reference photos from a folder, read by their manifest."""
+"""Reference photos in a folder, written by tasks and read by their manifest."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -23,6 +24,33 @@ def _open(root: str) -> tuple[fs.FileSystem, str]:
     return found, path.rstrip("/")
 
 
+def store_photos(photos: DataFrame, root: str) -> DataFrame:
+    """The manifest (subject_id, folder, filename) of photos, which have content besides; computing a row writes its file under root, if it has content.
+
+    Write it as a table, so that each file is written once and all are there before they are read. A
+    file appears whole by a rename, in place of any that was there, so a task may be repeated. Unlike
+    a writer partitioned by subject, it needs no folder, and the driver no rename, for each photo.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (files, base), made = _open(root), set()
+        for batch in batches:
+            for folder, name, content in zip(*(batch.column(c).to_pylist() for c in ("folder", "filename", "content"))):
+                if content is None:
+                    continue
+                if folder not in made:
+                    files.create_dir(f"{base}/{folder}", recursive=True)
+                    made.add(folder)
+                part = f"{base}/{folder}/.{uuid.uuid4().hex}"
+                with files.open_output_stream(part) as stream:
+                    stream.write(content)
+                files.move(part, f"{base}/{folder}/{name}")
+            yield batch.select(["subject_id", "folder", "filename"])
+
+    kind = dict(photos.dtypes)["subject_id"]
+    return photos.select("subject_id", "folder", "filename", "content").mapInArrow(write, f"subject_id {kind}, folder string, filename string")
+
+
 def load_photos(spark: SparkSession, root: str | None, manifest: DataFrame) -> DataFrame:
     """subject_id, path, content, error for a manifest (subject_id, folder, filename).
 
