@@ -498,3 +498,21 @@ def test_photos_are_stored_once_and_loaded(spark, tmp_path):
     assert files == sorted(f"{f}/{n}" for _, f, n, c in rows if c)  # a folder is shared, nothing else is left
     found = load_photos(spark, f"{tmp_path}/photos", spark.read.parquet(f"{tmp_path}/manifest1")).collect()
     assert {r["subject_id"]: (r["content"] and bytes(r["content"]), r["error"]) for r in found} == {k: (c, None if c else "file missing") for k, _, _, c in rows}
+
+
+def test_requests_meet_only_the_tables_they_need(spark):
+    """A request that breaks a rule is looked up nowhere; one without a service meets no services, so no null gathers in one task."""
+    from verispark.plans.insert import check_audits, split_audits
+
+    kinds = "id string, claim_uuid string, service_uuid string, similarity_score double, threshold_used double, is_verified boolean, step_name string, device_id string, metadata string, audit_date timestamp_ntz"
+    row = lambda k, claim="c", service="s", score=0.9: (k, claim, service, score, 0.5, True, "gate", None, "", dt.datetime(2024, 1, 1))
+    requests = spark.createDataFrame([row("a"), row("b", service=""), row("c", service=None), row("d", service="t"), row("e", claim="x", service="t"), row("f", score=2.0), row("g", claim=None)], kinds)
+    claims = spark.createDataFrame([("c", 1, None)], "claim_uuid string, claim_id long, validity_to int")
+    services = spark.createDataFrame([("s", 7, None)], "service_uuid string, service_id long, validity_to int")
+    checked, broken = check_audits(requests, claims, services)
+    assert "Join" not in broken._jdf.queryExecution().optimizedPlan().toString()
+    good, bad = split_audits(checked, broken)
+    assert {(r["id"], r["claim_id"], r["service_id"]) for r in good.collect()} == {("a", 1, 7), ("b", 1, None), ("c", 1, None)}
+    assert {tuple(r) for r in bad.collect()} == {("d", "service_not_found"), ("e", "claim_not_found"), ("f", "score_range"), ("g", "missing: claim_uuid")}
+    found = checked._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert found.count("union") == 1 and "isnotnull(service_uuid" in found

@@ -417,8 +417,10 @@ def audits_from_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def insert_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every audit as a request: what is stored, and what is rejected with its first error."""
     rows = _requests(X.audits_a(table(spark, sf_dir, "lineitem")))
-    good, bad = insert_plan.insert_audits(rows, X.claims_c(table(spark, sf_dir, "orders")).withColumnRenamed("claim_code", "claim_uuid"), _services(spark, sf_dir))
-    return good.select("id", "claim_id", "service_id", "device_id", "metadata", "version", F.lit(None).cast("string").alias("error")).unionByName(bad, allowMissingColumns=True)
+    checked, broken = insert_plan.check_audits(rows, X.claims_c(table(spark, sf_dir, "orders")).withColumnRenamed("claim_code", "claim_uuid"), _services(spark, sf_dir))
+    # one pass for both
+    fields = (F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("claim_id", "service_id", "device_id", "metadata", "version"))
+    return checked.select("id", *fields, "error").unionByName(broken, allowMissingColumns=True)
 
 
 def _requests(audits: DataFrame) -> DataFrame:
