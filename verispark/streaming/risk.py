@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import logging
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.claims import merge_claim_ext, unmerged_claims
 from ..operators.risk import claim_sums, risk_of_sums
-from ..plans.insert import insert_audits
+from ..plans.insert import check_audits, split_audits
 from ..sources.audits import append_audits, audit_table
 from ..storage import SharedFiles
 from ..tables import BatchTable
@@ -127,9 +128,14 @@ def insert_stream(requests: DataFrame, tables, out: str, checkpoint: str, availa
         if batch.isEmpty():
             return
         t = tables(batch.sparkSession)
-        good, bad = insert_audits(batch, t["claims"], t["services"])
-        BatchTable(batch.sparkSession, f"{out}/rejected").write(bad, n)
-        store_and_score(good, out, n)
+        checked, broken = check_audits(batch, t["claims"], t["services"])
+        checked.persist(StorageLevel.DISK_ONLY)  # looked up once for both tables, so they agree
+        try:
+            good, bad = split_audits(checked, broken)
+            BatchTable(batch.sparkSession, f"{out}/rejected").write(bad, n)
+            store_and_score(good, out, n)
+        finally:
+            checked.unpersist()
 
     writer = requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
