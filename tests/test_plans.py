@@ -4,6 +4,7 @@ import base64
 import datetime as dt
 import json
 import os
+import random
 import zlib
 
 import pytest
@@ -337,6 +338,33 @@ def test_one_input_batch_gives_one_output_batch_and_the_inbox_is_emptied(spark,
     assert len(left) == 1
 
 
+def test_connections_share_states(spark, tmp_path):
+    """Three states hold 40 connections: each keeps its own numbers over batches, is over by itself, and rows with an error take no turn."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rnd, batches = random.Random(3), []
+    for k in range(4):  # a connection is idle in some batches; times only grow
+        talking = [c for c in [None, *range(39)] if rnd.random() < 0.6]
+        batches.append([(None if c is None else f"c{c}", 1000 * k + n, T0 + dt.timedelta(seconds=100 * k + rnd.random() * 90), "bad" if rnd.random() < 0.1 else None) for n, c in enumerate(rnd.choices(talking, k=200))])
+    want, states = set(), {}
+    for rows in batches:
+        for conn, i, at, error in sorted(rows, key=lambda r: (r[2], r[1])):
+            last, frames, passed, newest = states.get(conn, (None, 0, 0, at))
+            if at - newest > dt.timedelta(seconds=110):
+                last, frames, passed = None, 0, 0
+            frames += 1
+            if error is None and (last is None or at - last >= dt.timedelta(seconds=20)):
+                last, passed = at, passed + 1
+                want.add((conn, i, frames, passed))
+            elif error:
+                want.add((conn, i, frames, passed))
+            states[conn] = last, frames, passed, at
+    stream = streamed(spark, tmp_path, batches, "conn_id string, id long, ts timestamp, error string")
+    query = sample_stream(stream, 20.0, idle_seconds=110, buckets=3).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/s").trigger(availableNow=True).start(f"{tmp_path}/out")
+    query.awaitTermination()
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("conn_id", "id", "frame_count", "verification_count").collect()} == want
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3
+
+
 def test_no_image_goes_through_the_state(spark, tmp_path, monkeypatch):
     from verispark.streaming import verification as module
 

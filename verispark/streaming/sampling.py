@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.sampling import greedy
 
@@ -17,59 +17,70 @@ LATE = "10 minutes"
 IDLE_SECONDS = 3600.0
 
 
-class FrameSampler(StatefulProcessor):
-    """State of a connection: the last time that passed, frames received, frames passed, its newest frame, its timer.
+#: Connections share this many states, so that the cost of a call of Python is shared, too.
+BUCKETS = 1024
+#: A bucket's state: by connection the last time that passed, frames received, frames passed, its newest frame.
+STATE = "conns array<string>, last array<long>, frames array<long>, passed array<long>, newest array<long>"
 
-    After idle microseconds without a frame (0: never) a connection is over. Its timer, once due,
-    drops the state or is set again from the newest frame, so a batch touches no timers; a frame
-    that comes later than idle starts a new connection in any case.
+
+def frame_sampler(interval: int, idle: int, names: list[str]) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The work on the new frames of a bucket of connections.
+
+    After idle microseconds without a frame (0: never) a connection is over: it is dropped when its
+    bucket is next touched, or with the whole bucket once all of it is over; a frame that comes
+    later than idle starts a new connection in any case.
     """
 
-    def __init__(self, interval: int, idle: int, names: list[str]):
-        self.interval, self.idle, self.names = interval, idle, names
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("sampler", "last long, frames long, passed long, newest long, timer boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last, frames, passed, newest, timer = self.state.get() if self.state.exists() else (-1, 0, 0, -1, False)
-        # a key's rows may come in several chunks, in any order; they are pointers, not frames
-        chunk = pd.concat(list(rows)).sort_values(["micros", "id"], kind="stable").reset_index(drop=True)
-        micros, usable = chunk["micros"].to_numpy(np.int64), chunk["error"].isna().to_numpy()
-        gaps = np.diff(micros, prepend=newest if newest >= 0 else micros[0])
-        starts = np.flatnonzero(gaps > self.idle).tolist() if self.idle else []
-        mark, received, verified = (np.zeros(len(chunk), np.int64) for _ in range(3))
-        for a, b in zip([0, *starts], [*starts, len(chunk)]):
-            if a in starts:
-                last, frames, passed = -1, 0, 0
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known, *held = state.get if state.exists else ([], [], [], [], [])
+        # a bucket's rows may come in several chunks, in any order; they are pointers, not frames
+        chunk = pd.concat(list(rows), ignore_index=True)
+        codes, conns = pd.factorize(np.array([*known, *chunk["conn_id"]], object), use_na_sentinel=False)
+        codes = codes[len(known):]
+        last, frames, passed, newest = (np.concatenate([np.array(h, np.int64), np.full(len(conns) - len(known), k)]) for h, k in zip(held, (-1, 0, 0, -1)))
+        order = np.lexsort((chunk["id"].to_numpy(), chunk["micros"].to_numpy(), codes))
+        codes, micros, usable = codes[order], chunk["micros"].to_numpy(np.int64)[order], chunk["error"].isna().to_numpy()[order]
+        # runs of frames: of a connection, cut where it was idle
+        first = np.diff(codes, prepend=-1) != 0
+        before = np.where(first, np.where(newest[codes] >= 0, newest[codes], micros), np.roll(micros, 1))
+        anew = micros - before > idle if idle else np.zeros(len(codes), bool)
+        starts = np.flatnonzero(first | anew)
+        stops, who = np.append(starts[1:], len(codes)), codes[starts]
+        goes_on = ~anew[starts]
+        had_last, had_frames, had_passed = np.where(goes_on, last[who], -1), np.where(goes_on, frames[who], 0), np.where(goes_on, passed[who], 0)
+        mark = np.zeros(len(codes), np.int64)
+        for k, (a, b) in enumerate(zip(starts.tolist(), stops.tolist())):
             place = a + np.flatnonzero(usable[a:b])
-            at = place[greedy(micros[place], self.interval, None if last < 0 else last)]
-            mark[at] = 1
-            received[a:b], verified[a:b] = frames + np.arange(1, b - a + 1), passed + np.cumsum(mark[a:b])
-            last, frames, passed = int(micros[at[-1]]) if len(at) else last, frames + b - a, passed + len(at)
-        newest = max(newest, int(micros[-1]))
-        if self.idle and not timer:
-            self.handle.registerTimer((newest + self.idle) // 1000 + 1)
-        self.state.update((last, frames, passed, newest, bool(self.idle)))
-        chunk["frame_count"], chunk["verification_count"] = received, verified
-        out = chunk[~usable | (mark > 0)]
-        if len(out):
-            yield out[self.names]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        due = (self.state.get()[3] + self.idle) // 1000 + 1 if self.state.exists() else 0
-        if due > expiredTimerInfo.getExpiryTimeInMs():
-            self.handle.registerTimer(due)  # frames came since
+            at = place[greedy(micros[place], interval, None if had_last[k] < 0 else int(had_last[k]))]
+            if len(at):
+                mark[at], had_last[k] = 1, micros[at[-1]]
+        sizes, done = stops - starts, np.cumsum(mark)
+        received = np.repeat(had_frames - starts, sizes) + np.arange(1, len(codes) + 1)
+        verified = np.repeat(had_passed - (done[starts] - mark[starts]), sizes) + done
+        # a connection's last run is what it goes on from
+        ends = np.append(who[1:] != who[:-1], True)
+        who, stops = who[ends], stops[ends] - 1
+        last[who], frames[who], passed[who], newest[who] = had_last[ends], received[stops], verified[stops], np.maximum(newest[who], micros[stops])
+        due = (newest + idle) // 1000 + 1
+        stay = due > state.getCurrentWatermarkMs() if idle else np.ones(len(conns), bool)
+        if stay.any():
+            state.update(([c if isinstance(c, str) else None for c in conns[stay]], *(x[stay].tolist() for x in (last, frames, passed, newest))))
+            if idle:
+                state.setTimeoutTimestamp(int(due[stay].max()))
         else:
-            self.state.clear()
-        return iter([])
+            state.remove()
+        out = np.flatnonzero(~usable | (mark > 0))
+        if len(out):
+            chosen = chunk.iloc[order[out]].assign(frame_count=received[out], verification_count=verified[out])
+            yield chosen[names].reset_index(drop=True)
 
-    def close(self) -> None:
-        pass
+    return run
 
 
-def sample_stream(frames: DataFrame, seconds: float = 5.0, carry: list[str] | None = None, late: str = LATE, idle_seconds: float | None = IDLE_SECONDS) -> DataFrame:
+def sample_stream(frames: DataFrame, seconds: float = 5.0, carry: list[str] | None = None, late: str = LATE, idle_seconds: float | None = IDLE_SECONDS, buckets: int = BUCKETS) -> DataFrame:
     """conn_id, id, frame_count, verification_count (and ts, error and the columns carry) of the frames that pass, for a stream with conn_id, id, ts.
 
     Rows whose column error (optional) isn't null are counted and come out, but never take a
@@ -77,8 +88,9 @@ def sample_stream(frames: DataFrame, seconds: float = 5.0, carry: list[str] | No
     than late is dropped, and a connection without a frame for idle_seconds is over: a frame that
     comes then starts a new one. Without idle_seconds connections never end. A frame without a time
     has no place among the others: it never reaches the state and is left out (no_time gives those).
-    A task holds one micro-batch's rows of a connection, so carry pointers rather than payloads.
-    Needs the RocksDB state store.
+    A task holds one micro-batch's rows of a bucket of connections, so carry pointers rather than
+    payloads. buckets is fixed by the checkpoint's first batch: a micro-batch rewrites the states of
+    the buckets that it touches. The RocksDB state store keeps states on disk.
     """
     frames = frames.where(F.col("ts").isNotNull())
     error = F.col("error") if "error" in frames.columns else F.lit(None)
@@ -88,10 +100,11 @@ def sample_stream(frames: DataFrame, seconds: float = 5.0, carry: list[str] | No
     kinds = dict(slim.dtypes)
     names = ["conn_id", "id", "frame_count", "verification_count", *extra]
     schema = ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in names)
-    sampler = FrameSampler(int(seconds * 1_000_000), int((idle_seconds or 0) * 1_000_000), names)
+    sampler = frame_sampler(int(seconds * 1_000_000), int((idle_seconds or 0) * 1_000_000), names)
+    slim = slim.withColumn("__bucket", F.pmod(F.xxhash64("conn_id"), F.lit(buckets)))
     if not idle_seconds:
-        return slim.groupBy("conn_id").transformWithStateInPandas(sampler, schema, "append", "none")
-    return slim.withWatermark("ts", late).groupBy("conn_id").transformWithStateInPandas(sampler, schema, "append", "EventTime")
+        return slim.groupBy("__bucket").applyInPandasWithState(sampler, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    return slim.withWatermark("ts", late).groupBy("__bucket").applyInPandasWithState(sampler, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def no_time(frames: DataFrame) -> DataFrame:
