@@ -365,6 +365,22 @@ def test_connections_share_states(spark, tmp_path):
     assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3
 
 
+def test_frames_without_a_subject_are_spread(spark):
+    frames = spark.createDataFrame([(i, None, b64("p1")) for i in range(60)] + [(100, 2, b64("p2"))], "id long, subject_id long, frame string")
+    subjects, photos, embeddings = tables(spark)
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for c, v in zip(old, ("-1", "false")):
+        spark.conf.set(c, v)
+    try:
+        results = verify(frames, subjects, embeddings, photos, CFG)[0]
+        assert {(r["route"], r["error"]) for r in results.where("subject_id IS NULL").collect()} == {("unknown", "unknown subject")}
+        assert results.count() == 61 and results.where("subject_id = 2").first()["verified"]
+        assert results.where("subject_id IS NULL").select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
 def test_no_image_goes_through_the_state(spark, tmp_path, monkeypatch):
     from verispark.streaming import verification as module
 

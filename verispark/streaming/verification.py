@@ -162,6 +162,7 @@ def verify_landed(spark: SparkSession, inbox: str, kinds: str, tables: Callable[
     def each(batch: DataFrame, n: int) -> None:
         session = batch.sparkSession
         batch.persist()  # pointers; it is read several times, and comes out of the connections' state
+        kept = [batch]
         try:
             if batch.isEmpty():
                 return
@@ -172,7 +173,10 @@ def verify_landed(spark: SparkSession, inbox: str, kinds: str, tables: Callable[
             store.start(t["embeddings"])
             people = active(t["subjects"]).select("insuree_uuid", "subject_id")
             good = fetched(batch, paths).join(people, "insuree_uuid", "left")
-            found, new = verify(good, t["subjects"], store.of(good.where("subject_id IS NOT NULL").select("subject_id"), n), t["photos"], cfg)
+            # the batch's subjects are looked for once
+            ids = good.where("subject_id IS NOT NULL").select("subject_id").distinct().persist()
+            kept.append(ids)
+            found, new = verify(good, t["subjects"], store.of(ids, n), t["photos"], cfg, ids=ids)
             now = found.agg(F.max("ts")).first()[0]
             store.put(new.withColumn("validity_from", F.lit(now).cast("timestamp_ntz")), n)
             audits = audits_from_results(found, t["claims"], t["services"], cfg, "service_uuid")
@@ -185,7 +189,8 @@ def verify_landed(spark: SparkSession, inbox: str, kinds: str, tables: Callable[
             written = table.batch(n).withColumn("timestamp", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
             BatchTable(session, f"{out}/messages").write(format_results(written, ["conn_id"]), n)
         finally:
-            batch.unpersist()
+            for df in kept:
+                df.unpersist()
 
     writer = sampled.unionByName(untimed).unionByName(broken).unionByName(files).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
