@@ -464,6 +464,41 @@ def test_risk_errors_leave_the_audits(spark, tmp_path):
     assert audit_table(spark, f"{tmp_path}/a").read().count() == 1
 
 
+def test_risk_stream_keeps_no_state_store(spark, tmp_path):
+    """The sums are the stream's only state, and those of a batch that can't be added come with the next one, once."""
+    schema = "claim_id long, id long, similarity_score double, is_verified boolean, audit_date timestamp"
+
+    def run(k, claim):
+        spark.createDataFrame([(claim, k, 0.5, True, T0 + dt.timedelta(k))], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = risk_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/r", f"{tmp_path}/c")
+        query.awaitTermination()
+        assert [p["stateOperators"] for p in query.recentProgress if p["stateOperators"]] == []
+
+    counts = lambda: {r["claim_id"]: (r["audit_count"], r["last_updated"]) for r in current_risk(spark, f"{tmp_path}/r").collect()}
+    (tmp_path / "r").write_text("in the way")
+    run(0, 1)
+    run(1, 2)
+    (tmp_path / "r").unlink()
+    run(2, 3)
+    assert counts() == {1: (1, T0), 2: (1, T0 + dt.timedelta(1)), 3: (1, T0 + dt.timedelta(2))}
+    # batch 2 repeated, as after a lost commit
+    commit = tmp_path / "c" / "commits" / "2"
+    commit.unlink()
+    (commit.parent / ".2.crc").unlink(missing_ok=True)
+    run(3, 1)
+    assert counts() == {1: (2, T0 + dt.timedelta(3)), 2: (1, T0 + dt.timedelta(1)), 3: (1, T0 + dt.timedelta(2))}
+
+
+def test_current_claims_parse_each_json_once(spark, tmp_path):
+    """One folder of sums is read without an aggregate, and a claim's JSON is parsed in two places: for objects, and for nulls if it is none."""
+    df = spark.createDataFrame([(1, 1, 0.5, True, T0)], "claim_id long, id long, similarity_score double, is_verified boolean, audit_date timestamp")
+    df.write.parquet(f"{tmp_path}/in")
+    risk_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/r", f"{tmp_path}/c", raise_errors=True).awaitTermination()
+    c = spark.createDataFrame([(1, '{"x":1}')], "claim_id long, json_ext string")
+    plan = current_claims(c, f"{tmp_path}/r")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson(") == 2 and "Aggregate" not in plan
+
+
 def test_unscored_batches_are_added_later(spark, tmp_path, monkeypatch):
     """A batch that can't be scored keeps its audits; the next one adds them, once, also when it is repeated."""
     from verispark.streaming import risk as module

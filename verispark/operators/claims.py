@@ -11,7 +11,7 @@ RISK_KEY = "biometric_risk_assessment"
 
 
 def _merged(claims: DataFrame, risk: DataFrame) -> DataFrame:
-    fields = F.struct("risk_score", "risk_level", "audit_count", "failed_audits", "score_variance", "avg_similarity", F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss").alias("last_updated"))
+    fields = F.struct("audit_count", "avg_similarity", "failed_audits", F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss").alias("last_updated"), "risk_level", "risk_score", "score_variance")
     rows = claims.join(risk.select("claim_id", fields.alias("__risk")), "claim_id", "left")
     return rows.withColumn("__ext", F.when(F.col("__risk").isNotNull(), set_json_key(F.col("json_ext"), RISK_KEY, F.col("__risk"))))
 

@@ -479,12 +479,9 @@ def merge_claim_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _risk_fields(rows: DataFrame) -> DataFrame:
-    at = lambda k: F.get_json_object("json_ext", f"$.{k}")
-    key = claims.RISK_KEY
-    return rows.select(
-        "claim_id", at("priority").alias("priority"), rounded(at(f"{key}.risk_score").cast("double"), 3).alias("risk_score"), at(f"{key}.risk_level").alias("risk_level"),
-        at(f"{key}.audit_count").cast("long").alias("audit_count"), at(f"{key}.last_updated").alias("last_updated"),
-    )
+    fields = F.from_json("json_ext", f"priority string, {claims.RISK_KEY} struct<risk_score double, risk_level string, audit_count bigint, last_updated string>")
+    rows = rows.select("claim_id", fields.alias("ext")).select("claim_id", "ext.priority", f"ext.{claims.RISK_KEY}.*")
+    return rows.withColumn("risk_score", rounded(F.col("risk_score"), 3))
 
 
 MERGE_SQL = f"""

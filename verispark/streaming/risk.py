@@ -8,6 +8,7 @@ into whatever a claim's JSON is then, so nobody's edit of a claim is lost and no
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -59,32 +60,68 @@ def store_stream(audits: DataFrame, audits_path: str, checkpoint: str, available
 def risk_stream(audits: DataFrame, path: str, checkpoint: str, available_now: bool = True, raise_errors: bool = False) -> StreamingQuery:
     """The sums of every claim that a micro-batch touches.
 
-    The sums are the stream's state as well, so a batch costs what it touches, whatever was stored
-    before. It is a query of its own beside store_stream, so audits stay whatever happens here; a
-    batch that can't be stored is logged, and its claims are right again at their next audit.
+    The table of sums is the stream's state as well, so a batch opens the buckets that it touches
+    and no state store holds the claims in memory. It is a query of its own beside store_stream, so
+    audits stay whatever happens here; the sums of a batch that can't be added are kept beside the
+    checkpoint's files, and the next batch that can be adds them too.
     """
 
     def each(batch: DataFrame, n: int) -> None:
-        try:
-            sums_table(batch.sparkSession, path).write(batch, n)
-        except Exception:
-            if raise_errors:
-                raise
-            log.exception("risk of micro-batch %d", n)
-            batch.write.format("noop").mode("overwrite").save()  # the sums must reach the state all the same
-
-    sums = claim_sums(audits, last_updated=True)
-    writer = sums.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
+        late_sums = BatchTable(batch.sparkSession, f"{checkpoint}/unscored/sums")
+
+        def add(late: list[int]) -> None:
+            add_sums(batch, path, n, late_sums.read(with_batch=True).where(F.col("batch").isin(late)).drop("batch") if late else None)
+
+        if not _score(SharedFiles(batch.sparkSession, f"{checkpoint}/unscored/notes"), n, add, raise_errors):
+            late_sums.write(claim_sums(batch, last_updated=True), n)
+
+    # a micro-batch's plan is fixed when each gets it, so columns are pruned here
+    scored = audits.select("claim_id", "similarity_score", "is_verified", "audit_date")
+    writer = scored.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def add_sums(audits: DataFrame, path: str, n: int) -> None:
-    """Add the audits of batch n to the sums of their claims; a repeated batch starts from the sums before it."""
+def _total(sums: DataFrame) -> DataFrame:
+    """One row of claim_sums for each claim of several."""
+    return sums.groupBy("claim_id").agg(*(F.sum(c).alias(c) for c in ("n", "failed", "s1", "s2")), F.max("last_updated").alias("last_updated"))
+
+
+def add_sums(audits: DataFrame, path: str, n: int, late: DataFrame | None = None) -> None:
+    """Add the audits of batch n, and late sums, to the sums of their claims; a repeated batch starts from the sums before it."""
     fresh, table = claim_sums(audits, last_updated=True), sums_table(audits.sparkSession, path)
-    if table.exists():
-        rows = table.read(before=n, of=fresh).unionByName(fresh)
-        fresh = rows.groupBy("claim_id").agg(*(F.sum(c).alias(c) for c in ("n", "failed", "s1", "s2")), F.max("last_updated").alias("last_updated"))
-    table.write(fresh, n)
+    if late is not None:
+        fresh = _total(fresh.unionByName(late))
+    if not table.exists():
+        table.write(fresh, n, unique=True)
+        return
+    fresh = fresh.persist(StorageLevel.DISK_ONLY)  # it chooses the buckets, then the claims, and is added
+    try:
+        table.write(_total(table.read(before=n, of=fresh).unionByName(fresh)), n, unique=True)
+    finally:
+        fresh.unpersist()
+
+
+def _score(notes: SharedFiles, n: int, add: Callable[[list[int]], None], raise_errors: bool = False) -> bool:
+    """Whether add could add batch n and the earlier batches that it is given; an error is logged and noted."""
+    # a note k says that batch k isn't scored yet, k.by.n that batch n has added it; that one may be repeated
+    names = notes.names()
+    late = sorted({int(x.split(".")[0]) for x in names if x.lstrip("-").isdigit() or x.endswith(f".by.{n}")} - {n})
+    try:
+        add(late)
+    except Exception:
+        if raise_errors:
+            raise
+        log.exception("risk of micro-batch %d", n)
+        if str(n) not in names:
+            notes.write(str(n), "")
+        return False
+    for k in late:
+        if f"{k}.by.{n}" not in names:
+            notes.write(f"{k}.by.{n}", "")
+    for x in names:
+        if x in map(str, [*late, n]) or (".by." in x and int(x.rsplit(".", 1)[1]) < n):
+            notes.delete(x)
+    return True
 
 
 def store_and_score(audits: DataFrame, out: str, n: int) -> DataFrame:
@@ -95,25 +132,10 @@ def store_and_score(audits: DataFrame, out: str, n: int) -> DataFrame:
     """
     spark = audits.sparkSession
     append_audits(audits, f"{out}/audits", n)
-    table, notes = audit_table(spark, f"{out}/audits"), SharedFiles(spark, f"{out}/unscored")
+    table = audit_table(spark, f"{out}/audits")
     stored = table.batch(n)
-    # a note k says that batch k isn't scored yet, k.by.n that batch n has added it; that one may be repeated
-    names = notes.names()
-    late = sorted({int(x.split(".")[0]) for x in names if x.lstrip("-").isdigit() or x.endswith(f".by.{n}")} - {n})
-    try:
-        # all audits are read only where earlier batches must be added
-        add_sums(table.read(with_batch=True).where(F.col("batch").isin([*late, n])) if late else stored, f"{out}/sums", n)
-    except Exception:
-        log.exception("risk of micro-batch %d", n)
-        if str(n) not in names:
-            notes.write(str(n), "")
-    else:
-        for k in late:
-            if f"{k}.by.{n}" not in names:
-                notes.write(f"{k}.by.{n}", "")
-        for x in names:
-            if x in map(str, [*late, n]) or (".by." in x and int(x.rsplit(".", 1)[1]) < n):
-                notes.delete(x)
+    # all audits are read only where earlier batches must be added
+    _score(SharedFiles(spark, f"{out}/unscored"), n, lambda late: add_sums(table.read(with_batch=True).where(F.col("batch").isin([*late, n])) if late else stored, f"{out}/sums", n))
     return stored
 
 

@@ -85,7 +85,7 @@ class BatchTable:
         rows = self._rows(parts, buckets)
         if of is not None:
             rows = rows.join(of.select(self.key).distinct(), self.key, "left_semi")
-        rows = self._last(rows) if m["key"] else rows
+        rows = self._last(rows) if m["key"] and len(parts) > 1 else rows  # a folder has one row of a key
         columns = [f["name"] for f in m["schema"]["fields"]]
         return rows.select(*columns, *(["batch"] if with_batch else []))
 
@@ -107,14 +107,14 @@ class BatchTable:
             rows.write.parquet(f"{self.path}/{folder}")
         return folder
 
-    def write(self, rows: DataFrame, n: int) -> None:
-        """Make rows the rows of batch n, in place of any that it had; rows of one key in a batch are taken one by the largest hash."""
+    def write(self, rows: DataFrame, n: int, unique: bool = False) -> None:
+        """Make rows the rows of batch n, in place of any that it had; rows of one key in a batch are taken one by the largest hash, unless they are unique."""
         m = self._load()
         if m is None:
             m = self._manifest = {"number": 0, "key": self.key, "buckets": self.buckets if self.key else None, "schema": rows.schema.jsonValue(), "parts": [], "gone": []}
         fields = [f["name"] for f in m["schema"]["fields"]]
         rows = rows.select(*fields)
-        if self.key:
+        if self.key and not unique:
             rest = [c for c in fields if c != self.key]
             rows = rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), F.xxhash64(*rest)).alias("r")).select(self.key, "r.*").select(*fields)
         before, parts, level = {p["folder"] for p in m["parts"]}, m["parts"], 0
